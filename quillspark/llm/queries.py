@@ -5,10 +5,33 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import topk, url_filters
 from .bpe import bpe_digests
+from .language_id import held_out_languages
 from .packing import pack_documents
+from .quality_rules import quality_rules
 from .shared import read_table
 from .token_store import read_ids, write_ids
+from .topk import exact_topk
+from .url_filters import url_filter
+from .warc import read_warc, write_warc
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(read_table(spark, sf_dir, "pages"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = quality_rules(read_table(spark, sf_dir, "documents"))
+    return docs.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk(read_table(spark, sf_dir, "embeddings"), k=10, query_every=100)
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_warc(write_warc(read_table(spark, sf_dir, "pages"), min_bytes=0))
 
 
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +39,10 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(write_ids(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, vocabulary=49_408))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return held_out_languages(read_table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, window=1024)
@@ -25,5 +52,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op6_token_ids, op8_packing, op10_bpe)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op3_quality_rules, op4_topk, op5_warc, op6_token_ids, op7_language_id, op8_packing, op10_bpe)}
+ORACLE_SQL: dict[str, str] = {"op1_url_filters": url_filters.oracle_sql(), "op4_topk": topk.ORACLE}
