@@ -5,12 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import topk, url_filters
+from . import line_templates, topk, url_filters
 from .bpe import bpe_digests
 from .language_id import held_out_languages
+from .line_templates import drop_recurring_lines
 from .packing import pack_documents
 from .quality_rules import quality_rules
 from .shared import read_table
+from .simhash import near_duplicates
 from .token_store import read_ids, write_ids
 from .topk import exact_topk
 from .url_filters import url_filter
@@ -21,6 +23,10 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(read_table(spark, sf_dir, "pages"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"), radius=3, shingle=3)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = quality_rules(read_table(spark, sf_dir, "documents"))
     return docs.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -48,9 +54,14 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, window=1024)
 
 
+def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = drop_recurring_lines(read_table(spark, sf_dir, "documents"))
+    return docs.select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op3_quality_rules, op4_topk, op5_warc, op6_token_ids, op7_language_id, op8_packing, op10_bpe)}
-ORACLE_SQL: dict[str, str] = {"op1_url_filters": url_filters.oracle_sql(), "op4_topk": topk.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_simhash, op3_quality_rules, op4_topk, op5_warc, op6_token_ids, op7_language_id, op8_packing, op9_line_templates, op10_bpe)}
+ORACLE_SQL: dict[str, str] = {"op1_url_filters": url_filters.oracle_sql(), "op4_topk": topk.ORACLE, "op9_line_templates": line_templates.ORACLE}

@@ -6,8 +6,6 @@ one task; every join back to rows is an equi-join that adaptive execution can sp
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +58,7 @@ def template_tree(urls: DataFrame, depth: int, smoothing: float, max_children: i
     keys = [f"s{k}" for k in range(1, depth + 2)]
     tree = urls.groupBy("host", *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good")).withColumn("template", F.lit(""))
     for key in keys:
+        tree = stored(tree, "url-tree")  # read four times below
         node = ["host", "template"]
         children = tree.groupBy(*node, key).agg(F.sum("n").alias("cn"))
         parents = children.groupBy(*node).agg(F.count(F.lit(1)).alias("m"), F.sum("cn").alias("pn"))
