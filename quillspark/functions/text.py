@@ -44,3 +44,9 @@ def whitespace_chunks(text: Column, size: int = 200, overlap: int = 20) -> Colum
             F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - overlap), F.lit(step)), lambda i: F.array_join(F.slice(w, i, size), " "))
         ),
     )[0]
+
+
+def ladder_sql(text: str, ladder, default: str | None = None) -> str:
+    """The CASE expression of ``first_match`` in SQL."""
+    arms = " ".join(f"WHEN {' OR '.join(f'contains({text}, {w!r})' for w in words)} THEN {name!r}" for name, words in ladder)
+    return f"CASE {arms} ELSE {'NULL' if default is None else repr(default)} END"

@@ -1 +1,116 @@
-"""Queries of this surface."""
+"""Queues, retries and state machines as transitions from one snapshot to the next."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from quillspark.operators.relational import n_rows, ranked
+from quillspark.registry import query
+from quillspark.sources.tables import Tables, as_of
+from quillspark.streaming import jobs
+
+
+@query("SELECT page_id, url FROM pages WHERE page_id NOT IN (SELECT doc_id FROM labels)")
+def incremental_discovery(t: Tables) -> DataFrame:
+    """Admits unseen keys only; changed objects are not looked at."""
+    return t.pages.join(t.labels.select(F.col("doc_id").alias("page_id")), "page_id", "left_anti").select("page_id", "url")
+
+
+@query("SELECT event_id, 'processing' AS status FROM events WHERE event_type = 'error' ORDER BY ts, event_id LIMIT 1")
+def queue_claim(t: Tables) -> DataFrame:
+    return t.events.filter("event_type = 'error'").orderBy(F.asc_nulls_last("ts"), "event_id").limit(1).select("event_id", F.lit("processing").alias("status"))
+
+
+@query()
+def poll_loop(t: Tables) -> DataFrame:
+    """The queue drained by a file stream that ends once it has read everything."""
+    return jobs.drain(t.spark, f"{t.folder}/events.parquet", t.events.schema)
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'view' AND ts < TIMESTAMP '2024-01-31' - INTERVAL 30 MINUTE THEN 'queued' ELSE event_type END AS status FROM events")
+def stale_recovery(t: Tables) -> DataFrame:
+    stale = (F.col("event_type") == "view") & (F.col("ts") < as_of() - F.expr("INTERVAL 30 MINUTES"))
+    return t.events.select("event_id", F.when(stale, "queued").otherwise(F.col("event_type")).alias("status"))
+
+
+@query("SELECT count(*) FILTER (WHERE event_type = 'view') AS reset_stuck, count(*) FILTER (WHERE event_type = 'error' AND contains(props, '\"k\": 1')) AS retried FROM events")
+def bulk_transition(t: Tables) -> DataFrame:
+    failed = (F.col("event_type") == "error") & F.col("props").contains('"k": 1')
+    return t.events.agg(F.count_if(F.col("event_type") == "view").alias("reset_stuck"), F.count_if(failed).alias("retried"))
+
+
+@query("SELECT doc_id, CASE WHEN quality = 1 THEN 'completed' ELSE 'failed' END AS status, CASE WHEN quality = 1 THEN substr(text, 1, 15000) END AS preview, CASE WHEN quality = 1 THEN sha256(text) END AS preview_hash FROM documents JOIN labels USING (doc_id)")
+def ocr_status_update(t: Tables) -> DataFrame:
+    """The preview is cut, its hash is of the full text."""
+    done = F.col("quality") == 1
+    return t.documents.join(t.labels, "doc_id").select("doc_id", F.when(done, "completed").otherwise("failed").alias("status"), F.when(done, F.substring("text", 1, 15_000)).alias("preview"), F.when(done, F.sha2("text", 256)).alias("preview_hash"))
+
+
+# State, action, next state.
+JOB = (("needs_review", "approve", "approved"), ("approved", "index", "indexed"), ("index_failed", "index", "indexed"), ("needs_review", "reject", "rejected"), ("approved", "reject", "rejected"), ("index_failed", "reject", "rejected"))
+STATE_SQL = "CASE o_orderstatus WHEN 'O' THEN 'needs_review' WHEN 'P' THEN 'approved' ELSE 'indexed' END"
+ACTION_SQL = "CASE o_orderkey % 3 WHEN 0 THEN 'approve' WHEN 1 THEN 'index' ELSE 'reject' END"
+
+
+@query(f"WITH m(state, action, next) AS (VALUES {', '.join(map(str, JOB))}), j AS (SELECT o_orderkey, {STATE_SQL} AS state, {ACTION_SQL} AS action FROM orders) SELECT o_orderkey, state, action, coalesce(next, state) AS next, next IS NOT NULL AS allowed FROM j LEFT JOIN m USING (state, action)")
+def job_state_machine(t: Tables) -> DataFrame:
+    moves = t.rows("state string, action string, to string", *JOB)
+    jobs_ = t.orders.select("o_orderkey", F.expr(STATE_SQL).alias("state"), F.expr(ACTION_SQL).alias("action"))
+    return jobs_.join(F.broadcast(moves), ["state", "action"], "left").select("o_orderkey", "state", "action", F.coalesce("to", "state").alias("next"), F.col("to").isNotNull().alias("allowed"))
+
+
+@query("SELECT d.doc_id, CASE WHEN quality = 1 THEN 'synced' WHEN quality = 0 THEN 'failed' ELSE 'pending' END AS status FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def sync_state_machine(t: Tables) -> DataFrame:
+    status = F.when(F.col("quality") == 1, "synced").when(F.col("quality") == 0, "failed").otherwise("pending")
+    return t.documents.join(t.labels, "doc_id", "left").select("doc_id", status.alias("status"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY doc_id LIMIT 5")
+def batch_claim(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id").join(t.labels, "doc_id", "left_anti").orderBy("doc_id").limit(5)
+
+
+@query("SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS strikes, count(*) FILTER (WHERE event_type = 'error') >= 3 AS failed FROM events WHERE ts >= TIMESTAMP '2024-01-29' GROUP BY 1")
+def retry_strikes(t: Tables) -> DataFrame:
+    strikes = F.count_if(F.col("event_type") == "error")
+    return t.events.filter(F.col("ts") >= F.expr("TIMESTAMP_NTZ '2024-01-29'")).groupBy("user_id").agg(strikes.alias("strikes"), (strikes >= 3).alias("failed"))
+
+
+@query()
+def conversation_state(t: Tables) -> DataFrame:
+    """The situation folded turn by turn: a title stays until a later turn brings a new one."""
+    import pandas as pd
+
+    def fold(turns: pd.DataFrame) -> pd.DataFrame:
+        title, seen, out = None, set(), []
+        for row in turns.sort_values("pos").itertuples():
+            fresh = [w.strip(".,") for w in (row.content or "").split()[:12] if w[:1].isupper() and w.strip(".,").lower() not in seen]
+            if row.role == "user" and len(fresh) >= 2:
+                title = fresh[0]
+            seen |= {w.lower() for w in fresh}
+            out.append((row.session_id, row.pos, title, len(seen)))
+        return pd.DataFrame(out, columns=["session_id", "pos", "title", "entities"])
+
+    return t.turns.groupBy("session_id").applyInPandas(fold, "session_id long, pos long, title string, entities long")
+
+
+@query("SELECT date_trunc('minute', ts) AS start, user_id, count(*) AS n, count(*) > 2 AS limited FROM events GROUP BY 1, 2")
+def rate_limit_fixed_window(t: Tables) -> DataFrame:
+    """Windows start at whole minutes."""
+    counted = t.events.groupBy(F.window("ts", "1 minute").alias("w"), "user_id").agg(n_rows().alias("n"))
+    return counted.select(F.col("w.start").alias("start"), "user_id", "n", (F.col("n") > 2).alias("limited"))
+
+
+@query("WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) FILTER (WHERE event_type = 'purchase') AS n FROM events GROUP BY 1, 2) SELECT user_id, day, coalesce(n - lag(n) OVER (PARTITION BY user_id ORDER BY day) = 0, false) AS stalled FROM d")
+def stall_detector(t: Tables) -> DataFrame:
+    daily = t.events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count_if(F.col("event_type") == "purchase").alias("n"))
+    before = F.lag("n").over(Window.partitionBy("user_id").orderBy("day"))
+    return daily.select("user_id", "day", F.coalesce(F.col("n") == before, F.lit(False)).alias("stalled"))
+
+
+@query()
+def parallel_batches(t: Tables) -> DataFrame:
+    """Groups of three a source, each row with its outcome; tasks, not pauses, bound the concurrency."""
+    batch = F.floor((F.col("rank") - 1) / 3)
+    return ranked(t.documents, ["source"], ["doc_id"]).groupBy("source", batch.alias("batch")).agg(n_rows().alias("done"), F.count_if(F.col("n_chars") < 100).alias("failed"))
