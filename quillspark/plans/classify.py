@@ -1 +1,290 @@
-"""Queries of this surface."""
+"""Rule-based classification and audit of questions, pastes and answers."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from quillspark.functions import lexicon as lex
+from quillspark.functions.text import contains_any, hits, pattern_hits, whitespace_chunks
+from quillspark.registry import query
+from quillspark.sources.tables import Tables
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def values(name: str, texts) -> str:
+    return f"WITH {name}(id, x) AS (VALUES {', '.join(f'({i}, {quoted(x)})' for i, x in enumerate(texts))})"
+
+
+Q, A = values("q", lex.QUESTIONS), values("a", lex.ANSWERS)
+
+
+def questions(t: Tables) -> DataFrame:
+    return t.rows("id int, x string", *enumerate(lex.QUESTIONS))
+
+
+def answers(t: Tables) -> DataFrame:
+    return t.rows("id int, x string", *enumerate(lex.ANSWERS))
+
+
+def any_pattern(x: Column, patterns) -> Column:
+    return x.rlike("(?i)(?:" + "|".join(patterns) + ")")
+
+
+def any_pattern_sql(patterns, x: str = "x") -> str:
+    return f"regexp_matches({x}, {quoted('(?i)(?:' + '|'.join(patterns) + ')')})"
+
+
+def any_word_sql(words, x: str = "lower(x)") -> str:
+    return "(" + " OR ".join(f"contains({x}, {quoted(w.lower())})" for w in words) + ")"
+
+
+def hits_sql(words, x: str = "lower(x)") -> str:
+    return "(" + " + ".join(f"contains({x}, {quoted(w.lower())})::INT" for w in words) + ")"
+
+
+def pattern_hits_sql(patterns, x: str = "x") -> str:
+    return "(" + " + ".join(f"regexp_matches({x}, {quoted('(?i)' + p)})::INT" for p in patterns) + ")"
+
+
+def ci(patterns):
+    return ["(?i)" + p for p in patterns]
+
+
+@query(f"{Q} SELECT id, round(least(least(0.1 * {hits_sql(lex.LEGAL_WORDS)}, 0.6) + least(0.15 * {pattern_hits_sql(lex.LEGAL_PATTERNS)}, 0.45), 1.0)::DOUBLE, 6) AS salience FROM q")
+def legal_salience_v2(t: Tables) -> DataFrame:
+    words = hits(F.lower("x"), [w.lower() for w in lex.LEGAL_WORDS])
+    score = F.least(words * 0.1, F.lit(0.6)) + F.least(pattern_hits(F.col("x"), ci(lex.LEGAL_PATTERNS)) * 0.15, F.lit(0.45))
+    return questions(t).select("id", F.round(F.least(score, F.lit(1.0)), 6).alias("salience"))
+
+
+@query(f"{Q} SELECT id, CASE WHEN n >= 4 THEN 0.9 WHEN n >= 2 THEN 0.7 WHEN n >= 1 THEN 0.5 ELSE 0.2 END::DOUBLE AS salience FROM (SELECT id, {hits_sql(lex.PLANNER_LEGAL_WORDS)} AS n FROM q)")
+def legal_salience_v3(t: Tables) -> DataFrame:
+    n = hits(F.lower("x"), lex.PLANNER_LEGAL_WORDS)
+    return questions(t).select("id", F.when(n >= 4, 0.9).when(n >= 2, 0.7).when(n >= 1, 0.5).otherwise(0.2).alias("salience"))
+
+
+TOWNS = ("conway", "ossipee", "madison", "tamworth")
+
+
+@query(f"{Q} SELECT id, CASE WHEN {any_word_sql(TOWNS)} AND {any_pattern_sql(lex.STATE_LAW)} THEN 'mixed' WHEN {any_pattern_sql(lex.STATE_LAW)} THEN 'statewide' WHEN {any_word_sql(TOWNS)} THEN 'local' END AS scope FROM q")
+def scope_hint(t: Tables) -> DataFrame:
+    town, state = contains_any(F.lower("x"), TOWNS), any_pattern(F.col("x"), lex.STATE_LAW)
+    return questions(t).select("id", F.when(town & state, "mixed").when(state, "statewide").when(town, "local").alias("scope"))
+
+
+@query(f"{Q} SELECT id, CASE WHEN {any_pattern_sql(lex.RISK)} THEN 'RISK_DISPUTE' WHEN {any_pattern_sql(lex.EXPLAINER)} THEN 'EXPLAINER' ELSE 'QUICK_PROCESS' END AS kind FROM q")
+def answer_type(t: Tables) -> DataFrame:
+    return questions(t).select("id", F.when(any_pattern(F.col("x"), lex.RISK), "RISK_DISPUTE").when(any_pattern(F.col("x"), lex.EXPLAINER), "EXPLAINER").otherwise("QUICK_PROCESS").alias("kind"))
+
+
+@query(f"{Q} SELECT id, CASE WHEN {any_pattern_sql(lex.LIST_WORDS)} THEN 'LIST' ELSE 'PROSE' END AS style FROM q")
+def render_style(t: Tables) -> DataFrame:
+    return questions(t).select("id", F.when(any_pattern(F.col("x"), lex.LIST_WORDS), "LIST").otherwise("PROSE").alias("style"))
+
+
+INTENTS = (("interpretation", lex.INTERPRETATION), ("causal", lex.CAUSAL), ("mechanism", lex.MECHANISM), ("breakdown", lex.BREAKDOWN))
+
+
+@query(f"{Q} SELECT id, CASE {' '.join(f'WHEN {any_pattern_sql(p)} THEN {quoted(n)}' for n, p in INTENTS)} ELSE 'none' END AS intent FROM q")
+def composed_intent(t: Tables) -> DataFrame:
+    intent = F.lit("none")
+    for name, patterns in reversed(INTENTS):
+        intent = F.when(any_pattern(F.col("x"), patterns), name).otherwise(intent)
+    return questions(t).select("id", intent.alias("intent"))
+
+
+@query(f"{Q} SELECT id, {any_pattern_sql(lex.BROAD)} AS broad FROM q")
+def broad_coverage(t: Tables) -> DataFrame:
+    return questions(t).select("id", any_pattern(F.col("x"), lex.BROAD).alias("broad"))
+
+
+@query(f"{Q} SELECT id, {any_word_sql(lex.RECENT)} AS recent FROM q")
+def recency_intent(t: Tables) -> DataFrame:
+    return questions(t).select("id", contains_any(F.lower("x"), lex.RECENT).alias("recent"))
+
+
+@query(f"{Q} SELECT id, {any_pattern_sql(lex.STATE_LAW)} OR id % 2 = 0 AS parallel FROM q")
+def parallel_state_flag(t: Tables) -> DataFrame:
+    """True for statewide questions, else the plan's own flag (here: even ids)."""
+    return questions(t).select("id", (any_pattern(F.col("x"), lex.STATE_LAW) | (F.col("id") % 2 == 0)).alias("parallel"))
+
+
+@query(f"{Q} SELECT id, length(x) <= 120 AND ({' OR '.join(f'starts_with(lower(trim(x)), {quoted(p)})' for p in lex.FOLLOW_UP)}) AS bypass FROM q")
+def followup_bypass(t: Tables) -> DataFrame:
+    low = F.lower(F.trim("x"))
+    starts = F.exists(F.array(*[F.lit(p) for p in lex.FOLLOW_UP]), lambda p: low.startswith(p))
+    return questions(t).select("id", ((F.length("x") <= 120) & starts).alias("bypass"))
+
+
+@query(f"{Q} SELECT id, 'simple' AS complexity, ['general', 'process', 'policy'] AS domains FROM q WHERE {' OR '.join(f'starts_with(lower(trim(x)), {quoted(p)})' for p in lex.FOLLOW_UP)}")
+def bypass_defaults(t: Tables) -> DataFrame:
+    low = F.lower(F.trim("x"))
+    starts = F.exists(F.array(*[F.lit(p) for p in lex.FOLLOW_UP]), lambda p: low.startswith(p))
+    return questions(t).filter(starts).select("id", F.lit("simple").alias("complexity"), F.array(F.lit("general"), F.lit("process"), F.lit("policy")).alias("domains"))
+
+
+@query(f"{Q} SELECT id, nullif(regexp_extract(x, '(?i)(conway|ossipee|madison|tamworth)', 1), '') AS town, nullif(regexp_extract(lower(x), '(budget|tax|permit|septic|vote)', 1), '') AS topic FROM q")
+def topic_tag(t: Tables) -> DataFrame:
+    found = lambda c, p: F.nullif(F.regexp_extract(c, p, 1), F.lit(""))
+    return questions(t).select("id", found(F.col("x"), "(?i)(conway|ossipee|madison|tamworth)").alias("town"), found(F.lower("x"), "(budget|tax|permit|septic|vote)").alias("topic"))
+
+
+def ocr_facts(text: Column) -> Column:
+    """Words, mean length, share of known words and of blanks, and whether the text is likely garbage.
+
+    The share of known words counts all of them over at most a hundred.
+    """
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]{2,}"), F.lit(0))
+    known = F.array(*[F.lit(w) for w in dict.fromkeys(lex.COMMON_WORDS)])
+    counts = F.transform(
+        F.array(words),
+        lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("letters"), F.size(F.filter(w, lambda x: F.array_contains(known, x))).alias("known")),
+    )[0]
+    short = F.length(text) < 50
+    blanks = F.regexp_count(text, F.lit(r"\s")) / F.length(text)
+
+    def judged(c: Column) -> Column:
+        mean, share = F.try_divide(c["letters"], c["n"]), F.try_divide(c["known"], F.least(c["n"], F.lit(100)))
+        garbage = (mean < 2) | (mean > 15) | (share < 0.08) | ~((blanks > 0.1) & (blanks < 0.3))
+        few = short | (c["n"] < 10)
+        return F.struct(F.when(short, 0).otherwise(c["n"]).alias("words"), F.when(few, 0.0).otherwise(F.round(share, 4)).alias("share"), (few | garbage).alias("garbage"))
+
+    return F.transform(F.array(counts), judged)[0]
+
+
+KNOWN_SQL = "[" + ", ".join(map(quoted, dict.fromkeys(lex.COMMON_WORDS))) + "]"
+OCR_SQL = f"""WITH w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[a-z]{{2,}}') AS w FROM documents),
+c AS (SELECT doc_id, length(text) AS chars, len(w) AS n, length(array_to_string(w, '')) AS letters, len(list_filter(w, lambda x: list_contains({KNOWN_SQL}, x))) AS known, len(regexp_extract_all(text, '\\s')) / length(text) AS blanks FROM w),
+f AS (SELECT *, chars < 50 OR n < 10 AS few FROM c),
+o AS (SELECT doc_id, chars, CASE WHEN chars < 50 THEN 0 ELSE n END AS words, CASE WHEN few THEN 0 ELSE round(known / least(n, 100), 4) END::DOUBLE AS share,
+  few OR letters / n < 2 OR letters / n > 15 OR known / least(n, 100) < 0.08 OR NOT (blanks > 0.1 AND blanks < 0.3) AS garbage FROM f)"""
+
+
+@query(f"{OCR_SQL} SELECT doc_id, words, share, garbage FROM o")
+def ocr_quality(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", ocr_facts(F.col("text")).alias("f")).select("doc_id", "f.*")
+
+
+def needs_ocr(pdf: Column, chars: Column, garbage: Column, least_chars: int = 1200) -> Column:
+    return F.when(~pdf, False).when(chars < 100, True).when(~garbage & (chars >= 500), False).when(garbage & (chars >= least_chars), True).when(~garbage & (chars >= least_chars), False).otherwise(True)
+
+
+DECISION_SQL = "CASE WHEN doc_id % 4 = 0 THEN false WHEN chars < 100 THEN true WHEN NOT garbage AND chars >= 500 THEN false ELSE true END"
+
+
+@query(f"{OCR_SQL} SELECT doc_id, {DECISION_SQL} AS queue FROM o")
+def ocr_decision(t: Tables) -> DataFrame:
+    """Every fourth document stands for a file that is no PDF."""
+    facts = t.documents.select("doc_id", F.length("text").alias("chars"), ocr_facts(F.col("text")).alias("f"))
+    return facts.select("doc_id", needs_ocr(F.col("doc_id") % 4 != 0, F.col("chars"), F.col("f.garbage")).alias("queue"))
+
+
+@query(f"{OCR_SQL} SELECT doc_id, CASE WHEN NOT ({DECISION_SQL}) THEN 'none' WHEN doc_id % 2 = 0 THEN 'queued' ELSE 'blocked' END AS status FROM o")
+def ocr_initial_status(t: Tables) -> DataFrame:
+    enabled = F.col("doc_id") % 2 == 0
+    return ocr_decision(t).select("doc_id", F.when(~F.col("queue"), "none").when(enabled, "queued").otherwise("blocked").alias("status"))
+
+
+@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents), s AS (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 20) + 1, 180)) AS i FROM w WHERE len(w) > 0)
+SELECT doc_id, CAST((i - 1) / 180 AS INT) AS chunk, array_to_string(w[i:i + 199], ' ') AS content FROM s""")
+def chunk_whitespace(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.posexplode(whitespace_chunks(F.col("text"))).alias("chunk", "content"))
+
+
+PARAGRAPHS = "len(list_filter(regexp_split_to_array(text, '\\n\\s*\\n'), lambda p: length(trim(p)) > 50))"
+
+
+@query(f"SELECT conv_id, turn, length(text) >= 800 OR {PARAGRAPHS} >= 4 OR (length(text) > 400 AND ({any_pattern_sql(lex.BYLINE, 'text')} OR {pattern_hits_sql(lex.MINUTES, 'text')} >= 2)) AS pasted FROM conversations")
+def paste_detect(t: Tables) -> DataFrame:
+    text, long = F.col("text"), F.length("text") > 400
+    paragraphs = F.size(F.filter(F.split("text", r"\n\s*\n"), lambda p: F.length(F.trim(p)) > 50))
+    marked = any_pattern(text, lex.BYLINE) | (pattern_hits(text, ci(lex.MINUTES)) >= 2)
+    return t.conversations.select("conv_id", "turn", ((F.length("text") >= 800) | (paragraphs >= 4) | (long & marked)).alias("pasted"))
+
+
+@query(f"{Q} SELECT id, CASE WHEN {pattern_hits_sql(lex.MINUTES)} >= 3 THEN 'minutes' WHEN {pattern_hits_sql(lex.BYLINE)} >= 2 THEN 'article' WHEN regexp_matches(x, '^(#|\\*|-|\\d+\\.)\\s') OR contains(x, 'WHEREAS') OR contains(x, 'RESOLVED') THEN 'document' ELSE 'paste' END AS kind FROM q")
+def paste_type(t: Tables) -> DataFrame:
+    x = F.col("x")
+    document = x.rlike(r"^(#|\*|-|\d+\.)\s") | contains_any(x, ("WHEREAS", "RESOLVED"))
+    return questions(t).select("id", F.when(pattern_hits(x, ci(lex.MINUTES)) >= 3, "minutes").when(pattern_hits(x, ci(lex.BYLINE)) >= 2, "article").when(document, "document").otherwise("paste").alias("kind"))
+
+
+@query()
+def paste_title(t: Tables) -> DataFrame:
+    """The first line with text, if 6 to 99 characters long, cut to 80."""
+    first = F.trim(F.get(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), F.lit(0)))
+    return t.conversations.select("conv_id", "turn", F.when(F.length(first).between(6, 99), F.substring(first, 1, 80)).alias("title"))
+
+
+@query(f"{A} SELECT id, len(list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> '')) AS words, regexp_matches(x, '(?m)^#+\\s+') OR regexp_matches(x, '(?m)^\\*\\*[^*]+\\*\\*\\s*$') AS headings, regexp_matches(x, '(?m)^\\s*[-•*]\\s+') AS bullets, len(regexp_extract_all(x, '\\[S\\d+\\]')) AS state_citations FROM a")
+def prose_audit(t: Tables) -> DataFrame:
+    x = F.col("x")
+    words = F.size(F.filter(F.split("x", r"\s+"), lambda w: w != ""))
+    return answers(t).select("id", words.alias("words"), (x.rlike(r"(?m)^#+\s+") | x.rlike(r"(?m)^\*\*[^*]+\*\*\s*$")).alias("headings"), x.rlike(r"(?m)^\s*[-•*]\s+").alias("bullets"), F.regexp_count("x", F.lit(r"\[S\d+\]")).alias("state_citations"))
+
+
+@query()
+def uncited_statute(t: Tables) -> DataFrame:
+    """Statutes without a citation from 20 characters before to 30 after: mentions and windows by split positions."""
+    pieces = answers(t).select("id", "x", F.explode(F.regexp_extract_all("x", F.lit(r"((?:.{0,20})\bRSA\s+\d+[-:]?[A-Z]?(?:[-:]\d+)?.{0,30})"), F.lit(1))).alias("around"))
+    return pieces.select("id", F.regexp_extract("around", r"\bRSA\s+(\d+[-:]?[A-Z]?(?:[-:]\d+)?)", 1).alias("statute"), (~F.col("around").rlike(r"\[S\d+\]")).alias("uncited"))
+
+
+@query(f"{A} SELECT id, list_filter([{', '.join(map(quoted, lex.OFF_TOPIC))}], lambda w: contains(lower(x), lower(w))) AS anchors FROM a")
+def off_topic_anchor(t: Tables) -> DataFrame:
+    low = F.lower("x")
+    return answers(t).select("id", F.filter(F.array(*[F.lit(w) for w in lex.OFF_TOPIC]), lambda w: low.contains(F.lower(w))).alias("anchors"))
+
+
+@query(f"{A} SELECT id, list_filter([{', '.join(map(quoted, lex.FORBIDDEN))}], lambda w: contains(lower(x), w)) AS found FROM a")
+def forbidden_phrases(t: Tables) -> DataFrame:
+    low = F.lower("x")
+    return answers(t).select("id", F.filter(F.array(*[F.lit(w) for w in lex.FORBIDDEN]), lambda w: low.contains(w)).alias("found"))
+
+
+@query(f"{A} SELECT id, len(list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> '')) > 240 AS repair FROM a")
+def repair_flag(t: Tables) -> DataFrame:
+    """Any violation of error severity: here a prose answer of over 1.2 times 200 words."""
+    words = F.size(F.filter(F.split("x", r"\s+"), lambda w: w != ""))
+    violations = F.array(F.struct(F.lit("too long").alias("type"), F.when(words > 240, "error").otherwise("none").alias("severity")))
+    return answers(t).select("id", F.exists(violations, lambda v: v["severity"] == "error").alias("repair"))
+
+
+@query(f"{A}, c AS (SELECT id, regexp_extract_all(x, '\\[((?:L|S)\\d+|USER)\\]', 1) AS c FROM a), i AS (SELECT id, unnest(c) AS tag, generate_subscripts(c, 1) AS k FROM c), f AS (SELECT id, tag, min(k) AS k FROM i GROUP BY ALL) SELECT a.id, coalesce((SELECT list(tag ORDER BY k) FROM f WHERE f.id = a.id), []) AS used FROM a")
+def citations_used(t: Tables) -> DataFrame:
+    return answers(t).select("id", F.array_distinct(F.regexp_extract_all("x", F.lit(r"\[((?:L|S)\d+|USER)\]"), F.lit(1))).alias("used"))
+
+
+POLICIES = (("simple", "standard", 600, 900), ("simple", "deep", 1200, 1800), ("complex", "standard", 1200, 1800), ("complex", "deep", 2400, 3600))
+
+
+@query(f"WITH p(complexity, mode, target, cap) AS (VALUES {', '.join(map(str, POLICIES))}), d AS (SELECT doc_id, n_chars, CASE WHEN doc_id % 2 = 0 THEN 'simple' ELSE 'complex' END AS complexity, CASE WHEN doc_id % 3 = 0 THEN 'deep' ELSE 'standard' END AS mode FROM documents) SELECT doc_id, n_chars <= target AS within_target, n_chars > cap AS over_cap FROM d JOIN p USING (complexity, mode)")
+def answer_policy(t: Tables) -> DataFrame:
+    """Caps by complexity and mode; the table is a parameter."""
+    policies = t.rows("complexity string, mode string, target int, cap int", *POLICIES)
+    asked = t.documents.select("doc_id", "n_chars", F.when(F.col("doc_id") % 2 == 0, "simple").otherwise("complex").alias("complexity"), F.when(F.col("doc_id") % 3 == 0, "deep").otherwise("standard").alias("mode"))
+    return asked.join(F.broadcast(policies), ["complexity", "mode"]).select("doc_id", (F.col("n_chars") <= F.col("target")).alias("within_target"), (F.col("n_chars") > F.col("cap")).alias("over_cap"))
+
+
+@query("SELECT event_id, coalesce(CASE WHEN event_id % 7 = 0 THEN 'override' END, CASE WHEN event_type = 'error' THEN 'escalated' END, 'default') AS model FROM events")
+def model_for_stage(t: Tables) -> DataFrame:
+    return t.events.select("event_id", F.coalesce(F.when(F.col("event_id") % 7 == 0, "override"), F.when(F.col("event_type") == "error", "escalated"), F.lit("default")).alias("model"))
+
+
+@query(f"SELECT conv_id, turn, length(text) > 4000 OR {any_word_sql(lex.HIGH_RISK, 'lower(text)')} AS critic FROM conversations")
+def critic_trigger(t: Tables) -> DataFrame:
+    return t.conversations.select("conv_id", "turn", ((F.length("text") > 4000) | contains_any(F.lower("text"), lex.HIGH_RISK)).alias("critic"))
+
+
+@query()
+def char_cap(t: Tables) -> DataFrame:
+    """A text over the cap ends at its last sentence, or at its last word where that would lose over half."""
+    cap, head = 600, F.substring("text", 1, 600)
+    sentence = F.regexp_extract(head, r"(?s)^(.*[.!?])(?:\s|$)", 1)
+    word = F.concat(F.regexp_extract(head, r"(?s)^(.*)\s", 1), F.lit("..."))
+    cut = F.when(F.length("text") <= cap, F.col("text")).when(F.length(sentence) >= cap / 2, sentence).otherwise(word)
+    return t.conversations.select("conv_id", "turn", cut.alias("text"))

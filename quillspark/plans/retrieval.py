@@ -1 +1,294 @@
-"""Queries of this surface."""
+"""Scoring, merging and selection of retrieved passages.
+
+A passage is (query_id, lane, pos, title, content, score); the order of a list is its ``pos`` column.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from quillspark.functions import lexicon as lex
+from quillspark.operators.relational import best_at_first_place, n_rows, ranked, top_per_group
+from quillspark.plans.classify import any_pattern, any_pattern_sql
+from quillspark.registry import query
+from quillspark.sources.tables import Tables
+
+ENTITIES, TOPICS, SITUATION = ("thnder", "ation", "zoning"), ("the", "eau", "rsa"), "Thnder ationth the"
+BASE = """WITH base AS (SELECT source AS query_id, CASE WHEN lang IN ('en', 'es') THEN 'local' ELSE 'state' END AS lane, doc_id, substr(text, 1, 4) AS title, substr(text, 1, 300) AS content, (n_chars % 97) / 100.0::DOUBLE AS raw FROM documents),
+chunks AS (SELECT query_id, lane, doc_id, title, content, raw AS score, row_number() OVER (PARTITION BY query_id, lane ORDER BY doc_id) AS pos FROM base)"""
+
+
+def chunks(t: Tables) -> DataFrame:
+    lane = F.when(F.col("lang").isin("en", "es"), "local").otherwise("state")
+    rows = t.documents.select(F.col("source").alias("query_id"), lane.alias("lane"), "doc_id", F.substring("text", 1, 4).alias("title"), F.substring("text", 1, 300).alias("content"), ((F.col("n_chars") % 97) / F.lit(100.0)).alias("score"))
+    return ranked(rows, ["query_id", "lane"], ["doc_id"], "pos")
+
+
+def array(words) -> Column:
+    return F.array(*[F.lit(w) for w in words])
+
+
+def hit_count(words, text: Column) -> Column:
+    return F.size(F.filter(array(words), lambda w: text.contains(F.lower(w))))
+
+
+def hit_sql(words, text: str) -> str:
+    return f"len(list_filter({list(words)}, lambda w: contains({text}, lower(w))))"
+
+
+TEXT_SQL = "lower(title || ' ' || content)"
+
+
+def full_text() -> Column:
+    return F.lower(F.concat_ws(" ", "title", "content"))
+
+
+@query(f"{BASE} SELECT query_id, round(least(1.0, 0.6 * avg(CASE WHEN score = 0 THEN 0.3 ELSE score END) + 0.3 * least(count(*) / 5.0, 1.0) + CASE WHEN bool_or({hit_sql(ENTITIES, TEXT_SQL)} > 0) THEN 0.1 ELSE 0 END)::DOUBLE, 6) AS confidence FROM chunks GROUP BY 1")
+def retrieval_confidence(t: Tables) -> DataFrame:
+    """A missing or zero score counts as 0.3."""
+    score = F.avg(F.coalesce(F.nullif("score", F.lit(0.0)), F.lit(0.3)))
+    bonus = F.when(F.bool_or(hit_count(ENTITIES, full_text()) > 0), 0.1).otherwise(0.0)
+    return chunks(t).groupBy("query_id").agg(F.round(F.least(F.lit(1.0), score * 0.6 + F.least(n_rows() / 5, F.lit(1.0)) * 0.3 + bonus), 6).alias("confidence"))
+
+
+@query(f"{BASE} SELECT query_id, round(avg({hit_sql(ENTITIES, TEXT_SQL)} / {len(ENTITIES)} * 0.5 + {hit_sql(TOPICS, TEXT_SQL)} / {len(TOPICS)} * 0.3 + 0.5 * 0.2)::DOUBLE, 6) AS alignment FROM chunks GROUP BY 1")
+def topic_alignment(t: Tables) -> DataFrame:
+    """No boards are named here, so their part is the neutral 0.5."""
+    one = hit_count(ENTITIES, full_text()) / len(ENTITIES) * 0.5 + hit_count(TOPICS, full_text()) / len(TOPICS) * 0.3 + 0.1
+    return chunks(t).groupBy("query_id").agg(F.round(F.avg(one), 6).alias("alignment"))
+
+
+@query(f"{BASE}, s AS (SELECT query_id, round(avg(score), 6) AS confidence, count(*) % 5 / 10.0 AS alignment FROM chunks GROUP BY 1) SELECT query_id, CASE WHEN confidence < 0.35 THEN 'low confidence' WHEN alignment < 0.30 THEN 'low alignment' WHEN confidence < 0.5 THEN 'high stakes' END AS reason FROM s")
+def quality_gate(t: Tables) -> DataFrame:
+    """The first rule that trips gives the reason."""
+    s = chunks(t).groupBy("query_id").agg(F.round(F.avg("score"), 6).alias("confidence"), ((n_rows() % 5) / 10).alias("alignment"))
+    return s.select("query_id", F.when(F.col("confidence") < 0.35, "low confidence").when(F.col("alignment") < 0.30, "low alignment").when(F.col("confidence") < 0.5, "high stakes").alias("reason"))
+
+
+@query("SELECT conv_id, turn, concat_ws(' ', 'Conway', CASE WHEN turn % 2 = 0 THEN 'zoning' END, trim(regexp_replace(substr(text, 1, 100), '[?.,!]', '', 'g'))) AS q FROM conversations WHERE role = 'user'")
+def lane_query(t: Tables) -> DataFrame:
+    core = F.trim(F.regexp_replace(F.substring("text", 1, 100), "[?.,!]", ""))
+    return t.conversations.filter("role = 'user'").select("conv_id", "turn", F.concat_ws(" ", F.lit("Conway"), F.when(F.col("turn") % 2 == 0, "zoning"), core).alias("q"))
+
+
+@query("SELECT conv_id, turn, array_to_string(list_filter([text, CASE WHEN turn % 2 = 0 THEN 'Thnder' END, CASE WHEN turn % 3 = 0 THEN 'RSA municipal law' END], lambda x: x IS NOT NULL), ' ') AS q FROM conversations WHERE role = 'user'")
+def expanded_query(t: Tables) -> DataFrame:
+    return t.conversations.filter("role = 'user'").select("conv_id", "turn", F.concat_ws(" ", "text", F.when(F.col("turn") % 2 == 0, "Thnder"), F.when(F.col("turn") % 3 == 0, "RSA municipal law")).alias("q"))
+
+
+@query("SELECT conv_id, unnest(list_filter([CASE WHEN conv_id % 2 = 0 THEN 'statewide' END, CASE WHEN conv_id % 3 = 0 THEN 'local' END, CASE WHEN conv_id % 2 <> 0 AND conv_id % 3 <> 0 THEN 'general' END], lambda x: x IS NOT NULL)[1:2]) AS pass FROM (SELECT DISTINCT conv_id FROM conversations)")
+def retrieval_prompts(t: Tables) -> DataFrame:
+    """The plan's passes in order, the first two of them; a general one where it names none."""
+    c = F.col("conv_id")
+    passes = F.array(F.when(c % 2 == 0, "statewide"), F.when(c % 3 == 0, "local"), F.when((c % 2 != 0) & (c % 3 != 0), "general"))
+    return t.conversations.select("conv_id").distinct().select("conv_id", F.explode(F.slice(F.filter(passes, lambda x: x.isNotNull()), 1, 2)).alias("pass"))
+
+
+@query(f"{BASE} SELECT query_id, string_agg('[' || upper(lane[1]) || pos || '] ' || substr(content, 1, 2000), chr(10) ORDER BY lane, pos) AS prompt FROM chunks WHERE pos <= 6 GROUP BY 1")
+def prompt_assembly(t: Tables) -> DataFrame:
+    """Local passages, then state ones, each cut to 2000 characters."""
+    block = F.concat(F.lit("["), F.upper(F.substring("lane", 1, 1)), F.col("pos").cast("string"), F.lit("] "), F.substring("content", 1, 2000))
+    blocks = F.sort_array(F.collect_list(F.struct("lane", "pos", block.alias("block"))))
+    return chunks(t).filter("pos <= 6").groupBy("query_id").agg(F.array_join(F.transform(blocks, lambda x: x["block"]), "\n").alias("prompt"))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars % 10 >= 5 THEN least(10 + 4, 14) ELSE 10 END AS state_k, CASE WHEN n_chars % 10 >= 5 THEN least(6 + 2, 8) ELSE 6 END AS state_cap FROM documents")
+def dynamic_caps(t: Tables) -> DataFrame:
+    salient = F.col("n_chars") % 10 >= 5
+    return t.documents.select("doc_id", F.when(salient, F.least(F.lit(14), F.lit(10) + 4)).otherwise(10).alias("state_k"), F.when(salient, F.least(F.lit(8), F.lit(6) + 2)).otherwise(6).alias("state_cap"))
+
+
+def dedupe_sql(key: str, rows: str = "chunks", by: str = "query_id, lane") -> str:
+    return f"(SELECT * EXCLUDE (k, first, pos), first AS pos FROM (SELECT *, row_number() OVER (PARTITION BY {by}, {key} ORDER BY score DESC, pos) AS k, min(pos) OVER (PARTITION BY {by}, {key}) AS first FROM {rows}) WHERE k = 1)"
+
+
+@query(f"{BASE} SELECT query_id, lane, pos, doc_id FROM {dedupe_sql('lower(trim(title))')}")
+def dedupe_title(t: Tables) -> DataFrame:
+    rows = chunks(t).withColumn("key", F.lower(F.trim("title")))
+    return best_at_first_place(rows, ["query_id", "lane", "key"]).select("query_id", "lane", "pos", "doc_id")
+
+
+@query(f"{BASE} SELECT query_id, lane, pos, doc_id FROM {dedupe_sql('''regexp_replace(regexp_replace(lower(trim(title)), '\\s+', ' ', 'g'), '[^A-Za-z0-9_\\s]', '', 'g')''')}")
+def dedupe_title_strict(t: Tables) -> DataFrame:
+    key = F.regexp_replace(F.regexp_replace(F.lower(F.trim("title")), r"\s+", " "), r"[^A-Za-z0-9_\s]", "")
+    return best_at_first_place(chunks(t).withColumn("key", key), ["query_id", "lane", "key"]).select("query_id", "lane", "pos", "doc_id")
+
+
+@query(f"{BASE}, d AS (SELECT *, row_number() OVER (PARTITION BY query_id, lane, substr(content, 1, 100) ORDER BY pos) AS k FROM chunks), o AS (SELECT query_id, lane, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY lane, pos) AS place FROM d WHERE k = 1) SELECT query_id, doc_id, place FROM o WHERE place <= 40")
+def dedupe_source_prefix(t: Tables) -> DataFrame:
+    first = chunks(t).groupBy("query_id", "lane", F.substring("content", 1, 100).alias("key")).agg(F.min_by(F.struct("pos", "doc_id"), "pos").alias("c"))
+    return top_per_group(first.select("query_id", "lane", "c.*"), ["query_id"], ["lane", "pos"], 40, "place").select("query_id", "doc_id", "place")
+
+
+@query(f"{BASE} SELECT query_id, trim(regexp_replace(content, '[ \\n\\t]+', ' ', 'g')) AS key, min(doc_id) AS doc_id FROM chunks GROUP BY 1, 2")
+def dedupe_docset_hash(t: Tables) -> DataFrame:
+    return chunks(t).groupBy("query_id", F.trim(F.regexp_replace("content", r"[ \n\t]+", " ")).alias("key")).agg(F.min("doc_id").alias("doc_id"))
+
+
+def merged(t: Tables, salience: float, local_cap: int = 10, state_cap: int = 8) -> DataFrame:
+    """Both lanes capped, state scores raised by salience, local first, one a title."""
+    state = F.col("lane") == "state"
+    kept = chunks(t).filter(F.when(state, F.col("pos") <= state_cap).otherwise(F.col("pos") <= local_cap))
+    base = F.coalesce(F.nullif("score", F.lit(0.0)), F.when(state, 0.5).otherwise(0.0))
+    scored = kept.withColumns({"score": F.round(base + F.when(state, 0.12 * salience).otherwise(0.0), 6), "pos": F.when(state, F.col("pos") + local_cap).otherwise(F.col("pos")), "key": F.lower(F.trim("title"))})
+    return best_at_first_place(scored, ["query_id", "key"]).drop("key")
+
+
+def merged_sql(salience: float) -> str:
+    return f"""{BASE}, s AS (SELECT query_id, lane, doc_id, title, content, CASE WHEN lane = 'state' THEN pos + 10 ELSE pos END AS pos,
+  round(CASE WHEN score = 0 AND lane = 'state' THEN 0.5 ELSE score END + CASE WHEN lane = 'state' THEN {0.12 * salience} ELSE 0 END, 6)::DOUBLE AS score FROM chunks WHERE pos <= CASE WHEN lane = 'state' THEN 8 ELSE 10 END), m AS {dedupe_sql('lower(trim(title))', 's', 'query_id')}"""
+
+
+@query(f"{merged_sql(0.2)} SELECT query_id, doc_id, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS place FROM m) WHERE place <= 15")
+def merge_rank_plain(t: Tables) -> DataFrame:
+    """Low salience and no situation: the merged order itself, not the score, decides."""
+    return top_per_group(merged(t, 0.2), ["query_id"], ["pos"], 15, "place").select("query_id", "doc_id", "place")
+
+
+QUOTA = "q AS (SELECT *, lane = 'state' AND row_number() OVER (PARTITION BY query_id, lane ORDER BY score DESC, pos) <= 3 AS sure FROM m)"
+
+
+def with_state_quota(rows: DataFrame, n: int = 3) -> DataFrame:
+    sure = (F.col("lane") == "state") & (F.row_number().over(Window.partitionBy("query_id", "lane").orderBy(F.desc("score"), "pos")) <= n)
+    return rows.withColumn("sure", sure)
+
+
+@query(f"{merged_sql(0.8)}, {QUOTA} SELECT query_id, doc_id, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sure DESC, score DESC, pos) AS place FROM q) WHERE place <= 15")
+def merge_rank_state_quota(t: Tables) -> DataFrame:
+    return top_per_group(with_state_quota(merged(t, 0.8)), ["query_id"], [F.desc("sure"), F.desc("score"), "pos"], 15, "place").select("query_id", "doc_id", "place")
+
+
+def match_score(text: Column, entities=ENTITIES, title: str = SITUATION) -> Column:
+    """Weight of the entities and long title words that a text holds, over the weight there is to have."""
+    got, weight = F.lit(0.0), F.lit(2.0 * len(entities))
+    for e in entities:
+        parts = [text.contains(w).cast("int") for w in e.lower().split() if len(w) > 3]
+        got = got + F.when(text.contains(e.lower()), 2.0).otherwise(sum(parts, F.lit(0)) * 0.5)
+    for w in title.lower().split():
+        if len(w) > 3:
+            half = F.when(text.contains(w), 0.5).otherwise(0.0)
+            got, weight = got + half, weight + half
+    return F.round(got / weight, 6)
+
+
+def match_sql(text: str) -> str:
+    got = [f"CASE WHEN contains({text}, '{e}') THEN 2 ELSE 0.5 * contains({text}, '{e}')::INT END" for e in ENTITIES]
+    half = [f"CASE WHEN contains({text}, '{w}') THEN 0.5 ELSE 0 END" for w in SITUATION.lower().split() if len(w) > 3]
+    return f"round((({' + '.join(got + half)}) / ({2.0 * len(ENTITIES)} + {' + '.join(half)}))::DOUBLE, 6)"
+
+
+@query(f"{BASE} SELECT doc_id, {match_sql(TEXT_SQL)} AS score FROM chunks")
+def situation_match(t: Tables) -> DataFrame:
+    return chunks(t).select("doc_id", match_score(full_text()).alias("score"))
+
+
+@query(f"""{merged_sql(0.8).replace('m AS', 'm0 AS')}, m1 AS (SELECT * EXCLUDE (score), {match_sql(TEXT_SQL)} AS match, score AS old FROM m0), m AS (SELECT *, round(CASE WHEN old = 0 THEN 0.5 ELSE old END + 0.3 * match, 6)::DOUBLE AS score FROM m1), {QUOTA},
+g AS (SELECT *, count(*) FILTER (WHERE sure) OVER (PARTITION BY query_id) AS n_sure, row_number() OVER (PARTITION BY query_id, sure, match > 0.2 ORDER BY score DESC, pos) AS r FROM q),
+o AS (SELECT *, NOT sure AND match > 0.2 AND r <= ceil((15 - n_sure) * 0.4) AS topical FROM g)
+SELECT query_id, doc_id, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sure DESC, topical DESC, score DESC, pos) AS place FROM o) WHERE place <= 15""")
+def merge_rank_situation(t: Tables) -> DataFrame:
+    """Guaranteed state passages, then the on-topic quota of what is left, then the best of the rest."""
+    match = match_score(full_text())
+    rows = merged(t, 0.8).withColumn("match", match)
+    rows = with_state_quota(rows.withColumn("score", F.round(F.coalesce(F.nullif("score", F.lit(0.0)), F.lit(0.5)) + F.col("match") * 0.3, 6)))
+    on_topic = F.col("match") > 0.2
+    sure = F.count_if(F.col("sure")).over(Window.partitionBy("query_id"))
+    place = F.row_number().over(Window.partitionBy("query_id", "sure", on_topic).orderBy(F.desc("score"), "pos"))
+    rows = rows.withColumns({"n_sure": sure, "r": place}).withColumn("topical", ~F.col("sure") & on_topic & (F.col("r") <= F.ceil((15 - F.col("n_sure")) * 0.4)))
+    return top_per_group(rows, ["query_id"], [F.desc("sure"), F.desc("topical"), F.desc("score"), "pos"], 15, "place").select("query_id", "doc_id", "place")
+
+
+AUTHORITY = (r"\bRSA\s+\d+", r"\b(NHMA|Municipal\s+Association)\b")
+
+
+@query(f"{BASE} SELECT query_id, bool_or({any_pattern_sql(AUTHORITY, 'content')} OR {any_pattern_sql(lex.OFFICIAL, 'title')} OR doc_id % 50 = 0) AS present FROM chunks WHERE lane = 'state' GROUP BY 1")
+def authority_present(t: Tables) -> DataFrame:
+    """Every fiftieth passage stands for one that cites a statute; the driver's prose never does."""
+    hit = any_pattern(F.col("content"), AUTHORITY) | any_pattern(F.col("title"), lex.OFFICIAL) | (F.col("doc_id") % 50 == 0)
+    return chunks(t).filter("lane = 'state'").groupBy("query_id").agg(F.bool_or(hit).alias("present"))
+
+
+@query("SELECT page_id, CASE WHEN contains(url, '/fr/') THEN CASE WHEN contains(lower(url), 'rsa') THEN 'rsa' WHEN contains(lower(url), 'nhma') THEN 'nhma' ELSE 'official' END WHEN contains(lower(url), 'blog') THEN 'minutes' WHEN contains(lower(url), 'news') THEN 'news' ELSE 'official' END AS authority FROM pages")
+def authority_class(t: Tables) -> DataFrame:
+    low = F.lower("url")
+    state = F.when(low.contains("rsa"), "rsa").when(low.contains("nhma"), "nhma").otherwise("official")
+    local = F.when(low.contains("blog"), "minutes").when(low.contains("news"), "news").otherwise("official")
+    return t.pages.select("page_id", F.when(F.col("url").contains("/fr/"), state).otherwise(local).alias("authority"))
+
+
+@query(f"{BASE}, c AS (SELECT query_id, string_agg(lower(content), ' ' ORDER BY pos) AS all_text FROM chunks WHERE lane = 'state' AND pos <= 8 GROUP BY 1) SELECT query_id, round({hit_sql(TOPICS, 'all_text')} / {len(TOPICS)}, 6) AS coverage FROM c")
+def topic_coverage(t: Tables) -> DataFrame:
+    """Topics found in any of the passages; each is tested a passage at a time, so no text is joined up."""
+    found = [F.max(F.lower("content").contains(w).cast("int")) for w in TOPICS]
+    return chunks(t).filter("lane = 'state' AND pos <= 8").groupBy("query_id").agg(F.round(sum(found) / len(TOPICS), 6).alias("coverage"))
+
+
+@query(f"{BASE} SELECT query_id, count(*) >= 8 AND count(*) FILTER (WHERE lane = 'state') >= 4 AND count(DISTINCT title) FILTER (WHERE lane = 'state') >= 2 AS stop FROM chunks WHERE pos <= 10 GROUP BY 1")
+def early_exit(t: Tables) -> DataFrame:
+    state = F.col("lane") == "state"
+    titles = F.countDistinct(F.when(state, F.col("title")))
+    return chunks(t).filter("pos <= 10").groupBy("query_id").agg(((n_rows() >= 8) & (F.count_if(state) >= 4) & (titles >= 2)).alias("stop"))
+
+
+@query(f"{BASE}, r AS (SELECT *, {hit_sql(ENTITIES, TEXT_SQL)} > 0 AS rel FROM chunks WHERE lane = 'state'), n AS (SELECT *, count(*) FILTER (WHERE rel) OVER (PARTITION BY query_id) >= least(3, count(*) OVER (PARTITION BY query_id)) AS enough, row_number() OVER (PARTITION BY query_id, rel ORDER BY pos) AS k FROM r) SELECT query_id, doc_id FROM n WHERE CASE WHEN enough THEN rel AND k <= 8 ELSE pos <= 8 END")
+def select_with_minimum(t: Tables) -> DataFrame:
+    """Only relevant passages, where at least the minimum of them exists."""
+    w = Window.partitionBy("query_id")
+    rows = chunks(t).filter("lane = 'state'").withColumn("rel", hit_count(ENTITIES, full_text()) > 0)
+    enough = F.count_if(F.col("rel")).over(w) >= F.least(F.lit(3), n_rows().over(w))
+    rows = rows.withColumns({"enough": enough, "k": F.row_number().over(Window.partitionBy("query_id", "rel").orderBy("pos"))})
+    return rows.filter(F.when(F.col("enough"), F.col("rel") & (F.col("k") <= 8)).otherwise(F.col("pos") <= 8)).select("query_id", "doc_id")
+
+
+TIER = "CASE WHEN state >= 4 AND docs >= 2 AND align >= 0.30 THEN 'A' WHEN state >= 2 AND align >= 0.20 THEN 'B' WHEN legal >= 0.6 AND state >= 2 THEN 'B' ELSE 'C' END"
+
+
+@query(f"{BASE}, s AS (SELECT query_id, count(*) FILTER (WHERE lane = 'state') AS state, count(DISTINCT CASE WHEN lane = 'state' THEN lower(trim(title)) END) AS docs, count(*) % 5 / 10.0 AS align, count(*) % 3 / 3.0 AS legal FROM chunks GROUP BY 1) SELECT query_id, {TIER} AS tier FROM s")
+def record_tier(t: Tables) -> DataFrame:
+    state = F.col("lane") == "state"
+    s = chunks(t).groupBy("query_id").agg(F.count_if(state).alias("state"), F.countDistinct(F.when(state, F.lower(F.trim("title")))).alias("docs"), ((n_rows() % 5) / 10).alias("align"), ((n_rows() % 3) / 3).alias("legal"))
+    strong, some = (F.col("state") >= 4) & (F.col("docs") >= 2) & (F.col("align") >= 0.30), F.col("state") >= 2
+    return s.select("query_id", F.when(strong, "A").when(some & ((F.col("align") >= 0.20) | (F.col("legal") >= 0.6)), "B").otherwise("C").alias("tier"))
+
+
+@query(f"{BASE} SELECT query_id, CASE WHEN count(*) FILTER (WHERE lane = 'local') > 0 AND count(*) FILTER (WHERE lane = 'state') > 0 THEN 'mixed' WHEN count(*) FILTER (WHERE lane = 'local') > 0 THEN 'local' ELSE 'statewide' END AS kind FROM chunks GROUP BY 1")
+def doc_source_type(t: Tables) -> DataFrame:
+    local, state = F.count_if(F.col("lane") == "local") > 0, F.count_if(F.col("lane") == "state") > 0
+    return chunks(t).groupBy("query_id").agg(F.when(local & state, "mixed").when(local, "local").when(state, "statewide").otherwise("none").alias("kind"))
+
+
+@query(f"{BASE} SELECT query_id, round(least(1.0, count(DISTINCT lane) / 3.0), 6)::DOUBLE AS categories, least(1.0, count(DISTINCT title) / 2.0)::DOUBLE AS boards, least(1.0, count(*) / 5.0)::DOUBLE AS docs FROM chunks GROUP BY 1")
+def diversity_metrics(t: Tables) -> DataFrame:
+    share = lambda n, k: F.least(F.lit(1.0), n / k)
+    return chunks(t).groupBy("query_id").agg(F.round(share(F.countDistinct("lane"), 3), 6).alias("categories"), share(F.countDistinct("title"), 2).alias("boards"), share(n_rows(), 5).alias("docs"))
+
+
+@query(f"{BASE} SELECT query_id, CASE WHEN count(*) >= 3 AND count(DISTINCT lane) >= 2 THEN 0.7 ELSE 0.4 END::DOUBLE AS coverage FROM chunks GROUP BY 1")
+def coverage_default(t: Tables) -> DataFrame:
+    return chunks(t).groupBy("query_id").agg(F.when((n_rows() >= 3) & (F.countDistinct("lane") >= 2), 0.7).otherwise(0.4).alias("coverage"))
+
+
+@query(f"{BASE}, r AS (SELECT query_id, lane, pos, content, coalesce(sum(length(content)) OVER (PARTITION BY query_id ORDER BY lane, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM chunks) SELECT query_id, lane, pos, substr(content, 1, CAST(2000 - used AS INT)) AS snippet FROM r WHERE used < 2000")
+def snippet_budget(t: Tables) -> DataFrame:
+    """Passages in order until 2000 characters are used; the last is cut."""
+    before = Window.partitionBy("query_id").orderBy("lane", "pos").rowsBetween(Window.unboundedPreceding, -1)
+    rows = chunks(t).withColumn("used", F.coalesce(F.sum(F.length("content")).over(before), F.lit(0))).filter("used < 2000")
+    return rows.select("query_id", "lane", "pos", F.substr("content", F.lit(1), (F.lit(2000) - F.col("used")).cast("int")).alias("snippet"))
+
+
+@query("SELECT DISTINCT page_id, unnest([url, regexp_extract(url, '//([^/]+)', 1)]) AS name FROM pages")
+def grounding_names(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", F.explode(F.array("url", F.regexp_extract("url", "//([^/]+)", 1))).alias("name")).distinct()
+
+
+@query(f"SELECT doc_id, list_filter({list(ENTITIES)}, lambda e: contains(lower(text), e)) AS entities, greatest(0.0, least(1.0, n_chars / 3000.0))::DOUBLE AS confidence FROM documents")
+def planner_validate(t: Tables) -> DataFrame:
+    """Entities that the source text lacks go; the confidence is clamped to 0..1."""
+    low = F.lower("text")
+    return t.documents.select("doc_id", F.filter(array(ENTITIES), lambda e: low.contains(e)).alias("entities"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("n_chars") / 3000)).alias("confidence"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN length(text) > 500 THEN 'statewide_only' WHEN turn % 2 = 0 THEN 'town_only' END AS notice FROM conversations")
+def scope_notice(t: Tables) -> DataFrame:
+    return t.conversations.select("conv_id", "turn", F.when(F.length("text") > 500, "statewide_only").when(F.col("turn") % 2 == 0, "town_only").alias("notice"))
