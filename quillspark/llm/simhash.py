@@ -44,14 +44,15 @@ def fingerprint(text: str, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and fp (a long whose bits are the fingerprint) of every row; a null text has no words."""
+    """doc_id, text_key (a hash that tells rows of one doc_id apart) and fp (a long whose bits are the
+    fingerprint) of every row; a null text has no words."""
 
     def hashed(batches):
         for batch in batches:
             fps = [fingerprint(x or "", shingle) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "text_key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(hashed, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(hashed, "doc_id long, text_key long, fp long")
 
 
 class Forest:
@@ -215,6 +216,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def labelled(docs: DataFrame, radius: int, shingle: int) -> DataFrame:
+    """doc_id, text_key, fp and component_id of every row."""
+    rows = stored(fingerprints(docs, shingle), "fingerprints")
+    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-nodes")
+    root = components(links(nodes, radius))
+    joined = nodes.join(root, nodes["fp"] == root["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    smallest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = joined.join(smallest, "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of ``docs``.
 
@@ -223,23 +235,18 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataF
     zero and links like any other.  Repeated rows each keep theirs; an empty table gives no row; other
     columns are ignored.
     """
-    rows = stored(fingerprints(docs, shingle), "fingerprints")
-    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-nodes")
-    root = components(links(nodes, radius))
-    joined = nodes.join(root, nodes["fp"] == root["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = joined.join(smallest, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return labelled(docs, radius, shingle).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
-    """The rows of ``docs`` less all but one of each near-duplicate component: the smallest doc_id stays.
+    """The rows of ``docs`` less all but one of each near-duplicate component.
 
-    Rows that share that doc_id count as one document, of which one row stays.  Where every row of a
-    component has a null doc_id, one of them stays.
+    The row of the smallest doc_id stays, null ids last; among rows that share it, the one of the
+    smallest text hash, and one of equal rows.
     """
-    none = F.lit(-(1 << 63))
-    found = near_duplicates(docs, radius, shingle).select(F.coalesce("doc_id", none).alias("_key"), F.coalesce("component_id", none).alias("_component"), "fingerprint")
-    chosen = found.filter("_key = _component").groupBy("_key").agg(F.min("fingerprint").alias("_fp"))
-    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), none))
-    return keyed.join(chosen.select("_key"), "_key", "left_semi").dropDuplicates(["_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    last = F.lit((1 << 63) - 1)
+    key = F.coalesce(F.col("doc_id").cast("long"), last).alias("_key")
+    first = labelled(docs, radius, shingle).select("root", key, "text_key").groupBy("root").agg(F.min(F.struct("_key", "text_key")).alias("r"))
+    chosen = first.select("r._key", F.col("r.text_key").alias("_text_key"))
+    keyed = docs.withColumns({"_key": key, "_text_key": F.xxhash64("text")})
+    return keyed.join(chosen, ["_key", "_text_key"], "left_semi").dropDuplicates(["_key", "_text_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
