@@ -50,3 +50,40 @@ ANSWERS = (
     "The Brown property has a cesspool near the septic field.",
     "",
 )
+DOMAINS = (
+    ("budget", ("budget", "appropriation", "tax rate", "default budget", "overlay", "encumbrance", "fund balance", "fiscal year", "revenue", "expenditure")),
+    ("zoning", ("zoning amendment", "zoning variance", "special exception", "setback", "lot coverage", "building permit", "conditional use")),
+    ("environmental", ("wetlands", "shoreland", "stormwater", "septic", "groundwater")),
+    ("development", ("subdivision", "site plan", "lot line adjustment", "annexation")),
+    ("personnel", ("personnel", "hiring", "firing", "compensation", "benefits", "collective bargaining", "union", "grievance", "employee")),
+    ("elections", ("deliberative session", "official ballot", "election", "ballot", "voter registration", "absentee", "moderator")),
+    ("public_safety", ("police", "fire department", "emergency services", "ambulance")),
+    ("infrastructure", ("highway", "road maintenance", "bridge", "culvert", "drainage", "water system", "sewer system", "utility")),
+)
+HEADINGS = (
+    ("Bottom line", r"\*\*Bottom line\*\*", 0),
+    ("What we know", r"\*\*What (?:we know|happened)(?:\s*\([^)]*\))?\*\*", 5),
+    ("What the law generally requires", r"\*\*What the law generally requires\*\*", 5),
+    ("What changes", r"\*\*(?:What changes|What the.*?(?:vote|decision)\s+(?:changes|affects)|How this typically works)\b[^\n]*", 4),
+    ("Unknowns that matter", r"\*\*Unknowns that matter\*\*", 4),
+)
+TAILS = (r"\bnext\s+steps?\b", r"\bconsult\s+counsel\b", r"\byou\s+may\s+wish\s+to\b", r"\bi\s+recommend\b", r"\bwhat\s+to\s+pull\s+next\b", r"\bwhat\s+would\s+clarify\b", r"\bfurther\s+research\b", r"\bseek\s+legal\s+advice\b", r"\bconsider\s+consulting\b")
+ABSOLUTE = (r"\balways\b", r"\bnever\b", r"\bmust\b", r"\billegal\b")
+ANALOGY = (r"as\s+a\s+separate\s+example", r"in\s+an?\s+unrelated\s+(?:matter|case|situation)", r"as\s+an?\s+analogy", r"for\s+comparison", r"in\s+contrast", r"unlike\s+this\s+situation", r"different(?:ly)?\s+from", r"separately")
+FACILITY, EVENT, PROPERTY, BOARD = "park|hall|station|library|center|school|department", "vote|meeting|hearing|warrant|session", "property|parcel|lot|subdivision|development|project|trail|road|bridge", "board|commission|committee|trustees"
+SITUATION_WORDS = r"\b(select\s*board|planning\s*board|zoning\s*board|budget\s*committee|school\s*board|trustees|town\s*hall|library|fire\s*station|police\s*station|school|vote|voted|meeting|hearing|warrant|article|motion|park|trail|sidewalk|road|bridge|property|parcel|subdivision|development)\b"
+MINUTES_NAMES = (r"minutes", r"mtg[\s_-]?\d{4}", r"meeting[\s_-]?\d{4}", r"\b(pb|bos|zba|cc)[\s_-]?\d{1,2}[\s_-]?\d{1,2}[\s_-]?\d{2,4}", r"selectmen.*\d{4}", r"planning.*board.*\d{4}")
+MINUTES_TEXT = (r"meeting\s+minutes", r"minutes\s+of\s+(the\s+)?meeting", r"regular\s+meeting", r"special\s+meeting", r"work\s+session", r"call\s+to\s+order", r"roll\s+call", r"members\s+present:", r"meeting\s+called\s+to\s+order")
+TEXT_BOARDS = (("Planning Board", r"planning\s+board"), ("Board of Selectmen", r"board\s+of\s+selectmen"), ("Select Board", r"select\s*board"), ("Zoning Board of Adjustment", r"zoning\s+board\s+of\s+adjustment|\bzba\b"), ("Budget Committee", r"budget\s+committee"), ("Conservation Commission", r"conservation\s+commission"), ("School Board", r"school\s+board"))
+PAGES = (
+    ("minutes-2024.pdf", "TOWN OF CONWAY, NH\nPlanning Board\nMeeting Minutes of March 5, 2024\nCall to order at 7"),
+    ("budget.pdf", "Town of hart's location\nAnnual budget"),
+    ("x.pdf", "STATE OF NEW HAMPSHIRE\nDepartment of Revenue"),
+    ("bos 1-2-24.txt", "Board of Selectmen of Ossipee 1/2/2024"),
+    ("y.txt", ""),
+)
+LISTS = (
+    "**Bottom line**\nYes.\n**What we know**\n- a fact [L1]\n- two\n**What the law generally requires**\n- RSA 674:33 [S1]\n**What changes**\n- little\n**Unknowns that matter**\n- cost",
+    "**What we know**\n- one\n**Bottom line**\nNo. Consult counsel for next steps.",
+    "plain prose",
+)

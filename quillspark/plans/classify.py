@@ -133,16 +133,25 @@ def topic_tag(t: Tables) -> DataFrame:
     return questions(t).select("id", found(F.col("x"), "(?i)(conway|ossipee|madison|tamworth)").alias("town"), found(F.lower("x"), "(budget|tax|permit|septic|vote)").alias("topic"))
 
 
+def known_words() -> str:
+    """A pattern of the common words, by first letter, as whole runs of letters."""
+    first: dict[str, list[str]] = {}
+    for w in dict.fromkeys(lex.COMMON_WORDS):
+        if len(w) > 1:
+            first.setdefault(w[0], []).append(w[1:])
+    return "(?<![a-z])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in first.items()) + ")(?![a-z])"
+
+
 def ocr_facts(text: Column) -> Column:
     """Words, mean length, share of known words and of blanks, and whether the text is likely garbage.
 
     The share of known words counts all of them over at most a hundred.
     """
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]{2,}"), F.lit(0))
-    known = F.array(*[F.lit(w) for w in dict.fromkeys(lex.COMMON_WORDS)])
+    known = F.regexp_count(F.lower(text), F.lit(known_words()))
     counts = F.transform(
         F.array(words),
-        lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("letters"), F.size(F.filter(w, lambda x: F.array_contains(known, x))).alias("known")),
+        lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("letters"), known.alias("known")),
     )[0]
     short = F.length(text) < 50
     blanks = F.regexp_count(text, F.lit(r"\s")) / F.length(text)

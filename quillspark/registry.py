@@ -25,7 +25,7 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    from quillspark.plans import aggregates, classify, filters, joins, retrieval, scalars, scans, sets, sorts, state, windows  # noqa: F401
+    from quillspark.plans import aggregates, audit, classify, filters, joins, retrieval, scalars, scans, sets, sorts, state, windows  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
