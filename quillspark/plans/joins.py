@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.operators.relational import n_rows, top_groups
+from quillspark.operators.relational import n_rows
 from quillspark.registry import query
 from quillspark.sources.tables import Tables
 
 
-
 @query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F'")
 def inner_equi_join(t: Tables) -> DataFrame:
     return t.orders.filter("o_orderstatus = 'F'").join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name")
