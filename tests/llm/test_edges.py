@@ -3,7 +3,6 @@
 import numpy as np
 import public_tokenizers
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillspark.llm.bpe import bpe_decode, bpe_digests, bpe_encode
