@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,5 +30,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_hot(rows: DataFrame, found: DataFrame, keys: list[str], how: str, hottest: int = 512, slices: int = 4096) -> DataFrame:
+    """``rows.join(found, keys, how)`` for an inner or left join, with hot keys dealt over many tasks.
+
+    found holds one row a key, and in ``n`` how many of ``rows`` have that key; n is not returned.  Keys
+    with over 1/``hottest`` of the sum of n are cut into parts of about 1/``slices`` of it: their rows are
+    numbered into parts, and their row of found is repeated once a part.  Only those keys, of which there
+    are fewer than ``hottest``, are broadcast.
+    """
+    found = stored(found, "join-keys")
+    total = found.agg(F.sum("n")).first()[0] or 0
+    parts = F.ceil(F.col("n") / F.lit(max(1, total // slices))).cast("int")
+    is_hot = F.col("n") * hottest > total
+    hot = found.filter(is_hot).select(*keys, parts.alias("_parts"))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_part", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+    each = F.explode(F.sequence(F.lit(0), F.when(is_hot, parts - 1).otherwise(F.lit(0))))
+    return dealt.join(found.withColumn("_part", each).drop("n"), [*keys, "_part"], how).drop("_part")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
