@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fresh_path, stored
+from .shared import fresh_path, join_hot, stored
 from .shared_files import create, open_stream
 
 # Fixed values of the formats: the dictionary's skippable frame, the records' version line and end.
@@ -139,9 +139,9 @@ def with_revisits(pages: DataFrame, min_bytes: int) -> DataFrame:
     """page_id, url, payload and refers_to: the smallest page_id with an equal payload, null for itself."""
     payload = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).withColumn("key", F.sha1("payload"))
-    firsts = keyed.filter(F.length("payload") >= min_bytes).groupBy("key").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "first")
+    firsts = keyed.filter(F.length("payload") >= min_bytes).groupBy("key").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "first", "n")
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") > F.col("first")), F.col("first"))
-    return keyed.join(firsts, "key", "left").select("page_id", "url", "payload", refers.alias("refers_to"))
+    return join_hot(keyed, firsts, ["key"], "left").select("page_id", "url", "payload", refers.alias("refers_to"))
 
 
 def write_warc(pages: DataFrame, min_bytes: int = 0, file_bytes: int = 256 << 20, sample_bytes: int = 2 << 20, dictionary_bytes: int = 64 << 10, level: int = 3, date: str = "2024-01-01T00:00:00Z") -> DataFrame:

@@ -3,6 +3,7 @@
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillspark.llm.bpe import bpe_decode, bpe_digests, bpe_encode
@@ -10,6 +11,7 @@ from quillspark.llm.language_id import held_out_languages
 from quillspark.llm.line_templates import drop_recurring_lines
 from quillspark.llm.packing import pack_documents
 from quillspark.llm.quality_rules import quality_rules
+from quillspark.llm.shared import join_hot
 from quillspark.llm.simhash import components, keep_one, near_duplicates, spanning_links
 from quillspark.llm.token_store import read_ids, write_ids
 from quillspark.llm.topk import exact_topk
@@ -168,3 +170,12 @@ def test_quality_lines(spark):
     got = {r["doc_id"]: r for r in quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got[1]["kept"] and got[1]["clean_text"] == "\n".join(lines)
     assert not got[2]["kept"]
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_hot_keys_are_dealt_out(spark, how):
+    rows = spark.range(6000).selectExpr("id", "CASE WHEN id < 3000 THEN 'hot' WHEN id < 5000 THEN concat('k', id % 700) END AS key")
+    found = rows.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("key IS NOT NULL AND n > 1")
+    want = sorted(map(tuple, rows.join(found.drop("n"), "key", how).select("id", "key", "first").collect()))
+    assert sorted(map(tuple, join_hot(rows, found, ["key"], how).select("id", "key", "first").collect())) == want
+    assert join_hot(rows.limit(0), found.limit(0), ["key"], how).count() == 0
