@@ -48,5 +48,11 @@ def join_hot(rows: DataFrame, found: DataFrame, keys: list[str], how: str, hotte
     return dealt.join(found.withColumn("_part", each).drop("n"), [*keys, "_part"], how).drop("_part")
 
 
+def a_task_each(files: DataFrame) -> DataFrame:
+    """The rows of a manifest, a task each: the count is explicit, as adaptive execution would merge such
+    small rows into one task, though a whole file stands behind each."""
+    return files.repartitionByRange(max(1, files.count()), "path")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

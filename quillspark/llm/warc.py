@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fresh_path, join_hot, stored
+from .shared import a_task_each, fresh_path, join_hot, stored
 from .shared_files import create, open_stream
 
 # Fixed values of the formats: the dictionary's skippable frame, the records' version line and end.
@@ -216,7 +216,7 @@ def read_warc(manifest: DataFrame) -> DataFrame:
         fields = [f.split() for f in RECORDS.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(zip(*rows), fields)], [name for name, _ in fields])
 
-    return manifest.select("path").repartition("path").mapInArrow(read, RECORDS)
+    return a_task_each(manifest.select("path")).mapInArrow(read, RECORDS)
 
 
 def read_payloads(manifest: DataFrame) -> DataFrame:
@@ -229,6 +229,6 @@ def read_payloads(manifest: DataFrame) -> DataFrame:
                     revisit = headers["WARC-Type"] == "revisit"
                     yield pa.RecordBatch.from_pydict({"page_id": pa.array([page_of(headers["WARC-Page-ID"])], pa.int64()), "digest": [headers["WARC-Payload-Digest"]], "html": pa.array([None if revisit else payload.decode()], pa.string())})
 
-    records = manifest.select("path").repartition("path").mapInArrow(read, "page_id long, digest string, html string")
+    records = a_task_each(manifest.select("path")).mapInArrow(read, "page_id long, digest string, html string")
     full = records.filter("html IS NOT NULL").groupBy("digest").agg(F.first("html").alias("full"))
     return records.join(full, "digest", "left").select("page_id", F.coalesce("html", "full").alias("html"))
