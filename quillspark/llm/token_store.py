@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fresh_path, stored
+from .shared import a_task_each, fresh_path, stored
 from .shared_files import create, open_random
 from .word_memo import memo_for, text_ids, texts_of
 
@@ -167,5 +167,4 @@ def read_ids(manifest: DataFrame) -> DataFrame:
                         }
                     )
 
-    spread = files.select("path", "base", "part").repartition("part")
-    return spread.select("path", "base").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return a_task_each(files.select("path", "base")).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
