@@ -68,19 +68,40 @@ HEADINGS = (
     ("Unknowns that matter", r"\*\*Unknowns that matter\*\*", 4),
 )
 TAILS = (r"\bnext\s+steps?\b", r"\bconsult\s+counsel\b", r"\byou\s+may\s+wish\s+to\b", r"\bi\s+recommend\b", r"\bwhat\s+to\s+pull\s+next\b", r"\bwhat\s+would\s+clarify\b", r"\bfurther\s+research\b", r"\bseek\s+legal\s+advice\b", r"\bconsider\s+consulting\b")
-ABSOLUTE = (r"\balways\b", r"\bnever\b", r"\bmust\b", r"\billegal\b")
+ABSOLUTE = (r"\bis\s+illegal\b", r"\bwill\s+be\s+liable\b", r"\bmust\s+result\s+in\b", r"\bguaranteed\s+to\b", r"\bwill\s+definitely\b", r"\bis\s+certainly\s+illegal\b", r"\bautomatically\s+(?:liable|responsible)\b")
+PROCEDURES = (r"\bPublic\s+Integrity\s+Unit\s+(?:process|procedure|requires?)\b", r"\bDOJ\s+(?:process|procedure|requires?)\b", r"\bmust\s+file\s+(?:within|by)\s+\d+\s+days?\b", r"\bstatute\s+of\s+limitations?\s+(?:is|requires?)\s+\d+")
+NH_TOWNS = ("Ossipee", "Conway", "Madison", "Freedom", "Tamworth", "Albany", "Sandwich", "Jackson", "Bartlett", "Eaton", "Effingham", "Moultonborough", "Tuftonboro", "Wolfeboro", "Wakefield", "Brookfield", "Chatham", "Hart's Location")
+TOWN_BEFORE, TOWN_AFTER = ("town of ",), (", nh", ", new hampshire", " town hall", " planning board", " board of selectmen", " select board", " zoning board", " conservation")
+STATE_PAPERS = (r"state\s+of\s+new\s+hampshire", r"new\s+hampshire\s+legislature", r"nh\s+rsa", r"new\s+hampshire\s+department", r"state\s+agency")
+DAYS = (
+    r"(?i)(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2}(?:st|nd|rd|th)?,?\s+\d{4}",
+    r"\b\d{1,2}[/-]\d{1,2}[/-]\d{4}\b",
+    r"\b\d{4}[/-]\d{1,2}[/-]\d{1,2}\b",
+    r"(?i)(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\.?\s+\d{1,2},?\s+\d{4}",
+)
+RETRY_CODES, RETRY_TEXTS = (503, 429, 500, 502, 504), ("service unavailable", "temporarily unavailable", "rate limit", "quota exceeded", "timeout", "econnreset", "network error")
+QUOTA_TEXTS = ("quota", "RESOURCE_EXHAUSTED")
+CLAIMS = (
+    "The fence is illegal, and the owner will be liable.",
+    "The DOJ process takes months. You must file within 30 days [S1].",
+    "An heir must file by 10 days after notice and the Public Integrity Unit requires a form. The statute of limitations is 3 years.",
+    "Nothing is certain here.",
+    "",
+)
 ANALOGY = (r"as\s+a\s+separate\s+example", r"in\s+an?\s+unrelated\s+(?:matter|case|situation)", r"as\s+an?\s+analogy", r"for\s+comparison", r"in\s+contrast", r"unlike\s+this\s+situation", r"different(?:ly)?\s+from", r"separately")
 FACILITY, EVENT, PROPERTY, BOARD = "park|hall|station|library|center|school|department", "vote|meeting|hearing|warrant|session", "property|parcel|lot|subdivision|development|project|trail|road|bridge", "board|commission|committee|trustees"
 SITUATION_WORDS = r"\b(select\s*board|planning\s*board|zoning\s*board|budget\s*committee|school\s*board|trustees|town\s*hall|library|fire\s*station|police\s*station|school|vote|voted|meeting|hearing|warrant|article|motion|park|trail|sidewalk|road|bridge|property|parcel|subdivision|development)\b"
 MINUTES_NAMES = (r"minutes", r"mtg[\s_-]?\d{4}", r"meeting[\s_-]?\d{4}", r"\b(pb|bos|zba|cc)[\s_-]?\d{1,2}[\s_-]?\d{1,2}[\s_-]?\d{2,4}", r"selectmen.*\d{4}", r"planning.*board.*\d{4}")
-MINUTES_TEXT = (r"meeting\s+minutes", r"minutes\s+of\s+(the\s+)?meeting", r"regular\s+meeting", r"special\s+meeting", r"work\s+session", r"call\s+to\s+order", r"roll\s+call", r"members\s+present:", r"meeting\s+called\s+to\s+order")
-TEXT_BOARDS = (("Planning Board", r"planning\s+board"), ("Board of Selectmen", r"board\s+of\s+selectmen"), ("Select Board", r"select\s*board"), ("Zoning Board of Adjustment", r"zoning\s+board\s+of\s+adjustment|\bzba\b"), ("Budget Committee", r"budget\s+committee"), ("Conservation Commission", r"conservation\s+commission"), ("School Board", r"school\s+board"))
+MINUTES_TEXT = (r"meeting\s+minutes", r"minutes\s+of\s+(the\s+)?meeting", r"board\s+of\s+selectmen\s+meeting\s*minutes", r"planning\s+board\s+meeting\s*minutes", r"zoning\s+board\s+of\s+adjustment\s+meeting\s*minutes", r"budget\s+committee\s+meeting\s*minutes", r"conservation\s+commission\s+meeting\s*minutes", r"regular\s+meeting", r"special\s+meeting", r"work\s+session", r"call\s+to\s+order", r"roll\s+call", r"members\s+present:", r"meeting\s+called\s+to\s+order")
+TEXT_BOARDS = (("Planning Board", r"planning\s+board"), ("Board of Selectmen", r"board\s+of\s+selectmen"), ("Select Board", r"select\s*board"), ("Zoning Board of Adjustment", r"zoning\s+board\s+of\s+adjustment|\bzba\b"), ("Budget Committee", r"budget\s+committee"), ("Conservation Commission", r"conservation\s+commission"), ("School Board", r"school\s+board"), ("Heritage Commission", r"heritage\s+commission"), ("Recreation Commission", r"recreation\s+commission"))
 PAGES = (
     ("minutes-2024.pdf", "TOWN OF CONWAY, NH\nPlanning Board\nMeeting Minutes of March 5, 2024\nCall to order at 7"),
     ("budget.pdf", "Town of hart's location\nAnnual budget"),
     ("x.pdf", "STATE OF NEW HAMPSHIRE\nDepartment of Revenue"),
     ("bos 1-2-24.txt", "Board of Selectmen of Ossipee 1/2/2024"),
     ("y.txt", ""),
+    ("notes.txt", "Notes\nThe Tamworth Planning Board met with the heritage commission on 2024-03-07\nand Feb. 3, 2023"),
+    ("hearing.pdf", "Town of New Hampshire NH\r\nTOWN  OF  Wolfeboro New Hampshire\r\nsigned 3/4/2022"),
 )
 LISTS = (
     "**Bottom line**\nYes.\n**What we know**\n- a fact [L1]\n- two\n**What the law generally requires**\n- RSA 674:33 [S1]\n**What changes**\n- little\n**Unknowns that matter**\n- cost",

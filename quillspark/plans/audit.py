@@ -14,10 +14,8 @@ from quillspark.plans.classify import Q, answers, any_pattern, any_pattern_sql,
 from quillspark.registry import query
 from quillspark.sources.tables import Tables
 
-TOWNS = ("Conway", "Hart's Location", "Ossipee", "Madison")
 PAGES = f"WITH p(name, text) AS (VALUES {', '.join(f'({quoted(n)}, {quoted(x)})' for n, x in lex.PAGES)})"
 OBVIOUS = ("budget", "zoning", "town_report", "warrant_article", "ordinance", "cip", "elections")
-DAY = r"(?i)((?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2}(?:st|nd|rd|th)?,?\s+\d{4}|\b\d{1,2}[/-]\d{1,2}[/-]\d{4}\b|\b\d{4}[/-]\d{1,2}[/-]\d{1,2}\b)"
 
 
 def pages(t: Tables) -> DataFrame:
@@ -32,15 +30,31 @@ def found(x: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(x, pattern, 1), F.lit(""))
 
 
+def first_found(x: Column, patterns) -> Column:
+    """What the first of the patterns that occurs matches."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(x, p, 0), F.lit("")) for p in patterns])
+
+
 def town_of(text: Column) -> Column:
-    """The town of the first forty lines: ``TOWN OF X``, then a listed town after of, for or in, then the state's own papers."""
-    head = F.array_join(F.slice(F.split(text, r"\r?\n"), 1, 40), "\n")
-    named = F.initcap(F.trim(F.regexp_replace(F.regexp_extract(head, r"(?i)\btown of ([a-z' ]+)", 1), r"(?i)\bnh\b", "")))
-    listed = [F.when(head.rlike(rf"(?i)\b(?:of|for|in) {town}\b"), town) for town in TOWNS]
-    return F.coalesce(F.nullif(named, F.lit("")), *listed, F.when(head.rlike("(?i)state of new hampshire"), "statewide"))
+    """The town of the first forty lines: ``TOWN OF X``, then a listed town in a telling context, then the state's own papers."""
+    lines = F.slice(F.split(text, r"\r?\n"), 1, 40)
+    bare = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"\bNEW\s*HAMPSHIRE\b|\bNH\b", ""), r"\s+", " "))
+    after = F.transform(lines, lambda x: bare(F.regexp_extract(F.upper(x), r"TOWN\s+OF\s+([A-Z][A-Z\s]+)", 1)))
+    named = F.get(F.filter(after, lambda x: F.length(x) > 2), F.lit(0))
+    low = F.lower(F.array_join(lines, " "))
+    said = lambda t: [b + t.lower() for b in lex.TOWN_BEFORE] + [t.lower() + a for a in lex.TOWN_AFTER]
+    listed = first_match(low, [(t, said(t)) for t in lex.NH_TOWNS])
+    return F.coalesce(F.initcap(named), listed, F.when(any_pattern(low, lex.STATE_PAPERS), "statewide"))
 
 
-@query()
+TOWN_SQL = f"""t AS (SELECT name, string_split_regex(text, '\\r?\\n')[1:40] AS lines FROM p),
+u AS (SELECT name, lower(array_to_string(lines, ' ')) AS low, list_filter(list_transform(lines, lambda x: trim(regexp_replace(regexp_replace(regexp_extract(upper(x), 'TOWN\\s+OF\\s+([A-Z][A-Z\\s]+)', 1), '\\bNEW\\s*HAMPSHIRE\\b|\\bNH\\b', '', 'g'), '\\s+', ' ', 'g'))), lambda x: length(x) > 2)[1] AS named FROM t),
+v AS (SELECT name, coalesce(array_to_string(list_transform(string_split(lower(named), ' '), lambda w: upper(w[1]) || w[2:]), ' '),
+  list_filter([{', '.join(map(quoted, lex.NH_TOWNS))}], lambda n: {' OR '.join([f"contains(low, {quoted(b)} || lower(n))" for b in lex.TOWN_BEFORE] + [f"contains(low, lower(n) || {quoted(a)})" for a in lex.TOWN_AFTER])})[1],
+  CASE WHEN {any_pattern_sql(lex.STATE_PAPERS, 'low')} THEN 'statewide' END) AS town FROM u)"""
+
+
+@query(f"{PAGES}, {TOWN_SQL} SELECT name, town FROM v")
 def town_from_text(t: Tables) -> DataFrame:
     return pages(t).select("name", town_of(F.col("text")).alias("town"))
 
@@ -49,11 +63,12 @@ def minutes_hints(name: Column, text: Column) -> Column:
     head = F.substring(text, 1, 3000)
     by_name, by_text = any_pattern(F.lower(name), lex.MINUTES_NAMES), any_pattern(head, lex.MINUTES_TEXT)
     board = F.coalesce(*[F.when(head.rlike(f"(?i){p}"), n) for n, p in lex.TEXT_BOARDS])
-    return F.struct((by_name | by_text).alias("likely"), F.when(by_text, "high").when(by_name, "medium").otherwise("low").alias("confidence"), board.alias("board"), found(F.substring(text, 1, 1500), DAY).alias("day"))
+    return F.struct((by_name | by_text).alias("likely"), F.when(by_text, "high").when(by_name, "medium").otherwise("low").alias("confidence"), board.alias("board"), first_found(F.substring(text, 1, 1500), lex.DAYS).alias("day"))
 
 
 BOARD_SQL = "CASE " + " ".join(f"WHEN regexp_matches(text, {quoted('(?i)' + p)}) THEN {quoted(n)}" for n, p in lex.TEXT_BOARDS) + " END"
-HINTS = f"{PAGES}, h AS (SELECT name, {any_pattern_sql(lex.MINUTES_NAMES, 'lower(name)')} AS by_name, {any_pattern_sql(lex.MINUTES_TEXT, 'text')} AS by_text, {BOARD_SQL} AS board, nullif(regexp_extract(text, {quoted(DAY)}, 1), '') AS day FROM p)"
+DAY_SQL = "coalesce(" + ", ".join(f"nullif(regexp_extract(substr(text, 1, 1500), {quoted(p)}, 0), '')" for p in lex.DAYS) + ")"
+HINTS = f"{PAGES}, h AS (SELECT name, {any_pattern_sql(lex.MINUTES_NAMES, 'lower(name)')} AS by_name, {any_pattern_sql(lex.MINUTES_TEXT, 'text')} AS by_text, {BOARD_SQL} AS board, {DAY_SQL} AS day FROM p)"
 
 
 @query(f"{HINTS} SELECT name, by_name OR by_text AS likely, CASE WHEN by_text THEN 'high' WHEN by_name THEN 'medium' ELSE 'low' END AS confidence, board, day FROM h")
@@ -61,7 +76,7 @@ def minutes_heuristics(t: Tables) -> DataFrame:
     return pages(t).select("name", minutes_hints(F.col("name"), F.col("text")).alias("m")).select("name", "m.*")
 
 
-@query(f"{HINTS} SELECT name, name <> 'y.txt' AND ((by_text AND board IS NOT NULL AND day IS NOT NULL) OR {ladder_sql('lower(name)', UPLOAD_CATEGORIES, 'misc_other')} IN {OBVIOUS}) AS skip FROM h")
+@query(f"{HINTS}, {TOWN_SQL} SELECT name, town IS NOT NULL AND ((by_text AND board IS NOT NULL AND day IS NOT NULL) OR {ladder_sql('lower(name)', UPLOAD_CATEGORIES, 'misc_other')} IN {OBVIOUS}) AS skip FROM h JOIN v USING (name)")
 def can_skip_llm(t: Tables) -> DataFrame:
     """The model is not asked where a town and either all of high-confidence minutes or an obvious category is known."""
     m = minutes_hints(F.col("name"), F.col("text"))
@@ -226,18 +241,37 @@ def select_better(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.when(~whole & repaired, "repair").when(whole & ~repaired, "original").when(better, "repair").otherwise("original").alias("selected"))
 
 
-@query(f"{Q} SELECT id, {any_pattern_sql(lex.ABSOLUTE)} AS absolute FROM q")
+C = values("c", lex.CLAIMS)
+STATE_TEXT = "The DOJ reviews complaints."
+"""Stands for the state passages that an answer was given."""
+
+
+def around(pattern: str, before: int, after: int) -> str:
+    """A pattern that takes in up to so many characters before and after the match, which is group 1."""
+    return rf"(?is).{{0,{before}}}({pattern}).{{0,{after}}}"
+
+
+@query(f"{C} SELECT id, list_filter([{', '.join(f'trim(regexp_extract(x, {quoted(around(p, 30, 30))}, 0))' for p in lex.ABSOLUTE)}], lambda e: e <> '') AS evidence FROM c")
 def absolute_claims(t: Tables) -> DataFrame:
-    return questions(t).select("id", any_pattern(F.col("x"), lex.ABSOLUTE).alias("absolute"))
+    """The surroundings of each absolute claim's first match, in the patterns' order."""
+    seen = F.array(*[F.trim(F.regexp_extract("x", around(p, 30, 30), 0)) for p in lex.ABSOLUTE])
+    return t.rows("id int, x string", *enumerate(lex.CLAIMS)).select("id", F.filter(seen, lambda e: e != "").alias("evidence"))
 
 
-PROCEDURE = r"(?is).{0,10}\b(?:within \d+ days|petition|appeal to|public hearing)\b.{0,30}"
+UNCITED_SQL = ", ".join(f"CASE WHEN NOT regexp_matches(regexp_extract(x, {quoted(around(p, 10, 30))}, 0), '\\[S\\d+\\]') AND NOT contains({quoted(STATE_TEXT.lower())}, lower(regexp_extract(regexp_extract(x, {quoted(around(p, 10, 30))}, 1), '^\\S+'))) THEN trim(regexp_extract(x, {quoted(around(p, 10, 30))}, 0)) ELSE '' END" for p in lex.PROCEDURES)
 
 
-@query(f"{Q} SELECT id, regexp_matches(x, {quoted(PROCEDURE)}) AND NOT regexp_matches(regexp_extract(x, {quoted(PROCEDURE)}), '\\[S\\d+\\]') AS uncited FROM q")
+@query(f"{C} SELECT id, list_filter([{UNCITED_SQL}], lambda e: e <> '') AS evidence FROM c")
 def uncited_procedure(t: Tables) -> DataFrame:
-    around = F.regexp_extract("x", PROCEDURE, 0)
-    return questions(t).select("id", (F.col("x").rlike(PROCEDURE) & ~around.rlike(r"\[S\d+\]")).alias("uncited"))
+    """Procedures with no state citation from 10 characters before to 30 after, whose first word the state passages lack."""
+
+    def evidence(p: str) -> Column:
+        near = F.regexp_extract("x", around(p, 10, 30), 0)
+        word = F.lower(F.regexp_extract(F.regexp_extract("x", around(p, 10, 30), 1), r"^\S+", 0))
+        return F.when(~near.rlike(r"\[S\d+\]") & ~F.contains(F.lit(STATE_TEXT.lower()), word), F.trim(near)).otherwise("")
+
+    seen = F.array(*map(evidence, lex.PROCEDURES))
+    return t.rows("id int, x string", *enumerate(lex.CLAIMS)).select("id", F.filter(seen, lambda e: e != "").alias("evidence"))
 
 
 def shortened(x: Column, most_words: int = 20) -> Column:

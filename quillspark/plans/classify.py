@@ -268,15 +268,16 @@ def citations_used(t: Tables) -> DataFrame:
     return answers(t).select("id", F.array_distinct(F.regexp_extract_all("x", F.lit(r"\[((?:L|S)\d+|USER)\]"), F.lit(1))).alias("used"))
 
 
-POLICIES = (("simple", "standard", 600, 900), ("simple", "deep", 1200, 1800), ("complex", "standard", 1200, 1800), ("complex", "deep", 2400, 3600))
+# Complexity, mode, least and most characters aimed at, hard cap.
+POLICIES = (("simple", "standard", 450, 750, 950), ("simple", "deep", 900, 1400, 1700), ("complex", "standard", 1100, 1700, 1900), ("complex", "deep", 3200, 4800, 5400))
 
 
-@query(f"WITH p(complexity, mode, target, cap) AS (VALUES {', '.join(map(str, POLICIES))}), d AS (SELECT doc_id, n_chars, CASE WHEN doc_id % 2 = 0 THEN 'simple' ELSE 'complex' END AS complexity, CASE WHEN doc_id % 3 = 0 THEN 'deep' ELSE 'standard' END AS mode FROM documents) SELECT doc_id, n_chars <= target AS within_target, n_chars > cap AS over_cap FROM d JOIN p USING (complexity, mode)")
+@query(f"WITH p(complexity, mode, low, high, cap) AS (VALUES {', '.join(map(str, POLICIES))}), d AS (SELECT doc_id, length(text) AS n, CASE WHEN doc_id % 2 = 0 THEN 'simple' ELSE 'complex' END AS complexity, CASE WHEN doc_id % 3 = 0 THEN 'deep' ELSE 'standard' END AS mode FROM documents) SELECT doc_id, n BETWEEN low AND high AS within_target, n * 100 > cap * 105 AS over_cap FROM d JOIN p USING (complexity, mode)")
 def answer_policy(t: Tables) -> DataFrame:
-    """Caps by complexity and mode; the table is a parameter."""
-    policies = t.rows("complexity string, mode string, target int, cap int", *POLICIES)
-    asked = t.documents.select("doc_id", "n_chars", F.when(F.col("doc_id") % 2 == 0, "simple").otherwise("complex").alias("complexity"), F.when(F.col("doc_id") % 3 == 0, "deep").otherwise("standard").alias("mode"))
-    return asked.join(F.broadcast(policies), ["complexity", "mode"]).select("doc_id", (F.col("n_chars") <= F.col("target")).alias("within_target"), (F.col("n_chars") > F.col("cap")).alias("over_cap"))
+    """Aims and caps by complexity and mode; a text is over its cap from five percent on."""
+    policies = t.rows("complexity string, mode string, low int, high int, cap int", *POLICIES)
+    asked = t.documents.select("doc_id", F.length("text").alias("n"), F.when(F.col("doc_id") % 2 == 0, "simple").otherwise("complex").alias("complexity"), F.when(F.col("doc_id") % 3 == 0, "deep").otherwise("standard").alias("mode"))
+    return asked.join(F.broadcast(policies), ["complexity", "mode"]).select("doc_id", F.col("n").between(F.col("low"), F.col("high")).alias("within_target"), (F.col("n") * 100 > F.col("cap") * 105).alias("over_cap"))
 
 
 @query("SELECT event_id, coalesce(CASE WHEN event_id % 7 = 0 THEN 'override' END, CASE WHEN event_type = 'error' THEN 'escalated' END, 'default') AS model FROM events")

@@ -289,6 +289,17 @@ def planner_validate(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.filter(array(ENTITIES), lambda e: low.contains(e)).alias("entities"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("n_chars") / 3000)).alias("confidence"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN length(text) > 500 THEN 'statewide_only' WHEN turn % 2 = 0 THEN 'town_only' END AS notice FROM conversations")
+SCOPES = [(kind, town, n, rsa) for kind in ("local", "statewide", "mixed", "none", None) for town in ("Conway", None) for n in (0, 2) for rsa in (False, True)]
+SCOPE_SQL = ", ".join(f"({i}, {'NULL' if k is None else repr(k)}, {'NULL' if w is None else repr(w)}, {n}, {r})" for i, (k, w, n, r) in enumerate(SCOPES))
+
+
+@query(f"""WITH s(id, kind, town, sources, rsa) AS (VALUES {SCOPE_SQL}),
+c AS (SELECT *, CASE WHEN sources > 0 THEN CASE WHEN kind = 'mixed' OR (kind = 'statewide' AND town IS NOT NULL) THEN 'mixed' ELSE 'local' END WHEN rsa THEN 'statewide' WHEN kind IN ('local', 'statewide', 'mixed') THEN kind ELSE 'none' END AS scope FROM s)
+SELECT id, scope, CASE WHEN scope IN ('local', 'mixed') THEN town END AS town FROM c""")
 def scope_notice(t: Tables) -> DataFrame:
-    return t.conversations.select("conv_id", "turn", F.when(F.length("text") > 500, "statewide_only").when(F.col("turn") % 2 == 0, "town_only").alias("notice"))
+    """Which notice an answer carries: sources decide first, then a question about statutes, then the kind of papers."""
+    asked = t.rows("id int, kind string, town string, sources int, rsa boolean", *[(i, *x) for i, x in enumerate(SCOPES)])
+    kind = F.coalesce("kind", F.lit("none"))
+    both = (kind == "mixed") | ((kind == "statewide") & F.col("town").isNotNull())
+    scope = F.when(F.col("sources") > 0, F.when(both, "mixed").otherwise("local")).when(F.col("rsa"), "statewide").otherwise(kind)
+    return asked.select("id", scope.alias("scope"), F.when(scope.isin("local", "mixed"), F.col("town")).alias("town"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions import lexicon as lex
 from quillspark.functions import paths
-from quillspark.functions.text import first_match, half_up, ladder_sql
+from quillspark.functions.text import contains_any, first_match, half_up, ladder_sql
 from quillspark.registry import query
 from quillspark.sources.tables import Tables
 
@@ -269,6 +270,14 @@ def backoff_delay(t: Tables) -> DataFrame:
     return t.spark.range(6).select(F.col("id").alias("attempt"), F.least(F.pow(F.lit(2.0), "id") * 1000, F.lit(30_000.0)).cast("long").alias("delay_ms"))
 
 
-@query("SELECT o_orderkey, o_orderkey % 600 IN (429, 500, 502, 503, 504) OR contains(lower(o_orderpriority), 'urgent') AS retry FROM orders")
+ERRORS = ((503, "overloaded"), (429, "RESOURCE_EXHAUSTED: slow down"), (400, "Quota exceeded for today"), (400, "request Timeout"), (0, "read ECONNRESET"), (404, "not found"), (0, "quota of tokens"), (None, None))
+ERROR_SQL = ", ".join(f"({i}, {'NULL' if c is None else c}, {'NULL' if m is None else repr(m)})" for i, (c, m) in enumerate(ERRORS))
+
+
+@query(f"""WITH e(id, code, message) AS (VALUES {ERROR_SQL}), f AS (SELECT id, coalesce(code, 0) AS code, coalesce(message, '') AS m FROM e)
+SELECT id, code IN {lex.RETRY_CODES} OR {' OR '.join(f"contains(lower(m), '{w}')" for w in lex.RETRY_TEXTS)} AS retry, code = 429 OR {' OR '.join(f"contains(m, '{w}')" for w in lex.QUOTA_TEXTS)} AS quota FROM f""")
 def retryable_error(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", ((F.col("o_orderkey") % 600).isin(429, 500, 502, 503, 504) | F.lower("o_orderpriority").contains("urgent")).alias("retry"))
+    """By status code or words of the message; quota errors by code 429 or their own words, case and all."""
+    errors = t.rows("id int, code int, message string", *[(i, c, m) for i, (c, m) in enumerate(ERRORS)])
+    code, m = F.coalesce("code", F.lit(0)), F.coalesce("message", F.lit(""))
+    return errors.select("id", (code.isin(*lex.RETRY_CODES) | contains_any(F.lower(m), lex.RETRY_TEXTS)).alias("retry"), ((code == 429) | contains_any(m, lex.QUOTA_TEXTS)).alias("quota"))
