@@ -79,6 +79,10 @@ DAYS = (
     r"\b\d{4}[/-]\d{1,2}[/-]\d{1,2}\b",
     r"(?i)(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\.?\s+\d{1,2},?\s+\d{4}",
 )
+PLANNER_TOPICS = ("liability", "negligence", "compliance", "violation", "enforcement", "ada", "accessibility", "permit", "zoning", "variance", "building code", "immunity", "damages", "lawsuit", "legal", "illegal", "ordinance")
+PLANNER_BOARDS = ("select board", "selectboard", "planning board", "zba", "zoning board", "conservation commission", "budget committee", "school board")
+PLACE = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+(?:Park|Property|Building|Road|Street|Avenue|Lane|Drive|School|Library|Center|Hall)\b"
+PLANNED = ("What did the planning board say about Constitution Park? Is it illegal?", "Who pays for the Main Street School Library and Mill Road, under RSA 674 and the building code or a lawsuit", "Budget committee and zba", "! now", "")
 RETRY_CODES, RETRY_TEXTS = (503, 429, 500, 502, 504), ("service unavailable", "temporarily unavailable", "rate limit", "quota exceeded", "timeout", "econnreset", "network error")
 QUOTA_TEXTS = ("quota", "RESOURCE_EXHAUSTED")
 CLAIMS = (

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,10 +128,40 @@ def issue_map(t: Tables) -> DataFrame:
     return questions(t).select("id", entities_of(F.col("x")).alias("entities"), F.filter(entities_of(F.col("x")), lambda e: e.rlike(lex.BOARD)).alias("boards"), pick(lex.LEGAL_WORDS, 5).alias("legal_topics"), dates.alias("dates"))
 
 
-@query(f"{Q} SELECT id, trim(concat_ws(' ', 'New Hampshire', CASE WHEN {any_word_sql(lex.PLANNER_LEGAL_WORDS)} THEN 'RSA municipal law' END)) AS state_query, trim(regexp_replace(substr(x, 1, 100), '[?.,!]', '', 'g')) AS local_query FROM q")
+HINT = "Ossipee"
+FALLBACK = f"""{values('q', lex.PLANNED)}, f AS (SELECT id, x, string_split_regex(x, '[.!?]')[1] AS first, regexp_extract_all(x, {quoted(lex.PLACE)})[1:5] AS entities,
+  list_filter([{', '.join(map(quoted, lex.PLANNER_TOPICS))}], lambda w: contains(lower(x), w))[1:6] AS topics, list_filter([{', '.join(map(quoted, lex.PLANNER_BOARDS))}], lambda w: contains(lower(x), w)) AS boards,
+  (SELECT count(*) FROM (SELECT unnest([{', '.join(map(quoted, lex.PLANNER_LEGAL_WORDS))}]) AS w) WHERE contains(lower(x), w)) AS n FROM q),
+g AS (SELECT *, CASE WHEN n >= 4 THEN 0.9 WHEN n >= 2 THEN 0.7 WHEN n >= 1 THEN 0.5 ELSE 0.2 END::DOUBLE AS salience FROM f)"""
+
+
+@query(f"""{FALLBACK} SELECT id, substr(coalesce(nullif(trim(first), ''), substr(x, 1, 60)), 1, 80) AS title, entities, topics, boards, salience,
+  substr(concat_ws(' ', {quoted(HINT)}, entities[1], boards[1], trim(regexp_replace(substr(x, 1, 100), '[?.,!]', '', 'g'))), 1, 200) AS local_query,
+  substr(concat_ws(' ', 'New Hampshire', topics[1], topics[2], CASE WHEN salience >= 0.5 THEN 'RSA municipal law' END), 1, 200) AS state_query,
+  CASE WHEN salience >= 0.5 THEN 3 ELSE 1 END AS min_state, CASE WHEN salience >= 0.6 THEN 'law-first' ELSE 'facts-first' END AS priority FROM g""")
 def planner_fallback(t: Tables) -> DataFrame:
-    legal = reduce(lambda a, b: a | b, [F.lower("x").contains(w) for w in lex.PLANNER_LEGAL_WORDS])
-    return questions(t).select("id", F.concat_ws(" ", F.lit("New Hampshire"), F.when(legal, "RSA municipal law")).alias("state_query"), F.trim(F.regexp_replace(F.substring("x", 1, 100), "[?.,!]", "")).alias("local_query"))
+    """The plan made without a model: places, topics and boards named, one query for each lane, and which lane leads."""
+    low = F.lower("x")
+    named = lambda words: F.filter(F.array(*[F.lit(w) for w in words]), lambda w: low.contains(w))
+    n = F.size(named(lex.PLANNER_LEGAL_WORDS))
+    facts = t.rows("id int, x string", *enumerate(lex.PLANNED)).select(
+        "id",
+        "x",
+        F.substring(F.coalesce(F.nullif(F.trim(F.get(F.split("x", "[.!?]"), F.lit(0))), F.lit("")), F.substring("x", 1, 60)), 1, 80).alias("title"),
+        F.slice(F.regexp_extract_all("x", F.lit(lex.PLACE), F.lit(0)), 1, 5).alias("entities"),
+        F.slice(named(lex.PLANNER_TOPICS), 1, 6).alias("topics"),
+        named(lex.PLANNER_BOARDS).alias("boards"),
+        F.when(n >= 4, 0.9).when(n >= 2, 0.7).when(n >= 1, 0.5).otherwise(0.2).alias("salience"),
+    )
+    at = lambda c, k: F.get(F.col(c), F.lit(k))
+    core, law = F.trim(F.regexp_replace(F.substring("x", 1, 100), "[?.,!]", "")), F.when(F.col("salience") >= 0.5, "RSA municipal law")
+    return facts.select(
+        *("id", "title", "entities", "topics", "boards", "salience"),
+        F.substring(F.concat_ws(" ", F.lit(HINT), at("entities", 0), at("boards", 0), core), 1, 200).alias("local_query"),
+        F.substring(F.concat_ws(" ", F.lit("New Hampshire"), at("topics", 0), at("topics", 1), law), 1, 200).alias("state_query"),
+        F.when(F.col("salience") >= 0.5, 3).otherwise(1).alias("min_state"),
+        F.when(F.col("salience") >= 0.6, "law-first").otherwise("facts-first").alias("priority"),
+    )
 
 
 def title_of(e: Column) -> Column:

@@ -290,11 +290,37 @@ def critic_trigger(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", ((F.length("text") > 4000) | contains_any(F.lower("text"), lex.HIGH_RISK)).alias("critic"))
 
 
+# What may end a text that is cut, the marks of a sentence's end aside.
+BREAKS = r"\.\s+(?=[A-Z])|\.\s*$|[!?]\s+|\n\n|\n[-*]\s|\n\d+\.\s"
+EDGES = r"^\s+|\s+$"
+
+
+def whole_fences(x: Column) -> Column:
+    """A code fence that the cut left open is closed if over 10 characters follow it, else taken out; so is a lone backtick."""
+    tail = r"```(\w*)([^`]*)$"
+    opened = (F.regexp_count(x, F.lit("```")) % 2 != 0) & x.rlike(tail)
+    inside = F.regexp_replace(F.regexp_extract(x, tail, 2), EDGES, "")
+    fenced = F.when(F.length(inside) > 10, F.concat(x, F.lit("\n```"))).otherwise(F.regexp_replace(F.regexp_replace(x, r"```\w*[^`]*$", ""), EDGES, ""))
+    odd = F.regexp_count(x, F.lit("`")) % 2 != 0
+    paired = x.rlike(r"`[^`]{0,98}`[^`]*$")
+    return F.when(opened, fenced).when(odd & ~paired, F.regexp_replace(x, r"`([^`]*)$", "$1")).otherwise(x)
+
+
+def capped(text: Column, cap: int) -> Column:
+    """A text over the cap ends at its last sentence or, where that keeps under half, at its last word; then ``...``."""
+    most = cap - 3
+    head = F.substring(text, 1, most)
+    tidy = lambda x: F.regexp_replace(x, EDGES, "")
+    kept = lambda pattern: F.length(F.regexp_extract(head, pattern, 0))
+    late = kept(r"(?s)^.*[.!?](?=[ \n]|$)")
+    end = F.greatest(kept(rf"(?s)^.*(?:{BREAKS})"), F.when(late - 1 >= most * 0.5, late).otherwise(0))
+    sentence = tidy(F.when(end > 1, F.substring(head, F.lit(1), end)).otherwise(head))
+    word = F.length(F.regexp_extract(head, r"(?s)^(.*)[ \n]", 1))
+    by_word = tidy(F.when(word > most * 0.5, F.substring(head, F.lit(1), word)).otherwise(head))
+    cut = F.when(F.length(sentence) < most * 0.5, by_word).otherwise(sentence)
+    return F.when(F.length(text) <= cap, text).otherwise(F.concat(whole_fences(cut), F.lit("...")))
+
+
 @query()
 def char_cap(t: Tables) -> DataFrame:
-    """A text over the cap ends at its last sentence, or at its last word where that would lose over half."""
-    cap, head = 600, F.substring("text", 1, 600)
-    sentence = F.regexp_extract(head, r"(?s)^(.*[.!?])(?:\s|$)", 1)
-    word = F.concat(F.regexp_extract(head, r"(?s)^(.*)\s", 1), F.lit("..."))
-    cut = F.when(F.length("text") <= cap, F.col("text")).when(F.length(sentence) >= cap / 2, sentence).otherwise(word)
-    return t.conversations.select("conv_id", "turn", cut.alias("text"))
+    return t.conversations.select("conv_id", "turn", capped(F.col("text"), 600).alias("text"))

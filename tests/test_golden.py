@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillspark.functions.paths import flat_metadata
-from quillspark.plans.classify import needs_ocr, ocr_facts
+from quillspark.plans.classify import capped, needs_ocr, ocr_facts
 from quillspark.sources.tables import Tables
 from quillspark.streaming.jobs import rate_limits
 from tests.compare import DATA
@@ -35,3 +35,21 @@ def test_rate_limit_stream(spark):
     want = {(r["w"]["start"], r["user_id"]): r["count"] for r in day.collect()}
     assert got and all(want[k] == n for k, n in got.items())
     assert len(got) >= len(want) * 0.8  # the last day stays open behind the watermark
+
+
+def test_char_cap(spark):
+    code = "Words come first here. Then `" + "a" * 5 + "``" + "b" * 40
+    want = {
+        "short": "short",
+        "One two three four five six. Seven eight nine ten eleven": "One two three four five six....",
+        "one two three four five six seven eight nine ten eleven": "one two three four five six seven eig...",
+        "Ab. X" + "x" * 19 + " " + "y" * 40: "Ab. X" + "x" * 19 + "...",
+        "Ab. " + "x" * 20 + " " + "y" * 40: "Ab. " + "x" * 20 + " " + "y" * 12 + "...",
+        "y" * 60: "y" * 37 + "...",
+        "abcdefghij klmnopqrst uv ```sql " + "z" * 40: "abcdefghij klmnopqrst uv...",
+        "abc ```py\nselect 1 from table_of_things where": "abc ```py\nselect 1 from table_of_thin\n```...",
+        code: "Words come first here....",
+        "": "",
+    }
+    rows = spark.createDataFrame([(x,) for x in want], "x string").select("x", capped(F.col("x"), 40).alias("y")).collect()
+    assert {r["x"]: r["y"] for r in rows} == want
