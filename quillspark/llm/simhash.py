@@ -24,22 +24,28 @@ WIDTHS = (13, 13, 13, 13, 12)
 BUFFER = 1 << 16
 
 
-def fingerprint(text: str, shingle: int = 3) -> int:
-    """Majority bits of the hashes of a text's word shingles, as an unsigned number; 0 without words."""
+def shingle_hashes(text: str, shingle: int):
+    """Hashes of a text's word shingles, in order, at most ``BLOCK`` at a time; none without words."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return
     n = max(1, len(words) - shingle + 1)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
     ends = np.cumsum(sizes) - 1
     starts = ends + 1 - sizes
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    counts = np.zeros(64, np.int64)
     last = ends[min(shingle, len(words)) - 1 :]
     for at in range(0, n, BLOCK):
         spans = zip(starts[at : at + BLOCK][: n - at].tolist(), last[at : at + BLOCK].tolist())
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], "<u8")
+        yield np.array([digest(joined[a:b], SEED) for a, b in spans], "<u8")
+
+
+def fingerprint(text: str, shingle: int = 3) -> int:
+    """Majority bits of the hashes of a text's word shingles, as an unsigned number; 0 without words."""
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(text, shingle):
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
