@@ -1,7 +1,9 @@
 """Lexical retrieval packing: windows filled with the BM25 neighbours of a seed document.
 
-Each task streams its documents into shards bounded in documents and tokens.  A shard has its own
-inverted index over token ids.  A seed opens a window, its best unused neighbours fill it, and the
+Documents are routed by content first: they are sorted, over all tasks, by a sketch of their words (the
+smallest hashes of the distinct ones), so that texts of the same words follow each other.  Each task
+streams its documents into shards bounded in documents and tokens.  A shard has its own inverted index
+over token ids.  A seed opens a window, its best unused neighbours fill it, and the
 last one is cut where the window ends; what is left of it stays in the pool.  Documents longer than
 a window first fill windows of their own.  What a shard leaves over is cut into windows whose
 lengths are powers of two, so no window carries padding.
@@ -40,16 +42,15 @@ class ShardIndex:
         self.idf = np.log1p((self.n - found + 0.5) / (found + 0.5)).astype(np.float32)
         self.owner, self.weight = owner[order], weight[order] * np.repeat(self.idf, found)
 
-    def neighbours(self, doc: int, query_terms: int) -> np.ndarray:
-        """Documents by falling score against the rarest ``query_terms`` distinct ids of ``doc``, ties by position."""
+    def neighbours(self, doc: int) -> np.ndarray:
+        """Documents by falling score against all distinct ids of ``doc``, ties by position."""
         at = np.searchsorted(self.vocabulary, self.terms[doc])
-        at = at[np.argsort(-self.idf[at], kind="stable")[:query_terms]]
         spans = [slice(self.first[k], self.last[k]) for k in at]
         scores = np.bincount(np.concatenate([self.owner[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
         return np.argsort(-scores, kind="stable")
 
 
-def fill_windows(docs: list[np.ndarray], window: int, query_terms: int):
+def fill_windows(docs: list[np.ndarray], window: int):
     """Windows of a shard, each a list of (document, start, length); every id lies in exactly one."""
     left = [0] * len(docs)  # where the unused part of each document starts
     for d, ids in enumerate(docs):
@@ -63,7 +64,7 @@ def fill_windows(docs: list[np.ndarray], window: int, query_terms: int):
     for seed in range(len(docs)):
         while unused[seed]:
             pieces, room = [], window
-            ranked = index.neighbours(seed, query_terms)
+            ranked = index.neighbours(seed)
             for d in (seed, *ranked[unused[ranked]].tolist()):
                 if unused[d] and room:
                     n = min(room, len(docs[d]) - left[d])
@@ -89,7 +90,20 @@ def fill_windows(docs: list[np.ndarray], window: int, query_terms: int):
         yield pieces
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = 1024, shard_docs: int = 512, shard_tokens: int = 1 << 20, query_terms: int = 24) -> DataFrame:
+def routed(docs: DataFrame, sketch: int = 4) -> DataFrame:
+    """doc_id and text, dealt over the tasks and sorted by the ``sketch`` smallest hashes of the distinct words.
+
+    A text's hash and the doc_id come after the sketch, so a large group is split over tasks.
+    """
+    words = F.transform(F.split(F.lower("text"), "\\s+"), lambda w: F.xxhash64(w))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.slice(F.array_sort(F.array_distinct(words)), 1, sketch).alias("_sketch"))
+    order = [*[F.get("_sketch", F.lit(k)) for k in range(sketch)], F.xxhash64("text"), F.col("doc_id")]
+    keyed = rows.select("doc_id", "text", *[c.alias(f"_{k}") for k, c in enumerate(order)])
+    names = [f"_{k}" for k in range(len(order))]
+    return keyed.repartitionByRange(*names).sortWithinPartitions(*names).select("doc_id", "text")
+
+
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = 1024, shard_docs: int = 512, shard_tokens: int = 1 << 20) -> DataFrame:
     """Pack every document's ids, ``end_id`` appended, into windows of ``window`` ids.
 
     Returns one row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
@@ -108,7 +122,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, window: in
         def flush():
             nonlocal sequence
             rows = []
-            for pieces in fill_windows(shard, window, query_terms):
+            for pieces in fill_windows(shard, window):
                 at = 0
                 for d, start, n in pieces:
                     rows.append((names[d], start, n, zlib.crc32(shard[d][start : start + n].tobytes()), len(shard[d]), sequence, at))
@@ -128,4 +142,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, window: in
         if shard:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pack, PIECES)
+    return routed(docs).mapInArrow(pack, PIECES)
