@@ -13,16 +13,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .word_memo import as_letters, drop_blank_units, slices, texts_of, word_units
+from .word_memo import BoundedMemo, MEMO_BYTES, as_letters, drop_blank_units, slices, texts_of, word_units
 
 
 class MergeTable:
     """Vocabulary and merge ranks of a tokenizer file whose pieces end in a word-end suffix.
 
-    ``encode`` and ``decode`` work on one text.  ``pieces`` keeps at most ``limit`` encoded pieces.
+    ``encode`` and ``decode`` work on one text; ``pieces`` holds the ids of pieces met, bounded in bytes.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = MEMO_BYTES):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -32,11 +32,10 @@ class MergeTable:
         self.strings = {i: s for s, i in self.ids.items()}
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special, self.marks = set(special), regex.compile("(" + "|".join(map(regex.escape, special)) + ")")
-        self.pieces: dict[str, tuple[str, ...]] = {}
-        self.limit = limit
+        self.pieces = BoundedMemo(limit)
 
-    def merge(self, piece: str) -> list[str]:
-        """Symbols of one piece after all merges.
+    def merge(self, piece: str) -> list[int]:
+        """Ids of one piece after all merges.
 
         The queue holds (rank, left position); an entry is stale, and skipped, when its pair has
         changed since it was pushed.
@@ -60,32 +59,31 @@ class MergeTable:
                     heapq.heappush(queue, (r, i))
             if (h := before[i]) >= 0 and (r := ranks.get((symbols[h], symbols[i]))) is not None:
                 heapq.heappush(queue, (r, h))
-        return [s for s in symbols if s is not None and s in self.ids]
-
-    def symbols(self, unit: str) -> list[str]:
-        """Symbols of a text; special tokens stand for themselves."""
-        if unit.isascii() and unit.isalpha() and unit.islower():
-            return self.piece(unit)
-        out: list[str] = []
-        for part in self.marks.split(unit) if "<|" in unit else (unit,):
+        return [self.ids[s] for s in symbols if s is not None and s in self.ids]
+
+    def encode(self, text: str) -> list[int]:
+        """Ids of a text; special tokens stand for themselves."""
+        if text.isascii() and text.isalpha() and text.islower():
+            return list(self.piece(text))
+        out: list[int] = []
+        for part in self.marks.split(text) if "<|" in text else (text,):
             if part in self.special:
-                out.append(part)
+                out.append(self.ids[part])
             elif part:
                 for piece in word_units(part):
                     out += self.piece(piece)
         return out
 
-    def piece(self, piece: str):
-        if (found := self.pieces.get(piece)) is None:
-            if len(self.pieces) >= self.limit:
-                self.pieces.clear()
-            found = self.pieces[piece] = tuple(self.merge(piece))
+    def piece(self, piece: str) -> tuple[int, ...]:
+        found = self.pieces.get(piece)
+        if found is None:
+            found = self.pieces.older.get(piece)
+            if found is None:
+                found = tuple(self.merge(piece))
+            self.pieces.hold(piece, found, 40 + 8 * len(found))
         return found
 
-    def encode(self, text: str) -> list[int]:
-        return [self.ids[s] for s in self.symbols(text)]
-
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids) -> str:
         """Vocabulary strings in a row, a blank between two; this vocabulary names no decoder."""
         return " ".join([self.strings[i] for i in ids])
 
@@ -100,18 +98,19 @@ def table_for(path: str) -> MergeTable:
 
 
 def encoded_units(texts: pa.Array, table: MergeTable):
-    """For each slice of texts: per text the count of ids, the ids and the vocabulary strings, blank-joined.
+    """For each slice of texts: per text the count of ids, the ids and the decoded ids, blank-joined.
 
-    A unit between blanks is encoded once for all its occurrences in the slice.
+    A unit between blanks is encoded once for all its occurrences in the slice, and its ids are
+    decoded once; a decoded text is the decoded units with a blank between two, as is that of all ids.
     """
     for part in slices(texts):
         special = pc.any(pc.match_substring(part, "<|")).as_py()
         units, offsets = drop_blank_units(part if special else pc.ascii_lower(part))
         coded = units.dictionary_encode()
-        symbols = [table.symbols(u) if u else () for u in coded.dictionary.to_pylist()]
-        lengths = np.fromiter(map(len, symbols), np.int64, len(symbols))
-        ids = pa.array([" ".join([str(table.ids[s]) for s in x]) for x in symbols], pa.large_string())
-        strings = pa.array([" ".join(x) for x in symbols], pa.large_string())
+        encoded = [table.encode(u) if u else () for u in coded.dictionary.to_pylist()]
+        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        ids = pa.array([" ".join(map(str, x)) for x in encoded], pa.large_string())
+        strings = pa.array([table.decode(x) for x in encoded], pa.large_string())
         at = np.asarray(coded.indices)
         full = lengths[at] > 0
         ends = np.concatenate(([0], np.cumsum(full)))[offsets]
@@ -119,12 +118,13 @@ def encoded_units(texts: pa.Array, table: MergeTable):
         take, bounds, blank = pa.array(at[full]), pa.array(ends, pa.int32()), pa.scalar(" ", pa.large_string())
         join = lambda words: pc.binary_join(pa.ListArray.from_arrays(bounds, words.take(take)), blank)
         yield np.diff(n), join(ids), join(strings)
+    pa.default_memory_pool().release_unused()
 
 
 def bpe_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Per document: doc_id, n_tokens, SHA-256 of the blank-joined ids and of the decoded text.
 
-    The ids are decoded by looking each one's vocabulary string up and joining the strings.  A null
+    ``decoded_sha256`` is of the ids looked up in the vocabulary and joined.  A null
     or empty text has no ids and decodes to the empty text; rows, repeated or with a null doc_id,
     are kept one for one; other columns are ignored.
     """

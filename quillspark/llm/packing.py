@@ -1,12 +1,13 @@
 """Lexical retrieval packing: windows filled with the BM25 neighbours of a seed document.
 
-Documents are routed by content first: they are sorted, over all tasks, by a sketch of their words (the
-smallest hashes of the distinct ones), so that texts of the same words follow each other.  Each task
-streams its documents into shards bounded in documents and tokens.  A shard has its own inverted index
-over token ids.  A seed opens a window, its best unused neighbours fill it, and the
-last one is cut where the window ends; what is left of it stays in the pool.  Documents longer than
-a window first fill windows of their own.  What a shard leaves over is cut into windows whose
-lengths are powers of two, so no window carries padding.
+Texts are encoded once and their ids stored with a sketch of their content, the smallest hashes of
+the distinct words.  Documents are then routed by content: sorted, over
+all tasks, by the sketch, so that texts of the same passages follow each other.  Each task streams its
+documents into shards bounded in documents and tokens.  A shard has its own inverted index over token
+ids.  A seed opens a window, its best unused neighbours fill it, and the last one is cut where the
+window ends; what is left of it stays in the pool.  Documents longer than a window first fill windows
+of their own.  What a shard leaves over is cut into windows whose lengths are powers of two, so no
+window carries padding.
 """
 
 from __future__ import annotations
@@ -18,9 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .word_memo import memo_for, text_ids, texts_of
+from .shared import stored
+from .word_memo import LETTERS, memo_for, text_ids, texts_of
 
 K1, B = 1.2, 0.75
+# The letters of blanks in byte-level vocabularies, and the multipliers of the sketch's hash.
+BLANK_LETTERS = tuple(LETTERS[ord(b)] for b in " \t\n\r")
+FIRST, SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -90,20 +95,60 @@ def fill_windows(docs: list[np.ndarray], window: int):
         yield pieces
 
 
-def routed(docs: DataFrame, sketch: int = 4) -> DataFrame:
-    """doc_id and text, dealt over the tasks and sorted by the ``sketch`` smallest hashes of the distinct words.
+def word_starts(memo) -> np.ndarray:
+    """Whether each id of the vocabulary begins with a blank or a line end, and so begins a word."""
+    starts = np.zeros(memo.tokenizer.get_vocab_size(), bool)
+    starts[[i for t, i in memo.tokenizer.get_vocab().items() if t[0] in BLANK_LETTERS]] = True
+    return starts
 
-    A text's hash and the doc_id come after the sketch, so a large group is split over tasks.
+
+def sketch_of(ids: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """The ``size`` smallest hashes of the distinct words of a text's ids, zeros where there are fewer."""
+    first = starts[ids]
+    first[:1] = True
+    at = np.flatnonzero(first)
+    if not len(at):
+        return np.zeros(size, np.int64)
+    place = np.arange(len(ids)) - at[np.cumsum(first) - 1]
+    h = (ids + FIRST * (place + 1).astype(np.uint64)) * SECOND
+    h = np.add.reduceat((h ^ h >> np.uint64(32)) * FIRST, at)
+    least = np.unique((h ^ h >> np.uint64(32)) * SECOND)[:size]
+    return np.concatenate([least, np.zeros(size - len(least), np.uint64)]).view(np.int64)
+
+
+def encoded_documents(docs: DataFrame, tokenizer_path: str, end_id: int, sketch: int) -> DataFrame:
+    """doc_id, ids (little-endian, two bytes each where the vocabulary allows) and the sketch of every row."""
+    names = [f"k{i}" for i in range(sketch)]
+
+    def encode(batches):
+        memo = memo_for(tokenizer_path, spaced=True)
+        kind, starts = id_type(memo, end_id), word_starts(memo)
+        for batch in batches:
+            packed, sketches = [], []
+            for ids in text_ids(texts_of(batch, "text"), memo):
+                packed.append(np.append(ids, np.uint32(end_id)).astype(kind).tobytes())
+                sketches.append(sketch_of(ids, starts, sketch))
+            columns = [pa.array(c) for c in np.stack(sketches, axis=1)] if sketches else [pa.array([], pa.int64())] * sketch
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary()), *columns], ["doc_id", "ids", *names])
+
+    schema = "doc_id long, ids binary, " + ", ".join(f"{n} long" for n in names)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, schema)
+
+
+def id_type(memo, end_id: int) -> str:
+    return "<u2" if max(memo.tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else "<u4"
+
+
+def routed(encoded: DataFrame) -> DataFrame:
+    """doc_id and ids, dealt over the tasks and sorted by the sketch.
+
+    A hash of the ids and the doc_id come after the sketch, so a large group is split over tasks.
     """
-    words = F.transform(F.split(F.lower("text"), "\\s+"), lambda w: F.xxhash64(w))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.slice(F.array_sort(F.array_distinct(words)), 1, sketch).alias("_sketch"))
-    order = [*[F.get("_sketch", F.lit(k)) for k in range(sketch)], F.xxhash64("text"), F.col("doc_id")]
-    keyed = rows.select("doc_id", "text", *[c.alias(f"_{k}") for k, c in enumerate(order)])
-    names = [f"_{k}" for k in range(len(order))]
-    return keyed.repartitionByRange(*names).sortWithinPartitions(*names).select("doc_id", "text")
+    order = [*[c for c in encoded.columns if c not in ("doc_id", "ids")], F.xxhash64("ids"), "doc_id"]
+    return encoded.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = 1024, shard_docs: int = 512, shard_tokens: int = 1 << 20) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = 1024, shard_docs: int = 512, shard_tokens: int = 1 << 20, sketch: int = 4) -> DataFrame:
     """Pack every document's ids, ``end_id`` appended, into windows of ``window`` ids.
 
     Returns one row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
@@ -116,7 +161,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, window: in
     def pack(batches):
         from pyspark import TaskContext
 
-        memo, sequence = memo_for(tokenizer_path, spaced=True), TaskContext.get().partitionId() << 40
+        kind, sequence = id_type(memo_for(tokenizer_path, spaced=True), end_id), TaskContext.get().partitionId() << 40
         names, shard, tokens = [], [], 0
 
         def flush():
@@ -131,15 +176,15 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, window: in
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], [c.split()[0] for c in PIECES.split(", ")])
 
         for batch in batches:
-            doc_ids = batch.column("doc_id").to_pylist()
-            for doc_id, ids in zip(doc_ids, text_ids(texts_of(batch, "text"), memo)):
+            for doc_id, packed in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
+                ids = np.frombuffer(packed.as_buffer(), kind).astype("<u4")
                 if shard and (len(shard) >= shard_docs or tokens + len(ids) > shard_tokens):
                     yield flush()
                     names, shard, tokens = [], [], 0
                 names.append(doc_id)
-                shard.append(np.append(ids, np.uint32(end_id)))
-                tokens += len(ids) + 1
+                shard.append(ids)
+                tokens += len(ids)
         if shard:
             yield flush()
 
-    return routed(docs).mapInArrow(pack, PIECES)
+    return routed(stored(encoded_documents(docs, tokenizer_path, end_id, sketch), "packing-ids")).mapInArrow(pack, PIECES)

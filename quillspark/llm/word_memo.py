@@ -25,7 +25,7 @@ BLANK = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205
 UNEVEN = rf"^ | $|{BLANK} | {BLANK}"
 SINGLE = re.compile(r"(?<=\S) (?=\S)")
 PLAIN = re.compile(r"[ -~\nÀ-ɏ]*\Z")
-SLICE_BYTES = 32 << 20
+SLICE_BYTES, MEMO_BYTES, ENTRY_BYTES = 4 << 20, 96 << 20, 200
 
 
 def byte_letters() -> list[str]:
@@ -40,13 +40,15 @@ def byte_letters() -> list[str]:
     return table
 
 
-LETTERS = byte_letters()
+LETTERS = dict(enumerate(byte_letters()))
+STOPS = frozenset(".,;:?")
 
 
 def as_letters(piece: str) -> str:
+    """The piece with each of its bytes as the vocabulary's letter for it."""
     if piece.isascii() and piece.isalnum():
         return piece
-    return "".join([LETTERS[b] for b in piece.encode()])
+    return piece.encode().decode("latin-1").translate(LETTERS)
 
 
 def lowered(text: str) -> str:
@@ -72,46 +74,69 @@ def slices(texts: pa.Array):
         yield texts.slice(at)
 
 
-class UnitIds(dict):
-    """unit -> ids as little-endian uint32 bytes.
+class BoundedMemo(dict):
+    """A map that holds at most twice ``limit`` bytes (``ENTRY_BYTES`` an entry, the key and ``size``).
 
-    At ``limit`` entries the map becomes the older generation and a new one begins, so at most
-    twice ``limit`` entries are held and units in use survive.
+    At ``limit`` the map becomes the older generation and a new one begins, so keys in use survive.
+    What alone takes over a hundredth of ``limit`` is not held.
     """
 
-    def __init__(self, path: str, spaced: bool, limit: int = 600_000):
+    def __init__(self, limit: int = MEMO_BYTES):
+        super().__init__()
+        self.limit, self.held, self.older = limit, 0, {}
+
+    def hold(self, key: str, value, size: int):
+        size += ENTRY_BYTES + len(key)
+        if size * 100 > self.limit:
+            return value
+        if self.held + size > self.limit:
+            self.older, self.held = dict(self), 0
+            self.clear()
+        self[key] = value
+        self.held += size
+        return value
+
+
+class UnitIds(BoundedMemo):
+    """unit -> ids as little-endian uint32 bytes."""
+
+    def __init__(self, path: str, spaced: bool, limit: int = MEMO_BYTES):
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer, self.spaced, self.limit = Tokenizer.from_file(path), spaced, limit
+        super().__init__(limit)
+        self.tokenizer, self.spaced = Tokenizer.from_file(path), spaced
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model, self.older = self.tokenizer.model, {}
+        self.model = self.tokenizer.model
 
     def library(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def merged(self, piece: str) -> bytes:
+        """Ids of a piece between whose parts merges apply."""
         return array("I", [t.id for t in self.model.tokenize(as_letters(piece))]).tobytes()
 
     def pieces(self, unit: str) -> list[str]:
         """The unit's parts between which no merge applies."""
+        return SPACED_PIECES.findall(unit) if self.spaced else word_units(unit)
+
+    def computed(self, unit: str) -> bytes:
+        if "<|" in unit or not (unit.isascii() or PLAIN.match(unit)):
+            return self.library(unit)  # special tokens and rarer scripts: the library sees the unit itself
         if self.spaced:
-            return SPACED_PIECES.findall(unit)
-        return [unit] if unit.isalpha() and unit.islower() and unit.isascii() else word_units(unit)
+            if unit[0] == " " and unit[1:].isalpha():
+                return self.merged(unit)
+        elif unit.isalpha() and unit.islower() and unit.isascii():
+            return self.merged(unit)
+        parts = self.pieces(unit)
+        return self.merged(unit) if parts == [unit] else b"".join([self[p] for p in parts])
 
     def __missing__(self, unit: str) -> bytes:
         if (ids := self.older.get(unit)) is None:
-            if "<|" in unit or not (unit.isascii() or PLAIN.match(unit)):
-                ids = self.library(unit)  # special tokens and rarer scripts: the library sees the unit itself
-            else:
-                parts = self.pieces(unit)
-                ids = self.merged(unit) if parts == [unit] else b"".join([self[p] for p in parts])
-        if len(self) >= self.limit:
-            self.older = dict(self)
-            self.clear()
-        self[unit] = ids
-        return ids
+            if self.spaced and unit[-1] in STOPS and unit[0] == " " and unit[1:-1].isalpha():
+                return self[unit[:-1]] + self[unit[-1]]  # held in parts only
+            ids = self.computed(unit)
+        return self.hold(unit, ids, len(ids))
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> pa.Array:
@@ -158,13 +183,15 @@ def encoded(texts: pa.Array, memo: UnitIds):
         coded = units.dictionary_encode()
         words = [memo[u] if u else b"" for u in coded.dictionary.to_pylist()]
         lengths = np.fromiter(map(len, words), np.int64, len(words)) // 4
-        starts = np.concatenate(([0], np.cumsum(lengths)))[:-1]
         flat, at = np.frombuffer(b"".join(words), "<u4"), np.asarray(coded.indices)
         counts = lengths[at]
         ends = np.cumsum(counts)
-        where = np.repeat(starts[at] - (ends - counts), counts)
-        where += np.arange(len(where))
+        kind = np.int32 if len(flat) + (ends[-1] if len(ends) else 0) < 1 << 31 else np.int64
+        starts = np.concatenate(([0], np.cumsum(lengths)))[:-1]
+        where = np.repeat((starts[at] - (ends - counts)).astype(kind), counts)
+        where += np.arange(len(where), dtype=kind)
         yield flat[where], np.concatenate(([0], ends))[offsets]
+    pa.default_memory_pool().release_unused()
 
 
 def text_ids(texts: pa.Array, memo: UnitIds):
