@@ -1,18 +1,24 @@
 """URL filter: host/path rules, then a path-template tree per host judged by labelled purity.
 
 DataFrame expressions only.  Levels of the tree are aggregated tables, so no host's URLs meet in
-one task; every join back to rows is an equi-join that adaptive execution can split.
+one task; rows of hot hosts, nodes and templates are dealt over many tasks where they are joined.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import join_hot, stored
 
 # Fixed values: (verdict, rule); a rule is a host, with all its subdomains, and a path prefix.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+# Chi-squared at one in a hundred for one and two degrees of freedom, and the divergence a
+# count (in nats) under which branches are alike however many URLs they hold.
+CHI_1, CHI_2, TRIFLE = 6.635, 9.21, 0.02
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -48,34 +54,65 @@ def purity(bad: Column, good: Column, smoothing: float) -> Column:
     return (bad + smoothing) / (bad + good + 2 * smoothing)
 
 
-def template_tree(urls: DataFrame, depth: int, smoothing: float, max_children: int, min_share: float, bins: int) -> DataFrame:
-    """Each distinct (host, s1..) with its template and the template's smoothed purity.
+def divergence(counts: list[Column], pools: list[Column]) -> Column:
+    """The G statistic of counts against the shares of a pool that contains them; 0 where there are none."""
+    total, pool = reduce(add, counts), reduce(add, pools)
+    terms = [F.when(c > 0, c * F.ln(c * pool / (p * total))).otherwise(0.0) for c, p in zip(counts, pools)]
+    return F.round(2 * reduce(add, terms), 6)
+
+
+def alike(counts: list[Column], pools: list[Column], limit: float) -> Column:
+    return divergence(counts, pools) <= F.lit(limit) + reduce(add, counts) * (2 * TRIFLE)
+
 
-    urls: host, s1.., bad, good (0 or 1).  Level by level below a host: rare children of a node with
-    over ``max_children`` of them become ``*``; then children whose smoothed purity falls in the same
-    of ``bins`` equal bins are one branch.
+def branch_labels(tree: DataFrame, key: str, below: str | None, max_children: int, min_share: float) -> DataFrame:
+    """host, template, ``key``, label and n (rows of tree) for each child of each node of a level.
+
+    Rare children of a node with over ``max_children`` of them are one branch, ``*``.  Branches are then
+    compared with the pool of all of their node that have the same most frequent child: where neither
+    the shares of children that end, vary or are named, nor those of bad and good labels, differ
+    by more than chance (G-test) or a trifle, they are one branch, named after the least of them.  A branch without
+    labels can so join a labelled one.  The branch of URLs that end at the node stays alone.
+    """
+    node, child = ["host", "template"], F.col(below) if below else F.lit("")
+    counts = ["ends", "varies", "named", "bad", "good"]
+    kinds = [F.when(child == "", F.col("n")), F.when(child.isin("*", "**"), F.col("n")), F.when(~child.isin("", "*", "**"), F.col("n"))]
+    fine = tree.groupBy(*node, key, child.alias("child")).agg(F.sum("n").alias("cn"), F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.sum(k), F.lit(0)).alias(c) for k, c in zip(kinds, counts)], F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    children = stored(fine.groupBy(*node, key).agg(*[F.sum(c).alias(c) for c in ("cn", "rows", *counts)], F.max(F.struct("cn", "child")).alias("main")), "url-children")
+    parents = children.groupBy(*node).agg(F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).alias("m"), F.sum("cn").alias("pn"))
+    rare = (F.col("m") > max_children) & (F.col("cn") < F.col("pn") * F.lit(min_share)) & (F.col(key) != "")
+    segs = join_hot(children, parents, node, "inner").withColumn("seg", F.when(rare, "*").otherwise(F.col(key)))
+    branches = segs.groupBy(*node, "seg").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in counts], F.max("main").alias("main"))
+    branches = branches.withColumn("mark", F.when(F.col("seg") == "", F.lit(None).cast("string")).otherwise(F.col("main.child")))
+    pools = branches.filter("mark IS NOT NULL").groupBy(*node, "mark").agg(*[F.sum(c).alias(f"all_{c}") for c in counts])
+    mine, theirs = [F.col(c) for c in counts], [F.col(f"all_{c}") for c in counts]
+    same = F.coalesce(alike(mine[:3], theirs[:3], CHI_2) & alike(mine[3:], theirs[3:], CHI_1), F.lit(False))
+    judged = branches.join(pools, [*node, "mark"], "left").withColumn("same", same)
+    groups = judged.filter("same").groupBy(*node, "mark").agg(F.count(F.lit(1)).alias("width"), F.min("seg").alias("least"))
+    label = F.when(F.col("same") & (F.col("width") > 1), F.concat(F.lit("{"), F.col("least"), F.lit("}"))).otherwise(F.col("seg"))
+    labels = judged.join(groups, [*node, "mark"], "left").select(*node, "seg", "n", label.alias("label"))
+    return join_hot(segs.select(*node, key, "seg", "rows"), labels, [*node, "seg"], "inner").select(*node, key, "label", F.col("rows").alias("n"))
+
+
+def template_tree(urls: DataFrame, depth: int, smoothing: float, max_children: int, min_share: float) -> DataFrame:
+    """Each distinct (host, s1..) with its count n, its template and the template's smoothed purity.
+
+    urls: host, s1.., bad, good (0 or 1).  Branches are merged level by level below a host.
     """
     keys = [f"s{k}" for k in range(1, depth + 2)]
     tree = urls.groupBy("host", *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good")).withColumn("template", F.lit(""))
-    for key in keys:
-        tree = stored(tree, "url-tree")  # read four times below
-        node = ["host", "template"]
-        children = tree.groupBy(*node, key).agg(F.sum("n").alias("cn"))
-        parents = children.groupBy(*node).agg(F.count(F.lit(1)).alias("m"), F.sum("cn").alias("pn"))
-        rare = (F.col("m") > max_children) & (F.col("cn") < F.col("pn") * F.lit(min_share))
-        named = children.join(parents, node).select(*node, key, F.when(rare, "*").otherwise(F.col(key)).alias("seg"))
-        tree = tree.join(named, [*node, key])
-        branches = tree.groupBy(*node, "seg").agg(F.sum("bad").alias("b"), F.sum("good").alias("g")).withColumn("bin", F.least(F.floor(purity(F.col("b"), F.col("g"), smoothing) * bins), F.lit(bins - 1)))
-        merged = branches.groupBy(*node, "bin").agg(F.count(F.lit(1)).alias("width"), F.min("seg").alias("least"))
-        label = F.when(F.col("width") == 1, F.col("least")).otherwise(F.concat(F.lit("{"), F.col("bin"), F.lit("}")))
-        branches = branches.join(merged, [*node, "bin"]).select(*node, "seg", label.alias("label"))
-        tree = tree.join(branches, [*node, "seg"]).withColumn("template", F.when(F.col(key) == "", F.col("template")).otherwise(F.concat_ws("/", "template", "label"))).drop("seg", "label")
-    totals = tree.groupBy("host", "template").agg(F.sum("bad").alias("b"), F.sum("good").alias("g"))
-    judged = totals.select("host", "template", purity(F.col("b"), F.col("g"), smoothing).alias("purity"))
-    return tree.join(judged, ["host", "template"]).select("host", *keys, "template", "purity")
-
-
-def url_filter(pages: DataFrame, rules=RULES, depth: int = 3, smoothing: float = 1.0, max_children: int = 16, min_share: float = 0.01, bins: int = 10, reject_at: float = 0.8) -> DataFrame:
+    for key, below in zip(keys, [*keys[1:], None]):
+        tree = stored(tree, "url-tree")
+        labels = branch_labels(tree, key, below, max_children, min_share)
+        named = join_hot(tree, labels, ["host", "template", key], "inner")
+        tree = named.withColumn("template", F.when(F.col(key) == "", F.col("template")).otherwise(F.concat_ws("/", "template", "label"))).drop("label")
+    tree = stored(tree, "url-tree")
+    totals = tree.groupBy("host", "template").agg(F.sum("bad").alias("b"), F.sum("good").alias("g"), F.count(F.lit(1)).alias("n"))
+    judged = totals.select("host", "template", "n", purity(F.col("b"), F.col("g"), smoothing).alias("purity"))
+    return join_hot(tree, judged, ["host", "template"], "inner").select("host", *keys, "n", "template", "purity")
+
+
+def url_filter(pages: DataFrame, rules=RULES, depth: int = 3, smoothing: float = 1.0, max_children: int = 16, min_share: float = 0.01, reject_at: float = 0.8) -> DataFrame:
     """page_id, host, path, rule, verdict, template and purity of every page's url.
 
     URLs that a rule decides are the labelled ones (block is bad, allow is good).  The verdict is the
@@ -90,13 +127,13 @@ def url_filter(pages: DataFrame, rules=RULES, depth: int = 3, smoothing: float =
     found = found.select("page_id", "host", "path", rule.alias("rule"), said.alias("said"), *segments(F.col("path"), depth))
     flag = lambda what: F.coalesce((F.col("said") == what).cast("long"), F.lit(0))
     labelled = found.withColumns({"bad": flag("block"), "good": flag("allow")})
-    tree = stored(template_tree(labelled, depth, smoothing, max_children, min_share, bins), "url-templates")
+    tree = template_tree(labelled, depth, smoothing, max_children, min_share)
     keys = ["host", *[f"s{k}" for k in range(1, depth + 2)]]
     method = F.when(F.col("purity") >= reject_at, "block").otherwise("allow")
-    return found.join(tree, keys).select("page_id", "host", "path", "rule", F.coalesce("said", method).alias("verdict"), "template", F.round("purity", 6).alias("purity"))
+    return join_hot(found, tree, keys, "inner").select("page_id", "host", "path", "rule", F.coalesce("said", method).alias("verdict"), "template", F.round("purity", 6).alias("purity"))
 
 
-def oracle_sql(rules=RULES, depth: int = 3, smoothing: float = 1.0, max_children: int = 16, min_share: float = 0.01, bins: int = 10, reject_at: float = 0.8) -> str:
+def oracle_sql(rules=RULES, depth: int = 3, smoothing: float = 1.0, max_children: int = 16, min_share: float = 0.01, reject_at: float = 0.8) -> str:
     """The same in DuckDB SQL over ``pages``."""
     ordered = sorted(rules, key=lambda r: (-len(r[1]), r[1]))
     keys = [f"s{k}" for k in range(1, depth + 2)]
@@ -117,16 +154,31 @@ r AS (SELECT *, {case(1)} AS rule, {case(0)} AS said, list_filter(string_split(p
 f AS (SELECT page_id, host, path, rule, said, {segs}, CASE WHEN len(parts) > {depth} THEN '**' ELSE '' END AS s{depth + 1},
   CASE WHEN said = 'block' THEN 1 ELSE 0 END AS bad, CASE WHEN said = 'allow' THEN 1 ELSE 0 END AS good FROM r),
 t0 AS (SELECT host, {', '.join(keys)}, count(*) AS n, sum(bad) AS bad, sum(good) AS good, '' AS template FROM f GROUP BY ALL)"""
+    node = "host, template"
+
+    def alike_sql(cols: list[str], limit: float) -> str:
+        total, pool = " + ".join(cols), " + ".join(f"all_{c}" for c in cols)
+        terms = " + ".join(f"CASE WHEN {c} > 0 THEN {c} * ln({c}::DOUBLE * ({pool}) / (all_{c} * ({total}))) ELSE 0.0 END" for c in cols)
+        return f"round(2 * ({terms}), 6) <= {limit} + ({total}) * {2 * TRIFLE}"
+
+    counts = ["ends", "varies", "named", "bad", "good"]
+    sums = ", ".join(f"sum({c}) AS {c}" for c in counts)
     for i, key in enumerate(keys):
+        child = keys[i + 1] if i + 1 < len(keys) else "''"
         sql += f""",
-c{i} AS (SELECT host, template, {key}, sum(n) AS cn FROM t{i} GROUP BY ALL),
-p{i} AS (SELECT host, template, count(*) AS m, sum(cn) AS pn FROM c{i} GROUP BY ALL),
-n{i} AS (SELECT host, template, {key}, CASE WHEN m > {max_children} AND cn < pn * {min_share} THEN '*' ELSE {key} END AS seg FROM c{i} JOIN p{i} USING (host, template)),
-x{i} AS (SELECT * FROM t{i} JOIN n{i} USING (host, template, {key})),
-b{i} AS (SELECT host, template, seg, least(floor({pure('sum(bad)', 'sum(good)')} * {bins}), {bins - 1})::INT AS bin FROM x{i} GROUP BY host, template, seg),
-m{i} AS (SELECT host, template, bin, count(*) AS width, min(seg) AS least_seg FROM b{i} GROUP BY ALL),
-l{i} AS (SELECT host, template, seg, CASE WHEN width = 1 THEN least_seg ELSE '{{' || bin || '}}' END AS label FROM b{i} JOIN m{i} USING (host, template, bin)),
-t{i + 1} AS (SELECT host, {', '.join(keys)}, n, bad, good, CASE WHEN {key} = '' THEN template ELSE template || '/' || label END AS template FROM x{i} JOIN l{i} USING (host, template, seg))"""
+d{i} AS (SELECT {node}, {key}, {child} AS child, sum(n) AS cn, sum(CASE WHEN {child} = '' THEN n ELSE 0 END) AS ends, sum(CASE WHEN {child} IN ('*', '**') THEN n ELSE 0 END) AS varies,
+  sum(CASE WHEN {child} NOT IN ('', '*', '**') THEN n ELSE 0 END) AS named, sum(bad) AS bad, sum(good) AS good FROM t{i} GROUP BY host, template, {key}, {child}),
+c{i} AS (SELECT {node}, {key}, {sums}, max({{'n': cn, 'child': child}}) AS main, sum(cn) AS cn FROM d{i} GROUP BY {node}, {key}),
+p{i} AS (SELECT {node}, count(*) AS m, sum(cn) AS pn FROM c{i} GROUP BY {node}),
+n{i} AS (SELECT c{i}.*, CASE WHEN m > {max_children} AND cn < pn * {min_share} AND {key} <> '' THEN '*' ELSE {key} END AS seg FROM c{i} JOIN p{i} USING ({node})),
+b{i} AS (SELECT {node}, seg, {sums}, CASE WHEN seg = '' THEN NULL ELSE max(main).child END AS mark FROM n{i} GROUP BY {node}, seg),
+o{i} AS (SELECT {node}, mark, {', '.join(f'sum({c}) AS all_{c}' for c in counts)} FROM b{i} WHERE mark IS NOT NULL GROUP BY {node}, mark),
+q{i} AS (SELECT b{i}.{node.replace(', ', f', b{i}.')}, seg, b{i}.mark, coalesce({alike_sql(counts[:3], CHI_2)}, false) AND coalesce(CASE WHEN bad + good = 0 THEN true ELSE {alike_sql(counts[3:], CHI_1)} END, false) AS same
+  FROM b{i} LEFT JOIN o{i} ON b{i}.host = o{i}.host AND b{i}.template = o{i}.template AND b{i}.mark = o{i}.mark),
+m{i} AS (SELECT {node}, mark, count(*) AS width, min(seg) AS least_seg FROM q{i} WHERE same GROUP BY {node}, mark),
+l{i} AS (SELECT q{i}.host, q{i}.template, seg, CASE WHEN same AND width > 1 THEN '{{' || least_seg || '}}' ELSE seg END AS label FROM q{i} LEFT JOIN m{i} ON q{i}.host = m{i}.host AND q{i}.template = m{i}.template AND q{i}.mark = m{i}.mark),
+t{i + 1} AS (SELECT t{i}.host, {', '.join(f't{i}.{k}' for k in keys)}, t{i}.n, t{i}.bad, t{i}.good, CASE WHEN {key} = '' THEN t{i}.template ELSE t{i}.template || '/' || label END AS template
+  FROM t{i} JOIN n{i} USING (host, template, {key}) JOIN l{i} USING (host, template, seg))"""
     last = f"t{len(keys)}"
     return sql + f""",
 j AS (SELECT host, template, {pure('sum(bad)', 'sum(good)')} AS purity FROM {last} GROUP BY host, template),

@@ -179,3 +179,28 @@ def test_hot_keys_are_dealt_out(spark, how):
     want = sorted(map(tuple, rows.join(found.drop("n"), "key", how).select("id", "key", "first").collect()))
     assert sorted(map(tuple, join_hot(rows, found, ["key"], how).select("id", "key", "first").collect())) == want
     assert join_hot(rows.limit(0), found.limit(0), ["key"], how).count() == 0
+
+
+def test_url_tree_blocks_unlabelled_branches(spark):
+    """Labels reach URLs that no rule decides through branches of the same shape, and no others."""
+    rules = [("block", "shop.test/sale/"), ("allow", "shop.test/help/")]
+    urls = [f"http://shop.test/sale/{i}" for i in range(30)] + [f"http://shop.test/offer/{i}" for i in range(5)]
+    urls += [f"http://shop.test/help/{w}/faq" for w in ("pay", "ship", "return")] * 10 + ["http://shop.test/guide/size/faq"] * 4 + ["http://shop.test/", "http://other.test/offer/1"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {urls[r["page_id"]]: (r["verdict"], r["rule"], r["template"]) for r in url_filter(pages, rules).collect()}
+    assert all(got[f"http://shop.test/offer/{i}"] == ("block", None, "/{offer}/*") for i in range(5))
+    assert got["http://shop.test/guide/size/faq"][0] == got["http://shop.test/"][0] == got["http://other.test/offer/1"][0] == "allow"
+
+
+def test_url_branches_with_opposed_labels_stay_apart(spark):
+    rules = [("block", "a.test/x/"), ("allow", "a.test/y/")]
+    urls = [f"http://a.test/x/{i}" for i in range(40)] + [f"http://a.test/y/{i}" for i in range(40)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert {r["template"] for r in url_filter(pages, rules).collect()} == {"/x/*", "/y/*"}
+
+
+def test_url_many_children_and_long_paths(spark):
+    urls = [f"http://a.test/{chr(97 + i % 26)}{chr(97 + i // 26)}x/p" for i in range(300)] + ["http://a.test/" + "long/" * 5000, "http://a.test/" + "q" * 100_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_filter(pages).collect()
+    assert len(got) == len(urls) and all(r["verdict"] == "allow" for r in got)
