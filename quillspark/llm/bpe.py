@@ -142,7 +142,7 @@ def bpe_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
 
 def bpe_encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Per document: doc_id and ids as array<int>."""
+    """Per document: doc_id and ids as array<int>, empty for a null or empty text; rows are kept one for one."""
 
     def encode(batches):
         table = table_for(tokenizer_path)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .word_memo import slices, texts_of
 
 UNKNOWN = "und"
-TABLE = 1 << 16
+TABLE, MOST = 1 << 16, (1 << 63) - 1
 
 
 class Grams:
@@ -70,17 +70,22 @@ def fold_of(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 4
 
 
-def learn_profiles(labelled: DataFrame, size: int = 400, max_documents: int = 20_000) -> dict[str, np.ndarray]:
+def learn_profiles(labelled: DataFrame, size: int = 400, max_documents: int = 5_000) -> dict[str, np.ndarray]:
     """Per language its ``size`` most frequent grams over a bounded sample of (text, lang) rows.
 
-    The sample holds about ``max_documents`` rows, chosen by a hash of the text, so it does not depend
-    on the order of rows; every row is used where there are no more.
+    The sample holds about ``max_documents`` distinct texts of each language, chosen by a hash of the
+    text, so it depends neither on the order of rows nor on their repeats; a language with no more texts
+    is used whole.  Rows of a null text or lang teach nothing; without labelled rows the result is empty.
+    Languages are taken to be few: a count and ``size`` grams of each reach the driver.
     """
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    n = rows.count()
-    share = min(1.0, max_documents / max(n, 1))
-    if share < 1:
-        rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
+    hashed = F.xxhash64("text")
+    texts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct(hashed, 0.02).alias("n")).collect()}
+    least = F.lit(0).cast("long")
+    for lang, n in sorted(texts.items()):
+        if n > max_documents:
+            least = F.when(F.col("lang") == lang, F.lit(MOST - MOST * max_documents // n)).otherwise(least)
+    rows = rows.filter(hashed.bitwiseAND(MOST) >= least).dropDuplicates()
 
     def count(batches):
         grams, held = Grams(), {}
@@ -148,8 +153,13 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = 400)
     return docs.mapInArrow(judge, schema)
 
 
-def held_out_languages(docs: DataFrame, size: int = 400, max_documents: int = 20_000) -> DataFrame:
-    """doc_id, held_out, lang_pred, score; profiles are learned from the folds that are not held out."""
+def held_out_languages(docs: DataFrame, size: int = 400, max_documents: int = 5_000) -> DataFrame:
+    """doc_id, held_out, lang_pred, score; profiles are learned from the folds that are not held out.
+
+    A null doc_id is in no fold and so not held out.  Every row is judged, repeats and all; a text that is
+    null or without letters, or any text where nothing could be learned, is ``und`` with score 0; ties go
+    to the first language by name; an empty table gives no row; other columns are ignored.
+    """
     held_out = F.coalesce(fold_of(F.col("doc_id")) == 2, F.lit(False))
     profiles = learn_profiles(docs.filter(~held_out), size, max_documents)
     said = identify(docs.select("doc_id", "text"), profiles, size)

@@ -7,26 +7,26 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import unused
+
 # The blanks that part words, the symbols that are counted, and boilerplate phrases.
 BLANKS = " \t\n\u000b\f\r"
 SYMBOL = "[#*$%&|<>]"
 MARKS = SYMBOL + "|!!"
 SENTENCE_END = "[.!?:;…\"'”’»)\\]][ \\t-\\r]*$"
 BOILERPLATE = (
-    "accept all cookies",
-    "cookie policy",
-    "enable javascript",
-    "javascript is disabled",
-    "privacy policy",
-    "terms of service",
-    "terms of use",
-    "skip to content",
-    "sign in to continue",
-    "subscribe to our newsletter",
-    "share on facebook",
-    "powered by wordpress",
-    "lorem ipsum",
+    "accept all cookies", "cookie policy", "enable javascript", "javascript is disabled", "privacy policy", "terms of service", "terms of use",
+    "skip to content", "sign in to continue", "subscribe to our newsletter", "share on facebook", "powered by wordpress", "lorem ipsum", "all rights reserved",
+    "this work is licensed under", "released under the", "permission is hereby granted, free of charge",
+    "alle cookies akzeptieren", "cookie-richtlinie", "javascript ist deaktiviert", "datenschutzerklärung", "allgemeine geschäftsbedingungen", "nutzungsbedingungen",
+    "zum inhalt springen", "newsletter abonnieren", "auf facebook teilen", "alle rechte vorbehalten",
+    "accepter tous les cookies", "politique de cookies", "javascript est désactivé", "politique de confidentialité", "conditions d'utilisation", "conditions générales",
+    "aller au contenu", "abonnez-vous à notre newsletter", "partager sur facebook", "tous droits réservés", "mentions légales",
+    "aceptar todas las cookies", "política de cookies", "javascript está desactivado", "política de privacidad", "términos de uso", "condiciones de uso",
+    "saltar al contenido", "suscríbete a nuestro boletín", "compartir en facebook", "todos los derechos reservados", "aviso legal",
 )
+MENU = "[|»›·•→]| [>/] "
+LINK = "(?i)https?://|www\\."
 WINDOW = 8
 
 
@@ -68,10 +68,18 @@ def repeated_words(words: Column) -> Column:
 
 
 def line_passes(line: Column) -> Column:
-    """Navigation: symbols or doubled exclamation marks on over 3 in 10 words.  Punctuation: a line
-    of under 4 words must end a sentence.  Boilerplate: a fixed phrase in a line of at most 30 words."""
-    phrase = reduce(lambda x, y: x | y, [F.contains(F.lower(line), F.lit(p)) for p in BOILERPLATE])
-    passes = lambda n: (F.regexp_count(line, F.lit(MARKS)) * 10 <= n * 3) & ((n >= 4) | line.rlike(SENTENCE_END)) & ((n > 30) | ~phrase)
+    """Punctuation: a line of under 4 words must end a sentence.  Navigation: symbols or doubled
+    exclamation marks on over 3 in 10 words; or a menu, two or more separators between items of at most
+    three words on average; or links on over a third of the words.  Boilerplate: a phrase of the list,
+    in any of four languages, in a line of at most 30 words."""
+    low = F.lower(line)
+
+    def passes(n: Column) -> Column:
+        menus, links = F.regexp_count(line, F.lit(MENU)), F.regexp_count(line, F.lit(LINK))
+        phrase = let(low, lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(p)) for p in BOILERPLATE]))
+        marks = F.regexp_count(line, F.lit(MARKS)) * 10 <= n * 3
+        return marks & ((n >= 4) | line.rlike(SENTENCE_END)) & ~((menus >= 2) & (n <= (menus + 1) * 4)) & (links * 3 <= n) & ((n > 30) | ~phrase)
+
     return let(F.size(F.split(F.btrim(line, F.lit(BLANKS)), " ")), passes)
 
 
@@ -109,7 +117,9 @@ def quality_rules(docs: DataFrame, max_lost: float = 0.5) -> DataFrame:
     )
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text"]
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in added]
-    first = docs.select(*rest, facts.alias("_facts"), lines.alias("_lines"), F.regexp_count(text, F.lit(SYMBOL)).cast("long").alias("n_symbols"))
-    base_failed = (F.col("_facts.n_words") < 20) | (F.col("_facts.n_repeat_words") * 100 > F.col("_facts.n_words") * 30)
-    kept = ~base_failed & (F.col("_lines.before") - F.col("_lines.after") <= F.col("_lines.before") * F.lit(max_lost))
-    return first.select(*rest, "_facts.n_words", "_facts.word_chars", "n_symbols", "_lines.n_dup_lines", "_facts.n_repeat_words", base_failed.alias("base_failed"), kept.alias("kept"), "_lines.clean_text")
+    name = unused([*docs.columns, *added])
+    fact, line = (lambda c: F.col(f"{name('facts')}.{c}")), (lambda c: F.col(f"{name('lines')}.{c}"))
+    first = docs.select(*rest, facts.alias(name("facts")), lines.alias(name("lines")), F.regexp_count(text, F.lit(SYMBOL)).cast("long").alias("n_symbols"))
+    base_failed = (fact("n_words") < 20) | (fact("n_repeat_words") * 100 > fact("n_words") * 30)
+    kept = ~base_failed & (line("before") - line("after") <= line("before") * F.lit(max_lost))
+    return first.select(*rest, fact("n_words"), fact("word_chars"), "n_symbols", line("n_dup_lines"), fact("n_repeat_words"), base_failed.alias("base_failed"), kept.alias("kept"), line("clean_text"))

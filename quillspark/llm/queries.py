@@ -42,7 +42,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return read_ids(write_ids(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, vocabulary=49_408))
+    return read_ids(write_ids(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

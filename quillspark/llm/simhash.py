@@ -16,9 +16,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import join_hot, stored, unused
 
-SEED, BLOCK = 42, 1 << 16
+SEED, BLOCK, LAST = 42, 1 << 16, (1 << 63) - 1
 # The widths of the five blocks that make up 64 bits.
 WIDTHS = (13, 13, 13, 13, 12)
 BUFFER = 1 << 16
@@ -208,10 +208,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not before[0]:
             break
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        floor = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(floor, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = join_hot(both, least, ["a"], "inner").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = stored(large, "stars")
+        floor = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_hot(large, floor, ["a"], "inner").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         now = stored(small.filter("a <> b").distinct(), "stars")
         after = mark(now)
         if after == before:
@@ -225,12 +226,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def labelled(docs: DataFrame, radius: int, shingle: int) -> DataFrame:
     """doc_id, text_key, fp and component_id of every row."""
     rows = stored(fingerprints(docs, shingle), "fingerprints")
-    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-nodes")
+    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")), "fingerprint-nodes")
     root = components(links(nodes, radius))
-    joined = nodes.join(root, nodes["fp"] == root["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = joined.join(smallest, "root").select("fp", "root", "component_id")
-    return rows.join(named, "fp")
+    joined = nodes.join(root, nodes["fp"] == root["node"], "left").select("fp", "first", "rows", F.coalesce("root", "fp").alias("root"))
+    smallest = joined.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    named = join_hot(joined, smallest, ["root"], "inner").select("fp", "root", "component_id", F.col("rows").alias("n"))
+    return join_hot(rows, named, ["fp"], "inner")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
@@ -250,9 +251,13 @@ def keep_one(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
     The row of the smallest doc_id stays, null ids last; among rows that share it, the one of the
     smallest text hash, and one of equal rows.
     """
-    last = F.lit((1 << 63) - 1)
-    key = F.coalesce(F.col("doc_id").cast("long"), last).alias("_key")
-    first = labelled(docs, radius, shingle).select("root", key, "text_key").groupBy("root").agg(F.min(F.struct("_key", "text_key")).alias("r"))
-    chosen = first.select("r._key", F.col("r.text_key").alias("_text_key"))
-    keyed = docs.withColumns({"_key": key, "_text_key": F.xxhash64("text")})
-    return keyed.join(chosen, ["_key", "_text_key"], "left_semi").dropDuplicates(["_key", "_text_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    first = labelled(docs, radius, shingle).select("root", F.coalesce("doc_id", F.lit(LAST)).alias("key"), "text_key").groupBy("root").agg(F.min(F.struct("key", "text_key")).alias("r"))
+    return chosen_rows(docs, first.select("r.key", "r.text_key"))
+
+
+def chosen_rows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each (key, text_key) of ``chosen``: doc_id, ``LAST`` for null, and the text's hash."""
+    name = unused(docs.columns)
+    keys = [name("key"), name("text_key")]
+    keyed = docs.withColumns({keys[0]: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), keys[1]: F.xxhash64("text")})
+    return keyed.join(chosen.toDF(*keys), keys, "left_semi").dropDuplicates(keys).select(*[F.col(f"`{c}`") for c in docs.columns])

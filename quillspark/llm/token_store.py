@@ -114,41 +114,54 @@ class IdReader:
         return np.concatenate(parts) if parts else np.zeros(0, "<u4")
 
 
-MANIFEST = T.StructType([T.StructField(n, t) for n, t in (("part", T.IntegerType()), ("path", T.StringType()), ("docs", T.LongType()), ("ids", T.LongType()))])
+MANIFEST = T.StructType([T.StructField(n, t) for n, t in (("part", T.IntegerType()), ("file", T.IntegerType()), ("path", T.StringType()), ("docs", T.LongType()), ("ids", T.LongType()))])
 
 
-def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, vocabulary: int, block_ids: int = 1 << 16) -> DataFrame:
+def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, vocabulary: int | None = None, block_ids: int = 1 << 16, file_ids: int = 1 << 26, file_docs: int = 1 << 18) -> DataFrame:
     """Encode every text, append ``end_id`` and write files in ascending doc_id order.
 
-    Returns the manifest (part, path, docs, ids), one row a file, ``part`` in doc_id order.  A null
-    text counts as empty; null doc_ids come first; repeated doc_ids each keep their row, texts in
-    order; an empty table gives no file; other columns are ignored.
+    Returns the manifest (part, file, path, docs, ids), one row a file, in doc_id order by part and file.
+    Ids take the bits of ``vocabulary``, by default that of the tokenizer.  A file is closed at ``file_ids``
+    ids or ``file_docs`` documents, so a task holds one block and at most that many document rows.  A null
+    text counts as empty; null doc_ids come first; repeated doc_ids each keep their row, texts in order;
+    an empty table gives no file; other columns are ignored.
     """
     folder = fresh_path(docs.sparkSession, "packed-ids")
 
     def write(batches):
         from pyspark import TaskContext
 
-        memo, writer, uri, n = memo_for(tokenizer_path, spaced=False), None, "", 0
+        memo, writer, uri, file = memo_for(tokenizer_path, spaced=False), None, "", 0
+        n_vocabulary = vocabulary or max(memo.tokenizer.get_vocab_size(), end_id + 1)
+
+        def finish():
+            writer.close()
+            part = TaskContext.get().partitionId()
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": pa.array([file], pa.int32()), "path": [uri], "docs": [len(writer.rows)], "ids": [writer.n_ids]})
+
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
             for doc_id, ids in zip(doc_ids, text_ids(texts_of(batch, "text"), memo)):
                 if writer is None:
                     uri, sink = create(folder, ".ids")
-                    writer = IdWriter(sink, vocabulary, block_ids)
+                    writer = IdWriter(sink, n_vocabulary, block_ids)
                 writer.add(doc_id, np.append(ids, np.uint32(end_id)))
-                n += 1
+                if writer.n_ids >= file_ids or len(writer.rows) >= file_docs:
+                    yield finish()
+                    writer, file = None, file + 1
         if writer:
-            writer.close()
-            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "path": [uri], "docs": [n], "ids": [writer.n_ids]})
+            yield finish()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return stored(ordered.mapInArrow(write, MANIFEST), "packed-ids-manifest")
 
 
 def read_ids(manifest: DataFrame) -> DataFrame:
-    """Per document of the files: doc_id, start (ids before it in all files), n_tokens, ids_crc32."""
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    """Per document of the files: doc_id, start (ids before it in all files), n_tokens, ids_crc32.
+
+    One row for each row that was written, null and repeated doc_ids included; no file gives no row.
+    """
+    before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     files = manifest.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0)))
 
     def read(batches):

@@ -22,7 +22,7 @@ DICTIONARY_FRAME = 0x184D2A5D
 VERSION, END = b"WARC/1.1\r\n", b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 REQUIRED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
-READ = 1 << 20
+READ, STEP = 1 << 20, 1 << 13
 
 
 def digest_of(payload: bytes) -> str:
@@ -117,18 +117,20 @@ def read_archive(stream):
     if len(trained) != size:
         raise ValueError("the dictionary is cut short")
     reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(trained))
-    data = stream.read(READ)
+    data, at = stream.read(READ), 0
     while data:
         frame, parts = reader.decompressobj(), []
         while True:
-            parts.append(frame.decompress(data))
+            piece = data[at : at + STEP]  # a small view, as what a frame leaves of its input is copied
+            parts.append(frame.decompress(piece))
+            at += len(piece) - (len(frame.unused_data) if frame.eof else 0)
+            if at >= len(data):
+                data, at = stream.read(READ), 0
             if frame.eof:
                 break
-            data = stream.read(READ)
             if not data:
                 raise ValueError("the last frame is cut short")
         yield parse_record(b"".join(parts))
-        data = frame.unused_data or stream.read(READ)
 
 
 MANIFEST = T.StructType([T.StructField("path", T.StringType()), T.StructField("records", T.LongType())])
@@ -196,7 +198,11 @@ def write_warc(pages: DataFrame, min_bytes: int = 0, file_bytes: int = 256 << 20
 
 
 def read_warc(manifest: DataFrame) -> DataFrame:
-    """Per record of the archives: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Per record of the archives: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Repeated and null page_ids each keep their record; a record whose headers, lengths or digest are wrong,
+    or an archive that is cut short, raises ValueError; no archive gives no row.
+    """
 
     def read(batches):
         for batch in batches:
@@ -220,7 +226,10 @@ def read_warc(manifest: DataFrame) -> DataFrame:
 
 
 def read_payloads(manifest: DataFrame) -> DataFrame:
-    """page_id and html of every record; a revisit takes the payload of the response it refers to."""
+    """page_id and html of every record; a revisit takes the payload of the response it refers to.
+
+    A null html was written, and is read, as an empty one; repeated and null page_ids keep their rows.
+    """
 
     def read(batches):
         for batch in batches:

@@ -19,13 +19,13 @@ from quillspark.llm.url_filters import url_filter
 from quillspark.llm.warc import read_payloads, read_warc, write_warc
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
-CLASH = "key string, check int, fp long, kept boolean, n_lines long, lang_pred string, seg string, template string, first int"
+CLASH = "key string, check int, fp long, kept boolean, n_lines long, lang_pred string, seg string, template string, first int, _facts int, _lines int, _doc int, _text int, _drop int, _key int, text_key int, _text_key int, _part int, _parts int, _q_doc int, _q_part int, _at int, x int, leaf int"
 SCHEMA = f"doc_id long, text string, lang string, source string, n_chars long, {CLASH}"
 LONG = " ".join(f"word{i % 9973}" for i in range(60_000)) + "."
 
 
 def row(doc_id, text, lang="en"):
-    return (doc_id, text, lang, "src", None if text is None else len(text), "k", 1, 2, False, 3, "x", "s", "t", 4)
+    return (doc_id, text, lang, "src", None if text is None else len(text), "k", 1, 2, False, 3, "x", "s", "t", 4, *range(15))
 
 
 @pytest.fixture(scope="module")
@@ -52,7 +52,10 @@ PER_ROW = {
 
 @pytest.mark.parametrize("name", PER_ROW)
 def test_one_row_each(docs, nothing, name):
-    assert len(PER_ROW[name](docs).collect()) == docs.count()
+    out = PER_ROW[name](docs)
+    assert len(out.collect()) == docs.count()
+    if name in ("quality", "lines"):
+        assert {tuple(r) for r in out.select("_facts", "text_key", "_q_part", "leaf").collect()} == {(0, 6, 11, 14)}
     assert PER_ROW[name](nothing).collect() == []
 
 
@@ -117,6 +120,23 @@ def test_lines_keep_the_first(spark):
     assert got[11][2] == 0 and got[12] == ("", 1, 1)
 
 
+@pytest.mark.parametrize("n", [4, 5, 12, 13, 19, 20, 60, 200])
+def test_lines_of_any_length_generalise(spark, n):
+    """A tenth of the tokens after the leading ones, one at least, may differ; a line of fields alone stays."""
+    words, spare = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}w" for i in range(n)], max(1, n // 10)
+    other = lambda k, word: [*words[:-k], *[word] * k]
+    rows = [row(1, " ".join(words)), row(2, " ".join(other(spare, "else"))), row(3, " ".join(["lead", *words[1:]])), row(4, "1 2 3"), row(5, "4 5 6"), row(6, "own line")]
+    rows += [row(7, " ".join(other(spare + 1, "more")))] if n > spare + 4 else []
+    got = {r["doc_id"]: r["n_dropped"] for r in drop_recurring_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 0, 5: 0, 6: 0} | ({7: 0} if n > spare + 4 else {})
+
+
+@pytest.mark.parametrize("text", ["Menu", "one two"])
+def test_short_lines_recur_like_others(spark, text):
+    got = {r["doc_id"]: r["n_dropped"] for r in drop_recurring_lines(spark.createDataFrame([row(1, text), row(2, text)], SCHEMA)).collect()}
+    assert got == {1: 0, 2: 1}
+
+
 def test_packing_edges(docs, nothing):
     rows = pack_documents(docs, BYTE, 0).collect()
     assert {r["doc_id"] for r in rows} == {1, 2, 3, 4, 5, 6, 7, None}
@@ -204,3 +224,137 @@ def test_url_many_children_and_long_paths(spark):
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     got = url_filter(pages).collect()
     assert len(got) == len(urls) and all(r["verdict"] == "allow" for r in got)
+
+
+@pytest.mark.parametrize("bits", [*range(1, 21), 32])
+def test_packed_widths_and_random_access(tmp_path, bits):
+    from pyarrow import OSFile
+
+    from quillspark.llm.token_store import IdReader, IdWriter, pack, unpack
+
+    rng = np.random.default_rng(bits)
+    docs = [rng.integers(0, 1 << bits, n, dtype=np.uint64).astype("<u4") for n in (0, 1, 77, 300, 1, 129)]
+    for ids in docs:
+        assert unpack(pack(ids, bits), bits, len(ids)).tolist() == ids.tolist()
+    writer = IdWriter(OSFile(str(tmp_path / "f"), "wb"), 1 << bits, block_ids=64)
+    for k, ids in enumerate(docs):
+        writer.add(k, ids)
+    writer.close()
+    reader, flat = IdReader(OSFile(str(tmp_path / "f"), "rb")), np.concatenate(docs)
+    for start, n in [(0, len(flat)), (63, 2), (64, 64), (500, 8), (len(flat), 0), (1, 200)]:
+        assert reader.ids(start, n).tolist() == flat[start : start + n].tolist()
+
+
+def test_id_files_are_bounded(spark):
+    docs = spark.createDataFrame([(k, f"word number {k}") for k in range(40)], "doc_id long, text string").coalesce(1)
+    files = write_ids(docs, WORD, 2, file_ids=20, file_docs=100)
+    assert files.count() > 5 and max(r["ids"] for r in files.collect()) < 40
+    rows = sorted(map(tuple, read_ids(files).collect()))
+    assert [r[0] for r in rows] == list(range(40)) and all(a[1] + a[2] == b[1] for a, b in zip(rows, rows[1:]))
+
+
+def test_bad_archives(spark):
+    import io
+
+    from quillspark.llm.warc import ArchiveWriter, parse_record, read_archive, record_bytes
+
+    class Sink(io.BytesIO):
+        pass
+
+    records = [record_bytes(k, f"http://a/{k}", b"<p>%d</p>" % k * 900, None, "2024-01-01T00:00:00Z") for k in range(300)]
+    sink = Sink()
+    writer = ArchiveWriter(sink, [], 64, 3)
+    for r in records:
+        writer.add(r)
+    data = sink.getvalue()
+    assert [p for _, p in read_archive(io.BytesIO(data))] == [parse_record(r)[1] for r in records]
+    for bad in (data[:-9], b"\0" * 8 + data[8:], data[:12]):
+        with pytest.raises(ValueError):
+            list(read_archive(io.BytesIO(bad)))
+    one = records[0]
+    for bad in (b"HTTP" + one, one.replace(b"WARC-Date", b"WARC-Dote"), one.replace(b"<p>", b"<q>", 1), one[:-1], one.replace(b"WARC-Type: ", b"WARC-Type "), one.replace(b"Content-Length: ", b"Content-Length: 1", 1)):
+        with pytest.raises(ValueError):
+            parse_record(bad)
+
+
+def test_memo_evicts_but_keeps_results():
+    from quillspark.llm.bpe import MergeTable
+    from quillspark.llm.word_memo import UnitIds
+
+    words = [f" w{k}" for k in range(3000)] + [" word.", " naïve,", " x!!", " a1,"]
+    small, large = UnitIds(BYTE, True, limit=40_000), UnitIds(BYTE, True)
+    assert [small[w] for w in words * 2] == [large[w] for w in words * 2]
+    assert len(small) + len(small.older) < 500 and small.held <= 40_000
+    assert b"".join(large[w] for w in words) == large.library("".join(words))
+    a, b = MergeTable(WORD, limit=40_000), MergeTable(WORD)
+    assert [a.encode(w.strip()) for w in words * 2] == [b.encode(w.strip()) for w in words * 2]
+
+
+def test_language_scores_ties_and_no_labels(spark):
+    """Score by the definition of the out-of-place distance; languages learned from equal texts tie."""
+    from collections import Counter
+
+    from quillspark.llm.language_id import identify, learn_profiles
+
+    texts = {"en": "the cat sat on the mat and the dog ran", "de": "der hund und die katze sitzen auf der matte"}
+    docs = spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate(texts.items())], "doc_id long, text string, lang string")
+
+    def ranked(text, size):
+        padded = " " + " ".join(text.split()) + " "
+        grams = Counter(padded[i : i + n] for n in (1, 2, 3) for i in range(len(padded) - n + 1) if padded[i : i + n].strip() and padded[i : i + n][n // 2 if n != 2 else 0 : n if n == 2 else n // 2 + 1].strip())
+        code = lambda g: (len(g) == 2, sum(ord(c) * (c != " ") << 21 * (len(g) - 1 - i) for i, c in enumerate(g)))
+        return [g for g, _ in sorted(grams.items(), key=lambda x: (-x[1], code(x[0])))][:size]
+
+    profiles = learn_profiles(docs, size=40)
+    asked = "the dog and the hund"
+    want = {}
+    for lang, text in texts.items():
+        ranks = {g: i for i, g in enumerate(ranked(text, 40))}
+        mine = ranked(asked, 40)
+        want[lang] = 1 - sum(abs(ranks[g] - i) if g in ranks else 40 for i, g in enumerate(mine)) / (40 * len(mine))
+    got = identify(spark.createDataFrame([(9, asked)], "doc_id long, text string"), profiles, 40).first()
+    assert (got["lang_pred"], round(got["score"], 9)) == max(((k, round(v, 9)) for k, v in want.items()), key=lambda x: x[1])
+    tied = learn_profiles(spark.createDataFrame([("la la", "xx"), ("la la", "aa")], "text string, lang string"))
+    assert identify(docs, tied).first()["lang_pred"] == "aa"
+    assert {(r["lang_pred"], r["score"]) for r in identify(docs, learn_profiles(docs.filter("false"))).collect()} == {("und", 0.0)}
+
+
+def test_sample_is_bounded_by_language(spark):
+    """A hot text counts once, and a rare language is used whole."""
+    from quillspark.llm.language_id import learn_profiles
+
+    rows = [(f"text number {chr(97 + k % 26)}{chr(97 + k // 26 % 26)}", "en") for k in range(600)] + [("hot text", "en")] * 300 + [("rare zzz", "xx")]
+    profiles = learn_profiles(spark.createDataFrame(rows, "text string, lang string"), max_documents=50)
+    assert set(profiles) == {"en", "xx"}
+
+
+def test_quality_by_brute_force(spark):
+    """kept and clean_text of whole texts against the same rules in plain Python."""
+    import re
+
+    from quillspark.llm.quality_rules import BOILERPLATE, LINK, MENU
+
+    from tests.compare import DATA
+
+    def passes(line):
+        n = len(re.split(" ", line.strip(" \t\n\x0b\x0c\r")))
+        if len(re.findall(r"[#*$%&|<>]|!!", line)) * 10 > n * 3:
+            return False
+        if n < 4 and not re.search(r"[.!?:;…\"'”’»)\]][ \t-\r]*$", line):
+            return False
+        menus = len(re.findall(MENU, line))
+        if menus >= 2 and n <= (menus + 1) * 4 or len(re.findall(LINK, line)) * 3 > n:
+            return False
+        return n > 30 or not any(p in line.lower() for p in BOILERPLATE)
+
+    docs = spark.read.parquet(str(DATA / "sf0.01" / "documents.parquet"))
+    changed = 0
+    for r in quality_rules(docs.withColumn("given", F.col("text"))).collect():
+        lines = (r["given"] or "").split("\n")
+        full = [x for x in lines if re.search(r"[^ \t-\r]", x)]
+        stay = [x for x in full if passes(x)]
+        assert r["clean_text"] == "\n".join(x for x in lines if x not in full or x in stay)
+        before, after = sum(map(len, full)), sum(map(len, stay))
+        assert r["kept"] == (not r["base_failed"] and before - after <= before * 0.5)
+        changed += r["kept"] and r["clean_text"] != r["given"]
+    assert changed > 0
