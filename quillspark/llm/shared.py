@@ -47,13 +47,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_hot(rows: DataFrame, found: DataFrame, keys: list[str], how: str, hottest: int = 512, slices: int = 4096) -> DataFrame:
+def join_hot(rows: DataFrame, found: DataFrame, keys: list[str], how: str, hottest: int = 512, slices: int = 4096, shuffled: bool = False) -> DataFrame:
     """``rows.join(found, keys, how)`` for an inner or left join, with hot keys dealt over many tasks.
 
     found holds one row a key, and in ``n`` how many of ``rows`` have that key; n is not returned.  Keys
     with over 1/``hottest`` of the sum of n are cut into parts of about 1/``slices`` of it: their rows are
     numbered into parts, and their row of found is repeated once a part.  Only those keys, of which there
-    are fewer than ``hottest``, are broadcast.
+    are fewer than ``hottest``, are broadcast by name; a small found is broadcast where Spark's size
+    threshold says so, unless ``shuffled`` asks for the one plan that serves every size.
     """
     found = stored(found, "join-keys")
     name = unused([*rows.columns, *found.columns])
@@ -64,7 +65,8 @@ def join_hot(rows: DataFrame, found: DataFrame, keys: list[str], how: str, hotte
     hot = found.filter(is_hot).select(*keys, parts.alias(count))
     dealt = rows.join(F.broadcast(hot), keys, "left").withColumn(part, F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col(count)).cast("int"), F.lit(0))).drop(count)
     each = F.explode(F.sequence(F.lit(0), F.when(is_hot, parts - 1).otherwise(F.lit(0))))
-    return dealt.join(found.withColumn(part, each).drop("n"), [*keys, part], how).drop(part)
+    dealt_out = found.withColumn(part, each).drop("n")
+    return dealt.join(dealt_out.hint("merge") if shuffled else dealt_out, [*keys, part], how).drop(part)
 
 
 def a_task_each(files: DataFrame) -> DataFrame:
