@@ -26,7 +26,7 @@ BOILERPLATE = (
     "saltar al contenido", "suscríbete a nuestro boletín", "compartir en facebook", "todos los derechos reservados", "aviso legal",
 )
 MENU = "[|»›·•→]| [>/] "
-LINK = "(?i)https?://|www\\."
+LINK = "https?://|www\\."
 WINDOW = 8
 
 
@@ -72,13 +72,13 @@ def line_passes(line: Column) -> Column:
     exclamation marks on over 3 in 10 words; or a menu, two or more separators between items of at most
     three words on average; or links on over a third of the words.  Boilerplate: a phrase of the list,
     in any of four languages, in a line of at most 30 words."""
-    low = F.lower(line)
 
     def passes(n: Column) -> Column:
-        menus, links = F.regexp_count(line, F.lit(MENU)), F.regexp_count(line, F.lit(LINK))
-        phrase = let(low, lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(p)) for p in BOILERPLATE]))
+        menus = F.regexp_count(line, F.lit(MENU))
+        links = lambda x: F.when(F.contains(x, F.lit("://")) | F.contains(x, F.lit("www.")), F.regexp_count(x, F.lit(LINK))).otherwise(0)
+        phrase = lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(p)) for p in BOILERPLATE])
         marks = F.regexp_count(line, F.lit(MARKS)) * 10 <= n * 3
-        return marks & ((n >= 4) | line.rlike(SENTENCE_END)) & ~((menus >= 2) & (n <= (menus + 1) * 4)) & (links * 3 <= n) & ((n > 30) | ~phrase)
+        return marks & ((n >= 4) | line.rlike(SENTENCE_END)) & ~((menus >= 2) & (n <= (menus + 1) * 4)) & let(F.lower(line), lambda x: (links(x) * 3 <= n) & ((n > 30) | ~phrase(x)))
 
     return let(F.size(F.split(F.btrim(line, F.lit(BLANKS)), " ")), passes)
 

@@ -343,7 +343,7 @@ def test_quality_by_brute_force(spark):
         if n < 4 and not re.search(r"[.!?:;…\"'”’»)\]][ \t-\r]*$", line):
             return False
         menus = len(re.findall(MENU, line))
-        if menus >= 2 and n <= (menus + 1) * 4 or len(re.findall(LINK, line)) * 3 > n:
+        if menus >= 2 and n <= (menus + 1) * 4 or len(re.findall(LINK, line.lower())) * 3 > n:
             return False
         return n > 30 or not any(p in line.lower() for p in BOILERPLATE)
 
