@@ -21,14 +21,18 @@ MINUTES = (r"\bMinutes\b", r"\bMeeting\s+Called\s+to\s+Order\b", r"\bAdjourned\b
 OFF_TOPIC = ("Brown property", "Brown case", "RV", "cesspool", "septic")
 OFFICIAL = (r"\bDepartment\b", r"\bDOJ\b", r"\bNHDES\b", r"\bNH\s+Secretary\s+of\s+State\b", r"\bAttorney\s+General\b")
 COMMON_WORDS = (
-    *("the be to of and a in that have i it for not on with he as you do at this but his by from they we say her she").split(),
-    *("or an will my one all would there their what so up out if about who get which go me").split(),
-    *("when make can like time no just him know take people into year your good some could them see other").split(),
-    *("than then now look only come its over think also back after use two how our work first well way").split(),
-    *("even new want because any these give day most us").split(),
-    *("town board meeting vote motion member minutes public budget property tax road water fire police school").split(),
-    *("planning zoning permit application hearing approval denied selectmen committee department office resident citizen").split(),
+    "the", "be", "to", "of", "and", "a", "in", "that", "have", "i", "it", "for", "not", "on", "with", "he", "as", "you", "do", "at", "this", "but",
+    "his", "by", "from", "they", "we", "say", "her", "she", "or", "an", "will", "my", "one", "all", "would", "there", "their", "what", "so", "up",
+    "out", "if", "about", "who", "get", "which", "go", "me", "when", "make", "can", "like", "time", "no", "just", "him", "know", "take", "people",
+    "into", "year", "your", "good", "some", "could", "them", "see", "other", "than", "then", "now", "look", "only", "come", "its", "over", "think",
+    "also", "back", "after", "use", "two", "how", "our", "work", "first", "well", "way", "even", "new", "want", "because", "any", "these", "give",
+    "day", "most", "us", "town", "board", "meeting", "vote", "motion", "member", "minutes", "public", "budget", "property", "tax", "road", "water",
+    "fire", "police", "school", "planning", "zoning", "permit", "application", "hearing", "approval", "denied", "selectmen", "committee",
+    "department", "office", "resident", "citizen",
 )
+TOPIC_TOWNS = r"\b(ossipee|conway|north conway|jackson|tamworth|bartlett|madison|albany|chatham|sandwich|effingham|freedom|moultonborough)\b"
+TOPIC_WORDS = r"\b(lot merger|zoning|variance|subdivision|planning board|zba|selectmen|budget|warrant|rsa \d+[:\-]\d+[a-z\-]*|building permit|setback|wetlands)\b"
+STATUTE = r"(?i)\bRSA\s+\d+[-:]?[A-Z]?(?:[-:]\d+)?"
 QUESTIONS = (
     "Is this legal under RSA 91-A and who is liable for damages?",
     "Explain the tax bill, why did my assessment go up?",

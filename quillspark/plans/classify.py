@@ -127,19 +127,23 @@ def bypass_defaults(t: Tables) -> DataFrame:
     return questions(t).filter(starts).select("id", F.lit("simple").alias("complexity"), F.array(F.lit("general"), F.lit("process"), F.lit("policy")).alias("domains"))
 
 
-@query(f"{Q} SELECT id, nullif(regexp_extract(x, '(?i)(conway|ossipee|madison|tamworth)', 1), '') AS town, nullif(regexp_extract(lower(x), '(budget|tax|permit|septic|vote)', 1), '') AS topic FROM q")
-def topic_tag(t: Tables) -> DataFrame:
-    found = lambda c, p: F.nullif(F.regexp_extract(c, p, 1), F.lit(""))
-    return questions(t).select("id", found(F.col("x"), "(?i)(conway|ossipee|madison|tamworth)").alias("town"), found(F.lower("x"), "(budget|tax|permit|septic|vote)").alias("topic"))
+def topic_label(text: Column) -> tuple[Column, Column, Column]:
+    """The first town and topic that a message names, and the note made of them, null without either."""
+    found = lambda p: F.nullif(F.regexp_extract(F.lower(text), p, 1), F.lit(""))
+    town, topic = found(lex.TOPIC_TOWNS), found(lex.TOPIC_WORDS)
+    both = F.concat(F.lit("(Discussing "), town, F.lit(" "), topic, F.lit(")"))
+    return town, topic, F.coalesce(both, F.concat(F.lit("(Topic: "), topic, F.lit(")")), F.concat(F.lit("(Town: "), town, F.lit(")")))
 
 
-def known_words() -> str:
-    """A pattern of the common words, by first letter, as whole runs of letters."""
-    first: dict[str, list[str]] = {}
-    for w in dict.fromkeys(lex.COMMON_WORDS):
-        if len(w) > 1:
-            first.setdefault(w[0], []).append(w[1:])
-    return "(?<![a-z])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in first.items()) + ")(?![a-z])"
+@query(f"""WITH u AS (SELECT 'c' || conv_id AS id, arg_max(text, turn) AS x FROM conversations WHERE role = 'user' GROUP BY conv_id UNION ALL SELECT 'q' || id, x FROM ({Q} SELECT * FROM q)),
+f AS (SELECT id, nullif(regexp_extract(lower(x), '{lex.TOPIC_TOWNS}', 1), '') AS town, nullif(regexp_extract(lower(x), '{lex.TOPIC_WORDS}', 1), '') AS topic FROM u)
+SELECT *, CASE WHEN town IS NOT NULL AND topic IS NOT NULL THEN '(Discussing ' || town || ' ' || topic || ')' WHEN topic IS NOT NULL THEN '(Topic: ' || topic || ')' WHEN town IS NOT NULL THEN '(Town: ' || town || ')' END AS label FROM f""")
+def topic_tag(t: Tables) -> DataFrame:
+    """Of the last user message of each conversation, and of the literal questions."""
+    last = t.conversations.filter("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("x"))
+    rows = last.select(F.concat(F.lit("c"), "conv_id").alias("id"), "x").unionByName(questions(t).select(F.concat(F.lit("q"), "id").alias("id"), "x"))
+    town, topic, label = topic_label(F.col("x"))
+    return rows.select("id", town.alias("town"), topic.alias("topic"), label.alias("label"))
 
 
 def ocr_facts(text: Column) -> Column:
@@ -148,10 +152,10 @@ def ocr_facts(text: Column) -> Column:
     The share of known words counts all of them over at most a hundred.
     """
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]{2,}"), F.lit(0))
-    known = F.regexp_count(F.lower(text), F.lit(known_words()))
+    known = lambda w: F.size(F.filter(w, lambda x: x.isin(*[c for c in lex.COMMON_WORDS if len(c) > 1])))
     counts = F.transform(
         F.array(words),
-        lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("letters"), known.alias("known")),
+        lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("letters"), known(w).alias("known")),
     )[0]
     short = F.length(text) < 50
     blanks = F.regexp_count(text, F.lit(r"\s")) / F.length(text)
@@ -236,11 +240,30 @@ def prose_audit(t: Tables) -> DataFrame:
     return answers(t).select("id", words.alias("words"), (x.rlike(r"(?m)^#+\s+") | x.rlike(r"(?m)^\*\*[^*]+\*\*\s*$")).alias("headings"), x.rlike(r"(?m)^\s*[-•*]\s+").alias("bullets"), F.regexp_count("x", F.lit(r"\[S\d+\]")).alias("state_citations"))
 
 
-@query()
+ANSWERED = f"""WITH s AS (SELECT 'c' || conv_id || '.' || turn AS id, text AS x, '' AS state FROM conversations WHERE role = 'assistant' UNION ALL SELECT 'a' || id, x, '' FROM ({A} SELECT * FROM a) UNION ALL SELECT 'two', 'Under rsa 674:33 and RSA 675:2 the board may act, and RSA 91-A asks that records be open to all [S2].', 'The text of 675:2 is as follows')"""
+
+
+@query(rf"""{ANSWERED}, m AS (SELECT *, regexp_split_to_array(x, '{lex.STATUTE}') AS gaps, regexp_extract_all(x, '{lex.STATUTE}') AS said FROM s),
+e AS (SELECT id, x, state, i, said[i + 1] AS mention, length(array_to_string(gaps[1:i + 1], '')) + length(array_to_string(said[1:i], '')) AS place_at FROM (SELECT *, unnest(range(len(said))) AS i FROM m)),
+n AS (SELECT *, regexp_replace(mention, '(?i)^rsa\s+', '') AS statute FROM e),
+w AS (SELECT *, greatest(place_at - 20, 0) AS a, least(place_at + 34 + length(statute), length(x)) AS z FROM n)
+SELECT id, CAST(i AS INTEGER) AS place, statute, trim(x[a + 1:z]) AS around, NOT regexp_matches(x[a + 1:z], '\[S\d+\]') AND NOT contains(lower(state), lower(statute)) AS uncited FROM w""")
 def uncited_statute(t: Tables) -> DataFrame:
-    """Statutes without a citation from 20 characters before to 30 after: mentions and windows by split positions."""
-    pieces = answers(t).select("id", "x", F.explode(F.regexp_extract_all("x", F.lit(r"((?:.{0,20})\bRSA\s+\d+[-:]?[A-Z]?(?:[-:]\d+)?.{0,30})"), F.lit(1))).alias("around"))
-    return pieces.select("id", F.regexp_extract("around", r"\bRSA\s+(\d+[-:]?[A-Z]?(?:[-:]\d+)?)", 1).alias("statute"), (~F.col("around").rlike(r"\[S\d+\]")).alias("uncited"))
+    """Each statute an answer names, and whether neither a state citation stands from 20 characters before
+    it to 30 after, nor the state passages name it.  Mentions are found first; each window is cut from the
+    whole answer by position, so mentions close together each have their own."""
+    turns = t.conversations.filter("role = 'assistant'").select(F.concat(F.lit("c"), "conv_id", F.lit("."), "turn").alias("id"), F.col("text").alias("x"), F.lit("").alias("state"))
+    two = t.spark.createDataFrame([("two", "Under rsa 674:33 and RSA 675:2 the board may act, and RSA 91-A asks that records be open to all [S2].", "The text of 675:2 is as follows")], "id string, x string, state string")
+    rows = turns.unionByName(answers(t).select(F.concat(F.lit("a"), "id").alias("id"), "x", F.lit("").alias("state"))).unionByName(two)
+    gaps, said = F.split("x", lex.STATUTE, -1), F.regexp_extract_all("x", F.lit(lex.STATUTE), F.lit(0))
+    cut = rows.filter(F.col("x").rlike(lex.STATUTE)).select("id", "x", "state", gaps.alias("gaps"), said.alias("said"))
+    each = cut.select("id", "x", "state", "gaps", "said", F.posexplode("said").alias("place", "mention"))
+    at = F.length(F.array_join(F.slice("gaps", 1, F.col("place") + 1), "")) + F.length(F.array_join(F.slice("said", F.lit(1), F.col("place")), ""))
+    found = each.select("id", "x", "state", "place", F.regexp_replace("mention", r"(?i)^rsa\s+", "").alias("statute"), at.alias("at"))
+    begin, end = F.greatest(F.col("at") - 20, F.lit(0)), F.least(F.col("at") + 34 + F.length("statute"), F.length("x"))
+    around = F.col("x").substr(begin + 1, end - begin)
+    uncited = ~around.rlike(r"\[S\d+\]") & ~F.lower("state").contains(F.lower("statute"))
+    return found.select("id", "place", "statute", F.trim(around).alias("around"), uncited.alias("uncited"))
 
 
 @query(f"{A} SELECT id, list_filter([{', '.join(map(quoted, lex.OFF_TOPIC))}], lambda w: contains(lower(x), lower(w))) AS anchors FROM a")

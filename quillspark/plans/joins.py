@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.operators.relational import n_rows
+from quillspark.operators.relational import join_dealt, n_rows
 from quillspark.registry import query
 from quillspark.sources.tables import Tables
 
@@ -59,13 +59,13 @@ def anti_join_discovery(t: Tables) -> DataFrame:
     return t.documents.select("doc_id").join(t.labels, "doc_id", "left_anti").withColumn("status", F.lit("pending"))
 
 
-@query("""WITH e AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS exact, min(doc_id) OVER (PARTITION BY substr(text, 1, 40)) AS near FROM documents)
+@query("""WITH e AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS exact, min(doc_id) OVER (PARTITION BY substr(text, 1, 15000)) AS near FROM documents)
 SELECT doc_id, CASE WHEN exact < doc_id THEN 'exact_duplicate:' || exact WHEN near < doc_id THEN 'preview_match:' || near END AS warning FROM e""")
 def dedupe_lookup_exact_then_preview(t: Tables) -> DataFrame:
     """The earliest row of the same hash, else of the same preview; aggregates first, so no hot text meets in one task."""
-    rows = t.documents.select("doc_id", F.sha2("text", 256).alias("raw"), F.substring("text", 1, 40).alias("preview"))
-    first = lambda key, name: rows.groupBy(key).agg(F.min("doc_id").alias(name))
-    found = rows.join(first("raw", "exact"), "raw").join(first("preview", "near"), "preview")
+    rows = t.documents.select("doc_id", F.sha2("text", 256).alias("raw"), F.xxhash64(F.substring("text", 1, 15_000)).alias("preview"))
+    first = lambda key, name: rows.groupBy(key).agg(F.min("doc_id").alias(name), F.count(F.lit(1)).alias("n"))
+    found = join_dealt(join_dealt(rows, first("raw", "exact"), "raw"), first("preview", "near"), "preview")
     text = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
     return found.select("doc_id", F.when(F.col("exact") < F.col("doc_id"), text("exact_duplicate", "exact")).when(F.col("near") < F.col("doc_id"), text("preview_match", "near")).alias("warning"))
 

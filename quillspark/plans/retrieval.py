@@ -15,13 +15,15 @@ from quillspark.registry import query
 from quillspark.sources.tables import Tables
 
 ENTITIES, TOPICS, SITUATION = ("thnder", "ation", "zoning"), ("the", "eau", "rsa"), "Thnder ationth the"
-BASE = """WITH base AS (SELECT source AS query_id, CASE WHEN lang IN ('en', 'es') THEN 'local' ELSE 'state' END AS lane, doc_id, substr(text, 1, 4) AS title, substr(text, 1, 300) AS content, (n_chars % 97) / 100.0::DOUBLE AS raw FROM documents),
+BASE = """WITH base AS (SELECT source || '/' || (doc_id // 2000) AS query_id, CASE WHEN lang IN ('en', 'es') THEN 'local' ELSE 'state' END AS lane, doc_id, split_part(text, ' ', 1) AS title, text AS content, (n_chars % 97) / 100.0::DOUBLE AS raw FROM documents),
 chunks AS (SELECT query_id, lane, doc_id, title, content, raw AS score, row_number() OVER (PARTITION BY query_id, lane ORDER BY doc_id) AS pos FROM base)"""
 
 
 def chunks(t: Tables) -> DataFrame:
+    """Whole texts as passages of queries of bounded size: a query is a source's rows of 2000 ids in a row."""
+    query_id = F.concat("source", F.lit("/"), F.floor(F.col("doc_id") / 2000).cast("string"))
     lane = F.when(F.col("lang").isin("en", "es"), "local").otherwise("state")
-    rows = t.documents.select(F.col("source").alias("query_id"), lane.alias("lane"), "doc_id", F.substring("text", 1, 4).alias("title"), F.substring("text", 1, 300).alias("content"), ((F.col("n_chars") % 97) / F.lit(100.0)).alias("score"))
+    rows = t.documents.select(query_id.alias("query_id"), lane.alias("lane"), "doc_id", F.split("text", " ", 2)[0].alias("title"), F.col("text").alias("content"), ((F.col("n_chars") % 97) / F.lit(100.0)).alias("score"))
     return ranked(rows, ["query_id", "lane"], ["doc_id"], "pos")
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillspark.functions.paths import flat_metadata
-from quillspark.plans.classify import capped, needs_ocr, ocr_facts
+from quillspark.plans.classify import capped, needs_ocr, ocr_facts, topic_label, uncited_statute
 from quillspark.sources.tables import Tables
 from quillspark.streaming.jobs import rate_limits
 from tests.compare import DATA
@@ -53,3 +53,30 @@ def test_char_cap(spark):
     }
     rows = spark.createDataFrame([(x,) for x in want], "x string").select("x", capped(F.col("x"), 40).alias("y")).collect()
     assert {r["x"]: r["y"] for r in rows} == want
+
+
+def test_topic_label(spark):
+    want = {
+        "What did the Ossipee planning board say?": "(Discussing ossipee planning board)",
+        "Does RSA 674:33-a allow a variance": "(Topic: rsa 674:33-a)",
+        "news from North Conway": "(Town: north conway)",
+        "the zbas of Eaton": None,
+        "": None,
+    }
+    rows = spark.createDataFrame([(x,) for x in want], "x string").select("x", topic_label(F.col("x"))[2].alias("y")).collect()
+    assert {r["x"]: r["y"] for r in rows} == want
+
+
+def test_statutes_close_together_have_windows_of_their_own(spark):
+    rows = [r for r in uncited_statute(Tables(spark, str(DATA / "sf0.001"))).collect() if r["id"] == "two"]
+    assert [(r["statute"], r["uncited"]) for r in sorted(rows, key=lambda r: r["place"])] == [("674:", True), ("675:", False), ("91-A", True)]
+
+
+def test_hot_keys_join_in_parts(spark):
+    from quillspark.operators.relational import join_dealt
+
+    rows = spark.range(5000).selectExpr("id", "CASE WHEN id < 3000 THEN 'hot' ELSE concat('k', id % 9) END AS key")
+    found = rows.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    want = sorted(map(tuple, rows.join(found.drop("n"), "key").select("id", "first").collect()))
+    assert sorted(map(tuple, join_dealt(rows, found, "key", rows_a_part=100).select("id", "first").collect())) == want
+    assert join_dealt(rows.limit(0), found.limit(0), "key").count() == 0
