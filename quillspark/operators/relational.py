@@ -68,14 +68,14 @@ def best_at_first_place(df: DataFrame, by: list[str], score: str = "score", pos:
     return df.withColumns({"_first": first, "_rank": rank}).filter("_rank = 1").withColumn(pos, F.col("_first")).drop("_first", "_rank")
 
 
-def join_dealt(rows: DataFrame, found: DataFrame, key: str, rows_a_part: int = 1_000_000) -> DataFrame:
-    """``rows.join(found, key)`` where found has one row a key and in ``n`` how many rows have it.
+def join_dealt(rows: DataFrame, found: DataFrame, keys: list[str], rows_a_part: int = 1_000_000) -> DataFrame:
+    """``rows.join(found, keys)`` where found has one row a key and in ``n`` how many rows have it.
 
     Rows of a key with over ``rows_a_part`` of them are dealt over parts, and its row of found is repeated
     once a part.  Only such keys, at most one for each ``rows_a_part`` rows, are broadcast.
     """
     parts = F.ceil(F.col("n") / F.lit(rows_a_part)).cast("int")
-    hot = found.filter(F.col("n") > rows_a_part).select(key, parts.alias("_parts"))
-    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_part", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+    hot = found.filter(F.col("n") > rows_a_part).select(*keys, parts.alias("_parts"))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_part", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
     each = found.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
-    return dealt.join(each, [key, "_part"]).drop("_part")
+    return dealt.join(each, [*keys, "_part"]).drop("_part")

@@ -65,7 +65,7 @@ def dedupe_lookup_exact_then_preview(t: Tables) -> DataFrame:
     """The earliest row of the same hash, else of the same preview; aggregates first, so no hot text meets in one task."""
     rows = t.documents.select("doc_id", F.sha2("text", 256).alias("raw"), F.xxhash64(F.substring("text", 1, 15_000)).alias("preview"))
     first = lambda key, name: rows.groupBy(key).agg(F.min("doc_id").alias(name), F.count(F.lit(1)).alias("n"))
-    found = join_dealt(join_dealt(rows, first("raw", "exact"), "raw"), first("preview", "near"), "preview")
+    found = join_dealt(join_dealt(rows, first("raw", "exact"), ["raw"]), first("preview", "near"), ["preview"])
     text = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
     return found.select("doc_id", F.when(F.col("exact") < F.col("doc_id"), text("exact_duplicate", "exact")).when(F.col("near") < F.col("doc_id"), text("preview_match", "near")).alias("warning"))
 

@@ -78,5 +78,5 @@ def test_hot_keys_join_in_parts(spark):
     rows = spark.range(5000).selectExpr("id", "CASE WHEN id < 3000 THEN 'hot' ELSE concat('k', id % 9) END AS key")
     found = rows.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     want = sorted(map(tuple, rows.join(found.drop("n"), "key").select("id", "first").collect()))
-    assert sorted(map(tuple, join_dealt(rows, found, "key", rows_a_part=100).select("id", "first").collect())) == want
-    assert join_dealt(rows.limit(0), found.limit(0), "key").count() == 0
+    assert sorted(map(tuple, join_dealt(rows, found, ["key"], rows_a_part=100).select("id", "first").collect())) == want
+    assert join_dealt(rows.limit(0), found.limit(0), ["key"]).count() == 0
