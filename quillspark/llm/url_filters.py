@@ -12,7 +12,9 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import join_hot, stored
+from quillspark.operators.relational import join_dealt
+
+from .shared import stored
 
 # Fixed values: (verdict, rule); a rule is a host, with all its subdomains, and a path prefix.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -81,7 +83,7 @@ def branch_labels(tree: DataFrame, key: str, below: str | None, max_children: in
     children = stored(fine.groupBy(*node, key).agg(*[F.sum(c).alias(c) for c in ("cn", "rows", *counts)], F.max(F.struct("cn", "child")).alias("main")), "url-children")
     parents = children.groupBy(*node).agg(F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).alias("m"), F.sum("cn").alias("pn"))
     rare = (F.col("m") > max_children) & (F.col("cn") < F.col("pn") * F.lit(min_share)) & (F.col(key) != "")
-    segs = join_hot(children, parents, node, "inner").withColumn("seg", F.when(rare, "*").otherwise(F.col(key)))
+    segs = join_dealt(children, parents, node).withColumn("seg", F.when(rare, "*").otherwise(F.col(key)))
     branches = segs.groupBy(*node, "seg").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in counts], F.max("main").alias("main"))
     branches = branches.withColumn("mark", F.when(F.col("seg") == "", F.lit(None).cast("string")).otherwise(F.col("main.child")))
     pools = branches.filter("mark IS NOT NULL").groupBy(*node, "mark").agg(*[F.sum(c).alias(f"all_{c}") for c in counts])
@@ -91,7 +93,7 @@ def branch_labels(tree: DataFrame, key: str, below: str | None, max_children: in
     groups = judged.filter("same").groupBy(*node, "mark").agg(F.count(F.lit(1)).alias("width"), F.min("seg").alias("least"))
     label = F.when(F.col("same") & (F.col("width") > 1), F.concat(F.lit("{"), F.col("least"), F.lit("}"))).otherwise(F.col("seg"))
     labels = judged.join(groups, [*node, "mark"], "left").select(*node, "seg", "n", label.alias("label"))
-    return join_hot(segs.select(*node, key, "seg", "rows"), labels, [*node, "seg"], "inner").select(*node, key, "label", F.col("rows").alias("n"))
+    return join_dealt(segs.select(*node, key, "seg", "rows"), labels, [*node, "seg"]).select(*node, key, "label", F.col("rows").alias("n"))
 
 
 def template_tree(urls: DataFrame, depth: int, smoothing: float, max_children: int, min_share: float) -> DataFrame:
@@ -103,13 +105,13 @@ def template_tree(urls: DataFrame, depth: int, smoothing: float, max_children: i
     tree = urls.groupBy("host", *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good")).withColumn("template", F.lit(""))
     for key, below in zip(keys, [*keys[1:], None]):
         tree = stored(tree, "url-tree")
-        labels = branch_labels(tree, key, below, max_children, min_share)
-        named = join_hot(tree, labels, ["host", "template", key], "inner")
+        labels = stored(branch_labels(tree, key, below, max_children, min_share), "url-labels")
+        named = join_dealt(tree, labels, ["host", "template", key])
         tree = named.withColumn("template", F.when(F.col(key) == "", F.col("template")).otherwise(F.concat_ws("/", "template", "label"))).drop("label")
     tree = stored(tree, "url-tree")
     totals = tree.groupBy("host", "template").agg(F.sum("bad").alias("b"), F.sum("good").alias("g"), F.count(F.lit(1)).alias("n"))
     judged = totals.select("host", "template", "n", purity(F.col("b"), F.col("g"), smoothing).alias("purity"))
-    return join_hot(tree, judged, ["host", "template"], "inner").select("host", *keys, "n", "template", "purity")
+    return join_dealt(tree, judged, ["host", "template"]).select("host", *keys, "n", "template", "purity")
 
 
 def url_filter(pages: DataFrame, rules=RULES, depth: int = 3, smoothing: float = 1.0, max_children: int = 16, min_share: float = 0.01, reject_at: float = 0.8) -> DataFrame:
@@ -130,7 +132,7 @@ def url_filter(pages: DataFrame, rules=RULES, depth: int = 3, smoothing: float =
     tree = template_tree(labelled, depth, smoothing, max_children, min_share)
     keys = ["host", *[f"s{k}" for k in range(1, depth + 2)]]
     method = F.when(F.col("purity") >= reject_at, "block").otherwise("allow")
-    return join_hot(found, tree, keys, "inner").select("page_id", "host", "path", "rule", F.coalesce("said", method).alias("verdict"), "template", F.round("purity", 6).alias("purity"))
+    return join_dealt(found, stored(tree, "url-templates"), keys).select("page_id", "host", "path", "rule", F.coalesce("said", method).alias("verdict"), "template", F.round("purity", 6).alias("purity"))
 
 
 def oracle_sql(rules=RULES, depth: int = 3, smoothing: float = 1.0, max_children: int = 16, min_share: float = 0.01, reject_at: float = 0.8) -> str:
