@@ -16,6 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.operators.relational import join_dealt
+
 from .shared import join_hot, stored, unused
 
 SEED, BLOCK, LAST = 42, 1 << 16, (1 << 63) - 1
@@ -209,10 +211,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-        large = join_hot(both, least, ["a"], "inner").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = join_dealt(both, least, ["a"]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = stored(large, "stars")
         floor = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = join_hot(large, floor, ["a"], "inner").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
+        small = join_dealt(large, floor, ["a"]).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         now = stored(small.filter("a <> b").distinct(), "stars")
         after = mark(now)
         if after == before:
