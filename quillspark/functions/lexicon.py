@@ -68,10 +68,10 @@ HEADINGS = (
     ("Bottom line", r"\*\*Bottom line\*\*", 0),
     ("What we know", r"\*\*What (?:we know|happened)(?:\s*\([^)]*\))?\*\*", 5),
     ("What the law generally requires", r"\*\*What the law generally requires\*\*", 5),
-    ("What changes", r"\*\*(?:What changes|What the.*?(?:vote|decision)\s+(?:changes|affects)|How this typically works)\b[^\n]*", 4),
+    ("What changes", r"\*\*(?:What changes|What the.*?(?:vote|decision)\s+(?:changes|affects)|How this typically works)\b", 4),
     ("Unknowns that matter", r"\*\*Unknowns that matter\*\*", 4),
 )
-TAILS = (r"\bnext\s+steps?\b", r"\bconsult\s+counsel\b", r"\byou\s+may\s+wish\s+to\b", r"\bi\s+recommend\b", r"\bwhat\s+to\s+pull\s+next\b", r"\bwhat\s+would\s+clarify\b", r"\bfurther\s+research\b", r"\bseek\s+legal\s+advice\b", r"\bconsider\s+consulting\b")
+TAILS = (r"\bnext\s+steps?\b", r"\bconsult\s+counsel\b", r"\byou\s+may\s+wish\s+to\b", r"\bi\s+recommend\b", r"\bwhat\s+to\s+pull\s+next\b", r"\bwhat\s+would\s+clarify\b", r"\bfurther\s+research\b", r"\bseek\s+legal\s+advice\b", r"\bconsider\s+consulting\b", r"\bassumes?\s+(?:this|it)\s+refers?\s+to\b", r"\bassuming\s+(?:this|it)\s+(?:relates?|refers?)\s+to\b", r"\bthis\s+(?:likely\s+)?refers?\s+to\s+the\b", r"\bpresumably\s+(?:about|related\s+to)\b", r"\bthe\s+analysis\s+assumes\b")
 ABSOLUTE = (r"\bis\s+illegal\b", r"\bwill\s+be\s+liable\b", r"\bmust\s+result\s+in\b", r"\bguaranteed\s+to\b", r"\bwill\s+definitely\b", r"\bis\s+certainly\s+illegal\b", r"\bautomatically\s+(?:liable|responsible)\b")
 PROCEDURES = (r"\bPublic\s+Integrity\s+Unit\s+(?:process|procedure|requires?)\b", r"\bDOJ\s+(?:process|procedure|requires?)\b", r"\bmust\s+file\s+(?:within|by)\s+\d+\s+days?\b", r"\bstatute\s+of\s+limitations?\s+(?:is|requires?)\s+\d+")
 NH_TOWNS = ("Ossipee", "Conway", "Madison", "Freedom", "Tamworth", "Albany", "Sandwich", "Jackson", "Bartlett", "Eaton", "Effingham", "Moultonborough", "Tuftonboro", "Wolfeboro", "Wakefield", "Brookfield", "Chatham", "Hart's Location")
@@ -96,9 +96,56 @@ CLAIMS = (
     "Nothing is certain here.",
     "",
 )
-ANALOGY = (r"as\s+a\s+separate\s+example", r"in\s+an?\s+unrelated\s+(?:matter|case|situation)", r"as\s+an?\s+analogy", r"for\s+comparison", r"in\s+contrast", r"unlike\s+this\s+situation", r"different(?:ly)?\s+from", r"separately")
+ANALOGY = (r"as\s+a\s+separate\s+example", r"in\s+an?\s+unrelated\s+(?:matter|case|situation)", r"this\s+is\s+not\s+the\s+same\s+issue", r"as\s+an?\s+analogy", r"for\s+comparison", r"in\s+contrast", r"unlike\s+this\s+situation", r"different(?:ly)?\s+from", r"separately", r"in\s+another\s+context")
 FACILITY, EVENT, PROPERTY, BOARD = "park|hall|station|library|center|school|department", "vote|meeting|hearing|warrant|session", "property|parcel|lot|subdivision|development|project|trail|road|bridge", "board|commission|committee|trustees"
-SITUATION_WORDS = r"\b(select\s*board|planning\s*board|zoning\s*board|budget\s*committee|school\s*board|trustees|town\s*hall|library|fire\s*station|police\s*station|school|vote|voted|meeting|hearing|warrant|article|motion|park|trail|sidewalk|road|bridge|property|parcel|subdivision|development)\b"
+SITUATION_WORDS = (
+    r"\b(select\s*board|selectboard|planning\s*board|zba|zoning\s*board|conservation\s*commission|budget\s*committee|school\s*board|trustees|recreation\s*committee|heritage\s*commission|library\s*trustees|cemetery\s*trustees|parks?\s*commission)\b",
+    r"\b(town\s*hall|library|fire\s*station|police\s*station|highway\s*department|transfer\s*station|recreation\s*center|community\s*center|senior\s*center|school|elementary|middle\s*school|high\s*school)\b",
+    r"\b(vote|voted|voting|meeting|hearing|warrant|article|motion|approved|denied|tabled|deliberative\s*session|town\s*meeting)\b",
+    r"\b(january|february|march|april|may|june|july|august|september|october|november|december)\s+\d{1,2},?\s*\d{4}\b",
+    r"\b\d{1,2}/\d{1,2}/\d{2,4}\b",
+    r"\b\d{4}-\d{2}-\d{2}\b",
+    r"\b(rsa\s*\d+[-:]\w+|rsa\s*\d+|nh\s*law|statute|ordinance|regulation)\b",
+    r"\b(park|trail|sidewalk|road|bridge|intersection|property|parcel|lot|subdivision|development|construction|renovation|expansion)\b",
+)
+"""Boards, facilities, events, three forms of a date, law, property."""
+SITUATION_DATES = SITUATION_WORDS[3:6]
+EVENT_MARKERS = r"\b(?:vote|meeting|hearing|warrant|decision|controversy|project|dispute|lawsuit|case|issue)\b"
+BROADENING = (r"\bhow\s+does\s+(?:this|it)\s+work\s+(?:statewide|in\s+nh|generally|across)\b", r"\bwhat\s+about\s+other\s+towns?\b", r"\bswitching\s+topics?\b", r"\bdifferent\s+(?:topic|question|subject)\b", r"\bgenerally\s+speaking\b", r"\bin\s+general\b", r"\bacross\s+(?:new\s+hampshire|nh|the\s+state)\b", r"\bstatewide\b")
+POINTED_AT = tuple(f"{w} {n}" for n in ("vote", "decision", "meeting", "case", "situation", "project", "issue", "article", "property") for w in ("that", "the", "this")) + ("as mentioned", "as discussed", "we were discussing", "going back to", "regarding the", "about the earlier")
+PROPER_NOUNS = (
+    r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\s+(?:Park|Board|Committee|Commission|Department|Street|Road|Drive|Avenue|Lane|Court|Project|Property|Case|Center|School|Building|Hill|Lake|Pond|River|Creek|Brook|Bridge|Beach)\b",
+    r"(?i)\b(?:the\s+)?([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\s+(?:vote|motion|amendment|proposal|resolution|ordinance|variance|appeal|hearing|meeting)\b",
+    r"(?i)\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\s+(?:enforcement|violation|complaint|investigation)\b",
+    r"\b(?:Select|Planning|Zoning|School|Library|Conservation)\s+(?:Board|Committee|Commission)\b()",
+    r"(?i)\b([A-Z][a-z]+)(?:'s)?\s+(?:property|land|lot|parcel|home|house|residence|business)\b",
+    r"(?i)\b(?:the\s+)?([A-Z][a-z]+)\s+(?:case|matter|situation|issue)\b",
+    r"(?i)\b(?:the\s+)?(rv|r\.v\.|campground|cesspool|septic|sewage)\s+(?:enforcement|violation|matter|issue|case|problem)\b",
+    r"(?i)\b(?:the\s+)?(\w+)\s+(?:enforcement|violation)\s+(?:case|matter|action)\b",
+    r"(?i)\b(?:the\s+)?(\w+)\s+(?:property|lot)\s+(?:violation|enforcement|dispute)\b",
+    r"(?i)\b(?:re(?:garding)?|concerning|about)\s+(?:the\s+)?(\w+)\s+(?:matter|case|issue)\b",
+)
+COMMON_BOARDS = ("select board", "planning board", "zoning board", "school board")
+ISSUE_PROPERTY = (r"(?i)\b(\d+)\s+([\w\s]+(?:road|street|lane|drive|avenue|way|place|court|circle|boulevard))\b", r"(?i)\bmap\s+\d+\s+lot\s+\d+", r"(?i)\btax\s+map\s+\d+")
+ISSUE_BOARDS = (r"\b(selectboard|selectmen|board\s+of\s+selectmen)\b", r"\b(planning\s+board)\b", r"\b(zoning\s+board|ZBA)\b", r"\b(conservation\s+commission)\b", r"\b(budget\s+committee)\b", r"\b(school\s+board)\b", r"\b(library\s+trustees?)\b", r"\b(town\s+meeting)\b")
+ISSUE_TOPICS = (
+    ("RSA statute", r"\bRSA\s+\d+[:\-]\d+"),
+    ("Right-to-Know law", r"\bRight[\s-]to[\s-]Know"),
+    ("public hearing requirements", r"\bpublic\s+hearing"),
+    ("default budget", r"\bdefault\s+budget"),
+    ("warrant articles", r"\bwarrant\s+article"),
+    ("notice requirements", r"\bnotice\s+requirement"),
+    ("open meeting law", r"\bopen\s+meeting"),
+    ("recusal/conflict of interest", r"\brecusal"),
+    ("voting procedures", r"\bvote|voting"),
+    ("sit-lien", r"\bsit\s*-?\s*lien"),
+    ("zoning variance", r"\bvariance"),
+    ("subdivision", r"\bsubdivision"),
+    ("tax exemption", r"\bexemption"),
+)
+ISSUE_ACTIONS = (r"\b(approved|denied|tabled|continued|voted|granted|rejected)\b", r"\b(appeal|amend|reconsider|rehearing)\b", r"\b(apply|submit|request)\b")
+ISSUE_DATES = SITUATION_DATES[:2]
+ISSUE_SOURCE = "The planning board denied the variance at 12 Moose Hill Road (tax map 12) after a public hearing on March 5, 2024; an appeal is due 4/5/2024."
 MINUTES_NAMES = (r"minutes", r"mtg[\s_-]?\d{4}", r"meeting[\s_-]?\d{4}", r"\b(pb|bos|zba|cc)[\s_-]?\d{1,2}[\s_-]?\d{1,2}[\s_-]?\d{2,4}", r"selectmen.*\d{4}", r"planning.*board.*\d{4}")
 MINUTES_TEXT = (r"meeting\s+minutes", r"minutes\s+of\s+(the\s+)?meeting", r"board\s+of\s+selectmen\s+meeting\s*minutes", r"planning\s+board\s+meeting\s*minutes", r"zoning\s+board\s+of\s+adjustment\s+meeting\s*minutes", r"budget\s+committee\s+meeting\s*minutes", r"conservation\s+commission\s+meeting\s*minutes", r"regular\s+meeting", r"special\s+meeting", r"work\s+session", r"call\s+to\s+order", r"roll\s+call", r"members\s+present:", r"meeting\s+called\s+to\s+order")
 TEXT_BOARDS = (("Planning Board", r"planning\s+board"), ("Board of Selectmen", r"board\s+of\s+selectmen"), ("Select Board", r"select\s*board"), ("Zoning Board of Adjustment", r"zoning\s+board\s+of\s+adjustment|\bzba\b"), ("Budget Committee", r"budget\s+committee"), ("Conservation Commission", r"conservation\s+commission"), ("School Board", r"school\s+board"), ("Heritage Commission", r"heritage\s+commission"), ("Recreation Commission", r"recreation\s+commission"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import lexicon as lex
 from quillspark.functions.paths import UPLOAD_CATEGORIES
-from quillspark.functions.text import first_match, ladder_sql
-from quillspark.plans.classify import Q, answers, any_pattern, any_pattern_sql, any_word_sql, questions, quoted, values
+from quillspark.functions.text import contains_any, first_match, ladder_sql
+from quillspark.plans.classify import Q, answers, any_pattern, any_pattern_sql, any_word_sql, questions, quoted, turns, values
 from quillspark.registry import query
 from quillspark.sources.tables import Tables
 
@@ -98,12 +100,26 @@ def question_domain(t: Tables) -> DataFrame:
 SITUATION = ("Septic vote", ("septic", "board"))
 
 
-@query(f"{Q}, s AS (SELECT id, (contains(lower(x), 'septic')::INT + contains(lower(x), 'board')::INT) * 2 + 0.5 * (contains(lower(x), 'septic')::INT + contains(lower(x), 'vote')::INT) AS hit, coalesce({ladder_sql('lower(x)', lex.DOMAINS)}, 'environmental') <> 'environmental' AS other FROM q) SELECT id, (hit - CASE WHEN other AND hit = 0 THEN 2 ELSE 0 END)::DOUBLE AS score, hit >= 2 AS used FROM s")
+POINTED_SQL = any_word_sql(lex.POINTED_AT)
+OWN_SQL = any_word_sql([p + e for e in SITUATION[1] for p in ("the ", "that ", "this ")])
+
+
+@query(f"{Q}, s AS (SELECT id, contains(lower(x), 'septic')::INT + contains(lower(x), 'board')::INT + 0.5 * (contains(lower(x), 'septic')::INT + contains(lower(x), 'vote')::INT) + {POINTED_SQL}::INT + 1.5 * {OWN_SQL}::INT AS hit, coalesce({ladder_sql('lower(x)', lex.DOMAINS)}, 'environmental') <> 'environmental' AS other FROM q) SELECT id, (hit - CASE WHEN other AND hit = 0 THEN 2 ELSE 0 END)::DOUBLE AS score, hit >= 2 AS used FROM s")
 def situation_gate(t: Tables) -> DataFrame:
-    """Question against situation: entities count two, title words a half, a foreign domain without a match minus two; used from two on."""
+    """Question against situation, used from two points on.
+
+    An entity counts one (a half by a long word of it), a long title word a half, a pointing phrase one, an entity
+    pointed at one and a half; a foreign domain without any match minus two.
+    """
     low, (title, entities) = F.lower("x"), SITUATION
-    hit = sum([low.contains(e).cast("int") * 2 for e in entities], F.lit(0.0)) + sum([low.contains(w).cast("int") * 0.5 for w in title.lower().split() if len(w) > 3], F.lit(0.0))
-    other = F.coalesce(first_match(low, lex.DOMAINS), F.lit("environmental")) != "environmental"
+    long_words = lambda x: [w for w in x.lower().split() if len(w) > 3]
+    points = [F.when(low.contains(e), 1.0).when(contains_any(low, long_words(e) or [e]), 0.5).otherwise(0.0) for e in entities]
+    points += [F.when(low.contains(w), 0.5).otherwise(0.0) for w in long_words(title)]
+    points += [F.when(contains_any(low, lex.POINTED_AT), 1.0).otherwise(0.0)]
+    points += [F.when(contains_any(low, [p + e for e in entities for p in ("the ", "that ", "this ")]), 1.5).otherwise(0.0)]
+    hit = sum(points, F.lit(0.0))
+    own = next(name for name, words in lex.DOMAINS if any(w in " ".join([title, *entities]).lower() for w in words))
+    other = F.coalesce(first_match(low, lex.DOMAINS), F.lit(own)) != own
     return questions(t).select("id", (hit - F.when(other & (hit == 0), 2.0).otherwise(0.0)).alias("score"), (hit >= 2).alias("used"))
 
 
@@ -115,17 +131,38 @@ def doc_source_classify(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.when(state, "statewide").otherwise("local").alias("kind"), F.when(~state, F.regexp_extract(name, r"\| (.*)$", 1)).alias("town"))
 
 
-def entities_of(x: Column, n: int = 10) -> Column:
-    return F.slice(F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit(lex.SITUATION_WORDS), F.lit(1))), 1, n)
+def all_of(x: Column, patterns, group: int = 0) -> Column:
+    """What each pattern matches, in the patterns' order."""
+    return F.concat(*[F.regexp_extract_all(x, F.lit(p), F.lit(group)) for p in patterns])
+
+
+def entities_of(x: Column) -> Column:
+    found = all_of(x, [f"(?i){p}" for p in lex.SITUATION_WORDS])
+    return F.array_distinct(F.transform(found, lambda e: F.trim(F.regexp_replace(e, r"\s+", " "))))
 
 
 @query()
 def issue_map(t: Tables) -> DataFrame:
-    """Entities, boards, legal topics and dates of a question, each distinct, in order and capped."""
-    low = F.lower("x")
-    pick = lambda words, n: F.slice(F.filter(F.array(*[F.lit(w.lower()) for w in words]), lambda w: low.contains(w)), 1, n)
-    dates = F.slice(F.array_distinct(F.regexp_extract_all("x", F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1))), 1, 3)
-    return questions(t).select("id", entities_of(F.col("x")).alias("entities"), F.filter(entities_of(F.col("x")), lambda e: e.rlike(lex.BOARD)).alias("boards"), pick(lex.LEGAL_WORDS, 5).alias("legal_topics"), dates.alias("dates"))
+    """Property, boards, legal topics, actions and dates of a question, its situation and the first 2000 characters of each source."""
+    title, entities = SITUATION
+    sources = F.array(F.lit(lex.ISSUE_SOURCE))
+    heads = F.transform(sources, lambda x: F.substring(x, 1, 2000))
+    x = F.col("text")
+    boards = F.array_compact(F.array(*[F.lower(F.nullif(F.regexp_extract(x, f"(?i){p}", 0), F.lit(""))) for p in lex.ISSUE_BOARDS]))
+    topics = F.array_compact(F.array(*[F.when(x.rlike(f"(?i){p}"), n) for n, p in lex.ISSUE_TOPICS]))
+    actions = all_of(F.lower(x), lex.ISSUE_ACTIONS)
+    dates = F.concat(*[F.slice(all_of(x, [f"(?i){p}"]), 1, 3) for p in lex.ISSUE_DATES])
+    most = lambda xs, n: F.slice(F.array_distinct(xs), 1, n)
+    rows = questions(t).select("id", F.concat_ws(" ", F.col("x"), F.lit(title), *map(F.lit, entities), heads).alias("text"))
+    return rows.select(
+        "id",
+        most(F.array(*map(F.lit, entities)), 10).alias("entities"),
+        most(actions, 5).alias("actions"),
+        most(topics, 5).alias("legal_topics"),
+        most(boards, 4).alias("boards"),
+        first_found(x, lex.ISSUE_PROPERTY).alias("property"),
+        most(dates, 3).alias("dates"),
+    )
 
 
 HINT = "Ossipee"
@@ -177,88 +214,182 @@ def situation_title(t: Tables) -> DataFrame:
     return questions(t).select("id", title_of(entities_of(F.col("x"))).alias("title"))
 
 
+def transition(x: Column, held: Column, artifact: Column) -> Column:
+    """What a message does to the entities held (null: no situation yet): the first rule that fits decides.
+
+    clear: it speaks of things in general.  start: no situation, and two entities or an attached document.  none: no
+    situation and too little for one.  update: two entities that are new and an event.  keep: an entity in common.
+    continue: anything else.
+    """
+    e = entities_of(x)
+    lower = F.transform(held, F.lower)
+    fresh = F.filter(e, lambda w: ~F.array_contains(lower, F.lower(w)))
+    shared = F.exists(e, lambda w: F.exists(lower, lambda h: h.contains(F.lower(w)) | F.lower(w).contains(h)))
+    dates = all_of(x, [f"(?i){p}" for p in lex.SITUATION_DATES])
+    action = (
+        F.when(any_pattern(x, lex.BROADENING), "clear")
+        .when(held.isNull() & ((F.size(e) >= 2) | artifact), "start")
+        .when(held.isNull(), "none")
+        .when((F.size(fresh) >= 2) & x.rlike(f"(?i){lex.EVENT_MARKERS}"), "update")
+        .when(shared, "keep")
+        .otherwise("continue")
+    )
+    return F.struct(action.alias("action"), e.alias("found"), F.get(dates, F.lit(0)).alias("first_day"), F.when(F.size(dates) > 1, F.element_at(dates, -1)).alias("last_day"))
+
+
+CONFIDENCE = {"clear": 0.3, "start": 0.7, "none": 0.5, "update": 0.8, "keep": 0.85, "continue": 0.7}
+HELD = (("none", None, False), ("artifact", None, True), ("committee", ["budget committee", "vote"], False))
+
+
+def moved(rows: DataFrame) -> DataFrame:
+    """Rows of (x, held, artifact) with the transition and the situation after it."""
+    rows = rows.withColumn("m", transition(F.col("x"), F.col("held"), F.col("artifact")))
+    action = rows["m.action"]
+    entities = F.when(action == "start", rows["m.found"]).when(action == "update", F.array_union("held", "m.found")).when(action.isin("keep", "continue"), F.col("held"))
+    sure = F.when((action == "start") & F.col("artifact"), 0.9)
+    for name, value in CONFIDENCE.items():
+        sure = sure.when(action == name, value)
+    rows = rows.withColumns({"action": action, "entities": entities, "confidence": sure})
+    return rows.withColumn("title", F.when(action.isin("start", "update"), title_of(F.col("entities"))))
+
+
 @query()
 def situation_extract(t: Tables) -> DataFrame:
-    """What a message does to a stored situation (here about the budget committee's vote): clear, update, keep."""
-    held = F.array(F.lit("budget committee"), F.lit("vote"))
-    e = entities_of(F.col("x"))
-    fresh = F.filter(e, lambda x: ~F.array_contains(held, x))
-    shared = F.filter(e, lambda x: F.exists(held, lambda h: h.contains(x) | x.contains(h)))
-    broad = F.lower("x").rlike(r"\b(in general|generally|overall|any town)\b")
-    event = F.lower("x").rlike(lex.EVENT)
-    update = (F.size(fresh) >= 2) & event
-    action = F.when(broad, "clear").when(update, "update").otherwise("keep")
-    confidence = F.when(broad, 0.3).when(update, 0.8).when(F.size(shared) > 0, 0.85).otherwise(0.7)
-    return questions(t).select("id", action.alias("action"), F.when(update, F.array_union(held, e)).when(~broad, held).alias("entities"), confidence.alias("confidence"))
+    """Each message against no situation, an attached document, and the budget committee's vote."""
+    strings = lambda words: F.array(*map(F.lit, words)) if words else F.lit(None).cast("array<string>")
+    held = F.array(*[F.struct(F.lit(k).alias("held_id"), strings(words).alias("held"), F.lit(a).alias("artifact")) for k, words, a in HELD])
+    rows = questions(t).select("id", "x", F.inline(held))
+    dated = F.col("action").isin("start", "update")
+    return moved(rows).select("id", "held_id", "action", "title", "entities", F.when(dated, F.col("m.first_day")).alias("first_day"), F.when(dated, F.col("m.last_day")).alias("last_day"), "confidence")
 
 
 def drift_of(x: Column) -> Column:
-    """Anchors outside the situation that no analogy phrase within 200 characters frames, and the situation's coverage."""
+    """Names foreign to the situation, those of them that no analogy phrase within 200 characters frames, and the situation's coverage."""
+    _, entities = SITUATION
     low = F.lower(x)
-    near = lambda w: F.substr(low, F.greatest(F.lit(1), F.instr(low, F.lower(w)) - 200), F.lit(400) + F.length(w))
-    foreign = F.filter(F.array(*[F.lit(w) for w in lex.OFF_TOPIC]), lambda w: low.contains(F.lower(w)) & ~any_pattern(near(w), lex.ANALOGY))
-    title, entities = SITUATION
-    coverage = (low.contains("board").cast("int") + low.contains("vote").cast("int")) / 2
-    lost = coverage < 0.4
-    severity = F.when(((coverage < 0.2) & (F.size(foreign) >= 1)) | (F.size(foreign) >= 3) | lost, "major").when(F.size(foreign) > 0, "minor").otherwise("none")
-    return F.struct(foreign.alias("foreign"), coverage.alias("coverage"), severity.alias("severity"))
+    long_words = lambda e, n: [w for w in e.lower().split() if len(w) > n]
+    own = [w for e in entities for w in long_words(e, 2)]
+    named = F.filter(F.array_distinct(F.transform(F.concat(all_of(x, lex.PROPER_NOUNS, 1), all_of(x, lex.PROPER_NOUNS)), F.trim)), lambda e: F.length(e) > 2)
+    alike = lambda w: reduce(lambda p, q: p | q, [w.contains(o) | F.lit(o).contains(w) for o in own])
+    part = lambda e: F.exists(F.split(F.lower(e), r"\s+"), lambda w: (F.length(w) > 2) & alike(w))
+    foreign = F.filter(named, lambda e: ~part(e) & ~contains_any(F.lower(e), lex.COMMON_BOARDS))
+    at = lambda e: F.instr(low, F.lower(e))
+    near = lambda e: F.substr(x, F.greatest(F.lit(1), at(e) - 200), F.least(at(e) - 1, F.lit(200)) + F.length(e) + 200)
+    unframed = F.filter(foreign, lambda e: ~any_pattern(near(e), lex.ANALOGY))
+    points = [F.when(low.contains(e), 1.0).when(contains_any(low, long_words(e, 3) or [e]), 0.5).otherwise(0.0) for e in entities]
+    return F.struct(F.sort_array(foreign).alias("foreign"), F.sort_array(unframed).alias("unframed"), (sum(points, F.lit(0.0)) / len(entities)).alias("coverage"))
+
+
+def with_severity(rows: DataFrame) -> DataFrame:
+    """A coverage under 0.4 is drift by itself, and major."""
+    rows = rows.select("id", "d.*")
+    many, low = F.size("unframed"), F.col("coverage") < 0.4
+    drift = (many > 0) | low
+    major = low | (many >= 3)
+    return rows.select("id", F.when(drift, F.col("unframed")).otherwise(F.col("foreign")).alias("drifted_to"), (many > 0).alias("unframed"), F.col("coverage"), F.when(drift & major, "major").when(drift, "minor").otherwise("none").alias("severity"))
 
 
 @query()
 def drift_detect(t: Tables) -> DataFrame:
-    return answers(t).select("id", drift_of(F.col("x")).alias("d")).select("id", "d.*")
+    return with_severity(answers(t).select("id", drift_of(F.col("x")).alias("d")))
 
 
 @query()
 def should_regenerate(t: Tables) -> DataFrame:
-    d = drift_of(F.col("x"))
-    return answers(t).select("id", ((d["severity"] == "major") | (F.size(d["foreign"]) > 0)).alias("regenerate"))
+    rows = with_severity(answers(t).select("id", drift_of(F.col("x")).alias("d")))
+    return rows.select("id", ((F.col("severity") == "major") | F.col("unframed")).alias("regenerate"))
 
 
-L = values("a", lex.LISTS)
+def lists(t: Tables) -> DataFrame:
+    return turns(t, "assistant", lex.LISTS)
 
 
-def lists(t: Tables) -> DataFrame:
-    return t.rows("id int, x string", *enumerate(lex.LISTS))
+SECTIONS = [name for name, _, _ in lex.HEADINGS]
+BULLET = r"^\s*[-•*]\s+"
+
 
+def heading(x: Column, place: int) -> Column:
+    """Where a heading first stands, in the first of its four forms that occurs: marked, numbered, plain line, hashed line."""
+    name, pattern, limit = lex.HEADINGS[place]
+    forms = [f"(?i){pattern}", rf"(?i)\d+\.\s*\*\*{name}[^*]*\*\*[:\s]*", rf"(?im)^{name}[:\s]+", rf"(?im)^#+\s*{name}[:\s]*"]
+    seen = lambda p: F.struct(F.regexp_instr(x, F.lit(p)).alias("at"), F.lit(place).alias("place"), F.lit(name).alias("name"), F.lit(limit).alias("limit"), F.length(F.regexp_extract(x, p, 0)).alias("n"))
+    return F.coalesce(*[F.when(x.rlike(p), seen(p)) for p in forms])
 
-def sections_of(x: Column) -> Column:
-    """(name, limit, content) of each section, in text order: from the end of a heading to the next heading."""
-    any_heading = "(?i)(?:" + "|".join(p for _, p, _ in lex.HEADINGS) + ")"
-    body = lambda p: F.get(F.split(F.regexp_extract(x, f"(?is){p}(.*)", 1), any_heading), F.lit(0))
-    at = lambda p: F.length(F.regexp_extract(x, f"(?is)^(.*?){p}", 1))
-    parts = [F.when(x.rlike(f"(?i){p}"), F.struct(at(p).alias("at"), F.lit(k).alias("place"), F.lit(n).alias("name"), F.lit(limit).alias("limit"), F.trim(F.regexp_replace(body(p), r"^\s+|\s+$", "")).alias("content"))) for k, (n, p, limit) in enumerate(lex.HEADINGS)]
-    return F.sort_array(F.array_compact(F.array(*parts)))
+
+def stripped(x: Column) -> Column:
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
+
+
+def with_sections(rows: DataFrame) -> DataFrame:
+    """``s``: (at, place, name, limit, content) of each section in text order; it ends where the next heading starts."""
+    heads = F.sort_array(F.array_compact(F.array(*[heading(F.col("x"), k) for k in range(len(SECTIONS))])))
+    rows = rows.withColumn("heads", heads)
+    end = lambda k: F.coalesce(F.get("heads", k + 1)["at"], F.length("x") + 1)
+    body = lambda h, k: stripped(F.substr("x", h["at"] + h["n"], F.greatest(F.lit(0), end(k) - h["at"] - h["n"])))
+    return rows.withColumn("s", F.transform("heads", lambda h, k: F.struct(h["at"].alias("at"), h["place"].alias("place"), h["name"].alias("name"), h["limit"].alias("limit"), body(h, k).alias("content")))).drop("heads")
+
+
+def content_of(name: str) -> Column:
+    return F.coalesce(F.get(F.filter("s", lambda y: y["name"] == name), F.lit(0))["content"], F.lit(""))
+
+
+def is_bullet(line: Column) -> Column:
+    return line.rlike(BULLET)
 
 
 @query()
 def extract_sections(t: Tables) -> DataFrame:
-    return lists(t).select("id", F.posexplode(sections_of(F.col("x"))).alias("pos", "s")).select("id", "pos", "s.name", "s.content")
+    return with_sections(lists(t)).select("id", F.posexplode("s").alias("pos", "s")).select("id", "pos", "s.name", "s.content")
+
+
+def uncited_in(law: Column) -> Column:
+    """Statutes of the law section with no state citation from 20 characters before their first mention to 30 after it."""
+    near = lambda m: F.substr(law, F.greatest(F.lit(1), F.instr(law, m) - 20), F.least(F.instr(law, m) - 1, F.lit(20)) + F.length(m) + 30)
+    return F.filter(F.regexp_extract_all(law, F.lit(r"(?i)\bRSA\s+\d+[-:A-Z]?"), F.lit(0)), lambda m: ~near(m).rlike(r"\[S\d+\]"))
+
 
+def audited(rows: DataFrame) -> DataFrame:
+    """Counts and violations of list-style answers, whose questions all had state passages.
 
-def audit_of(x: Column) -> Column:
-    s = sections_of(x)
-    bullets = lambda text: F.filter(F.split(text, "\n"), lambda y: y.rlike(r"^\s*[-•*]\s+"))
-    crowded = F.size(F.filter(s, lambda y: F.size(bullets(y["content"])) > y["limit"]))
-    long = F.size(F.filter(bullets(x), lambda y: F.size(words_of(y)) > 20))
-    places = F.transform(s, lambda y: y["place"])
-    ordered = places == F.sort_array(places)
-    law = F.exists(s, lambda y: (y["name"] == "What the law generally requires") & y["content"].rlike(r"\[S\d+\]"))
-    tails = any_pattern(x, lex.TAILS)
-    words = F.size(words_of(x))
-    n = (words > 500).cast("int") + (F.size(s) < len(lex.HEADINGS)).cast("int") + (~ordered).cast("int") + crowded + long + tails.cast("int") + (~law).cast("int")
-    score = F.size(s) * 10 + F.when(law, 20).otherwise(0) - n * 2 - F.when(tails, 10).otherwise(0) - F.when(words < 150, 30).otherwise(0) + F.when(words.between(200, 500), 15).otherwise(0)
-    return F.struct(words.alias("words"), F.size(s).alias("headings"), ordered.alias("ordered"), law.alias("law_cited"), tails.alias("tails"), n.alias("violations"), score.alias("score"), ((F.size(s) == len(lex.HEADINGS)) & (words >= 150)).alias("complete"))
+    Violations: over 500 words; headings missing; headings out of order; each section over its bullets; each bullet
+    over 20 words; under two state citations in the law section; each statute there without one near; closing phrases;
+    user citations in a section.  The first, the sixth and the seventh are errors.
+    """
+    rows = with_sections(rows)
+    bullets = lambda y: F.filter(F.split(y["content"], "\n"), is_bullet)
+    law = content_of("What the law generally requires")
+    order = F.array_sort("s", lambda p, q: p["place"] - q["place"])
+    ats = F.transform(order, lambda y: y["at"])
+    rows = rows.select(
+        "id",
+        F.size(words_of(F.col("x"))).alias("words"),
+        F.size("s").alias("headings"),
+        (ats == F.sort_array(ats)).alias("ordered"),
+        F.size(F.filter("s", lambda y: F.size(bullets(y)) > y["limit"])).alias("crowded"),
+        F.size(F.filter(F.flatten(F.transform("s", bullets)), lambda b: F.size(words_of(b)) > 20)).alias("long"),
+        F.regexp_count("x", F.lit(r"\[S\d+\]")).alias("state_citations"),
+        (F.regexp_count(law, F.lit(r"\[S\d+\]")) >= 2).alias("law_cited"),
+        F.size(uncited_in(law)).alias("uncited"),
+        any_pattern(F.col("x"), lex.TAILS).alias("tails"),
+        F.exists("s", lambda y: y["content"].contains("[USER]")).alias("user_misplaced"),
+    )
+    wordy = F.col("words") > 500
+    flags = [wordy, F.col("headings") < len(SECTIONS), ~F.col("ordered"), ~F.col("law_cited"), F.col("tails"), F.col("user_misplaced")]
+    n = sum([f.cast("int") for f in flags], F.col("crowded") + F.col("long") + F.col("uncited"))
+    return rows.withColumns({"violations": n, "passed": ~wordy & F.col("law_cited") & (F.col("uncited") == 0)})
 
 
 @query()
 def list_audit(t: Tables) -> DataFrame:
-    return lists(t).select("id", audit_of(F.col("x")).alias("a")).select("id", "a.words", "a.headings", "a.ordered", "a.law_cited", "a.tails", "a.violations")
+    return audited(lists(t)).select("id", "words", "headings", "ordered", "state_citations", "law_cited", "uncited", "tails", "user_misplaced", "violations", "passed")
 
 
 @query()
 def answer_score(t: Tables) -> DataFrame:
-    return lists(t).select("id", audit_of(F.col("x")).alias("a")).select("id", "a.score", "a.complete")
+    """An answer is complete with all headings and 180 words."""
+    short = F.col("words") < 180
+    score = F.col("headings") * 10 + F.when(F.col("law_cited"), 20).otherwise(0) - F.col("violations") * 2 - F.when(F.col("tails"), 10).otherwise(0) - F.when(short, 30).otherwise(0) + F.when(F.col("words").between(200, 500), 15).otherwise(0)
+    return audited(lists(t)).select("id", score.alias("score"), ((F.col("headings") == len(SECTIONS)) & ~short).alias("complete"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND n_chars <= 1000 AND doc_id % 3 = 0 THEN 'original' WHEN n_chars > 1000 AND doc_id % 2 <> 0 THEN 'repair' WHEN n_chars > 1000 THEN CASE WHEN doc_id % 3 > n_chars % 5 THEN 'repair' ELSE 'original' END WHEN doc_id % 2 = 0 THEN 'original' WHEN doc_id % 3 > n_chars % 5 THEN 'repair' ELSE 'original' END AS selected FROM documents")
@@ -302,18 +433,58 @@ def uncited_procedure(t: Tables) -> DataFrame:
     return t.rows("id int, x string", *enumerate(lex.CLAIMS)).select("id", F.filter(seen, lambda e: e != "").alias("evidence"))
 
 
-def shortened(x: Column, most_words: int = 20) -> Column:
-    """Each bullet cut to its word cap."""
-    cut = lambda y: F.when(y.rlike(r"^\s*[-•*]\s+") & (F.size(words_of(y)) > most_words), F.concat(F.array_join(F.slice(words_of(y), 1, most_words), " "), F.lit("..."))).otherwise(y)
-    return F.array_join(F.transform(F.split(x, "\n"), cut), "\n")
+def capped_words(x: Column, most: int) -> Column:
+    """The text as it is, or its first words joined by blanks and dots."""
+    return F.when(F.size(words_of(x)) > most, F.concat(F.array_join(F.slice(words_of(x), 1, most), " "), F.lit("..."))).otherwise(x)
+
+
+def capped_bullet(x: Column, most: int = 20, keep_citation: bool = False) -> Column:
+    """A bullet's first words; a citation that ends it may take the last word's place."""
+    w = F.split(x, r"\s+")
+    cut = lambda n: F.array_join(F.slice(w, 1, n), " ")
+    out = F.when(F.size(w) <= most, x)
+    if keep_citation:
+        last = F.element_at(w, -1)
+        out = out.when(last.rlike(r"^\[(?:S|L|USER)\d*\]$") & (F.size(w) > most + 1), F.concat(cut(most - 1), F.lit("... "), last))
+    return out.otherwise(F.concat(cut(most), F.lit("...")))
+
+
+def without_tails(x: Column) -> Column:
+    """The first occurrence of each closing phrase is cut out."""
+    return reduce(lambda y, p: F.array_join(F.split(y, f"(?i){p}", 2), ""), lex.TAILS, x)
+
+
+def kept_bullets(content: Column, limit: int) -> Column:
+    return F.slice(F.filter(F.split(content, "\n"), is_bullet), 1, limit)
+
+
+def normal_section(content: Column, limit: int) -> Column:
+    """Up to two lines of plain text as one, then the bullets within their number and words."""
+    lines = F.filter(F.transform(F.split(content, "\n"), stripped), lambda y: y != "")
+    plain = F.array_join(F.slice(F.filter(lines, lambda y: ~is_bullet(y)), 1, 2), " ")
+    bullets = F.transform(F.slice(F.filter(lines, is_bullet), 1, limit), lambda y: capped_bullet(y, keep_citation=True))
+    return F.array_join(F.concat(F.when(plain != "", F.array(plain)).otherwise(F.array().cast("array<string>")), bullets), "\n")
 
 
 @query()
 def normalize_answer(t: Tables) -> DataFrame:
-    return lists(t).select("id", shortened(F.col("x"), 3).alias("x"))
+    """All five sections in order; one that is missing or empty says so."""
+    parts = []
+    for name, _, limit in lex.HEADINGS:
+        content = content_of(name)
+        body = capped_words(content, 60) if limit == 0 else normal_section(content, limit)
+        parts.append(F.concat(F.lit(f"**{name}**\n"), F.when(content == "", "- Information not available in sources.").otherwise(body)))
+    text = without_tails(F.concat_ws("\n\n", *parts))
+    return with_sections(lists(t)).select("id", stripped(F.regexp_replace(text, r"\n{3,}", "\n\n")).alias("x"))
 
 
 @query()
 def hard_truncate(t: Tables) -> DataFrame:
-    """At most 500 words of the bullet-capped answer, a line at a time."""
-    return lists(t).select("id", F.array_join(F.slice(F.split(shortened(F.col("x"), 3), " "), 1, 500), " ").alias("x"))
+    """The sections there are, cut to their bullets, and 500 words in all."""
+    parts = []
+    for name, _, limit in lex.HEADINGS:
+        content = content_of(name)
+        body = capped_words(content, 50) if limit == 0 else F.array_join(F.transform(kept_bullets(content, limit), lambda y: capped_bullet(y)), "\n")
+        parts.append(F.when(content != "", F.concat(F.lit(f"**{name}**\n"), body)))
+    rows = with_sections(lists(t)).select("id", without_tails(F.concat_ws("\n\n", *parts)).alias("x"))
+    return rows.select("id", stripped(capped_bullet(F.col("x"), 500)).alias("x"))

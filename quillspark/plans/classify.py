@@ -19,15 +19,26 @@ def values(name: str, texts) -> str:
     return f"WITH {name}(id, x) AS (VALUES {', '.join(f'({i}, {quoted(x)})' for i, x in enumerate(texts))})"
 
 
-Q, A = values("q", lex.QUESTIONS), values("a", lex.ANSWERS)
+def turns_sql(name: str, role: str, texts) -> str:
+    rows = ", ".join(f"({quoted(f'text {i}')}, {quoted(x)})" for i, x in enumerate(texts))
+    return f"WITH {name}(id, x) AS (SELECT conv_id || '/' || turn, coalesce(text, '') FROM conversations WHERE role = '{role}' UNION ALL SELECT * FROM (VALUES {rows}))"
+
+
+def turns(t: Tables, role: str, texts) -> DataFrame:
+    """Every turn of a role, and texts that hit lists which the driver's prose rarely does; no text is an empty one."""
+    said = t.conversations.filter(F.col("role") == role).select(F.concat_ws("/", "conv_id", "turn").alias("id"), F.coalesce("text", F.lit("")).alias("x"))
+    return said.union(t.rows("id string, x string", *[(f"text {i}", x) for i, x in enumerate(texts)]))
+
+
+Q, A = turns_sql("q", "user", lex.QUESTIONS), turns_sql("a", "assistant", lex.ANSWERS)
 
 
 def questions(t: Tables) -> DataFrame:
-    return t.rows("id int, x string", *enumerate(lex.QUESTIONS))
+    return turns(t, "user", lex.QUESTIONS)
 
 
 def answers(t: Tables) -> DataFrame:
-    return t.rows("id int, x string", *enumerate(lex.ANSWERS))
+    return turns(t, "assistant", lex.ANSWERS)
 
 
 def any_pattern(x: Column, patterns) -> Column:
@@ -107,10 +118,10 @@ def recency_intent(t: Tables) -> DataFrame:
     return questions(t).select("id", contains_any(F.lower("x"), lex.RECENT).alias("recent"))
 
 
-@query(f"{Q} SELECT id, {any_pattern_sql(lex.STATE_LAW)} OR id % 2 = 0 AS parallel FROM q")
+@query(f"{Q} SELECT id, {any_pattern_sql(lex.STATE_LAW)} OR length(x) % 2 = 0 AS parallel FROM q")
 def parallel_state_flag(t: Tables) -> DataFrame:
     """True for statewide questions, else the plan's own flag (here: even ids)."""
-    return questions(t).select("id", (any_pattern(F.col("x"), lex.STATE_LAW) | (F.col("id") % 2 == 0)).alias("parallel"))
+    return questions(t).select("id", (any_pattern(F.col("x"), lex.STATE_LAW) | (F.length("x") % 2 == 0)).alias("parallel"))
 
 
 @query(f"{Q} SELECT id, length(x) <= 120 AND ({' OR '.join(f'starts_with(lower(trim(x)), {quoted(p)})' for p in lex.FOLLOW_UP)}) AS bypass FROM q")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators.relational import n_rows, ranked
+from quillspark.plans.audit import title_of, transition
 from quillspark.registry import query
 from quillspark.sources.tables import Tables, as_of
 from quillspark.streaming import jobs
@@ -79,20 +80,26 @@ def retry_strikes(t: Tables) -> DataFrame:
 
 @query()
 def conversation_state(t: Tables) -> DataFrame:
-    """The situation folded turn by turn: a title stays until a later turn brings a new one."""
-    import pandas as pd
-
-    def fold(turns: pd.DataFrame) -> pd.DataFrame:
-        title, seen, out = None, set(), []
-        for row in turns.sort_values("pos").itertuples():
-            fresh = [w.strip(".,") for w in (row.content or "").split()[:12] if w[:1].isupper() and w.strip(".,").lower() not in seen]
-            if row.role == "user" and len(fresh) >= 2:
-                title = fresh[0]
-            seen |= {w.lower() for w in fresh}
-            out.append((row.session_id, row.pos, title, len(seen)))
-        return pd.DataFrame(out, columns=["session_id", "pos", "title", "entities"])
-
-    return t.turns.groupBy("session_id").applyInPandas(fold, "session_id long, pos long, title string, entities long")
+    """The situation folded over a session's turns, one row a turn.
+
+    A user's message that starts or updates a situation sets it; every other turn keeps the one there is, even one that
+    speaks of things in general.  A turn without text changes nothing; turns at one place follow by role and text.
+    """
+    situation = "struct<title: string, entities: array<string>>"
+    said = F.sort_array(F.collect_list(F.struct("pos", "role", F.coalesce("content", F.lit("")).alias("x"))))
+
+    def after(log: Column, turn: Column) -> Column:
+        old = F.element_at(log, -1)
+        m = transition(turn["x"], old["entities"], F.lit(False))
+        entities = F.when(m["action"] == "update", F.array_union(old["entities"], m["found"])).otherwise(m["found"])
+        new = F.struct(title_of(entities).alias("title"), entities.alias("entities")).cast(situation)
+        moves = (turn["role"] == "user") & m["action"].isin("start", "update")
+        return F.concat(log, F.array(F.when(moves, new).otherwise(old)))
+
+    nothing = F.array(F.struct(F.lit(None).alias("title"), F.lit(None).alias("entities")).cast(situation))
+    folded = t.turns.groupBy("session_id").agg(said.alias("said")).select("session_id", "said", F.aggregate("said", nothing, after).alias("log"))
+    rows = folded.select("session_id", F.inline(F.arrays_zip("said", F.slice("log", 2, F.size("said")).alias("now"))))
+    return rows.select("session_id", "said.pos", "now.title", F.coalesce(F.size("now.entities"), F.lit(0)).alias("entities"))
 
 
 @query("SELECT date_trunc('minute', ts) AS start, user_id, count(*) AS n, count(*) > 2 AS limited FROM events GROUP BY 1, 2")

@@ -1,9 +1,13 @@
 """Known answers, and the streaming jobs against their batch form."""
 
+from types import SimpleNamespace
+
 from pyspark.sql import functions as F
 
 from quillspark.functions.paths import flat_metadata
+from quillspark.plans.audit import audited, capped_bullet, drift_of, moved, normal_section, with_sections, with_severity, without_tails
 from quillspark.plans.classify import capped, needs_ocr, ocr_facts, topic_label, uncited_statute
+from quillspark.plans.state import conversation_state
 from quillspark.sources.tables import Tables
 from quillspark.streaming.jobs import rate_limits
 from tests.compare import DATA
@@ -80,3 +84,74 @@ def test_hot_keys_join_in_parts(spark):
     want = sorted(map(tuple, rows.join(found.drop("n"), "key").select("id", "first").collect()))
     assert sorted(map(tuple, join_dealt(rows, found, ["key"], rows_a_part=100).select("id", "first").collect())) == want
     assert join_dealt(rows.limit(0), found.limit(0), ["key"]).count() == 0
+
+
+def answered(spark, *texts):
+    return spark.createDataFrame(list(enumerate(texts)), "id int, x string")
+
+
+def test_sections_in_their_four_forms(spark):
+    text = "Intro\n# Unknowns that matter: \n- cost\n2. **What we know so far**: \nfacts\nBottom line: yes\n**How this typically works** \n- slow"
+    got = with_sections(answered(spark, text)).select(F.inline("s")).collect()
+    assert [(r["name"], r["content"]) for r in got] == [
+        ("Unknowns that matter", "- cost"),
+        ("What we know", "facts"),
+        ("Bottom line", "yes"),
+        ("What changes", "** \n- slow"),
+    ]
+
+
+def test_list_audit(spark):
+    law = "**What the law generally requires**\n- RSA 674:33 says so [S1]\n- As for papers that one asks for, RSA 91-A is silent here and nothing is cited near\n- more [S2]\n"
+    good = "**Bottom line**\nYes.\n**What we know**\n- a [USER]\n" + law + "**What changes**\n- b\n**Unknowns that matter**\n" + "- c\n" * 5
+    rows = {r["id"]: r for r in audited(answered(spark, good, "- " + "w " * 501 + "next steps", "")).collect()}
+    got = rows[0]
+    assert (got["headings"], got["ordered"], got["law_cited"], got["state_citations"], got["uncited"], got["crowded"], got["user_misplaced"]) == (5, True, True, 2, 1, 1, True)
+    assert (got["violations"], got["passed"]) == (3, False)
+    assert (rows[1]["words"], rows[1]["violations"], rows[1]["passed"]) == (504, 4, False)  # length, headings, law, closing phrase
+    assert (rows[2]["words"], rows[2]["headings"], rows[2]["violations"]) == (0, 0, 2)
+
+
+def test_transitions(spark):
+    rows = [
+        ("How does this work statewide?", None, False, "clear", 0.3),
+        ("Did the planning board deny the variance at the hearing?", None, False, "start", 0.7),
+        ("What is this?", None, True, "start", 0.9),
+        ("What is this?", None, False, "none", 0.5),
+        ("The school board hearing on the road, a new project", ["budget committee", "vote"], False, "update", 0.8),
+        ("And the Vote?", ["budget committee", "vote"], False, "keep", 0.85),
+        ("Why?", ["budget committee", "vote"], False, "continue", 0.7),
+    ]
+    given = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(rows)], "id int, x string, held array<string>, artifact boolean")
+    got = {r["id"]: r for r in moved(given).collect()}
+    assert [(got[i]["action"], got[i]["confidence"]) for i in range(len(rows))] == [r[3:] for r in rows]
+    assert got[4]["entities"] == ["budget committee", "vote", "school board", "school", "hearing", "road"]
+    assert got[0]["entities"] is None and got[6]["entities"] == ["budget committee", "vote"]
+
+
+def test_drift(spark):
+    texts = ["The septic vote of the board.", "The board met on septic. The Miller property has a barn.", "The septic board. For comparison, the Miller property has a barn.", "Nothing here."]
+    got = {r["id"]: r for r in with_severity(answered(spark, *texts).select("id", drift_of(F.col("x")).alias("d"))).collect()}
+    assert [got[i]["severity"] for i in range(4)] == ["none", "minor", "none", "major"]
+    assert got[1]["unframed"] and "Miller property" in got[1]["drifted_to"] and "Miller property" in got[2]["drifted_to"]
+
+
+def test_bullets_keep_their_citation(spark):
+    words = " ".join(f"w{i}" for i in range(30))
+    rows = answered(spark, f"- {words} [S1]", f"- {words}", "- short [S1]").select("id", capped_bullet(F.col("x"), keep_citation=True).alias("y")).collect()
+    first = lambda n: "- " + " ".join(f"w{i}" for i in range(n))
+    assert [r["y"] for r in sorted(rows)] == [first(18) + "... [S1]", first(19) + "...", "- short [S1]"]
+
+
+def test_normal_section(spark):
+    text = "one\ntwo\nthree\n  - a\n\n* b\n- c"
+    assert answered(spark, text).select(normal_section(F.col("x"), 2).alias("y")).collect()[0]["y"] == "one two\n- a\n* b"
+    assert answered(spark, "a I recommend b I recommend c").select(without_tails(F.col("x")).alias("y")).collect()[0]["y"] == "a  b I recommend c"
+
+
+def test_situation_over_turns(spark):
+    said = [("user", "Why did the select board table the warrant article?"), ("assistant", "The library meeting at the town hall."), ("user", "In general, what is a vote at a hearing?"), ("user", None), ("user", "The vote on the road and the bridge")]
+    rows = spark.createDataFrame([(7, i, r, x) for i, (r, x) in enumerate(said)], "session_id long, pos int, role string, content string")
+    got = conversation_state(SimpleNamespace(turns=rows)).orderBy("pos").collect()
+    assert [(r["session_id"], r["pos"], r["entities"]) for r in got] == [(7, 0, 3), (7, 1, 3), (7, 2, 3), (7, 3, 3), (7, 4, 6)]
+    assert got[0]["title"] == got[3]["title"] and got[4]["title"] != got[0]["title"]
