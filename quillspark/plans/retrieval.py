@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import lexicon as lex
 from quillspark.operators.relational import best_at_first_place, n_rows, ranked, top_per_group
-from quillspark.plans.classify import any_pattern, any_pattern_sql
+from quillspark.plans.classify import any_pattern, any_pattern_sql, quoted
 from quillspark.registry import query
 from quillspark.sources.tables import Tables
 
@@ -46,26 +46,56 @@ def full_text() -> Column:
     return F.lower(F.concat_ws(" ", "title", "content"))
 
 
-@query(f"{BASE} SELECT query_id, round(least(1.0, 0.6 * avg(CASE WHEN score = 0 THEN 0.3 ELSE score END) + 0.3 * least(count(*) / 5.0, 1.0) + CASE WHEN bool_or({hit_sql(ENTITIES, TEXT_SQL)} > 0) THEN 0.1 ELSE 0 END)::DOUBLE, 6) AS confidence FROM chunks GROUP BY 1")
-def retrieval_confidence(t: Tables) -> DataFrame:
-    """A missing or zero score counts as 0.3."""
+CONFIDENCE_SQL = f"round(least(1.0, 0.6 * avg(CASE WHEN score = 0 THEN 0.3 ELSE score END) + 0.3 * least(count(*) / 5.0, 1.0) + CASE WHEN bool_or({hit_sql(ENTITIES, TEXT_SQL)} > 0) THEN 0.1 ELSE 0 END)::DOUBLE, 6)"
+
+
+def confidence() -> Column:
+    """Of a group of passages; a missing or zero score counts as 0.3."""
     score = F.avg(F.coalesce(F.nullif("score", F.lit(0.0)), F.lit(0.3)))
     bonus = F.when(F.bool_or(hit_count(ENTITIES, full_text()) > 0), 0.1).otherwise(0.0)
-    return chunks(t).groupBy("query_id").agg(F.round(F.least(F.lit(1.0), score * 0.6 + F.least(n_rows() / 5, F.lit(1.0)) * 0.3 + bonus), 6).alias("confidence"))
+    return F.round(F.least(F.lit(1.0), score * 0.6 + F.least(n_rows() / 5, F.lit(1.0)) * 0.3 + bonus), 6)
 
 
-@query(f"{BASE} SELECT query_id, round(avg({hit_sql(ENTITIES, TEXT_SQL)} / {len(ENTITIES)} * 0.5 + {hit_sql(TOPICS, TEXT_SQL)} / {len(TOPICS)} * 0.3 + 0.5 * 0.2)::DOUBLE, 6) AS alignment FROM chunks GROUP BY 1")
-def topic_alignment(t: Tables) -> DataFrame:
-    """No boards are named here, so their part is the neutral 0.5."""
+@query(f"{BASE} SELECT query_id, {CONFIDENCE_SQL} AS confidence FROM chunks GROUP BY 1")
+def retrieval_confidence(t: Tables) -> DataFrame:
+    return chunks(t).groupBy("query_id").agg(confidence().alias("confidence"))
+
+
+ALIGNMENT_SQL = f"round(avg({hit_sql(ENTITIES, TEXT_SQL)} / {len(ENTITIES)} * 0.5 + {hit_sql(TOPICS, TEXT_SQL)} / {len(TOPICS)} * 0.3 + 0.5 * 0.2)::DOUBLE, 6)"
+
+
+def alignment() -> Column:
+    """Of a group of passages; no boards are named here, so their part is the neutral 0.5."""
     one = hit_count(ENTITIES, full_text()) / len(ENTITIES) * 0.5 + hit_count(TOPICS, full_text()) / len(TOPICS) * 0.3 + 0.1
-    return chunks(t).groupBy("query_id").agg(F.round(F.avg(one), 6).alias("alignment"))
+    return F.round(F.avg(one), 6)
+
+
+@query(f"{BASE} SELECT query_id, {ALIGNMENT_SQL} AS alignment FROM chunks GROUP BY 1")
+def topic_alignment(t: Tables) -> DataFrame:
+    return chunks(t).groupBy("query_id").agg(alignment().alias("alignment"))
+
+
+FOREIGN_CASE = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\s+(?:property|case|appeal|application|variance|subdivision)\b"
+
 
+def foreign_cases(rows: DataFrame) -> DataFrame:
+    """The most mentions that a case foreign to the entities has in a query's passages."""
+    named = rows.select("query_id", F.explode(F.regexp_extract_all(F.concat_ws(" ", "title", "content"), F.lit(FOREIGN_CASE), F.lit(1))).alias("name")).select("query_id", F.lower("name").alias("name"))
+    foreign = named.filter(~F.col("name").isin(*ENTITIES) & (F.length("name") > 3))
+    return foreign.groupBy("query_id", "name").agg(n_rows().alias("n")).groupBy("query_id").agg(F.max("n").alias("most"))
 
-@query(f"{BASE}, s AS (SELECT query_id, round(avg(score), 6) AS confidence, count(*) % 5 / 10.0 AS alignment FROM chunks GROUP BY 1) SELECT query_id, CASE WHEN confidence < 0.35 THEN 'low confidence' WHEN alignment < 0.30 THEN 'low alignment' WHEN confidence < 0.5 THEN 'high stakes' END AS reason FROM s")
+
+@query(f"""{BASE}, s AS (SELECT query_id, count(*) AS n, {CONFIDENCE_SQL} AS confidence, {ALIGNMENT_SQL} AS alignment FROM chunks GROUP BY 1),
+c AS (SELECT query_id, lower(unnest(regexp_extract_all(concat_ws(' ', title, content), '{FOREIGN_CASE}', 1))) AS name FROM chunks),
+k AS (SELECT query_id, name, count(*) AS n FROM c WHERE name NOT IN {ENTITIES} AND length(name) > 3 GROUP BY ALL), m AS (SELECT query_id, max(n) AS most FROM k GROUP BY 1)
+SELECT query_id, CASE WHEN confidence < 0.35 THEN 'low confidence' WHEN alignment < 0.30 THEN 'low alignment' WHEN most >= greatest(2, ceil(n * 0.3)) THEN 'drift' WHEN length(query_id) % 2 = 0 AND confidence < 0.5 THEN 'high stakes' END AS reason FROM s LEFT JOIN m USING (query_id)""")
 def quality_gate(t: Tables) -> DataFrame:
-    """The first rule that trips gives the reason."""
-    s = chunks(t).groupBy("query_id").agg(F.round(F.avg("score"), 6).alias("confidence"), ((n_rows() % 5) / 10).alias("alignment"))
-    return s.select("query_id", F.when(F.col("confidence") < 0.35, "low confidence").when(F.col("alignment") < 0.30, "low alignment").when(F.col("confidence") < 0.5, "high stakes").alias("reason"))
+    """The first rule that trips gives the reason; an id of even length stands for a question of high stakes."""
+    rows = chunks(t)
+    s = rows.groupBy("query_id").agg(n_rows().alias("n"), confidence().alias("confidence"), alignment().alias("alignment")).join(foreign_cases(rows), "query_id", "left")
+    drift = F.col("most") >= F.greatest(F.lit(2), F.ceil(F.col("n") * 0.3))
+    stakes = (F.length("query_id") % 2 == 0) & (F.col("confidence") < 0.5)
+    return s.select("query_id", F.when(F.col("confidence") < 0.35, "low confidence").when(F.col("alignment") < 0.30, "low alignment").when(drift, "drift").when(stakes, "high stakes").alias("reason"))
 
 
 @query("SELECT conv_id, turn, concat_ws(' ', 'Conway', CASE WHEN turn % 2 = 0 THEN 'zoning' END, trim(regexp_replace(substr(text, 1, 100), '[?.,!]', '', 'g'))) AS q FROM conversations WHERE role = 'user'")
@@ -204,11 +234,17 @@ def merge_rank_situation(t: Tables) -> DataFrame:
 AUTHORITY = (r"\bRSA\s+\d+", r"\b(NHMA|Municipal\s+Association)\b")
 
 
-@query(f"{BASE} SELECT query_id, bool_or({any_pattern_sql(AUTHORITY, 'content')} OR {any_pattern_sql(lex.OFFICIAL, 'title')} OR doc_id % 50 = 0) AS present FROM chunks WHERE lane = 'state' GROUP BY 1")
-def authority_present(t: Tables) -> DataFrame:
+AUTHORITY_SQL = f"({any_pattern_sql(AUTHORITY, 'content')} OR {any_pattern_sql(lex.OFFICIAL, 'title')} OR doc_id % 50 = 0)"
+
+
+def has_authority() -> Column:
     """Every fiftieth passage stands for one that cites a statute; the driver's prose never does."""
-    hit = any_pattern(F.col("content"), AUTHORITY) | any_pattern(F.col("title"), lex.OFFICIAL) | (F.col("doc_id") % 50 == 0)
-    return chunks(t).filter("lane = 'state'").groupBy("query_id").agg(F.bool_or(hit).alias("present"))
+    return any_pattern(F.col("content"), AUTHORITY) | any_pattern(F.col("title"), lex.OFFICIAL) | (F.col("doc_id") % 50 == 0)
+
+
+@query(f"{BASE} SELECT query_id, bool_or({AUTHORITY_SQL}) AS present FROM chunks WHERE lane = 'state' GROUP BY 1")
+def authority_present(t: Tables) -> DataFrame:
+    return chunks(t).filter("lane = 'state'").groupBy("query_id").agg(F.bool_or(has_authority()).alias("present"))
 
 
 @query("SELECT page_id, CASE WHEN contains(url, '/fr/') THEN CASE WHEN contains(lower(url), 'rsa') THEN 'rsa' WHEN contains(lower(url), 'nhma') THEN 'nhma' ELSE 'official' END WHEN contains(lower(url), 'blog') THEN 'minutes' WHEN contains(lower(url), 'news') THEN 'news' ELSE 'official' END AS authority FROM pages")
@@ -226,11 +262,20 @@ def topic_coverage(t: Tables) -> DataFrame:
     return chunks(t).filter("lane = 'state' AND pos <= 8").groupBy("query_id").agg(F.round(sum(found) / len(TOPICS), 6).alias("coverage"))
 
 
-@query(f"{BASE} SELECT query_id, count(*) >= 8 AND count(*) FILTER (WHERE lane = 'state') >= 4 AND count(DISTINCT title) FILTER (WHERE lane = 'state') >= 2 AS stop FROM chunks WHERE pos <= 10 GROUP BY 1")
+COVERED_SQL = " + ".join(f"max((lane = 'state' AND contains(lower(content), '{w}'))::INT)" for w in TOPICS)
+
+
+@query(f"""{BASE}, f AS (SELECT * FROM chunks WHERE pos <= 10), d AS {dedupe_sql('lower(trim(title))', 'f')},
+g AS (SELECT query_id, count(*) AS n, count(*) FILTER (WHERE lane = 'state') AS state, count(DISTINCT lower(trim(title))) FILTER (WHERE lane = 'state') AS docs, coalesce(bool_or(lane = 'state' AND {AUTHORITY_SQL}), false) AS authority, ({COVERED_SQL}) / {len(TOPICS)} AS coverage FROM d GROUP BY 1)
+SELECT query_id, n >= 8 AND (length(query_id) % 2 <> 0 OR ((docs >= 2 OR authority) AND state >= 4 AND coverage >= 0.5)) AS stop FROM g""")
 def early_exit(t: Tables) -> DataFrame:
-    state = F.col("lane") == "state"
-    titles = F.countDistinct(F.when(state, F.col("title")))
-    return chunks(t).filter("pos <= 10").groupBy("query_id").agg(((n_rows() >= 8) & (F.count_if(state) >= 4) & (titles >= 2)).alias("stop"))
+    """Enough documents end the search; a legal question (an id of even length) also asks for state papers, authority or two of them, and coverage."""
+    state, key = F.col("lane") == "state", F.lower(F.trim("title"))
+    rows = best_at_first_place(chunks(t).filter("pos <= 10").withColumn("key", key), ["query_id", "lane", "key"])
+    covered = [F.max((state & F.lower("content").contains(w)).cast("int")) for w in TOPICS]
+    g = rows.groupBy("query_id").agg(n_rows().alias("n"), F.count_if(state).alias("state"), F.countDistinct(F.when(state, F.col("key"))).alias("docs"), F.coalesce(F.bool_or(state & has_authority()), F.lit(False)).alias("authority"), (sum(covered) / len(TOPICS)).alias("coverage"))
+    lawful = ((F.col("docs") >= 2) | F.col("authority")) & (F.col("state") >= 4) & (F.col("coverage") >= 0.5)
+    return g.select("query_id", ((F.col("n") >= 8) & ((F.length("query_id") % 2 != 0) | lawful)).alias("stop"))
 
 
 @query(f"{BASE}, r AS (SELECT *, {hit_sql(ENTITIES, TEXT_SQL)} > 0 AS rel FROM chunks WHERE lane = 'state'), n AS (SELECT *, count(*) FILTER (WHERE rel) OVER (PARTITION BY query_id) >= least(3, count(*) OVER (PARTITION BY query_id)) AS enough, row_number() OVER (PARTITION BY query_id, rel ORDER BY pos) AS k FROM r) SELECT query_id, doc_id FROM n WHERE CASE WHEN enough THEN rel AND k <= 8 ELSE pos <= 8 END")
@@ -243,15 +288,16 @@ def select_with_minimum(t: Tables) -> DataFrame:
     return rows.filter(F.when(F.col("enough"), F.col("rel") & (F.col("k") <= 8)).otherwise(F.col("pos") <= 8)).select("query_id", "doc_id")
 
 
-TIER = "CASE WHEN state >= 4 AND docs >= 2 AND align >= 0.30 THEN 'A' WHEN state >= 2 AND align >= 0.20 THEN 'B' WHEN legal >= 0.6 AND state >= 2 THEN 'B' ELSE 'C' END"
+TIER = "CASE WHEN state >= 4 AND (authority OR docs >= 2) AND align >= 0.30 THEN 'A' WHEN state >= 2 AND (align >= 0.20 OR legal) THEN 'B' ELSE 'C' END"
 
 
-@query(f"{BASE}, s AS (SELECT query_id, count(*) FILTER (WHERE lane = 'state') AS state, count(DISTINCT CASE WHEN lane = 'state' THEN lower(trim(title)) END) AS docs, count(*) % 5 / 10.0 AS align, count(*) % 3 / 3.0 AS legal FROM chunks GROUP BY 1) SELECT query_id, {TIER} AS tier FROM s")
+@query(f"{BASE}, s AS (SELECT query_id, count(*) FILTER (WHERE lane = 'state') AS state, count(DISTINCT CASE WHEN lane = 'state' THEN lower(trim(title)) END) AS docs, coalesce(bool_or(lane = 'state' AND {AUTHORITY_SQL}), false) AS authority, {ALIGNMENT_SQL} AS align, length(query_id) % 2 = 0 AS legal FROM chunks GROUP BY 1) SELECT query_id, {TIER} AS tier FROM s")
 def record_tier(t: Tables) -> DataFrame:
+    """A: four state passages, authority or two documents, alignment.  B: two and some alignment, or a legal question (an id of even length)."""
     state = F.col("lane") == "state"
-    s = chunks(t).groupBy("query_id").agg(F.count_if(state).alias("state"), F.countDistinct(F.when(state, F.lower(F.trim("title")))).alias("docs"), ((n_rows() % 5) / 10).alias("align"), ((n_rows() % 3) / 3).alias("legal"))
-    strong, some = (F.col("state") >= 4) & (F.col("docs") >= 2) & (F.col("align") >= 0.30), F.col("state") >= 2
-    return s.select("query_id", F.when(strong, "A").when(some & ((F.col("align") >= 0.20) | (F.col("legal") >= 0.6)), "B").otherwise("C").alias("tier"))
+    s = chunks(t).groupBy("query_id").agg(F.count_if(state).alias("state"), F.countDistinct(F.when(state, F.lower(F.trim("title")))).alias("docs"), F.coalesce(F.bool_or(state & has_authority()), F.lit(False)).alias("authority"), alignment().alias("align"))
+    strong, some = (F.col("state") >= 4) & (F.col("authority") | (F.col("docs") >= 2)) & (F.col("align") >= 0.30), F.col("state") >= 2
+    return s.select("query_id", F.when(strong, "A").when(some & ((F.col("align") >= 0.20) | (F.length("query_id") % 2 == 0)), "B").otherwise("C").alias("tier"))
 
 
 @query(f"{BASE} SELECT query_id, CASE WHEN count(*) FILTER (WHERE lane = 'local') > 0 AND count(*) FILTER (WHERE lane = 'state') > 0 THEN 'mixed' WHEN count(*) FILTER (WHERE lane = 'local') > 0 THEN 'local' ELSE 'statewide' END AS kind FROM chunks GROUP BY 1")
@@ -284,11 +330,38 @@ def grounding_names(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.explode(F.array("url", F.regexp_extract("url", "//([^/]+)", 1))).alias("name")).distinct()
 
 
-@query(f"SELECT doc_id, list_filter({list(ENTITIES)}, lambda e: contains(lower(text), e)) AS entities, greatest(0.0, least(1.0, n_chars / 3000.0))::DOUBLE AS confidence FROM documents")
+PLAN_SQL = f"""WITH p AS (SELECT doc_id, text, list_filter({list(ENTITIES)}, lambda e: contains(lower(text), e)) AS named, list_filter(string_split_regex(text, '\\.\\s'), lambda q: length(trim(q)) > 5)[1:6] AS asked, greatest(0.0, least(1.0, (n_chars - 100) / 3000.0))::DOUBLE AS confidence,
+  least(1.0, n_chars % 13 / 10.0)::DOUBLE AS salience, CASE lang WHEN 'de' THEN 'process-first' WHEN 'fr' THEN 'first' END AS wished, CASE WHEN doc_id % 3 = 0 THEN doc_id % 20 END AS k FROM documents),
+q AS (SELECT *, CASE WHEN len(asked) = 0 THEN [trim(regexp_replace(substr(text, 1, 100), '[?.,!]', '', 'g'))] ELSE asked END AS queries FROM p)"""
+
+
+@query(f"""{PLAN_SQL} SELECT doc_id, CASE WHEN len(named) = 0 THEN regexp_extract_all(text, {quoted(lex.PLACE)})[1:5] ELSE named END AS entities, CASE WHEN confidence < 0.4 THEN queries[1:2] ELSE queries END AS queries, coalesce(k, 12) AS k,
+  confidence, salience, CASE WHEN salience >= 0.5 THEN 3 ELSE 1 END AS min_state, CASE WHEN wished IN ('law-first', 'facts-first', 'process-first') THEN wished WHEN salience >= 0.6 THEN 'law-first' ELSE 'facts-first' END AS priority FROM q""")
 def planner_validate(t: Tables) -> DataFrame:
-    """Entities that the source text lacks go; the confidence is clamped to 0..1."""
+    """A model's plan made safe, with columns of the documents standing for the plan's fields.
+
+    Entities that the source text lacks go (none left: places of the text); queries of over 5 characters, six at most
+    (none: one made of the text), two under a confidence of 0.4; shares are clamped to 0..1; what is missing or unknown
+    gets its default.  A null text has null entities and queries.
+    """
     low = F.lower("text")
-    return t.documents.select("doc_id", F.filter(array(ENTITIES), lambda e: low.contains(e)).alias("entities"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("n_chars") / 3000)).alias("confidence"))
+    named = F.filter(array(ENTITIES), lambda e: low.contains(e))
+    asked = F.slice(F.filter(F.split("text", r"\.\s"), lambda q: F.length(F.trim(q)) > 5), 1, 6)
+    core = F.trim(F.regexp_replace(F.substring("text", 1, 100), "[?.,!]", ""))
+    clamped = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    wished = F.when(F.col("lang") == "de", "process-first").when(F.col("lang") == "fr", "first")
+    rows = t.documents.select("doc_id", "text", named.alias("named"), asked.alias("asked"), core.alias("core"), wished.alias("wished"), clamped((F.col("n_chars") - 100) / 3000).alias("confidence"), clamped((F.col("n_chars") % 13) / 10).alias("salience"))
+    queries = F.when(F.size("asked") == 0, F.array("core")).otherwise(F.col("asked"))
+    return rows.select(
+        "doc_id",
+        F.when(F.size("named") == 0, F.slice(F.regexp_extract_all("text", F.lit(lex.PLACE), F.lit(0)), 1, 5)).otherwise(F.col("named")).alias("entities"),
+        F.when(F.col("confidence") < 0.4, F.slice(queries, 1, 2)).otherwise(queries).alias("queries"),
+        F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") % 20).otherwise(F.lit(12)).alias("k"),
+        "confidence",
+        "salience",
+        F.when(F.col("salience") >= 0.5, 3).otherwise(1).alias("min_state"),
+        F.when(F.col("wished").isin("law-first", "facts-first", "process-first"), F.col("wished")).when(F.col("salience") >= 0.6, "law-first").otherwise("facts-first").alias("priority"),
+    )
 
 
 SCOPES = [(kind, town, n, rsa) for kind in ("local", "statewide", "mixed", "none", None) for town in ("Conway", None) for n in (0, 2) for rsa in (False, True)]
