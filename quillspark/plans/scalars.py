@@ -177,13 +177,60 @@ def finalize_town(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.coalesce(model, rules, hint, F.lit("statewide")).alias("town"))
 
 
+CATEGORIES = [name for name, _ in paths.UPLOAD_CATEGORIES] + ["misc_other"]
+REPLIES = (
+    ("budget.pdf", '```json\n{"category": "budget", "year": "2024", "town": " ossipee ", "notes": "n"}\n```'),
+    ("a.pdf", 'Sure: {"category": "zoning", "year": 2024, "isMinutes": 0} done'),
+    ("b.pdf", '<html><body>{"category": "taxes", "isMinutes": true, "rawDateText": "March 5, 2024"}</body></html>'),
+    ("c.pdf", '{"category": "cip", "isMinutes": "yes", "meetingDate": "3/9/2020", "meetingType": "special"}'),
+    ("planning board minutes 2023.pdf", "no json"),
+    ("warrant 2022.pdf", '{"category": "budget", '),
+    ("d.txt", ""),
+)
+
+
+def json_body(reply: Column) -> Column:
+    """The object of a reply: fences go, of a page the object before a tag or the end (else its text), else what is between the outer braces."""
+    bare = F.trim(F.regexp_replace(reply, r"```(?:json)?\n?", ""))
+    page = bare.startswith("<") | bare.contains("<ht")
+    inner = F.coalesce(F.nullif(F.regexp_extract(bare, r"\{[\s\S]*?\}(?=\s*$|\s*<)", 0), F.lit("")), F.trim(F.regexp_replace(bare, r"<[^>]*>", "")))
+    text = F.when(page, inner).otherwise(bare)
+    return F.when(text.startswith("{"), text).otherwise(F.coalesce(F.nullif(F.regexp_extract(text, r"\{[\s\S]*\}", 0), F.lit("")), text))
+
+
+def record_of(reply: Column, name: Column) -> Column:
+    """A model's reply as document metadata; one that is no object falls back on the file name."""
+    v = F.try_parse_json(json_body(reply))
+    kind = lambda k: F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant"))
+    said = lambda k: F.when(kind(k) == "STRING", F.try_variant_get(v, f"$.{k}", "string"))
+    blank = lambda x: F.coalesce(x, F.lit(""))
+    flag = kind("isMinutes")
+    value = F.try_variant_get(v, "$.isMinutes", "string")
+    is_minutes = F.coalesce(F.when(flag == "STRING", value != "").when(flag == "VOID", False).when(flag == "BOOLEAN", value == "true").when(flag.rlike("^(?:OBJECT|ARRAY)"), True).otherwise(F.try_variant_get(v, "$.isMinutes", "double") != 0), F.lit(False))
+    category = F.when(is_minutes, "meeting_minutes").when(said("category").isin(*CATEGORIES), said("category")).otherwise("misc_other")
+    day = F.when(blank(said("meetingDate")) != "", F.coalesce(text_date(said("meetingDate")), said("meetingDate"))).otherwise(text_date(said("rawDateText")))
+    parsed = F.schema_of_variant(v).startswith("OBJECT")
+    low = F.lower(name)
+    guess = first_match(low, paths.UPLOAD_CATEGORIES, "misc_other")
+    either = lambda x, y: F.when(parsed, x).otherwise(y)
+    nothing = F.lit(None).cast("string")
+    return F.struct(
+        either(category, guess).alias("category"),
+        either(F.initcap(F.trim(blank(said("town")))), F.lit("")).alias("town"),
+        either(F.trim(blank(said("board"))), blank(first_match(low, paths.UPLOAD_BOARDS))).alias("board"),
+        either(blank(said("year")), F.regexp_extract(name, r"(20\d{2}|19\d{2})", 1)).alias("year"),
+        either(F.substring(blank(said("notes")), 1, 200), F.lit("")).alias("notes"),
+        either(is_minutes, guess == "meeting_minutes").alias("is_minutes"),
+        either(day, nothing).alias("meeting_date"),
+        either(said("meetingType"), nothing).alias("meeting_type"),
+        either(said("rawDateText"), nothing).alias("raw_date"),
+    )
+
+
 @query()
 def parse_llm_json(t: Tables) -> DataFrame:
-    """A model's reply as a record: fences and what surrounds the braces go; a field of the wrong type is null."""
-    replies = t.rows("id int, reply string", (1, '```json\n{"category": "budget", "year": 2024}\n```'), (2, 'Sure: {"category": "zoning", "year": "x"} done'), (3, "no json"), (4, ""))
-    body = F.regexp_extract(F.regexp_replace("reply", "```(?:json)?", ""), r"(?s)(\{.*\})", 1)
-    parsed = F.from_json(body, "category string, year string")
-    return replies.select("id", F.coalesce(parsed["category"], F.lit("misc_other")).alias("category"), parsed["year"].try_cast("int").alias("year"))
+    rows = t.rows("name string, reply string", *REPLIES)
+    return rows.select("name", record_of(F.col("reply"), F.col("name")).alias("m")).select("name", "m.*")
 
 
 @query("SELECT doc_id, '[' || concat_ws(' - ', nullif(source, ''), CASE WHEN lang <> 'en' THEN lang END, CASE WHEN n_chars > 1000 THEN 'Meeting ' || doc_id END) || '] ' || doc_id || '.txt' AS display FROM documents")

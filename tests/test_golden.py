@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.paths import flat_metadata
 from quillspark.plans.audit import audited, capped_bullet, drift_of, moved, normal_section, with_sections, with_severity, without_tails
 from quillspark.plans.classify import capped, needs_ocr, ocr_facts, topic_label, uncited_statute
+from quillspark.plans.scalars import REPLIES, record_of
 from quillspark.plans.state import conversation_state
 from quillspark.sources.tables import Tables
 from quillspark.streaming.jobs import rate_limits
@@ -155,3 +156,17 @@ def test_situation_over_turns(spark):
     got = conversation_state(SimpleNamespace(turns=rows)).orderBy("pos").collect()
     assert [(r["session_id"], r["pos"], r["entities"]) for r in got] == [(7, 0, 3), (7, 1, 3), (7, 2, 3), (7, 3, 3), (7, 4, 6)]
     assert got[0]["title"] == got[3]["title"] and got[4]["title"] != got[0]["title"]
+
+
+def test_model_reply(spark):
+    rows = spark.createDataFrame(REPLIES, "name string, reply string").select("name", record_of(F.col("reply"), F.col("name")).alias("m")).select("name", "m.*")
+    got = {r["name"]: (r["category"], r["town"], r["board"], r["year"], r["is_minutes"], r["meeting_date"], r["meeting_type"]) for r in rows.collect()}
+    assert got == {
+        "budget.pdf": ("budget", "Ossipee", "", "2024", False, None, None),
+        "a.pdf": ("zoning", "", "", "", False, None, None),
+        "b.pdf": ("meeting_minutes", "", "", "", True, "2024-03-05", None),
+        "c.pdf": ("meeting_minutes", "", "", "", True, "2020-03-09", "special"),
+        "planning board minutes 2023.pdf": ("meeting_minutes", "", "Planning Board", "2023", True, None, None),
+        "warrant 2022.pdf": ("warrant_article", "", "", "2022", False, None, None),
+        "d.txt": ("misc_other", "", "", "", False, None, None),
+    }
