@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import line_templates, topk, url_filters
+from . import fill_middle, lexical, line_templates, topk, url_filters
 from .bpe import bpe_digests
+from .fill_middle import fill_in_middle, restored
 from .language_id import held_out_languages
+from .lexical import ranked_search
 from .line_templates import drop_recurring_lines
 from .packing import pack_documents
 from .quality_rules import quality_rules
@@ -63,5 +66,15 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_simhash, op3_quality_rules, op4_topk, op5_warc, op6_token_ids, op7_language_id, op8_packing, op9_line_templates, op10_bpe)}
-ORACLE_SQL: dict[str, str] = {"op1_url_filters": url_filters.oracle_sql(), "op4_topk": topk.ORACLE, "op9_line_templates": line_templates.ORACLE}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = fill_in_middle(read_table(spark, sf_dir, "documents"), seed=1, percent=90, spm_percent=20)
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return docs.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_simhash, op3_quality_rules, op4_topk, op5_warc, op6_token_ids, op7_language_id, op8_packing, op9_line_templates, op10_bpe, op11_lexical_search, op12_fill_in_middle)}
+ORACLE_SQL: dict[str, str] = {"op1_url_filters": url_filters.oracle_sql(), "op4_topk": topk.ORACLE, "op9_line_templates": line_templates.ORACLE, "op11_lexical_search": lexical.ORACLE, "op12_fill_in_middle": fill_middle.ORACLE}
