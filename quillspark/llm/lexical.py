@@ -157,7 +157,7 @@ def build_index(docs: DataFrame, corpus: tuple[int, int], shard_docs: int = 4096
 
 def weighted_items(items: DataFrame, index: DataFrame, n: int) -> DataFrame:
     """item_id, item (a hash that tells apart texts of one item_id) and terms: (term, weight times its repeats)."""
-    asked = items.select("item_id", F.xxhash64("text").alias("item"), F.explode(terms(F.col("text"))).alias("term")).groupBy("item_id", "item", "term").agg(F.count(F.lit(1)).alias("times"))
+    asked = items.select("item_id", "text").distinct().select("item_id", F.xxhash64("text").alias("item"), F.explode(terms(F.col("text"))).alias("term")).groupBy("item_id", "item", "term").agg(F.count(F.lit(1)).alias("times"))
     held = index.select(F.explode(F.arrays_zip(F.split("vocabulary", " ").alias("term"), F.col("counts").alias("df"))).alias("p")).select("p.term", "p.df")
     df = held.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
     weight = F.floor(1000 * F.log((F.lit(2.0) * n + 2) / (F.lit(2.0) * F.col("df") + 1))).cast("long") * F.col("times")

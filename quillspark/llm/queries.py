@@ -16,6 +16,7 @@ from .packing import pack_documents
 from .quality_rules import quality_rules
 from .shared import read_table
 from .simhash import near_duplicates
+from .substring_dedup import remove_repeats
 from .token_store import read_ids, write_ids
 from .topk import exact_topk
 from .url_filters import url_filter
@@ -76,5 +77,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_simhash, op3_quality_rules, op4_topk, op5_warc, op6_token_ids, op7_language_id, op8_packing, op9_line_templates, op10_bpe, op11_lexical_search, op12_fill_in_middle)}
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = remove_repeats(read_table(spark, sf_dir, "documents"), window=13)
+    return docs.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_simhash, op3_quality_rules, op4_topk, op5_warc, op6_token_ids, op7_language_id, op8_packing, op9_line_templates, op10_bpe, op11_lexical_search, op12_fill_in_middle, op13_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {"op1_url_filters": url_filters.oracle_sql(), "op4_topk": topk.ORACLE, "op9_line_templates": line_templates.ORACLE, "op11_lexical_search": lexical.ORACLE, "op12_fill_in_middle": fill_middle.ORACLE}
