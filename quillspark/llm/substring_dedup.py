@@ -5,8 +5,8 @@ window holds an anchor, the least hash of its shorter word runs, so equal window
 neighbouring windows of one anchor are one stretch.  Anchors met in one document only are left out
 first.  The stretches of an anchor make up a reference block: they are parsed in order of doc_id, each
 greedily into the longest factors that the block indexes so far, and the windows that cross a factor's
-end are looked up too.  What the block did not hold is then appended to it.  Words are compared, hashes
-only route.  Equal stretches are parsed once; an anchor with many stretches is routed by whole windows
+end are looked up too.  What the block did not hold is then appended to it.  Words are compared; hashes
+route, and 128 bits of them tell which stretches are equal.  Equal stretches are parsed once; an anchor with many stretches is routed by whole windows
 instead, so no block grows with the corpus.
 """
 
@@ -16,11 +16,12 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LAST, PIECE = (1 << 63) - 1, 1 << 20
-GRAM, HOT_SHARE, SAMPLE_DOCS = 4, 4096, 20_000
+GRAM, HOT_SHARE, SAMPLE_DOCS = 6, 4096, 20_000
 WORD = np.array([b not in b" \t\n\v\f\r" for b in range(256)])
 MIX = np.uint64(0x9E3779B97F4A7C15)
 POWERS = np.cumprod(np.full(4096, 0x100000001B3, np.uint64), dtype=np.uint64)
@@ -91,6 +92,18 @@ def utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """The rows with their text compressed, for the shuffle that brings documents together with what is found."""
+
+    def pack(batches):
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            texts = pa.array([press.compress(utf8(x.as_py())) for x in batch.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("route", "check", "given")], texts], ["route", "check", "given", "packed"])
+
+    return docs.select("route", "check", "given", "text").mapInArrow(pack, "route long, check long, given long, packed binary")
+
+
 def document_anchors(docs: DataFrame, window: int, hot: dict[int, int]) -> DataFrame:
     """anchor, route, doc and n of each distinct anchor of each document; n is set where ``hot`` has the anchor."""
     keys, sizes = np.array(sorted(hot), np.int64), np.array([hot[k] for k in sorted(hot)], np.int64)
@@ -129,18 +142,19 @@ def contested_anchors(anchors: DataFrame, block_rows: int) -> DataFrame:
 
 
 def stretches(docs: DataFrame, window: int, block_rows: int) -> DataFrame:
-    """key, body, parts, doc, check, route and at of each stretch of a contested anchor.
+    """key, body, n (its words), parts, doc, check, route and at of each stretch of a contested anchor.
 
     An anchor held by over ``block_rows`` documents gives its windows one by one, keyed by their own hash.
     """
-    shape = "key long, body binary, parts int, doc long, check long, route long, at int"
+    shape = "key long, body binary, n int, parts int, doc long, check long, route long, at int"
 
     def cut(batches):
+        press = zstandard.ZstdDecompressor()
         for batch in batches:
-            out = [[] for _ in range(7)]
-            for doc, check, route, text, shared in zip(*[batch.column(c).to_pylist() for c in ("doc", "check", "route", "text", "anchors")]):
+            out = [[] for _ in range(8)]
+            for doc, check, route, text, shared in zip(*[batch.column(c).to_pylist() for c in ("doc", "check", "route", "packed", "anchors")]):
                 held = {a["anchor"]: a["n"] for a in shared}
-                text = utf8(text)
+                text = press.decompress(text)
                 hashes = word_hashes(text)
                 anchor = anchors_of(hashes, window).view(np.int64)
                 edge = bounds(anchor)
@@ -154,12 +168,12 @@ def stretches(docs: DataFrame, window: int, block_rows: int) -> DataFrame:
                         whole = run_hashes(hashes, window).view(np.int64)
                     rows = [(int(whole[i]), i, i + window) for i in range(a, b)] if parts > 1 else [(int(anchor[a]), a, b + window - 1)]
                     for key, start, end in rows:
-                        for column, value in zip(out, (key, b" ".join(words[start:end]), parts, doc, check, route, start)):
+                        for column, value in zip(out, (key, b" ".join(words[start:end]), end - start, parts, doc, check, route, start)):
                             column.append(value)
-            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], [c.split()[0] for c in shape.split(", ")])
 
-    return docs.select(doc_number(), "check", "route", "text", "anchors").mapInArrow(cut, shape)
+    return docs.select(doc_number(), "check", "route", "packed", "anchors").mapInArrow(cut, shape)
 
 
 class Block:
@@ -201,30 +215,30 @@ class Block:
 
 
 def parsed(distinct: DataFrame, window: int) -> DataFrame:
-    """key, body, parts, first and spans of each distinct stretch that an earlier document holds, in whole or part.
+    """key, same (a hash of the stretch), parts, first and spans of each distinct stretch that an earlier document holds, in whole or part.
 
     first is the smallest document with this very stretch; spans are what still earlier ones cover of it.
     """
-    shape = "key long, body binary, parts int, first long, spans array<struct<at:int,n:int>>"
+    shape = "key long, same long, parts int, first long, spans array<struct<at:int,n:int>>"
 
     def parse(batches):
-        rows = (row for batch in batches for row in zip(*[batch.column(c).to_pylist() for c in ("key", "first", "last", "parts", "body")]))
+        rows = (row for batch in batches for row in zip(*[batch.column(c).to_pylist() for c in ("key", "first", "last", "parts", "same", "body")]))
         out = []
 
         def full():
             columns = zip(*out)
-            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())])))
-            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], [c.split()[0] for c in ("key", "body", "parts", "first", "spans")])
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())])))
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["key", "same", "parts", "first", "spans"])
 
         for _, group in groupby(rows, lambda r: r[0]):
             block = Block(window)
-            for first, same in groupby(group, lambda r: r[1]):
-                same = [(r, r[4].split(b" ")) for r in same]
-                for (key, _, last, parts, body), words in same:
+            for first, of_document in groupby(group, lambda r: r[1]):
+                bodies = [(r, r[5].split(b" ")) for r in of_document]
+                for (key, _, last, parts, same, _), words in bodies:
                     spans = block.factors(words)
                     if spans or first < last:
-                        out.append((key, body, parts, first, [{"at": a, "n": n} for a, n in spans]))
-                for _, words in same:
+                        out.append((key, same, parts, first, [{"at": a, "n": n} for a, n in spans]))
+                for _, words in bodies:
                     block.add(words)
                 if len(out) >= 4096:
                     yield full()
@@ -232,7 +246,7 @@ def parsed(distinct: DataFrame, window: int) -> DataFrame:
         if out:
             yield full()
 
-    return distinct.repartition("key").sortWithinPartitions("key", "first").select("key", "first", "last", "parts", "body").mapInArrow(parse, shape)
+    return distinct.repartition("key").sortWithinPartitions("key", "first").select("key", "first", "last", "parts", F.xxhash64("body").alias("same"), "body").mapInArrow(parse, shape)
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, block_rows: int = 20_000) -> DataFrame:
@@ -250,24 +264,25 @@ def remove_repeats(docs: DataFrame, window: int = 13, block_rows: int = 20_000)
     number, check = F.col("doc_id").cast("long"), F.xxhash64("text")
     keyed = docs.select(F.coalesce(number, check).alias("route"), check.alias("check"), number.alias("given"), "text")
     anchors = document_anchors(keyed, window, hot_anchors(keyed, window))
-    at_home = keyed.repartition("route")
+    at_home = packed(keyed).repartition("route")
     shared = at_home.join(contested_anchors(anchors, block_rows), "route")
     found = stretches(shared, window, block_rows)
     distinct = found.groupBy("key", "body").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.max("parts").alias("parts"))
     part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
-    verdict = parsed(distinct, window).select("key", "body", "first", "spans", part)
-    dealt = found.withColumn("part", F.pmod(F.xxhash64("route"), F.col("parts")).cast("int")).drop("parts")
-    n_words = F.length(F.regexp_replace(F.col("body").cast("string"), "[^ ]+", "")) + 1
-    whole = F.array(F.struct(F.lit(0).alias("at"), n_words.alias("n")))
-    cover = dealt.join(verdict, ["key", "body", "part"]).select("route", "check", "at", F.when(F.col("doc") > F.col("first"), whole).otherwise(F.col("spans")).alias("spans"))
+    verdict = parsed(distinct, window).select("key", "same", "first", "spans", part)
+    mine = F.pmod(F.xxhash64("route"), F.col("parts")).cast("int").alias("part")
+    dealt = found.select("key", F.xxhash64("body").alias("same"), mine, "doc", "route", "check", "at", "n")
+    whole = F.array(F.struct(F.lit(0).alias("at"), F.col("n").alias("n")))
+    cover = dealt.join(verdict, ["key", "same", "part"]).select("route", "check", "at", F.when(F.col("doc") > F.col("first"), whole).otherwise(F.col("spans")).alias("spans"))
     moved = F.transform("spans", lambda s: F.struct("check", (F.col("at") + s["at"]).alias("at"), s["n"].alias("n")))
     gone = cover.filter(F.size("spans") > 0).select("route", F.explode(moved).alias("s")).groupBy("route").agg(F.collect_list("s").alias("gone"))
 
     def keep(batches):
+        press = zstandard.ZstdDecompressor()
         for batch in batches:
             n_words, n_removed, texts = [], [], []
-            for check, text, gone in zip(*[batch.column(c).to_pylist() for c in ("check", "text", "gone")]):
-                words = utf8(text).split()
+            for check, text, gone in zip(*[batch.column(c).to_pylist() for c in ("check", "packed", "gone")]):
+                words = press.decompress(text).split()
                 stays = np.ones(len(words), bool)
                 for s in gone or ():
                     if s["check"] == check:
@@ -277,5 +292,5 @@ def remove_repeats(docs: DataFrame, window: int = 13, block_rows: int = 20_000)
                 texts.append(b" ".join([w for w, s in zip(words, stays.tolist()) if s] if n_removed[-1] else words).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays([batch.column("given"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_words", "n_removed", "text"])
 
-    rows = at_home.join(gone, "route", "left").select("given", "check", "text", "gone")
+    rows = at_home.join(gone, "route", "left").select("given", "check", "packed", "gone")
     return rows.mapInArrow(keep, "doc_id long, n_words long, n_removed long, text string")
