@@ -3,7 +3,9 @@
 A run of ``window`` words that also starts in a document of smaller doc_id is repeated text.  Every
 window holds an anchor, the least hash of its shorter word runs, so equal windows have equal anchors;
 neighbouring windows of one anchor are one stretch.  Anchors met in one document only are left out
-first.  The stretches of an anchor make up a reference block: they are parsed in order of doc_id, each
+first.  The stretches of an anchor make up a reference block.  Where all of them are equal, the stretch
+is a factor as it stands, and a block of one text needs no parse; neighbouring ones make one longer
+factor.  Otherwise the block's stretches are parsed in order of doc_id, each
 greedily into the longest factors that the block indexes so far, and the windows that cross a factor's
 end are looked up too.  What the block did not hold is then appended to it.  Words are compared; hashes
 route, and 128 bits of them tell which stretches are equal.  Equal stretches are parsed once; an anchor with many stretches is routed by whole windows
@@ -21,10 +23,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LAST, PIECE = (1 << 63) - 1, 1 << 20
-GRAM, HOT_SHARE, SAMPLE_DOCS = 6, 4096, 20_000
+GRAM, HOT_SHARE, SAMPLE_DOCS = 4, 4096, 20_000
 WORD = np.array([b not in b" \t\n\v\f\r" for b in range(256)])
 MIX = np.uint64(0x9E3779B97F4A7C15)
-POWERS = np.cumprod(np.full(4096, 0x100000001B3, np.uint64), dtype=np.uint64)
+FACTOR = 0x100000001B3
+POWERS = np.cumprod(np.full(4096, FACTOR, np.uint64), dtype=np.uint64)
 
 
 def doc_number() -> Column:
@@ -88,6 +91,27 @@ def bounds(values: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero(values[1:] != values[:-1]) + 1, [len(values)])) if len(values) else np.zeros(1, np.int64)
 
 
+def powers(factor: int, n: int) -> np.ndarray:
+    out = np.full(n, factor, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+class StretchHashes:
+    """A hash of any run of words, by prefix sums of one polynomial; its powers are kept and grown."""
+
+    def __init__(self):
+        self.up = self.down = powers(1, 1)
+
+    def __call__(self, words: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if len(words) > len(self.up):
+            self.up, self.down = (powers(f, 2 * len(words)) for f in (FACTOR, pow(FACTOR, -1, 1 << 64)))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * self.up[: len(words)], dtype=np.uint64)))
+        out = (sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64)
+        out ^= out >> np.uint64(32)
+        return out * MIX
+
+
 def utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
@@ -105,25 +129,39 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 def document_anchors(docs: DataFrame, window: int, hot: dict[int, int]) -> DataFrame:
-    """anchor, route, doc and n of each distinct anchor of each document; n is set where ``hot`` has the anchor."""
+    """anchor, same (a hash of the stretch), route, doc and n of each distinct stretch of each document.
+
+    n is set where ``hot`` has the anchor.
+    """
     keys, sizes = np.array(sorted(hot), np.int64), np.array([hot[k] for k in sorted(hot)], np.int64)
 
     def found(batches):
+        hashed = StretchHashes()
+
+        def each(text):
+            words = word_hashes(utf8(text))
+            anchor = anchors_of(words, window)
+            edge = bounds(anchor)
+            start, end = edge[:-1], edge[1:] + window - 1
+            pairs = np.stack((anchor[start], hashed(words, start, end)), axis=1) if len(anchor) else np.zeros((0, 2), np.uint64)
+            return np.unique(pairs, axis=0) if len(np.unique(pairs[:, 0])) < len(pairs) else pairs
+
         for batch in batches:
-            each = [np.unique(anchors_of(word_hashes(utf8(x.as_py())), window)) for x in batch.column("text")]
-            counts = [len(x) for x in each]
-            anchor = np.concatenate([*each, np.zeros(0, np.uint64)]).view(np.int64)
-            at = np.searchsorted(keys, anchor)
-            is_hot = (keys[np.minimum(at, len(keys) - 1)] == anchor) if len(keys) else np.zeros(len(anchor), bool)
-            n = pa.array(sizes[np.minimum(at, len(keys) - 1)] if len(keys) else np.zeros(len(anchor), np.int64), mask=~is_hot)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), *[pa.array(np.repeat(batch.column(c).to_numpy(), counts)) for c in ("route", "doc")], n], ["anchor", "route", "doc", "n"])
+            rows = [each(x.as_py()) for x in batch.column("text")]
+            counts = [len(x) for x in rows]
+            anchor, same = np.concatenate([*rows, np.zeros((0, 2), np.uint64)]).view(np.int64).T
+            at = np.minimum(np.searchsorted(keys, anchor), max(0, len(keys) - 1))
+            is_hot = keys[at] == anchor if len(keys) else np.zeros(len(anchor), bool)
+            n = pa.array(sizes[at] if len(keys) else np.zeros(len(anchor), np.int64), mask=~is_hot)
+            repeated = [pa.array(np.repeat(batch.column(c).to_numpy(), counts)) for c in ("route", "doc")]
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.copy()), pa.array(same.copy()), *repeated, n], ["anchor", "same", "route", "doc", "n"])
 
-    return docs.select("route", doc_number(), "text").mapInArrow(found, "anchor long, route long, doc long, n long")
+    return docs.select("route", doc_number(), "text").mapInArrow(found, "anchor long, same long, route long, doc long, n long")
 
 
 def hot_anchors(docs: DataFrame, window: int) -> dict[int, int]:
-    """Anchors that hold over 1/HOT_SHARE of the anchors of a sample, at most HOT_SHARE of them, and about how
-    many documents do.  They steer how rows are dealt, and no result."""
+    """Anchors that hold over 1/HOT_SHARE of the stretches of a sample, at most HOT_SHARE of them, and about how
+    many stretches they have.  They steer how rows are dealt, and no result."""
     step = max(1, docs.count() // SAMPLE_DOCS)
     sample = document_anchors(docs.filter(F.pmod(F.xxhash64("route", "check"), F.lit(step)) == 0), window, {})
     counted = sample.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -132,19 +170,31 @@ def hot_anchors(docs: DataFrame, window: int) -> dict[int, int]:
 
 
 def contested_anchors(anchors: DataFrame, block_rows: int) -> DataFrame:
-    """route and anchors: of each document, what anchors it shares with others, and how many hold each."""
+    """route and anchors: of each document, what anchors it shares with others, and of each how many
+    stretches there are, the first document, and whether its stretches differ (mixed).
+
+    Hot anchors, whose rows are dealt, are summed up by themselves; they are HOT_SHARE at most.
+    """
     parts = F.ceil(F.col("n") / F.lit(block_rows)).cast("int")
-    dealt = anchors.withColumn("deal", F.coalesce(F.pmod(F.xxhash64("doc"), parts).cast("int"), F.lit(0)))
-    same = Window.partitionBy("anchor", "deal")
-    met = dealt.select("anchor", "route", "n", F.min("doc").over(same).alias("first"), F.max("doc").over(same).alias("last"), F.count(F.lit(1)).over(same).alias("here"))
-    several = met.filter("n IS NOT NULL OR first < last").select("route", F.struct("anchor", F.coalesce("n", "here").alias("n")).alias("a"))
-    return several.groupBy("route").agg(F.collect_list("a").alias("anchors"))
+    dealt = anchors.withColumn("deal", F.coalesce(F.pmod(F.xxhash64("route"), parts).cast("int"), F.lit(0))).repartition("anchor", "deal")
+    facts = {"first": F.min("doc"), "last": F.max("doc"), "least": F.min("same"), "most": F.max("same")}
+    # The same columns as below (route too), so that both read one exchange; what is not hot is one group.
+    hot = dealt.groupBy(F.when(F.col("n").isNotNull(), F.col("anchor")).alias("hot")).agg(*[f.alias(f"all_{k}") for k, f in facts.items()], F.max("route").alias("any"), F.max("deal").alias("deals"))
+    hot = hot.filter("hot IS NOT NULL").drop("any", "deals")
+    here = Window.partitionBy("anchor", "deal")
+    met = dealt.select("anchor", "route", "n", *[f.over(here).alias(k) for k, f in facts.items()], F.count(F.lit(1)).over(here).alias("here"))
+    known = met.join(F.broadcast(hot), met["anchor"] == hot["hot"], "left")
+    value = {k: F.coalesce(f"all_{k}", k) for k in facts}
+    several = known.filter(value["first"] < value["last"]).select("route", F.struct("anchor", F.coalesce("n", "here").alias("n"), value["first"].alias("first"), (value["least"] < value["most"]).alias("mixed")).alias("a"))
+    return several.groupBy("route").agg(F.collect_set("a").alias("anchors"))
 
 
 def stretches(docs: DataFrame, window: int, block_rows: int) -> DataFrame:
-    """key, body, n (its words), parts, doc, check, route and at of each stretch of a contested anchor.
+    """key, body, n (its words), parts, doc, check, route and at of each stretch whose anchor is mixed.
 
-    An anchor held by over ``block_rows`` documents gives its windows one by one, keyed by their own hash.
+    An anchor of over ``block_rows`` stretches gives its windows one by one, keyed by their own hash.
+    Rows of 0 parts are factors already: stretches that all documents of their anchor have in common, and
+    that are not in the first of them, run together where they touch.
     """
     shape = "key long, body binary, n int, parts int, doc long, check long, route long, at int"
 
@@ -153,23 +203,32 @@ def stretches(docs: DataFrame, window: int, block_rows: int) -> DataFrame:
         for batch in batches:
             out = [[] for _ in range(8)]
             for doc, check, route, text, shared in zip(*[batch.column(c).to_pylist() for c in ("doc", "check", "route", "packed", "anchors")]):
-                held = {a["anchor"]: a["n"] for a in shared}
+                held = {a["anchor"]: a for a in shared}
                 text = press.decompress(text)
                 hashes = word_hashes(text)
                 anchor = anchors_of(hashes, window).view(np.int64)
                 edge = bounds(anchor)
-                wanted = [(a, b, held[k]) for a, b, k in zip(edge[:-1].tolist(), edge[1:].tolist(), anchor[edge[:-1]].tolist()) if k in held]
-                if not wanted:
-                    continue
-                words, whole = text.split(), None
-                for a, b, n in wanted:
-                    parts = -(-n // block_rows)
+                words = whole = None
+                rows, run = [], None
+                for a, b, k in zip(edge[:-1].tolist(), edge[1:].tolist(), anchor[edge[:-1]].tolist()):
+                    of = held.get(k)
+                    if of is None or not of["mixed"] and doc <= of["first"]:
+                        continue
+                    if not of["mixed"]:
+                        if run and a <= run[1]:
+                            run[1] = b + window - 1
+                        else:
+                            run = [a, b + window - 1]
+                            rows.append((k, None, run, 0))
+                        continue
+                    words, parts = words or text.split(), -(-of["n"] // block_rows)
                     if parts > 1 and whole is None:
                         whole = run_hashes(hashes, window).view(np.int64)
-                    rows = [(int(whole[i]), i, i + window) for i in range(a, b)] if parts > 1 else [(int(anchor[a]), a, b + window - 1)]
-                    for key, start, end in rows:
-                        for column, value in zip(out, (key, b" ".join(words[start:end]), end - start, parts, doc, check, route, start)):
-                            column.append(value)
+                    each = [(int(whole[i]), i, i + window) for i in range(a, b)] if parts > 1 else [(k, a, b + window - 1)]
+                    rows += [(key, b" ".join(words[i:j]), (i, j), parts) for key, i, j in each]
+                for key, body, (i, j), parts in rows:
+                    for column, value in zip(out, (key, body, j - i, parts, doc, check, route, i)):
+                        column.append(value)
             kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], [c.split()[0] for c in shape.split(", ")])
 
@@ -267,13 +326,15 @@ def remove_repeats(docs: DataFrame, window: int = 13, block_rows: int = 20_000)
     at_home = packed(keyed).repartition("route")
     shared = at_home.join(contested_anchors(anchors, block_rows), "route")
     found = stretches(shared, window, block_rows)
-    distinct = found.groupBy("key", "body").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.max("parts").alias("parts"))
+    distinct = found.filter("parts > 0").groupBy("key", "body").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.max("parts").alias("parts"))
     part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
     verdict = parsed(distinct, window).select("key", "same", "first", "spans", part)
-    mine = F.pmod(F.xxhash64("route"), F.col("parts")).cast("int").alias("part")
-    dealt = found.select("key", F.xxhash64("body").alias("same"), mine, "doc", "route", "check", "at", "n")
+    to_parse = F.col("parts") > 0
+    mine = F.when(to_parse, F.pmod(F.xxhash64("route"), F.greatest("parts", F.lit(1))).cast("int")).otherwise(-1)
+    dealt = found.select(F.when(to_parse, F.col("key")).otherwise(F.col("route")).alias("key"), F.xxhash64("body").alias("same"), mine.alias("part"), "doc", "route", "check", "at", "n")
     whole = F.array(F.struct(F.lit(0).alias("at"), F.col("n").alias("n")))
-    cover = dealt.join(verdict, ["key", "same", "part"]).select("route", "check", "at", F.when(F.col("doc") > F.col("first"), whole).otherwise(F.col("spans")).alias("spans"))
+    spans = F.when((F.col("part") < 0) | (F.col("doc") > F.col("first")), whole).otherwise(F.col("spans"))
+    cover = dealt.join(verdict, ["key", "same", "part"], "left").select("route", "check", "at", spans.alias("spans"))
     moved = F.transform("spans", lambda s: F.struct("check", (F.col("at") + s["at"]).alias("at"), s["n"].alias("n")))
     gone = cover.filter(F.size("spans") > 0).select("route", F.explode(moved).alias("s")).groupBy("route").agg(F.collect_list("s").alias("gone"))
 
