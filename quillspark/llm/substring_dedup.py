@@ -5,11 +5,11 @@ window holds an anchor, the least hash of its shorter word runs, so equal window
 neighbouring windows of one anchor are one stretch.  Anchors met in one document only are left out
 first.  The stretches of an anchor make up a reference block.  Where all of them are equal, the stretch
 is a factor as it stands, and a block of one text needs no parse; neighbouring ones make one longer
-factor.  Otherwise the block's stretches are parsed in order of doc_id, each
-greedily into the longest factors that the block indexes so far, and the windows that cross a factor's
-end are looked up too.  What the block did not hold is then appended to it.  Words are compared; hashes
-route, and 128 bits of them tell which stretches are equal.  Equal stretches are parsed once; an anchor with many stretches is routed by whole windows
-instead, so no block grows with the corpus.
+factor.  Otherwise the block's stretches are parsed in order of doc_id, each greedily into the longest
+factors that the block indexes so far, and the windows that cross a factor's end are looked up too.
+What the block did not hold is then appended to it.  Blocks compare words; elsewhere 128 bits of hashes
+tell which stretches are equal.  An anchor with many different stretches is routed by whole windows, a
+block each, so no block grows with the corpus.
 """
 
 from __future__ import annotations
@@ -129,11 +129,11 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 def document_anchors(docs: DataFrame, window: int, hot: dict[int, int]) -> DataFrame:
-    """anchor, same (a hash of the stretch), route, doc and n of each distinct stretch of each document.
+    """anchor, same (a hash of the stretch), route, doc and deal of each distinct stretch of each document.
 
-    n is set where ``hot`` has the anchor.
+    ``hot`` has in how many parts the rows of hot anchors are dealt; deal is the part, -1 for others.
     """
-    keys, sizes = np.array(sorted(hot), np.int64), np.array([hot[k] for k in sorted(hot)], np.int64)
+    keys, parts = np.array(sorted(hot), np.int64), np.array([hot[k] for k in sorted(hot)], np.int64)
 
     def found(batches):
         hashed = StretchHashes()
@@ -148,91 +148,92 @@ def document_anchors(docs: DataFrame, window: int, hot: dict[int, int]) -> DataF
 
         for batch in batches:
             rows = [each(x.as_py()) for x in batch.column("text")]
-            counts = [len(x) for x in rows]
+            route, doc = (np.repeat(batch.column(c).to_numpy(), [len(x) for x in rows]) for c in ("route", "doc"))
             anchor, same = np.concatenate([*rows, np.zeros((0, 2), np.uint64)]).view(np.int64).T
-            at = np.minimum(np.searchsorted(keys, anchor), max(0, len(keys) - 1))
-            is_hot = keys[at] == anchor if len(keys) else np.zeros(len(anchor), bool)
-            n = pa.array(sizes[at] if len(keys) else np.zeros(len(anchor), np.int64), mask=~is_hot)
-            repeated = [pa.array(np.repeat(batch.column(c).to_numpy(), counts)) for c in ("route", "doc")]
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.copy()), pa.array(same.copy()), *repeated, n], ["anchor", "same", "route", "doc", "n"])
+            deal = np.full(len(anchor), -1, np.int32)
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, anchor), len(keys) - 1)
+                mixed = (route.view(np.uint64) * MIX) >> np.uint64(33)
+                deal = np.where(keys[at] == anchor, mixed.astype(np.int64) % parts[at], -1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(x.copy()) for x in (anchor, same, route, doc, deal)], ["anchor", "same", "route", "doc", "deal"])
 
-    return docs.select("route", doc_number(), "text").mapInArrow(found, "anchor long, same long, route long, doc long, n long")
+    return docs.select("route", doc_number(), "text").mapInArrow(found, "anchor long, same long, route long, doc long, deal int")
 
 
 def hot_anchors(docs: DataFrame, window: int) -> dict[int, int]:
-    """Anchors that hold over 1/HOT_SHARE of the stretches of a sample, at most HOT_SHARE of them, and about how
-    many stretches they have.  They steer how rows are dealt, and no result."""
+    """Anchors that hold over 1/HOT_SHARE of the stretches of a sample, so under HOT_SHARE of them, and in how
+    many parts to deal their rows.  They steer how rows are dealt, and no result."""
     step = max(1, docs.count() // SAMPLE_DOCS)
     sample = document_anchors(docs.filter(F.pmod(F.xxhash64("route", "check"), F.lit(step)) == 0), window, {})
     counted = sample.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     rows = counted.agg(F.sum("n")).first()[0] or 0
-    return {r["anchor"]: r["n"] * step for r in counted.filter(F.col("n") * HOT_SHARE > rows).collect()}
+    return {r["anchor"]: -(-r["n"] * HOT_SHARE // rows) for r in counted.filter(F.col("n") * HOT_SHARE > rows).collect()}
 
 
-def contested_anchors(anchors: DataFrame, block_rows: int) -> DataFrame:
-    """route and anchors: of each document, what anchors it shares with others, and of each how many
-    stretches there are, the first document, and whether its stretches differ (mixed).
+def contested_anchors(anchors: DataFrame) -> DataFrame:
+    """route and anchors: of each document, what anchors it shares with others, and a fact about each.
 
-    Hot anchors, whose rows are dealt, are summed up by themselves; they are HOT_SHARE at most.
+    The fact is how many stretches an anchor has where these differ; where all are equal, it is -1 less
+    the first document.  Hot anchors, whose rows are dealt, are summed up by themselves.
     """
-    parts = F.ceil(F.col("n") / F.lit(block_rows)).cast("int")
-    dealt = anchors.withColumn("deal", F.coalesce(F.pmod(F.xxhash64("route"), parts).cast("int"), F.lit(0))).repartition("anchor", "deal")
-    facts = {"first": F.min("doc"), "last": F.max("doc"), "least": F.min("same"), "most": F.max("same")}
-    # The same columns as below (route too), so that both read one exchange; what is not hot is one group.
-    hot = dealt.groupBy(F.when(F.col("n").isNotNull(), F.col("anchor")).alias("hot")).agg(*[f.alias(f"all_{k}") for k, f in facts.items()], F.max("route").alias("any"), F.max("deal").alias("deals"))
-    hot = hot.filter("hot IS NOT NULL").drop("any", "deals")
+    dealt = anchors.repartition("anchor", "deal")
+    facts = {"n": F.count(F.lit(1)), "first": F.min("doc"), "last": F.max("doc"), "least": F.min("same"), "most": F.max("same")}
+    # All columns are asked for and nothing is filtered before, so that this and the windows below read one
+    # exchange; anchors that are not hot are one group of it, which is left out after.
+    hot = dealt.groupBy(F.when(F.col("deal") >= 0, F.col("anchor")).alias("hot")).agg(*[f.alias(f"all_{k}") for k, f in facts.items()], F.max("route").alias("any"), F.max("deal").alias("deals"))
+    hot = hot.filter("deals >= 0").drop("any", "deals")
     here = Window.partitionBy("anchor", "deal")
-    met = dealt.select("anchor", "route", "n", *[f.over(here).alias(k) for k, f in facts.items()], F.count(F.lit(1)).over(here).alias("here"))
+    met = dealt.select("anchor", "route", *[f.over(here).alias(k) for k, f in facts.items()])
     known = met.join(F.broadcast(hot), met["anchor"] == hot["hot"], "left")
     value = {k: F.coalesce(f"all_{k}", k) for k in facts}
-    several = known.filter(value["first"] < value["last"]).select("route", F.struct("anchor", F.coalesce("n", "here").alias("n"), value["first"].alias("first"), (value["least"] < value["most"]).alias("mixed")).alias("a"))
-    return several.groupBy("route").agg(F.collect_set("a").alias("anchors"))
+    fact = F.when(value["least"] < value["most"], value["n"]).otherwise(-1 - value["first"])
+    return known.filter(value["first"] < value["last"]).select("route", F.struct("anchor", fact.alias("fact")).alias("a")).groupBy("route").agg(F.collect_set("a").alias("anchors"))
 
 
-def stretches(docs: DataFrame, window: int, block_rows: int) -> DataFrame:
-    """key, body, n (its words), parts, doc, check, route and at of each stretch whose anchor is mixed.
+CUT = "key long, body binary, n int, parts int, doc long, check long, route long, at int"
 
-    An anchor of over ``block_rows`` stretches gives its windows one by one, keyed by their own hash.
-    Rows of 0 parts are factors already: stretches that all documents of their anchor have in common, and
-    that are not in the first of them, run together where they touch.
+
+def stretches(docs: DataFrame, window: int, block_rows: int, by_window: bool) -> DataFrame:
+    """The rows CUT of contested stretches; n counts words.
+
+    Those of anchors with more than ``block_rows`` come window by window, keyed by their own hash, where
+    ``by_window``, and parts says in how many parts to deal their rows.  Else the others come: whole, keyed by the anchor, where its stretches differ; and
+    without a body where they are equal and an earlier document has them, run together where they touch.
     """
-    shape = "key long, body binary, n int, parts int, doc long, check long, route long, at int"
 
     def cut(batches):
         press = zstandard.ZstdDecompressor()
         for batch in batches:
-            out = [[] for _ in range(8)]
+            out = [[] for _ in CUT.split(", ")]
             for doc, check, route, text, shared in zip(*[batch.column(c).to_pylist() for c in ("doc", "check", "route", "packed", "anchors")]):
-                held = {a["anchor"]: a for a in shared}
+                held = {a["anchor"]: a["fact"] for a in shared}
                 text = press.decompress(text)
                 hashes = word_hashes(text)
                 anchor = anchors_of(hashes, window).view(np.int64)
+                whole = run_hashes(hashes, window).view(np.int64) if by_window else None
                 edge = bounds(anchor)
-                words = whole = None
-                rows, run = [], None
+                rows, words, run = [], None, None
                 for a, b, k in zip(edge[:-1].tolist(), edge[1:].tolist(), anchor[edge[:-1]].tolist()):
-                    of = held.get(k)
-                    if of is None or not of["mixed"] and doc <= of["first"]:
-                        continue
-                    if not of["mixed"]:
+                    fact = held.get(k, 0)
+                    if by_window and fact > block_rows:
+                        words = words or text.split()
+                        rows += [(int(whole[i]), b" ".join(words[i : i + window]), [i, i + window], -(-fact // block_rows)) for i in range(a, b)]
+                    elif not by_window and 0 < fact <= block_rows:
+                        words = words or text.split()
+                        rows.append((k, b" ".join(words[a : b + window - 1]), [a, b + window - 1], None))
+                    elif not by_window and fact < 0 and doc > -1 - fact:
                         if run and a <= run[1]:
                             run[1] = b + window - 1
                         else:
                             run = [a, b + window - 1]
-                            rows.append((k, None, run, 0))
-                        continue
-                    words, parts = words or text.split(), -(-of["n"] // block_rows)
-                    if parts > 1 and whole is None:
-                        whole = run_hashes(hashes, window).view(np.int64)
-                    each = [(int(whole[i]), i, i + window) for i in range(a, b)] if parts > 1 else [(k, a, b + window - 1)]
-                    rows += [(key, b" ".join(words[i:j]), (i, j), parts) for key, i, j in each]
+                            rows.append((route, None, run, None))
                 for key, body, (i, j), parts in rows:
                     for column, value in zip(out, (key, body, j - i, parts, doc, check, route, i)):
                         column.append(value)
             kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], [c.split()[0] for c in shape.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], [c.split()[0] for c in CUT.split(", ")])
 
-    return docs.select(doc_number(), "check", "route", "packed", "anchors").mapInArrow(cut, shape)
+    return docs.select(doc_number(), "check", "route", "packed", "anchors").mapInArrow(cut, CUT)
 
 
 class Block:
@@ -273,31 +274,31 @@ class Block:
         return found
 
 
-def parsed(distinct: DataFrame, window: int) -> DataFrame:
-    """key, same (a hash of the stretch), parts, first and spans of each distinct stretch that an earlier document holds, in whole or part.
+SPANS = "route long, check long, at int, n int"
 
-    first is the smallest document with this very stretch; spans are what still earlier ones cover of it.
-    """
-    shape = "key long, same long, parts int, first long, spans array<struct<at:int,n:int>>"
+
+def parsed(found: DataFrame, window: int) -> DataFrame:
+    """The spans of stretches that earlier documents of their block hold; those without a body are spans already."""
 
     def parse(batches):
-        rows = (row for batch in batches for row in zip(*[batch.column(c).to_pylist() for c in ("key", "first", "last", "parts", "same", "body")]))
+        rows = (row for batch in batches for row in zip(*[batch.column(c).to_pylist() for c in ("key", "doc", "body", "n", "check", "route", "at")]))
         out = []
 
         def full():
-            columns = zip(*out)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())])))
-            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["key", "same", "parts", "first", "spans"])
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], [c.split()[0] for c in SPANS.split(", ")])
 
         for _, group in groupby(rows, lambda r: r[0]):
             block = Block(window)
-            for first, of_document in groupby(group, lambda r: r[1]):
-                bodies = [(r, r[5].split(b" ")) for r in of_document]
-                for (key, _, last, parts, same, _), words in bodies:
-                    spans = block.factors(words)
-                    if spans or first < last:
-                        out.append((key, same, parts, first, [{"at": a, "n": n} for a, n in spans]))
-                for _, words in bodies:
+            for _, of_document in groupby(group, lambda r: r[1]):
+                added = []
+                for _, _, body, n, check, route, at in of_document:
+                    if body is None:
+                        out.append((route, check, at, n))
+                        continue
+                    words = body.split(b" ")
+                    out += [(route, check, at + a, k) for a, k in block.factors(words)]
+                    added.append(words)
+                for words in added:
                     block.add(words)
                 if len(out) >= 4096:
                     yield full()
@@ -305,10 +306,19 @@ def parsed(distinct: DataFrame, window: int) -> DataFrame:
         if out:
             yield full()
 
-    return distinct.repartition("key").sortWithinPartitions("key", "first").select("key", "first", "last", "parts", F.xxhash64("body").alias("same"), "body").mapInArrow(parse, shape)
+    placed = found.repartition("key").sortWithinPartitions("key", "doc")
+    return placed.select("key", "doc", "body", "n", "check", "route", "at").mapInArrow(parse, SPANS)
+
+
+def repeated_windows(found: DataFrame) -> DataFrame:
+    """The spans of windows that an earlier document holds; equal ones are aggregated first, and hot ones dealt."""
+    rows = found.select("key", F.xxhash64("body").alias("same"), F.pmod(F.xxhash64("route"), "parts").cast("int").alias("part"), "parts", "doc", "route", "check", "at", "n")
+    first = rows.groupBy("key", "same").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.max("parts").alias("parts")).filter(F.col("first") < F.col("last"))
+    each = first.select("key", "same", "first", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return rows.drop("parts").join(each, ["key", "same", "part"]).filter(F.col("doc") > F.col("first")).select("route", "check", "at", "n")
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, block_rows: int = 20_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, block_rows: int = 4_000) -> DataFrame:
     """doc_id, n_words, n_removed and text (the words that stay, single blanks between) of every row.
 
     A word goes where a run of ``window`` words covers it that also starts in a document of smaller
@@ -324,19 +334,11 @@ def remove_repeats(docs: DataFrame, window: int = 13, block_rows: int = 20_000)
     keyed = docs.select(F.coalesce(number, check).alias("route"), check.alias("check"), number.alias("given"), "text")
     anchors = document_anchors(keyed, window, hot_anchors(keyed, window))
     at_home = packed(keyed).repartition("route")
-    shared = at_home.join(contested_anchors(anchors, block_rows), "route")
-    found = stretches(shared, window, block_rows)
-    distinct = found.filter("parts > 0").groupBy("key", "body").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.max("parts").alias("parts"))
-    part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
-    verdict = parsed(distinct, window).select("key", "same", "first", "spans", part)
-    to_parse = F.col("parts") > 0
-    mine = F.when(to_parse, F.pmod(F.xxhash64("route"), F.greatest("parts", F.lit(1))).cast("int")).otherwise(-1)
-    dealt = found.select(F.when(to_parse, F.col("key")).otherwise(F.col("route")).alias("key"), F.xxhash64("body").alias("same"), mine.alias("part"), "doc", "route", "check", "at", "n")
-    whole = F.array(F.struct(F.lit(0).alias("at"), F.col("n").alias("n")))
-    spans = F.when((F.col("part") < 0) | (F.col("doc") > F.col("first")), whole).otherwise(F.col("spans"))
-    cover = dealt.join(verdict, ["key", "same", "part"], "left").select("route", "check", "at", spans.alias("spans"))
-    moved = F.transform("spans", lambda s: F.struct("check", (F.col("at") + s["at"]).alias("at"), s["n"].alias("n")))
-    gone = cover.filter(F.size("spans") > 0).select("route", F.explode(moved).alias("s")).groupBy("route").agg(F.collect_list("s").alias("gone"))
+    shared = at_home.join(contested_anchors(anchors), "route")
+    many = shared.filter(F.exists("anchors", lambda a: a["fact"] > block_rows))
+    blocks = parsed(stretches(shared, window, block_rows, False), window)
+    spans = blocks.unionByName(repeated_windows(stretches(many, window, block_rows, True)))
+    gone = spans.groupBy("route").agg(F.collect_list(F.struct("check", "at", "n")).alias("gone"))
 
     def keep(batches):
         press = zstandard.ZstdDecompressor()
