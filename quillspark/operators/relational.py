@@ -7,12 +7,21 @@ before the shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def fresh_names(columns: Iterable[str]) -> Callable[[str], str]:
+    """Names for columns of our own that clash with none of ``columns``, whatever their case."""
+    taken, prefix = [c.lower() for c in columns], "_c"
+    while any(c.startswith(prefix) for c in taken):
+        prefix = "_" + prefix
+    return lambda name: f"{prefix}_{name}"
+
+
 def n_rows() -> Column:
     return F.count(F.lit(1))
 
@@ -62,20 +71,23 @@ def page(df: DataFrame, order: list[Column | str], number: int, size: int) -> Da
 
 def best_at_first_place(df: DataFrame, by: list[str], score: str = "score", pos: str = "pos") -> DataFrame:
     """One row a key: the best score's (ties: earliest), at the place where the key first occurs."""
-    window = Window.partitionBy(*by)
-    first = F.min(pos).over(window)
-    rank = F.row_number().over(window.orderBy(F.desc(score), pos))
-    return df.withColumns({"_first": first, "_rank": rank}).filter("_rank = 1").withColumn(pos, F.col("_first")).drop("_first", "_rank")
+    window, fresh = Window.partitionBy(*by), fresh_names(df.columns)
+    first, rank = fresh("first"), fresh("rank")
+    best = df.withColumns({first: F.min(pos).over(window), rank: F.row_number().over(window.orderBy(F.desc(score), pos))})
+    return best.filter(F.col(rank) == 1).withColumn(pos, F.col(first)).drop(first, rank)
 
 
 def join_dealt(rows: DataFrame, found: DataFrame, keys: list[str], rows_a_part: int = 1_000_000) -> DataFrame:
     """``rows.join(found, keys)`` where found has one row a key and in ``n`` how many rows have it.
 
     Rows of a key with over ``rows_a_part`` of them are dealt over parts, and its row of found is repeated
-    once a part.  Only such keys, at most one for each ``rows_a_part`` rows, are broadcast.
+    once a part.  Only such keys, at most one for each ``rows_a_part`` rows, are broadcast: a few bytes a
+    million rows.  n is not returned.
     """
+    fresh = fresh_names([*rows.columns, *found.columns])
+    part, several = fresh("part"), fresh("parts")
     parts = F.ceil(F.col("n") / F.lit(rows_a_part)).cast("int")
-    hot = found.filter(F.col("n") > rows_a_part).select(*keys, parts.alias("_parts"))
-    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_part", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
-    each = found.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
-    return dealt.join(each, [*keys, "_part"]).drop("_part")
+    hot = found.filter(F.col("n") > rows_a_part).select(*keys, parts.alias(several))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn(part, F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col(several)).cast("int"), F.lit(0))).drop(several)
+    each = found.withColumn(part, F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+    return dealt.join(each, [*keys, part]).drop(part)

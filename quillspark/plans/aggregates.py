@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.operators.quantiles import exact_quantile
 from quillspark.operators.relational import n_rows, percent, top_groups
 from quillspark.registry import query
 from quillspark.sources.tables import Tables, as_of
@@ -90,12 +91,12 @@ def two_level_avg(t: Tables) -> DataFrame:
 
 @query(f"SELECT CAST(percentile_cont(0.5) WITHIN GROUP (ORDER BY n) AS DOUBLE) AS median FROM {PER_SESSION}")
 def two_level_median(t: Tables) -> DataFrame:
-    return per_session(t).agg(F.expr("percentile_cont(0.5) WITHIN GROUP (ORDER BY n)").alias("median"))
+    return t.rows("median double", (exact_quantile(per_session(t), "n"),))
 
 
 @query(f"SELECT round(CAST(percentile_cont(0.5) WITHIN GROUP (ORDER BY CAST({COST} AS DOUBLE)) AS DOUBLE), 6) AS median FROM events WHERE event_type = 'purchase'")
 def median_cost(t: Tables) -> DataFrame:
-    return t.costs.filter("event_type = 'purchase'").agg(F.round(F.expr("percentile_cont(0.5) WITHIN GROUP (ORDER BY CAST(cost_usd AS DOUBLE))"), 6).alias("median"))
+    return t.rows("median double", (exact_quantile(t.costs.filter("event_type = 'purchase'"), "cost_usd"),)).select(F.round("median", 6).alias("median"))
 
 
 @query(f"SELECT round(avg(CAST({COST} AS DOUBLE)), 6) AS mean FROM events WHERE event_type = 'purchase'")

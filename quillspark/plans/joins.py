@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators.relational import join_dealt, n_rows
 from quillspark.registry import query
+from quillspark.sources.sinks import written
 from quillspark.sources.tables import Tables
 
 
@@ -62,8 +63,12 @@ def anti_join_discovery(t: Tables) -> DataFrame:
 @query("""WITH e AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS exact, min(doc_id) OVER (PARTITION BY substr(text, 1, 15000)) AS near FROM documents)
 SELECT doc_id, CASE WHEN exact < doc_id THEN 'exact_duplicate:' || exact WHEN near < doc_id THEN 'preview_match:' || near END AS warning FROM e""")
 def dedupe_lookup_exact_then_preview(t: Tables) -> DataFrame:
-    """The earliest row of the same hash, else of the same preview; aggregates first, so no hot text meets in one task."""
-    rows = t.documents.select("doc_id", F.sha2("text", 256).alias("raw"), F.xxhash64(F.substring("text", 1, 15_000)).alias("preview"))
+    """The earliest row of the same hash, else of the same preview; aggregates first, so no hot text meets in one task.
+
+    The texts are read and hashed once; both aggregates and both joins read the written hashes.
+    """
+    hashes = t.documents.select("doc_id", F.unhex(F.sha2("text", 256)).alias("raw"), F.xxhash64(F.substring("text", 1, 15_000)).alias("preview"))
+    rows = written(hashes, "text-hashes")
     first = lambda key, name: rows.groupBy(key).agg(F.min("doc_id").alias(name), F.count(F.lit(1)).alias("n"))
     found = join_dealt(join_dealt(rows, first("raw", "exact"), ["raw"]), first("preview", "near"), ["preview"])
     text = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.operators.relational import insert_missing, ranked, upsert
+from quillspark.operators.numbering import numbered
+from quillspark.operators.relational import insert_missing, upsert
 from quillspark.registry import query
-from quillspark.sources.sinks import written
+from quillspark.sources.sinks import fresh_folder, written
+from quillspark.sources.snapshots import Snapshots, progress
 from quillspark.sources.tables import Tables
 
 
@@ -83,8 +85,8 @@ def delete_sink(t: Tables) -> DataFrame:
 @query("SELECT page_id, CAST(floor((row_number() OVER (PARTITION BY substr(url, 1, 8) ORDER BY page_id) - 1) / 1000) AS BIGINT) AS batch FROM pages WHERE contains(lower(url), 'example.org')")
 def object_delete_by_pattern(t: Tables) -> DataFrame:
     """The keys that a purge would name, in batches of 1000 a prefix; nothing is deleted."""
-    hit = t.pages.filter(F.lower("url").contains("example.org")).withColumn("prefix", F.substring("url", 1, 8))
-    return ranked(hit, ["prefix"], ["page_id"]).select("page_id", F.floor((F.col("rank") - 1) / 1000).alias("batch"))
+    hit = t.pages.filter(F.lower("url").contains("example.org")).select("page_id", F.substring("url", 1, 8).alias("prefix"))
+    return numbered(hit, ["prefix"], ["page_id"]).select("page_id", F.floor((F.col("rank") - 1) / 1000).alias("batch"))
 
 
 @query("SELECT page_id, '/blobs/' || md5(html) || regexp_extract(url, '(\\.[a-z]+)$', 1) AS path FROM pages")
@@ -114,11 +116,13 @@ def migrate_batch(t: Tables) -> DataFrame:
     return local.orderBy("doc_id").limit(20).select("doc_id").crossJoin(F.broadcast(left))
 
 
-@query()
+@query("SELECT count(*) AS synced, 0 AS pending, count(*) FILTER (WHERE labelled) AS before, count(*) FILTER (WHERE NOT labelled) AS delta, false AS stalled FROM (SELECT doc_id IN (SELECT doc_id FROM labels) AS labelled FROM documents)")
 def state_file(t: Tables) -> DataFrame:
-    """Progress since the run before, which is read back from its written snapshot."""
-    before = written(t.labels.agg(F.count(F.lit(1)).alias("before")), "progress")
-    return t.documents.agg(F.count(F.lit(1)).alias("synced")).crossJoin(before).withColumn("delta", F.col("synced") - F.col("before"))
+    """Two runs with one state folder: the labelled documents are synced by the first, all by the second."""
+    store = Snapshots(t.spark, fresh_folder(t.spark, "progress"), "synced bigint, pending bigint, before bigint, delta bigint, stalled boolean")
+    marked = t.documents.join(t.labels.select("doc_id", F.lit(1).alias("labelled")).distinct(), "doc_id", "left")
+    progress(store, marked.agg(F.count("labelled").alias("synced"), F.count_if(F.col("labelled").isNull()).alias("pending")), [])
+    return progress(store, marked.agg(F.count(F.lit(1)).alias("synced"), F.lit(0).cast("long").alias("pending")), [])
 
 
 @query()

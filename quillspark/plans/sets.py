@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.operators.relational import ranked
+from quillspark.operators.numbering import numbered
 from quillspark.registry import query
 from quillspark.sources.tables import Tables
 
@@ -14,7 +14,7 @@ from quillspark.sources.tables import Tables
 def union_ordered(t: Tables) -> DataFrame:
     """The state lane first, then the local one; the place is a column."""
     lane = lambda lang, k: t.documents.filter(F.col("lang") == lang).select("doc_id", "source", F.lit(k).alias("lane"))
-    return ranked(lane("fr", 0).unionByName(lane("en", 1)), ["source"], ["lane", "doc_id"], "pos").drop("lane")
+    return numbered(lane("fr", 0).unionByName(lane("en", 1)), ["source"], ["lane", "doc_id"], "pos").drop("lane")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN doc_id ELSE doc_id + 1000000 END AS pos FROM documents")

@@ -6,34 +6,54 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import lexicon as lex
-from quillspark.operators.relational import n_rows, ranked
-from quillspark.plans.audit import title_of, transition
+from quillspark.operators.numbering import numbered
+from quillspark.operators.relational import n_rows
+from quillspark.plans.audit import entities_of, title_of, transition
+from quillspark.plans.classify import any_pattern
 from quillspark.registry import query
-from quillspark.sources.tables import Tables, as_of
+from quillspark.sources.sinks import fresh_folder
+from quillspark.sources.snapshots import Snapshots, progress
+from quillspark.sources.tables import AS_OF, Tables, as_of, as_turns
 from quillspark.streaming import jobs
 
 
 @query("SELECT page_id, url FROM pages WHERE page_id NOT IN (SELECT doc_id FROM labels)")
 def incremental_discovery(t: Tables) -> DataFrame:
-    """Admits unseen keys only; changed objects are not looked at."""
-    return t.pages.join(t.labels.select(F.col("doc_id").alias("page_id")), "page_id", "left_anti").select("page_id", "url")
+    """A listing that a file stream reads, less the keys known before; its checkpoint is the set of seen files.
+
+    Changed objects are not looked at: neither a seen file nor a known key comes again.
+    """
+    listed = jobs.admit_new(t.spark, f"{t.folder}/pages.parquet", t.pages.schema, fresh_folder(t.spark, "discovery"))
+    return listed.join(t.labels.select(F.col("doc_id").alias("page_id")), "page_id", "left_anti").select("page_id", "url")
 
 
 @query("SELECT event_id, 'processing' AS status FROM events WHERE event_type = 'error' ORDER BY ts, event_id LIMIT 1")
 def queue_claim(t: Tables) -> DataFrame:
-    return t.events.filter("event_type = 'error'").orderBy(F.asc_nulls_last("ts"), "event_id").limit(1).select("event_id", F.lit("processing").alias("status"))
+    """One claim on the queue of errors: the row queued longest is being worked on in the next snapshot."""
+    queue = jobs.Queue(t.spark, fresh_folder(t.spark, "queue"))
+    queue.submit(t.events.filter("event_type = 'error'").select("event_id", F.col("ts").alias("queued_at")), "submit")
+    return queue.claim(1, AS_OF, "claim").select("event_id", F.lit("processing").alias("status"))
 
 
-@query()
+@query("SELECT event_id, CASE WHEN value < 10 THEN 'failed' ELSE 'completed' END AS status, 1 AS attempts FROM events WHERE event_type = 'error'")
 def poll_loop(t: Tables) -> DataFrame:
-    """The queue drained by a file stream that ends once it has read everything."""
-    return jobs.drain(t.spark, f"{t.folder}/events.parquet", t.events.schema)
+    """A file stream's rows queued, claimed, worked on and ended batch by batch; a value under 10 fails."""
+
+    def work(claimed: DataFrame) -> DataFrame:
+        return claimed.join(t.events, "event_id").select("event_id", F.when(F.col("value") < 10, "failed").otherwise("completed").alias("outcome"))
+
+    done = jobs.drain(t.spark, f"{t.folder}/events.parquet", t.events.schema, work, fresh_folder(t.spark, "queue"), AS_OF, "event_type = 'error'")
+    return done.select("event_id", "status", "attempts")
 
 
-@query("SELECT event_id, CASE WHEN event_type = 'view' AND ts < TIMESTAMP '2024-01-31' - INTERVAL 30 MINUTE THEN 'queued' ELSE event_type END AS status FROM events")
+@query("SELECT event_id, CASE WHEN event_type <> 'view' THEN 'completed' WHEN ts < TIMESTAMP '2024-01-30' - INTERVAL 30 MINUTE THEN 'queued' ELSE 'processing' END AS status FROM events")
 def stale_recovery(t: Tables) -> DataFrame:
-    stale = (F.col("event_type") == "view") & (F.col("ts") < as_of() - F.expr("INTERVAL 30 MINUTES"))
-    return t.events.select("event_id", F.when(stale, "queued").otherwise(F.col("event_type")).alias("status"))
+    """A snapshot in which views are being worked on since their time, after a recovery a day before the clock."""
+    queue = jobs.Queue(t.spark, fresh_folder(t.spark, "queue"))
+    viewed = F.col("event_type") == "view"
+    queue.store.write(t.events.select("event_id", F.when(viewed, "processing").otherwise("completed").alias("status"), F.col("ts").alias("queued_at"), F.when(viewed, F.col("ts")).alias("claimed_at"), F.lit(1).alias("attempts")))
+    queue.recover("2024-01-30 00:00:00", "recover")
+    return queue.rows().select("event_id", "status")
 
 
 @query("SELECT count(*) FILTER (WHERE event_type = 'view') AS reset_stuck, count(*) FILTER (WHERE event_type = 'error' AND contains(props, '\"k\": 1')) AS retried FROM events")
@@ -103,6 +123,27 @@ def conversation_state(t: Tables) -> DataFrame:
     return rows.select("session_id", "said.pos", "now.title", F.coalesce(F.size("now.entities"), F.lit(0)).alias("entities"))
 
 
+def turn_facts(turns: DataFrame) -> DataFrame:
+    """What the fold over a session needs of each turn (session_id, pos, role, content)."""
+    rows = turns.select("session_id", "pos", "role", F.coalesce("content", F.lit("")).alias("x")).withColumn("found", entities_of(F.col("x")))
+    moves = (F.col("role") == "user") & ~any_pattern(F.col("x"), lex.BROADENING)
+    event = F.col("x").rlike(f"(?i){lex.EVENT_MARKERS}")
+    return rows.select("session_id", "pos", "role", "x", "found", F.transform("found", F.lower).alias("lowered"), F.coalesce(moves, F.lit(False)).alias("moves"), event.alias("event"))
+
+
+def situations(folded: DataFrame) -> DataFrame:
+    title = F.when(F.col("entities").isNotNull(), title_of(F.col("entities")))
+    return folded.select("session_id", "pos", title.alias("title"), F.coalesce(F.size("entities"), F.lit(0)).alias("entities"))
+
+
+@query()
+def conversation_state_stream(t: Tables) -> DataFrame:
+    """``conversation_state`` by a stream with a keyed state: no session's text is collected."""
+    table = t.conversations
+    read = jobs.read_stream(t.spark, f"{t.folder}/conversations.parquet", table.schema)
+    return situations(jobs.fold_situations(turn_facts(as_turns(read)), fresh_folder(t.spark, "situations")))
+
+
 TIER_OF = {"click": "messages", "view": "api", "purchase": "uploads", "error": "strict"}
 TIER_SQL = f"CASE event_type {' '.join(f'WHEN {k!r} THEN {v!r}' for k, v in TIER_OF.items())} ELSE 'sessions' END"
 
@@ -121,15 +162,26 @@ def rate_limit_fixed_window(t: Tables) -> DataFrame:
     return by_window.select("start", "user_id", "tier", "n", (F.col("n") > F.col("most")).alias("limited"))
 
 
-@query("WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) FILTER (WHERE event_type = 'purchase') AS n FROM events GROUP BY 1, 2) SELECT user_id, day, coalesce(n - lag(n) OVER (PARTITION BY user_id ORDER BY day) = 0, false) AS stalled FROM d")
+STALL_SQL = "SELECT user_id, count(*) FILTER (WHERE event_type = 'purchase' AND ts < TIMESTAMP '{0}') AS synced, count(*) FILTER (WHERE event_type <> 'purchase' AND ts < TIMESTAMP '{0}') AS pending FROM events GROUP BY 1"
+
+
+@query(f"""WITH a AS ({STALL_SQL.format('2024-01-28')}), b AS ({STALL_SQL.format('2024-01-31')})
+SELECT user_id, b.synced, b.pending, a.synced AS before, b.synced - a.synced AS delta, b.synced <= a.synced AND b.pending > 0 AS stalled FROM b LEFT JOIN a USING (user_id)""")
 def stall_detector(t: Tables) -> DataFrame:
-    daily = t.events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count_if(F.col("event_type") == "purchase").alias("n"))
-    before = F.lag("n").over(Window.partitionBy("user_id").orderBy("day"))
-    return daily.select("user_id", "day", F.coalesce(F.col("n") == before, F.lit(False)).alias("stalled"))
+    """Two runs with one state folder, three days apart: users with work left and no more of it done than before."""
+    store = Snapshots(t.spark, fresh_folder(t.spark, "stalls"), "user_id bigint, synced bigint, pending bigint, before bigint, delta bigint, stalled boolean")
 
+    def now(day: str) -> DataFrame:
+        until, done = F.col("ts") < F.expr(f"TIMESTAMP_NTZ '{day}'"), F.col("event_type") == "purchase"
+        return t.events.groupBy("user_id").agg(F.count_if(until & done).alias("synced"), F.count_if(until & ~done).alias("pending"))
 
-@query()
+    progress(store, now("2024-01-28"), ["user_id"])
+    return progress(store, now("2024-01-31"), ["user_id"])
+
+
+@query("WITH r AS (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) SELECT source, CAST(floor((k - 1) / 3) AS BIGINT) AS batch, count(*) AS done, count(*) FILTER (WHERE n_chars < 100) AS failed FROM r GROUP BY ALL")
 def parallel_batches(t: Tables) -> DataFrame:
     """Groups of three a source, each row with its outcome; tasks, not pauses, bound the concurrency."""
     batch = F.floor((F.col("rank") - 1) / 3)
-    return ranked(t.documents, ["source"], ["doc_id"]).groupBy("source", batch.alias("batch")).agg(n_rows().alias("done"), F.count_if(F.col("n_chars") < 100).alias("failed"))
+    rows = numbered(t.documents.select("doc_id", "source", "n_chars"), ["source"], ["doc_id"])
+    return rows.groupBy("source", batch.alias("batch")).agg(n_rows().alias("done"), F.count_if(F.col("n_chars") < 100).alias("failed"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,17 +10,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a private one only where that is unset, as in tests."""
+    """The folder in ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session, whose executors are the driver, makes a private one, as in
+    tests; on a cluster that is an error.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder; nothing is there yet."""
+    return f"{shared_folder(spark)}/sinks/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Append the rows to a new Parquet folder and read it back."""
-    path = f"{shared_folder(df.sparkSession)}/sinks/{name}-{uuid.uuid4().hex}"
+    path = fresh_folder(df.sparkSession, name)
     out = df.write.mode("append")
     (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

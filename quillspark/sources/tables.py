@@ -13,6 +13,10 @@ def as_of() -> Column:
     return F.expr(f"TIMESTAMP_NTZ '{AS_OF}'")
 
 
+def as_turns(conversations: DataFrame) -> DataFrame:
+    return conversations.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("pos"), "role", F.col("text").alias("content"))
+
+
 class Tables:
     """``t.events`` reads ``events.parquet``; nothing runs until an action does."""
 
@@ -32,7 +36,7 @@ class Tables:
     @property
     def turns(self) -> DataFrame:
         """Chat messages in order."""
-        return self.conversations.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("pos"), "role", F.col("text").alias("content"))
+        return as_turns(self.conversations)
 
     def rows(self, schema: str, *rows: tuple) -> DataFrame:
         """A small literal table."""
