@@ -85,7 +85,7 @@ def drop_recurring_lines(docs: DataFrame, lead: int = 3) -> DataFrame:
     need be with an empty text; an empty table gives none.  Columns named n_lines or n_dropped in the
     input are replaced; any other column passes through.
     """
-    others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    others = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     name = unused(docs.columns)
     who, what = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), F.xxhash64("text")
     lines = stored(line_templates(docs.filter("text IS NOT NULL").select(who.alias("_doc"), what.alias("_text"), "text"), lead), "line-templates")

@@ -219,6 +219,19 @@ def test_url_branches_with_opposed_labels_stay_apart(spark):
     assert {r["template"] for r in url_filter(pages, rules).collect()} == {"/x/*", "/y/*"}
 
 
+@pytest.mark.parametrize("depth", [2, 4, 6])
+def test_url_labels_below_the_third_segment(spark, depth):
+    """Labels deep in a path decide there and not for branches beside them; past ``depth`` only equal rests share."""
+    rules = [("block", "a.test/x/y/z/bad/"), ("allow", "a.test/x/y/z/good/")]
+    urls = [f"http://a.test/x/y/z/bad/{i}" for i in range(40)] + [f"http://a.test/x/y/z/good/{i}" for i in range(40)]
+    urls += ["http://a.test/x/y/z/fine/a", "http://a.test/x/y/z/fine/b/c/d/e/f/g", "http://a.test/x/y/z"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {urls[r["page_id"]]: r for r in url_filter(pages, rules, depth=depth).collect()}
+    assert {got[u]["verdict"] for u in urls[:40]} == {"block"} and {got[u]["verdict"] for u in urls[40:]} == {"allow"}
+    assert got[urls[0]]["template"] == "/x/y/z/bad/*" and got[urls[40]]["template"] == "/x/y/z/good/*"
+    assert got[urls[0]]["purity"] > 0.8 and got[urls[40]]["purity"] < 0.2 and got[urls[80]]["purity"] == 0.5
+
+
 def test_url_many_children_and_long_paths(spark):
     urls = [f"http://a.test/{chr(97 + i % 26)}{chr(97 + i // 26)}x/p" for i in range(300)] + ["http://a.test/" + "long/" * 5000, "http://a.test/" + "q" * 100_000]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
