@@ -15,6 +15,20 @@ BROAD = (r"why\s+(did|does|has|have|is|was|were)", r"how\s+(is|are|was|were)\s+\
 RECENT = ("currently", "now", "this year", "recent", "recently", "latest", "today", "right now", "at the moment", "present", "presently", "2024", "2025")
 FOLLOW_UP = ("so ", "so then", "otherwise", "does that mean", "then ", "if so", "and if", "what about", "how about", "but what if", "is that", "would that", "could that", "should that", "can i", "can we", "can they")
 FORBIDDEN = ("deep", "standard", "mode", "toggle", "premium", "upgrade", "shortened", "truncated")
+# Phrases that an answer in prose should not have.
+FORBIDDEN_PROSE = ("Bottom line", "What we know", "Unknowns that matter", "What changes", "next steps", "you may wish to", "consult counsel", "I recommend", "consider", "based on the provided documents", "the sources indicate", "It's important to note", "It should be noted", "Worth mentioning")
+# Least and most words of an answer in prose, by its type.
+PROSE_WORDS = (("QUICK_PROCESS", 120, 220), ("EXPLAINER", 180, 320), ("RISK_DISPUTE", 250, 450))
+# Towns whose name makes a question local.
+SCOPE_TOWNS = (
+    *("Ossipee", "Conway", "Bartlett", "Madison", "Tamworth", "Freedom", "Effingham", "Moultonborough", "Sandwich", "Wolfeboro"),
+    *("Wakefield", "Milton", "Farmington", "Rochester", "Dover", "Portsmouth", "Exeter", "Hampton", "Concord", "Manchester"),
+    *("Nashua", "Keene", "Laconia", "Berlin", "Littleton", "Plymouth", "Hanover", "Lebanon", "Claremont", "Franklin"),
+    *("Tilton", "Meredith", "Ashland", "Holderness", "Campton", "Thornton", "Lincoln", "Woodstock", "Franconia", "Sugar Hill"),
+    *("Lisbon", "Bethlehem", "Whitefield", "Lancaster", "Gorham", "Jackson", "Albany", "Eaton", "Chatham", "Brookfield"),
+)
+# Domains of a question that follows up, where none is known before.
+BYPASS_DOMAINS = ("zoning", "ordinance", "planning_board_docs")
 HIGH_RISK = ("lawsuit", "liability", "damages", "sue", "legal action", "court", "attorney", "negligence")
 BYLINE = (r"\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+\d{1,2}", r"\b\d{1,2}/\d{1,2}/\d{2,4}\b", r"\bUpdated\b", r"\bPublished\b", r"\bReporter\b", r"\bBy\s+[A-Z][a-z]+\s+[A-Z][a-z]+", r"\bStaff\s+Writer\b", r"\bPress\s+Release\b", r"\bNews\b", r"\bArticle\b")
 MINUTES = (r"\bMinutes\b", r"\bMeeting\s+Called\s+to\s+Order\b", r"\bAdjourned\b", r"\bMotion\s+(to|by)\b", r"\bSeconded\b", r"\bAll\s+in\s+favor\b", r"\bVote:\s*\d", r"\bPresent:\s", r"\bAbsent:\s", r"\bQuorum\b")
@@ -116,7 +130,13 @@ SITUATION_WORDS = (
 SITUATION_DATES = SITUATION_WORDS[3:6]
 EVENT_MARKERS = r"\b(?:vote|meeting|hearing|warrant|decision|controversy|project|dispute|lawsuit|case|issue)\b"
 BROADENING = (r"\bhow\s+does\s+(?:this|it)\s+work\s+(?:statewide|in\s+nh|generally|across)\b", r"\bwhat\s+about\s+other\s+towns?\b", r"\bswitching\s+topics?\b", r"\bdifferent\s+(?:topic|question|subject)\b", r"\bgenerally\s+speaking\b", r"\bin\s+general\b", r"\bacross\s+(?:new\s+hampshire|nh|the\s+state)\b", r"\bstatewide\b")
-POINTED_AT = tuple(f"{w} {n}" for n in ("vote", "decision", "meeting", "case", "situation", "project", "issue", "article", "property") for w in ("that", "the", "this")) + ("as mentioned", "as discussed", "we were discussing", "going back to", "regarding the", "about the earlier")
+# Phrases that point at what was spoken of.
+POINTED_AT = (
+    *("that vote", "the vote", "this vote", "that decision", "the decision", "this decision", "that meeting", "the meeting", "this meeting"),
+    *("that case", "the case", "this case", "that situation", "the situation", "this situation", "that project", "the project", "this project"),
+    *("that issue", "the issue", "this issue", "that article", "the article", "this article", "that property", "the property", "this property"),
+    *("as mentioned", "as discussed", "we were discussing", "going back to", "regarding the", "about the earlier"),
+)
 PROPER_NOUNS = (
     r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\s+(?:Park|Board|Committee|Commission|Department|Street|Road|Drive|Avenue|Lane|Court|Project|Property|Case|Center|School|Building|Hill|Lake|Pond|River|Creek|Brook|Bridge|Beach)\b",
     r"(?i)\b(?:the\s+)?([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\s+(?:vote|motion|amendment|proposal|resolution|ordinance|variance|appeal|hearing|meeting)\b",
