@@ -116,7 +116,7 @@ def quality_rules(docs: DataFrame, max_lost: float = 0.5) -> DataFrame:
         ),
     )
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text"]
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in added]
+    rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in added]
     name = unused([*docs.columns, *added])
     fact, line = (lambda c: F.col(f"{name('facts')}.{c}")), (lambda c: F.col(f"{name('lines')}.{c}"))
     first = docs.select(*rest, facts.alias(name("facts")), lines.alias(name("lines")), F.regexp_count(text, F.lit(SYMBOL)).cast("long").alias("n_symbols"))

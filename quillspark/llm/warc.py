@@ -19,6 +19,8 @@ from .shared_files import create, open_stream
 
 # Fixed values of the formats: the dictionary's skippable frame, the records' version line and end.
 DICTIONARY_FRAME = 0x184D2A5D
+# Fixed value: the magic number of skippable frames, whose last four bits are free.
+SKIPPABLE = 0x184D2A50
 VERSION, END = b"WARC/1.1\r\n", b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 REQUIRED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
@@ -73,7 +75,7 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
         raise ValueError("Content-Length does not match the record")
     http, gap, payload = rest[:length].partition(b"\r\n\r\n")
     said = re.search(rb"\r\nContent-Length: (\d+)", http)
-    if not gap or not said or int(said[1]) != int(headers["WARC-Payload-Length"]):
+    if not gap or not said or int(said[1]) != int(headers.setdefault("WARC-Payload-Length", said[1].decode())):
         raise ValueError("bad HTTP header")
     if headers["WARC-Type"] == "response":
         if len(payload) != int(said[1]) or headers["WARC-Payload-Digest"] != "sha1:" + digest_of(payload):
@@ -109,8 +111,13 @@ class ArchiveWriter:
 
 
 def read_archive(stream):
-    """Records of an archive, decoded frame by frame; holds one record and one read buffer."""
-    magic, size = struct.unpack("<II", stream.read(8))
+    """Records of an archive, decoded frame by frame; holds one record and one read buffer.
+
+    Further skippable frames are passed over.  Raises ValueError where the archive is cut short, or a frame
+    cannot be decoded or is no record.
+    """
+    head = stream.read(8)
+    magic, size = struct.unpack("<II", head) if len(head) == 8 else (None, 0)
     if magic != DICTIONARY_FRAME:
         raise ValueError("no dictionary frame at the start")
     trained = stream.read(size)
@@ -119,10 +126,24 @@ def read_archive(stream):
     reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(trained))
     data, at = stream.read(READ), 0
     while data:
+        if len(data) - at < 8:
+            data, at = data[at:] + stream.read(READ), 0
+        magic, size = struct.unpack("<II", data[at : at + 8]) if len(data) - at >= 8 else (0, 0)
+        if magic & 0xFFFFFFF0 == SKIPPABLE:
+            at += 8 + size
+            while at >= len(data) and (more := stream.read(READ)):
+                data, at = more, at - len(data)
+            if at > len(data):
+                raise ValueError("a skippable frame is cut short")
+            data, at = (data, at) if at < len(data) else (b"", 0)
+            continue
         frame, parts = reader.decompressobj(), []
         while True:
             piece = data[at : at + STEP]  # a small view, as what a frame leaves of its input is copied
-            parts.append(frame.decompress(piece))
+            try:
+                parts.append(frame.decompress(piece))
+            except zstandard.ZstdError as e:
+                raise ValueError(f"a frame cannot be decoded: {e}") from e
             at += len(piece) - (len(frame.unused_data) if frame.eof else 0)
             if at >= len(data):
                 data, at = stream.read(READ), 0

@@ -110,6 +110,14 @@ def test_spanning_links_empty():
     assert all(len(x) == 0 for x in spanning_links(np.zeros(0, np.int64), none, np.zeros(0, bool), 3))
 
 
+def test_names_differ_by_case_only(spark):
+    """Columns of the input that differ from an added one in case are replaced like it."""
+    text = "A plain sentence with enough ordinary words to be kept by every rule of this list, and then a few more words."
+    rows = spark.createDataFrame([(1, text, "x", 7)], "doc_id long, text string, KEPT string, N_Lines int")
+    assert quality_rules(rows).filter("kept").count() == 1
+    assert [r["n_lines"] for r in drop_recurring_lines(rows).select("n_lines").collect()] == [1]
+
+
 def test_lines_keep_the_first(spark):
     menu, number = "All rights reserved here", "Page 3 of 14 in this report"
     rows = [row(2, f"{menu}\nbody of two\n{menu}"), row(9, f"{menu}\nbody of nine"), row(4, f"x\n{number}"), row(8, "Page 5 of 20 in this report\ny"), row(11, "Posted on the board by Alice today"), row(12, "Posted on the board by Robert today")]
@@ -281,7 +289,16 @@ def test_bad_archives(spark):
         writer.add(r)
     data = sink.getvalue()
     assert [p for _, p in read_archive(io.BytesIO(data))] == [parse_record(r)[1] for r in records]
-    for bad in (data[:-9], b"\0" * 8 + data[8:], data[:12]):
+    import struct
+
+    skip = lambda n: struct.pack("<II", 0x184D2A5E, n) + b"x" * n
+    size = struct.unpack("<II", data[:8])[1] + 8
+    more = data[:size] + skip(3) + skip(3_000_000) + data[size:] + skip(0)
+    assert [p for _, p in read_archive(io.BytesIO(more))] == [parse_record(r)[1] for r in records]
+    unnamed = b"\r\n".join(x for x in records[0].split(b"\r\n") if not x.startswith(b"WARC-Payload-Length"))
+    assert parse_record(unnamed)[1] == parse_record(records[0])[1]
+    flipped = data[: size + 40] + bytes([data[size + 40] ^ 255]) + data[size + 41 :]
+    for bad in (data[:-9], b"\0" * 8 + data[8:], data[:12], data[:5], b"", flipped, data + skip(9)[:-2]):
         with pytest.raises(ValueError):
             list(read_archive(io.BytesIO(bad)))
     one = records[0]
