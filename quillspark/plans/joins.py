@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.containment import contained
 from quillspark.operators.relational import join_dealt, n_rows
 from quillspark.registry import query
 from quillspark.sources.sinks import written
@@ -117,13 +118,15 @@ def identity_resolution(t: Tables) -> DataFrame:
     return seen.select("user_id", F.coalesce("c_name", F.concat(F.lit("new-"), F.col("user_id").cast("string"))).alias("identity"), F.col("c_name").isNull().alias("created"))
 
 
-ENTITIES = ("tion", "Thnder", "eaux", "lich", "zzz")
+ENTITY_SQL = "SELECT DISTINCT unnest(list_concat(string_split(text, ' ')[1:3], [string_split(text, ' ')[1] || ' ' || string_split(text, ' ')[2]])) AS e FROM benchmark"
 
 
-@query(f"SELECT doc_id, list_filter({list(ENTITIES)}, lambda e: contains(lower(text), lower(e))) AS hits FROM documents")
+@query(f"""WITH e AS (SELECT e FROM ({ENTITY_SQL}) WHERE e <> '') SELECT doc_id, CASE WHEN text IS NOT NULL THEN (SELECT coalesce(list(e ORDER BY e), []) FROM e WHERE contains(lower(d.text), lower(e))) END AS hits FROM documents d""")
 def entity_contains_join(t: Tables) -> DataFrame:
-    low = F.lower("text")
-    return t.documents.select("doc_id", F.filter(F.array(*[F.lit(e) for e in ENTITIES]), lambda e: low.contains(F.lower(e))).alias("hits"))
+    """The entities of the questions, their first three words and first two together, that each whole text contains."""
+    w = F.split("text", " ")
+    phrases = t.benchmark.select(F.explode(F.concat(F.slice(w, 1, 3), F.array(F.concat_ws(" ", F.get(w, F.lit(0)), F.get(w, F.lit(1)))))).alias("phrase"))
+    return contained(t.documents.select(F.col("doc_id").alias("id"), "text"), phrases).select(F.col("id").alias("doc_id"), "hits")
 
 
 @query("SELECT s_suppkey FROM (SELECT s_suppkey, s_acctbal FROM supplier WHERE s_nationkey < 5 UNION ALL SELECT s_suppkey, s_acctbal FROM supplier WHERE s_nationkey = 7) ORDER BY s_acctbal DESC, s_suppkey LIMIT 10")

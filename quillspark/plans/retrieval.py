@@ -14,45 +14,64 @@ from quillspark.plans.classify import any_pattern, any_pattern_sql, quoted
 from quillspark.registry import query
 from quillspark.sources.tables import Tables
 
-ENTITIES, TOPICS, SITUATION = ("thnder", "ation", "zoning"), ("the", "eau", "rsa"), "Thnder ationth the"
-BASE = """WITH base AS (SELECT source || '/' || (doc_id // 2000) AS query_id, CASE WHEN lang IN ('en', 'es') THEN 'local' ELSE 'state' END AS lane, doc_id, split_part(text, ' ', 1) AS title, text AS content, (n_chars % 97) / 100.0::DOUBLE AS raw FROM documents),
-chunks AS (SELECT query_id, lane, doc_id, title, content, raw AS score, row_number() OVER (PARTITION BY query_id, lane ORDER BY doc_id) AS pos FROM base)"""
+ENTITIES = ("thnder", "ation", "zoning")
+"""What a model's plan names, in ``planner_validate``."""
+ASKED = "[a-zà-ÿ]{4,}"
+BASE = f"""WITH base AS (SELECT source || '/' || (doc_id // 2000) AS query_id, (doc_id // 2000) * 7 + length(source) AS session, CASE WHEN lang IN ('en', 'es') THEN 'local' ELSE 'state' END AS lane, doc_id, split_part(text, ' ', 1) AS title, text AS content, (n_chars % 97) / 100.0::DOUBLE AS raw FROM documents),
+conv AS (SELECT conv_id AS session, regexp_extract_all(lower(arg_min(text, turn)), '{ASKED}') AS w FROM conversations WHERE role = 'user' AND text IS NOT NULL GROUP BY 1),
+asks AS (SELECT query_id, coalesce(w[1:3], []) AS entities, coalesce(w[4:6], []) AS topics, coalesce(w[7:8], []) AS boards, coalesce(w[2:5], []) AS situation FROM (SELECT DISTINCT query_id, session FROM base WHERE query_id IS NOT NULL) LEFT JOIN conv USING (session)),
+chunks AS (SELECT query_id, lane, doc_id, title, content, raw AS score, entities, topics, boards, situation, row_number() OVER (PARTITION BY query_id, lane ORDER BY doc_id) AS pos FROM base JOIN asks USING (query_id))"""
+
+
+def asks(t: Tables) -> DataFrame:
+    """What each query is about: entities, topics, boards and situation, the words of four letters or more of the
+    question that began its session.  A query whose session is not there asks for nothing."""
+    began = t.conversations.filter("role = 'user' AND text IS NOT NULL").groupBy(F.col("conv_id").alias("session")).agg(F.min_by("text", "turn").alias("said"))
+    words = began.select("session", F.regexp_extract_all(F.lower("said"), F.lit(ASKED), F.lit(0)).alias("w"))
+    block = F.floor(F.col("doc_id") / 2000)
+    queries = t.documents.select(F.concat("source", F.lit("/"), block.cast("string")).alias("query_id"), (block * 7 + F.length("source")).alias("session")).filter("query_id IS NOT NULL").distinct()
+    part = lambda name, at, n: F.coalesce(F.slice("w", at, n), F.array().cast("array<string>")).alias(name)
+    return queries.join(words, "session", "left").select("query_id", part("entities", 1, 3), part("topics", 4, 3), part("boards", 7, 2), part("situation", 2, 4))
 
 
 def chunks(t: Tables) -> DataFrame:
-    """Whole texts as passages of queries of bounded size: a query is a source's rows of 2000 ids in a row."""
+    """Whole texts as passages of queries of bounded size, each with what its query asks for.
+
+    A query is a source's rows of 2000 ids in a row.
+    """
     query_id = F.concat("source", F.lit("/"), F.floor(F.col("doc_id") / 2000).cast("string"))
     lane = F.when(F.col("lang").isin("en", "es"), "local").otherwise("state")
     rows = t.documents.select(query_id.alias("query_id"), lane.alias("lane"), "doc_id", F.split("text", " ", 2)[0].alias("title"), F.col("text").alias("content"), ((F.col("n_chars") % 97) / F.lit(100.0)).alias("score"))
-    return ranked(rows, ["query_id", "lane"], ["doc_id"], "pos")
+    return ranked(rows.join(asks(t), "query_id"), ["query_id", "lane"], ["doc_id"], "pos")
 
 
 def array(words) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
-def hit_count(words, text: Column) -> Column:
-    return F.size(F.filter(array(words), lambda w: text.contains(F.lower(w))))
+def hit_count(words: str, text: Column) -> Column:
+    """How many of the words in a column of lower-case arrays a lower-case text contains."""
+    return F.size(F.filter(words, lambda w: text.contains(w)))
 
 
-def hit_sql(words, text: str) -> str:
-    return f"len(list_filter({list(words)}, lambda w: contains({text}, lower(w))))"
+def hit_sql(words: str, text: str) -> str:
+    return f"len(list_filter({words}, lambda w: contains({text}, w)))"
 
 
-TEXT_SQL = "lower(title || ' ' || content)"
+TEXT_SQL = "lower(concat_ws(' ', title, content))"
 
 
 def full_text() -> Column:
     return F.lower(F.concat_ws(" ", "title", "content"))
 
 
-CONFIDENCE_SQL = f"round(least(1.0, 0.6 * avg(CASE WHEN score = 0 THEN 0.3 ELSE score END) + 0.3 * least(count(*) / 5.0, 1.0) + CASE WHEN bool_or({hit_sql(ENTITIES, TEXT_SQL)} > 0) THEN 0.1 ELSE 0 END)::DOUBLE, 6)"
+CONFIDENCE_SQL = f"round(least(1.0, 0.6 * avg(CASE WHEN score = 0 THEN 0.3 ELSE score END) + 0.3 * least(count(*) / 5.0, 1.0) + CASE WHEN bool_or({hit_sql('entities', TEXT_SQL)} > 0) THEN 0.1 ELSE 0 END)::DOUBLE, 6)"
 
 
 def confidence() -> Column:
-    """Of a group of passages; a missing or zero score counts as 0.3."""
+    """Of a group of passages; a missing or zero score counts as 0.3, and one of the query's entities adds a tenth."""
     score = F.avg(F.coalesce(F.nullif("score", F.lit(0.0)), F.lit(0.3)))
-    bonus = F.when(F.bool_or(hit_count(ENTITIES, full_text()) > 0), 0.1).otherwise(0.0)
+    bonus = F.when(F.bool_or(hit_count("entities", full_text()) > 0), 0.1).otherwise(0.0)
     return F.round(F.least(F.lit(1.0), score * 0.6 + F.least(n_rows() / 5, F.lit(1.0)) * 0.3 + bonus), 6)
 
 
@@ -61,13 +80,23 @@ def retrieval_confidence(t: Tables) -> DataFrame:
     return chunks(t).groupBy("query_id").agg(confidence().alias("confidence"))
 
 
-ALIGNMENT_SQL = f"round(avg({hit_sql(ENTITIES, TEXT_SQL)} / {len(ENTITIES)} * 0.5 + {hit_sql(TOPICS, TEXT_SQL)} / {len(TOPICS)} * 0.3 + 0.5 * 0.2)::DOUBLE, 6)"
+def share_sql(words: str) -> str:
+    return f"CASE WHEN len({words}) = 0 THEN 0.5::DOUBLE ELSE {hit_sql(words, TEXT_SQL)} / len({words}) END"
+
+
+ALIGNMENT_SQL = f"round(avg(CASE WHEN len(entities) = 0 AND len(topics) = 0 THEN 1.0::DOUBLE ELSE {share_sql('entities')} * 0.5::DOUBLE + {share_sql('topics')} * 0.3::DOUBLE + {share_sql('boards')} * 0.2::DOUBLE END), 6)"
+
+
+def aligned() -> Column:
+    """Of a passage: the shares of its query's entities, topics and boards that it names, half for a list that is
+    empty; 1 where the query names neither entities nor topics."""
+    share = lambda words: F.when(F.size(words) == 0, 0.5).otherwise(hit_count(words, full_text()) / F.size(words))
+    one = share("entities") * 0.5 + share("topics") * 0.3 + share("boards") * 0.2
+    return F.when((F.size("entities") == 0) & (F.size("topics") == 0), 1.0).otherwise(one)
 
 
 def alignment() -> Column:
-    """Of a group of passages; no boards are named here, so their part is the neutral 0.5."""
-    one = hit_count(ENTITIES, full_text()) / len(ENTITIES) * 0.5 + hit_count(TOPICS, full_text()) / len(TOPICS) * 0.3 + 0.1
-    return F.round(F.avg(one), 6)
+    return F.round(F.avg(aligned()), 6)
 
 
 @query(f"{BASE} SELECT query_id, {ALIGNMENT_SQL} AS alignment FROM chunks GROUP BY 1")
@@ -80,14 +109,14 @@ FOREIGN_CASE = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\s+(?:property|case|appeal|ap
 
 def foreign_cases(rows: DataFrame) -> DataFrame:
     """The most mentions that a case foreign to the entities has in a query's passages."""
-    named = rows.select("query_id", F.explode(F.regexp_extract_all(F.concat_ws(" ", "title", "content"), F.lit(FOREIGN_CASE), F.lit(1))).alias("name")).select("query_id", F.lower("name").alias("name"))
-    foreign = named.filter(~F.col("name").isin(*ENTITIES) & (F.length("name") > 3))
+    named = rows.select("query_id", "entities", F.explode(F.regexp_extract_all(F.concat_ws(" ", "title", "content"), F.lit(FOREIGN_CASE), F.lit(1))).alias("name")).withColumn("name", F.lower("name"))
+    foreign = named.filter(~F.array_contains("entities", F.col("name")) & (F.length("name") > 3))
     return foreign.groupBy("query_id", "name").agg(n_rows().alias("n")).groupBy("query_id").agg(F.max("n").alias("most"))
 
 
 @query(f"""{BASE}, s AS (SELECT query_id, count(*) AS n, {CONFIDENCE_SQL} AS confidence, {ALIGNMENT_SQL} AS alignment FROM chunks GROUP BY 1),
-c AS (SELECT query_id, lower(unnest(regexp_extract_all(concat_ws(' ', title, content), '{FOREIGN_CASE}', 1))) AS name FROM chunks),
-k AS (SELECT query_id, name, count(*) AS n FROM c WHERE name NOT IN {ENTITIES} AND length(name) > 3 GROUP BY ALL), m AS (SELECT query_id, max(n) AS most FROM k GROUP BY 1)
+c AS (SELECT query_id, entities, lower(unnest(regexp_extract_all(concat_ws(' ', title, content), '{FOREIGN_CASE}', 1))) AS name FROM chunks),
+k AS (SELECT query_id, name, count(*) AS n FROM c WHERE NOT list_contains(entities, name) AND length(name) > 3 GROUP BY query_id, name), m AS (SELECT query_id, max(n) AS most FROM k GROUP BY 1)
 SELECT query_id, CASE WHEN confidence < 0.35 THEN 'low confidence' WHEN alignment < 0.30 THEN 'low alignment' WHEN most >= greatest(2, ceil(n * 0.3)) THEN 'drift' WHEN length(query_id) % 2 = 0 AND confidence < 0.5 THEN 'high stakes' END AS reason FROM s LEFT JOIN m USING (query_id)""")
 def quality_gate(t: Tables) -> DataFrame:
     """The first rule that trips gives the reason; an id of even length stands for a question of high stakes."""
@@ -183,9 +212,24 @@ def dedupe_source_prefix(t: Tables) -> DataFrame:
     return top_per_group(first.select("query_id", "lane", "c.*"), ["query_id"], ["lane", "pos"], 40, "place").select("query_id", "doc_id", "place")
 
 
-@query(f"{BASE} SELECT query_id, trim(regexp_replace(content, '[ \\n\\t]+', ' ', 'g')) AS key, min(doc_id) AS doc_id FROM chunks GROUP BY 1, 2")
+NORMAL_SQL = "trim(regexp_replace(content, '[ \\n\\t]+', ' ', 'g'))"
+
+
+@query(f"""{BASE}, n AS (SELECT query_id, chunks.lane, pos, doc_id, list_filter([source, lang], lambda x: x IS NOT NULL AND x <> '') AS names, sha256(coalesce({NORMAL_SQL}, '')) AS hash FROM chunks JOIN documents USING (doc_id)),
+k AS (SELECT *, CASE WHEN len(names) > 0 THEN 'doc:' || array_to_string(list_sort(names), '|') || ':' || hash ELSE 'content:' || hash END AS key FROM n)
+SELECT query_id, key, arg_min(doc_id, CASE lane WHEN 'local' THEN 0 ELSE 1000000 END + pos) AS doc_id FROM k GROUP BY 1, 2""")
 def dedupe_docset_hash(t: Tables) -> DataFrame:
-    return chunks(t).groupBy("query_id", F.trim(F.regexp_replace("content", r"[ \n\t]+", " ")).alias("key")).agg(F.min("doc_id").alias("doc_id"))
+    """One passage for each set of names and content, the first of the local pass before any of the further one.
+
+    A passage's names are its source and language, sorted; one without names goes by content alone.  Only hashes
+    of the contents are shuffled.
+    """
+    hash_ = F.sha2(F.coalesce(F.trim(F.regexp_replace("content", r"[ \n\t]+", " ")), F.lit("")), 256)
+    named = t.documents.select("doc_id", F.array_sort(F.filter(F.array("source", "lang"), lambda x: x.isNotNull() & (x != ""))).alias("names"))
+    rows = chunks(t).select("query_id", "lane", "pos", "doc_id", hash_.alias("hash")).join(named, "doc_id")
+    key = F.when(F.size("names") > 0, F.concat_ws(":", F.lit("doc"), F.array_join("names", "|"), "hash")).otherwise(F.concat(F.lit("content:"), "hash"))
+    place = F.when(F.col("lane") == "local", 0).otherwise(1_000_000) + F.col("pos")
+    return rows.groupBy("query_id", key.alias("key")).agg(F.min_by("doc_id", place).alias("doc_id"))
 
 
 def merged(t: Tables, salience: float, local_cap: int = 10, state_cap: int = 8) -> DataFrame:
@@ -221,23 +265,22 @@ def merge_rank_state_quota(t: Tables) -> DataFrame:
     return top_per_group(with_state_quota(merged(t, 0.8)), ["query_id"], [F.desc("sure"), F.desc("score"), "pos"], 15, "place").select("query_id", "doc_id", "place")
 
 
-def match_score(text: Column, entities=ENTITIES, title: str = SITUATION) -> Column:
-    """Weight of the entities and long title words that a text holds, over the weight there is to have."""
-    got, weight = F.lit(0.0), F.lit(2.0 * len(entities))
-    for e in entities:
-        parts = [text.contains(w).cast("int") for w in e.lower().split() if len(w) > 3]
-        got = got + F.when(text.contains(e.lower()), 2.0).otherwise(sum(parts, F.lit(0)) * 0.5)
-    for w in title.lower().split():
-        if len(w) > 3:
-            half = F.when(text.contains(w), 0.5).otherwise(0.0)
-            got, weight = got + half, weight + half
-    return F.round(got / weight, 6)
+def match_score(text: Column, entities="entities", situation="situation") -> Column:
+    """Weight of the entities and of the title's long words that a text holds, over the weight there is to have.
+
+    A whole entity weighs 2, else each of its words of over 3 letters a half; a title word a half.  0 without entities.
+    """
+    half = lambda words: F.size(F.filter(words, lambda w: (F.length(w) > 3) & text.contains(w))) * 0.5
+    one = lambda e: F.when(text.contains(e), 2.0).otherwise(half(F.split(e, " ")))
+    whole = F.aggregate(F.transform(entities, one), F.lit(0.0), lambda a, x: a + x)
+    title = half(F.col(situation))
+    return F.when(F.size(entities) == 0, 0.0).otherwise(F.round((whole + title) / (F.size(entities) * 2.0 + title), 6))
 
 
 def match_sql(text: str) -> str:
-    got = [f"CASE WHEN contains({text}, '{e}') THEN 2 ELSE 0.5 * contains({text}, '{e}')::INT END" for e in ENTITIES]
-    half = [f"CASE WHEN contains({text}, '{w}') THEN 0.5 ELSE 0 END" for w in SITUATION.lower().split() if len(w) > 3]
-    return f"round((({' + '.join(got + half)}) / ({2.0 * len(ENTITIES)} + {' + '.join(half)}))::DOUBLE, 6)"
+    title = f"0.5::DOUBLE * len(list_filter(situation, lambda w: length(w) > 3 AND contains({text}, w)))"
+    whole = f"list_sum(list_transform(entities, lambda e: CASE WHEN contains({text}, e) THEN 2.0::DOUBLE ELSE 0.5::DOUBLE * len(list_filter(string_split(e, ' '), lambda w: length(w) > 3 AND contains({text}, w))) END))"
+    return f"CASE WHEN len(entities) = 0 THEN 0.0::DOUBLE ELSE round(({whole} + {title}) / (2.0::DOUBLE * len(entities) + {title}), 6) END"
 
 
 @query(f"{BASE} SELECT doc_id, {match_sql(TEXT_SQL)} AS score FROM chunks")
@@ -245,7 +288,7 @@ def situation_match(t: Tables) -> DataFrame:
     return chunks(t).select("doc_id", match_score(full_text()).alias("score"))
 
 
-@query(f"""{merged_sql(0.8).replace('m AS', 'm0 AS')}, m1 AS (SELECT * EXCLUDE (score), {match_sql(TEXT_SQL)} AS match, score AS old FROM m0), m AS (SELECT *, round(CASE WHEN old = 0 THEN 0.5 ELSE old END + 0.3 * match, 6)::DOUBLE AS score FROM m1), {QUOTA},
+@query(f"""{merged_sql(0.8).replace('m AS', 'm0 AS')}, m1 AS (SELECT * EXCLUDE (score, entities, topics, boards, situation), {match_sql(TEXT_SQL)} AS match, score AS old FROM m0 JOIN asks USING (query_id)), m AS (SELECT *, round(CASE WHEN old = 0 THEN 0.5 ELSE old END + 0.3 * match, 6)::DOUBLE AS score FROM m1), {QUOTA},
 g AS (SELECT *, count(*) FILTER (WHERE sure) OVER (PARTITION BY query_id) AS n_sure, row_number() OVER (PARTITION BY query_id, sure, match > 0.2 ORDER BY score DESC, pos) AS r FROM q),
 o AS (SELECT *, NOT sure AND match > 0.2 AND r <= ceil((15 - n_sure) * 0.4) AS topical FROM g)
 SELECT query_id, doc_id, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sure DESC, topical DESC, score DESC, pos) AS place FROM o) WHERE place <= 15""")
@@ -301,34 +344,44 @@ def authority_class(t: Tables) -> DataFrame:
     return rows.select("page_id", authority_of(F.col("lane"), F.col("title"), F.col("content")).alias("authority"))
 
 
-@query(f"{BASE}, c AS (SELECT query_id, string_agg(lower(content), ' ' ORDER BY pos) AS all_text FROM chunks WHERE lane = 'state' AND pos <= 8 GROUP BY 1) SELECT query_id, round({hit_sql(TOPICS, 'all_text')} / {len(TOPICS)}, 6) AS coverage FROM c")
+def coverage(found: Column | None = None) -> Column:
+    """The share of a query's topics that any of its passages ``found`` names, a passage at a time; 1 without topics."""
+    text = F.lower("content")
+    has = lambda k: F.coalesce(text.contains(F.get("topics", F.lit(k))), F.lit(False))
+    got = [F.max((has(k) if found is None else has(k) & found).cast("int")) for k in range(3)]
+    return F.when(F.max(F.size("topics")) == 0, 1.0).otherwise(sum(got) / F.max(F.size("topics")))
+
+
+def coverage_sql(found: str = "true") -> str:
+    got = " + ".join(f"max(CASE WHEN {found} AND contains(lower(content), topics[{k}]) THEN 1 ELSE 0 END)" for k in (1, 2, 3))
+    return f"CASE WHEN max(len(topics)) = 0 THEN 1.0::DOUBLE ELSE ({got}) / max(len(topics)) END"
+
+
+@query(f"{BASE} SELECT query_id, round({coverage_sql()}, 6) AS coverage FROM chunks WHERE lane = 'state' AND pos <= 8 GROUP BY 1")
 def topic_coverage(t: Tables) -> DataFrame:
-    """Topics found in any of the passages; each is tested a passage at a time, so no text is joined up."""
-    found = [F.max(F.lower("content").contains(w).cast("int")) for w in TOPICS]
-    return chunks(t).filter("lane = 'state' AND pos <= 8").groupBy("query_id").agg(F.round(sum(found) / len(TOPICS), 6).alias("coverage"))
+    return chunks(t).filter("lane = 'state' AND pos <= 8").groupBy("query_id").agg(F.round(coverage(), 6).alias("coverage"))
 
 
-COVERED_SQL = " + ".join(f"max((lane = 'state' AND contains(lower(content), '{w}'))::INT)" for w in TOPICS)
+STATE = "lane = 'state'"
 
 
 @query(f"""{BASE}, f AS (SELECT * FROM chunks WHERE pos <= 10), d AS {dedupe_sql('lower(trim(title))', 'f')},
-g AS (SELECT query_id, count(*) AS n, count(*) FILTER (WHERE lane = 'state') AS state, count(DISTINCT lower(trim(title))) FILTER (WHERE lane = 'state') AS docs, coalesce(bool_or(lane = 'state' AND {AUTHORITY_SQL}), false) AS authority, ({COVERED_SQL}) / {len(TOPICS)} AS coverage FROM d GROUP BY 1)
+g AS (SELECT query_id, count(*) AS n, count(*) FILTER (WHERE lane = 'state') AS state, count(DISTINCT lower(trim(title))) FILTER (WHERE lane = 'state') AS docs, coalesce(bool_or(lane = 'state' AND {AUTHORITY_SQL}), false) AS authority, {coverage_sql(STATE)} AS coverage FROM d GROUP BY 1)
 SELECT query_id, n >= 8 AND (length(query_id) % 2 <> 0 OR ((docs >= 2 OR authority) AND state >= 4 AND coverage >= 0.5)) AS stop FROM g""")
 def early_exit(t: Tables) -> DataFrame:
     """Enough documents end the search; a legal question (an id of even length) also asks for state papers, authority or two of them, and coverage."""
     state, key = F.col("lane") == "state", F.lower(F.trim("title"))
     rows = best_at_first_place(chunks(t).filter("pos <= 10").withColumn("key", key), ["query_id", "lane", "key"])
-    covered = [F.max((state & F.lower("content").contains(w)).cast("int")) for w in TOPICS]
-    g = rows.groupBy("query_id").agg(n_rows().alias("n"), F.count_if(state).alias("state"), F.countDistinct(F.when(state, F.col("key"))).alias("docs"), F.coalesce(F.bool_or(state & has_authority()), F.lit(False)).alias("authority"), (sum(covered) / len(TOPICS)).alias("coverage"))
+    g = rows.groupBy("query_id").agg(n_rows().alias("n"), F.count_if(state).alias("state"), F.countDistinct(F.when(state, F.col("key"))).alias("docs"), F.coalesce(F.bool_or(state & has_authority()), F.lit(False)).alias("authority"), coverage(state).alias("coverage"))
     lawful = ((F.col("docs") >= 2) | F.col("authority")) & (F.col("state") >= 4) & (F.col("coverage") >= 0.5)
     return g.select("query_id", ((F.col("n") >= 8) & ((F.length("query_id") % 2 != 0) | lawful)).alias("stop"))
 
 
-@query(f"{BASE}, r AS (SELECT *, {hit_sql(ENTITIES, TEXT_SQL)} > 0 AS rel FROM chunks WHERE lane = 'state'), n AS (SELECT *, count(*) FILTER (WHERE rel) OVER (PARTITION BY query_id) >= least(3, count(*) OVER (PARTITION BY query_id)) AS enough, row_number() OVER (PARTITION BY query_id, rel ORDER BY pos) AS k FROM r) SELECT query_id, doc_id FROM n WHERE CASE WHEN enough THEN rel AND k <= 8 ELSE pos <= 8 END")
+@query(f"{BASE}, r AS (SELECT *, {hit_sql('entities', TEXT_SQL)} > 0 AS rel FROM chunks WHERE lane = 'state'), n AS (SELECT *, count(*) FILTER (WHERE rel) OVER (PARTITION BY query_id) >= least(3, count(*) OVER (PARTITION BY query_id)) AS enough, row_number() OVER (PARTITION BY query_id, rel ORDER BY pos) AS k FROM r) SELECT query_id, doc_id FROM n WHERE CASE WHEN enough THEN rel AND k <= 8 ELSE pos <= 8 END")
 def select_with_minimum(t: Tables) -> DataFrame:
     """Only relevant passages, where at least the minimum of them exists."""
     w = Window.partitionBy("query_id")
-    rows = chunks(t).filter("lane = 'state'").withColumn("rel", hit_count(ENTITIES, full_text()) > 0)
+    rows = chunks(t).filter("lane = 'state'").withColumn("rel", hit_count("entities", full_text()) > 0)
     enough = F.count_if(F.col("rel")).over(w) >= F.least(F.lit(3), n_rows().over(w))
     rows = rows.withColumns({"enough": enough, "k": F.row_number().over(Window.partitionBy("query_id", "rel").orderBy("pos"))})
     return rows.filter(F.when(F.col("enough"), F.col("rel") & (F.col("k") <= 8)).otherwise(F.col("pos") <= 8)).select("query_id", "doc_id")

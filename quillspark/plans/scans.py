@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.operators.numbering import numbered
 from quillspark.operators.relational import insert_missing, upsert
 from quillspark.registry import query
+from quillspark.sources.files import file_texts, write_files
 from quillspark.sources.sinks import fresh_folder, written
 from quillspark.sources.snapshots import Snapshots, progress
 from quillspark.sources.tables import Tables
@@ -35,15 +36,31 @@ def object_read(t: Tables) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.length("content").cast("long").alias("read"))
 
 
-@query("SELECT doc_id, substr(text, 1, 15000) AS preview FROM documents")
+CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]"
+ENDING_SQL = f"CASE WHEN doc_id % 3 = 0 AND NOT regexp_matches(coalesce(text, ''), '{CONTROL}') THEN 'docx' WHEN doc_id % 3 = 1 THEN 'dat' ELSE 'txt' END"
+WORD_SQL = "substr(replace(text, chr(10), chr(10) || chr(10)) || chr(10) || chr(10), 1, 15000)"
+
+
+def previews(t: Tables, types: tuple[str, ...]) -> DataFrame:
+    """Every document written as a file of its own, plain, of a word processor or of an unknown type, and read back by type."""
+    folder = fresh_folder(t.spark, "files")
+    readable = ~F.coalesce("text", F.lit("")).rlike(CONTROL)
+    ending = F.when((F.col("doc_id") % 3 == 0) & readable, "docx").when(F.col("doc_id") % 3 == 1, "dat").otherwise("txt")
+    write_files(t.documents.select(F.concat_ws(".", "doc_id", ending).alias("name"), "text"), folder)
+    read = file_texts(t.spark, folder, types).select(F.split("name", r"\.")[0].cast("long").alias("doc_id"), "preview")
+    return t.documents.select("doc_id").join(read, "doc_id", "left").na.fill("", ["preview"])
+
+
+@query(f"WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {ENDING_SQL} AS ending FROM documents) SELECT doc_id, CASE ending WHEN 'dat' THEN '' WHEN 'docx' THEN {WORD_SQL} ELSE substr(text, 1, 15000) END AS preview FROM d")
 def text_extract_source(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.substring("text", 1, 15_000).alias("preview"))
+    """Plain files as they are, word-processor files a paragraph a line; any other type gives an empty text."""
+    return previews(t, (".txt", ".docx"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE substr(text, 1, 15000) END AS preview FROM documents")
+@query(f"WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {ENDING_SQL} AS ending FROM documents) SELECT doc_id, CASE ending WHEN 'txt' THEN substr(text, 1, 15000) ELSE '' END AS preview FROM d")
 def legacy_text_extract(t: Tables) -> DataFrame:
-    """The older variant reads no word-processor file: those (here every third) give an empty text."""
-    return t.documents.select("doc_id", F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.substring("text", 1, 15_000)).alias("preview"))
+    """The older variant reads no word-processor file: those give an empty text."""
+    return previews(t, (".txt",))
 
 
 @query("SELECT conv_id, string_agg(text, chr(10) || chr(10) || '--- Page Break ---' || chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1")

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import lexicon as lex
 from quillspark.operators.numbering import numbered
-from quillspark.operators.relational import n_rows
+from quillspark.operators.relational import join_dealt, n_rows
 from quillspark.plans.audit import entities_of, title_of, transition
 from quillspark.plans.classify import any_pattern
 from quillspark.registry import query
-from quillspark.sources.sinks import fresh_folder
+from quillspark.sources.sinks import fresh_folder, written
 from quillspark.sources.snapshots import Snapshots, progress
 from quillspark.sources.tables import AS_OF, Tables, as_of, as_turns
 from quillspark.streaming import jobs
@@ -71,15 +71,36 @@ def ocr_status_update(t: Tables) -> DataFrame:
 
 # State, action, next state.
 JOB = (("needs_review", "approve", "approved"), ("approved", "index", "indexed"), ("index_failed", "index", "indexed"), ("needs_review", "reject", "rejected"), ("approved", "reject", "rejected"), ("index_failed", "reject", "rejected"))
-STATE_SQL = "CASE o_orderstatus WHEN 'O' THEN 'needs_review' WHEN 'P' THEN 'approved' ELSE 'indexed' END"
-ACTION_SQL = "CASE o_orderkey % 3 WHEN 0 THEN 'approve' WHEN 1 THEN 'index' ELSE 'reject' END"
+STATE_SQL = "CASE doc_id % 4 WHEN 0 THEN 'needs_review' WHEN 1 THEN 'approved' WHEN 2 THEN 'index_failed' ELSE 'indexed' END"
+ACTION_SQL = "CASE doc_id % 3 WHEN 0 THEN 'approve' WHEN 1 THEN 'index' ELSE 'reject' END"
 
 
-@query(f"WITH m(state, action, next) AS (VALUES {', '.join(map(str, JOB))}), j AS (SELECT o_orderkey, {STATE_SQL} AS state, {ACTION_SQL} AS action FROM orders) SELECT o_orderkey, state, action, coalesce(next, state) AS next, next IS NOT NULL AS allowed FROM j LEFT JOIN m USING (state, action)")
+@query(f"""WITH m(state, action, next) AS (VALUES {', '.join(map(str, JOB))}), j AS (SELECT doc_id, sha256(coalesce(text, '')) AS hash, {STATE_SQL} AS state, {ACTION_SQL} AS action, doc_id % 5 <> 0 AS link FROM documents),
+n AS (SELECT j.doc_id, hash, link, j.state, j.action, coalesce(next, j.state) AS next, next IS NOT NULL AS allowed FROM j LEFT JOIN m ON j.state = m.state AND j.action = m.action),
+k AS (SELECT *, min(doc_id) FILTER (WHERE link AND next <> 'rejected') OVER (PARTITION BY hash) AS oldest FROM n),
+d AS (SELECT *, CASE WHEN next = 'rejected' THEN NULL WHEN link THEN oldest ELSE doc_id END AS document_id FROM k),
+v AS (SELECT doc_id, row_number() OVER (PARTITION BY document_id ORDER BY doc_id) AS version, lag(doc_id) OVER (PARTITION BY document_id ORDER BY doc_id) AS supersedes, lead(doc_id) OVER (PARTITION BY document_id ORDER BY doc_id) IS NULL AS is_current FROM d WHERE next = 'indexed')
+SELECT doc_id, state, action, next, allowed, document_id, version, supersedes, coalesce(is_current, false) AS is_current FROM d LEFT JOIN v USING (doc_id)""")
 def job_state_machine(t: Tables) -> DataFrame:
+    """Ingestion jobs after their action, with the document that each is linked to and the versions of it.
+
+    A job that links (four in five) joins the oldest of the linking jobs of equal content that are not rejected;
+    another one is a document of its own; a rejected one has none.  Indexed jobs are a document's versions by
+    their id, each superseding the one before, the last being current.  A document may have any number of
+    versions: they are numbered by prefix sums, and the version before is found by its number.
+    """
     moves = t.rows("state string, action string, to string", *JOB)
-    jobs_ = t.orders.select("o_orderkey", F.expr(STATE_SQL).alias("state"), F.expr(ACTION_SQL).alias("action"))
-    return jobs_.join(F.broadcast(moves), ["state", "action"], "left").select("o_orderkey", "state", "action", F.coalesce("to", "state").alias("next"), F.col("to").isNotNull().alias("allowed"))
+    jobs_ = t.documents.select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("hash"), F.expr(STATE_SQL).alias("state"), F.expr(ACTION_SQL).alias("action"), (F.col("doc_id") % 5 != 0).alias("link"))
+    moved = jobs_.join(F.broadcast(moves), ["state", "action"], "left").select("doc_id", "hash", "link", "state", "action", F.coalesce("to", "state").alias("next"), F.col("to").isNotNull().alias("allowed"))
+    rows, links = written(moved, "jobs"), F.col("link") & (F.col("next") != "rejected")
+    oldest = rows.groupBy("hash").agg(F.min(F.when(links, F.col("doc_id"))).alias("oldest"), n_rows().alias("n"))
+    document = F.when(F.col("next") != "rejected", F.when(F.col("link"), F.col("oldest")).otherwise(F.col("doc_id")))
+    linked = join_dealt(rows, oldest, ["hash"]).select("doc_id", "state", "action", "next", "allowed", document.alias("document_id"))
+    versions = written(numbered(linked.filter("next = 'indexed'").select("doc_id", "document_id"), ["document_id"], ["doc_id"], "version"), "versions")
+    beside = lambda by, name: versions.select("document_id", (F.col("version") + by).alias("version"), F.col("doc_id").alias(name))
+    chained = versions.join(beside(1, "supersedes"), ["document_id", "version"], "left").join(beside(-1, "later"), ["document_id", "version"], "left")
+    known = chained.select("doc_id", "version", "supersedes", F.col("later").isNull().alias("is_current"))
+    return linked.join(known, "doc_id", "left").withColumn("is_current", F.coalesce("is_current", F.lit(False)))
 
 
 @query("SELECT d.doc_id, CASE WHEN quality = 1 THEN 'synced' WHEN quality = 0 THEN 'failed' ELSE 'pending' END AS status FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.plans.classify import audited_prose, combined_scope, follows_up, intent_of, scope_of, type_of_answer, uncited_statutes
-from quillspark.plans.retrieval import authority_of, has_authority
+from quillspark.plans.retrieval import aligned, authority_of, coverage, has_authority, match_score
 
 RISKY = "Can they appeal?"
 
@@ -65,3 +65,28 @@ def test_authority(spark):
     schema, cells = "lane string, title string, content string", [r[:3] for r in rows]
     assert values(spark, schema, cells, authority_of(F.col("lane"), F.col("title"), F.col("content"))) == [r[3] for r in rows]
     assert values(spark, schema, cells, has_authority()) == [r[4] for r in rows]
+
+
+ON = "the select board discussed the constitution park boardwalk project and its ada compliance requirements at the january meeting."
+OFF = "the brown property rv enforcement case resulted in significant zoning violations and cesspool issues."
+ABOUT, TITLE = ["constitution park", "boardwalk", "ada", "select board"], ["constitution", "park", "boardwalk", "ada", "vote"]
+
+
+def test_situation_match(spark):
+    """On topic over a half, off topic under a fifth, without a situation nothing; words of a phrase count a half each."""
+    cells = [(ON, ABOUT, TITLE), (OFF, ABOUT, TITLE), ("some content", [], []), ("a park", ["constitution park"], []), ("constitution park", ["constitution park"], [])]
+    got = values(spark, "x string, entities array<string>, situation array<string>", cells, match_score(F.col("x")))
+    assert got[0] > 0.5 and got[1] < 0.2 and got[2:] == [0.0, 0.25, 1.0]
+
+
+def test_alignment_follows_each_query(spark):
+    schema = "title string, content string, entities array<string>, topics array<string>, boards array<string>"
+    cells = [("A", "park and zoning", ["park", "road"], ["zoning"], []), ("A", "park", [], [], ["zba"]), ("PARK", "", ["park"], [], []), ("A", "none", ["park"], ["zoning"], ["zba"])]
+    assert values(spark, schema, cells, F.round(aligned(), 6)) == [0.65, 1.0, 0.75, 0.0]
+
+
+def test_coverage_of_topics(spark):
+    rows = [("q", "on zoning", ["zoning", "roads"], True), ("q", "on ROADS", ["zoning", "roads"], False), ("r", "x", [], True)]
+    df = spark.createDataFrame(rows, "id string, content string, topics array<string>, state boolean")
+    got = {r["id"]: (r["a"], r["s"]) for r in df.groupBy("id").agg(coverage().alias("a"), coverage(F.col("state")).alias("s")).collect()}
+    assert got == {"q": (1.0, 0.5), "r": (1.0, 1.0)}
