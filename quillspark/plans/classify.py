@@ -339,7 +339,7 @@ def paste_title(t: Tables) -> DataFrame:
     return rows.select("id", F.when(F.length(first).between(6, 99), F.substring(first, 1, 80)).when(first.isNotNull(), by_kind).alias("title"))
 
 
-REPLIED_SQL = f"""WITH w AS (SELECT *, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS question FROM conversations),
+REPLIED_SQL = rf"""WITH w AS (SELECT *, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS question FROM conversations),
 a AS (SELECT conv_id || '/' || turn AS id, coalesce(text, '') AS x, coalesce(question, '') AS question FROM w WHERE role = 'assistant'
   UNION ALL SELECT * FROM (VALUES {', '.join(f"({quoted(f'text {i}')}, {quoted(x)}, {quoted(lex.QUESTIONS[i])})" for i, x in enumerate(lex.ANSWERS))}) AS v(id, x, question)),
 k AS (SELECT id, x, {TYPE_SQL.replace("output = 'risk'", "false").replace("output = 'explain'", "false").replace("(x", "(question")} AS kind FROM a),
