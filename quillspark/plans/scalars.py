@@ -258,11 +258,38 @@ def title_from_docname(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.when(F.col("url").rlike(r"^\[[^\]]*\] "), tagged).when(F.col("url").contains("/"), F.regexp_extract("url", "([^/]*)$", 1)).otherwise(F.col("url")).alias("title"))
 
 
-@query("SELECT doc_id, CASE WHEN lang <> 'en' THEN lang END AS category, source AS town FROM documents")
+# Fixed value: boards that a document's name may hold.
+NAMED_BOARDS = r"(?i)(selectboard|planning\s*board|zoning\s*board|budget\s*committee|trustees)"
+
+
+@query(rf"""WITH n AS (SELECT source || '/' || (doc_id // 2000) AS query_id, concat_ws(' | ', CASE lang WHEN 'en' THEN 'Statewide law' WHEN 'fr' THEN 'Town  Minutes' ELSE lang END, CASE WHEN doc_id % 7 = 0 THEN 'STATEWIDE' ELSE source END,
+  CASE lang WHEN 'de' THEN 'Planning Board minutes' WHEN 'es' THEN 'Budget  Committee' ELSE split_part(text, ' ', 1) END, CAST(2000 + doc_id % 25 AS VARCHAR)) AS name FROM documents WHERE source IS NOT NULL),
+p AS (SELECT query_id, name, regexp_replace(lower(trim(string_split(name, ' | ')[1])), '\s+', '_', 'g') AS category, trim(string_split(name, ' | ')[2]) AS town, regexp_replace(lower(regexp_extract(name, '{NAMED_BOARDS}', 1)), '\s+', '_', 'g') AS board FROM n)
+SELECT query_id, count(DISTINCT name) AS docs, coalesce(list_sort(list(DISTINCT category) FILTER (WHERE category <> '' AND NOT contains(category, 'statewide'))), []) AS categories,
+  coalesce(list_sort(list(DISTINCT town) FILTER (WHERE town <> '' AND NOT contains(lower(town), 'statewide'))), []) AS towns, coalesce(list_sort(list(DISTINCT board) FILTER (WHERE board <> '')), []) AS boards FROM p GROUP BY 1""")
 def parse_docname_pipe(t: Tables) -> DataFrame:
-    parts = F.split(F.concat_ws(" | ", "lang", "source", F.col("doc_id").cast("string")), r" \| ")
-    category = F.get(parts, F.lit(0))
-    return t.documents.select("doc_id", F.when(category != "en", category).alias("category"), F.get(parts, F.lit(1)).alias("town"))
+    """The categories, towns and boards that the names of a query's documents stand for.
+
+    A name is ``Category | Town | Title | Year``, made here of a document's columns; what is statewide is left out,
+    and a board counts wherever in the name it stands.  A query is a source's rows of 2000 ids in a row.
+    """
+    category = F.when(F.col("lang") == "en", "Statewide law").when(F.col("lang") == "fr", "Town  Minutes").otherwise(F.col("lang"))
+    town = F.when(F.col("doc_id") % 7 == 0, "STATEWIDE").otherwise(F.col("source"))
+    title = F.when(F.col("lang") == "de", "Planning Board minutes").when(F.col("lang") == "es", "Budget  Committee").otherwise(F.split("text", " ", 2)[0])
+    query_id = F.concat("source", F.lit("/"), F.floor(F.col("doc_id") / 2000).cast("string"))
+    names = t.documents.filter("source IS NOT NULL").select(query_id.alias("query_id"), F.concat_ws(" | ", category, town, title, (F.col("doc_id") % 25 + 2000).cast("string")).alias("name"))
+    parsed = names.select("query_id", "name", *docname_parts(F.col("name")))
+    return parsed.groupBy("query_id").agg(F.countDistinct("name").alias("docs"), *[F.sort_array(F.collect_set(c)).alias(out) for c, out in (("category", "categories"), ("town", "towns"), ("board", "boards"))])
+
+
+def docname_parts(name: Column) -> tuple[Column, Column, Column]:
+    """category, town and board of a name; null where it has none or what it has is statewide."""
+    parts = F.split(name, r" \| ")
+    joined = lambda x: F.regexp_replace(F.lower(x), r"\s+", "_")
+    named = lambda x: F.when((x != "") & ~F.lower(x).contains("statewide"), x)
+    category, town = joined(F.trim(F.get(parts, F.lit(0)))), F.trim(F.get(parts, F.lit(1)))
+    board = F.nullif(joined(F.regexp_extract(name, NAMED_BOARDS, 1)), F.lit(""))
+    return named(category).alias("category"), named(town).alias("town"), board.alias("board")
 
 
 @query("SELECT doc_id, source || CASE WHEN n_chars > 1000 THEN ' (' || n_chars || ')' ELSE '' END || ' [' || lang || ']' AS citation FROM documents")

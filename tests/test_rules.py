@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quillspark.plans.classify import audited_prose, combined_scope, follows_up, intent_of, scope_of, type_of_answer, uncited_statutes
 from quillspark.plans.retrieval import aligned, authority_of, coverage, has_authority, match_score
+from quillspark.plans.scalars import docname_parts
 
 RISKY = "Can they appeal?"
 
@@ -90,3 +91,9 @@ def test_coverage_of_topics(spark):
     df = spark.createDataFrame(rows, "id string, content string, topics array<string>, state boolean")
     got = {r["id"]: (r["a"], r["s"]) for r in df.groupBy("id").agg(coverage().alias("a"), coverage(F.col("state")).alias("s")).collect()}
     assert got == {"q": (1.0, 0.5), "r": (1.0, 1.0)}
+
+
+def test_names_of_documents(spark):
+    rows = ["Meeting  Minutes | Conway | Planning  Board, May | 2024", "Statewide laws | STATEWIDE | Trustees | 2020", "Budget", " | ", ""]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "k int, name string").select("k", *docname_parts(F.col("name"))).orderBy("k")
+    assert [tuple(r)[1:] for r in df.collect()] == [("meeting_minutes", "Conway", "planning_board"), (None, None, "trustees"), ("budget", None, None), (None, None, None), (None, None, None)]
