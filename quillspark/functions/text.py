@@ -12,6 +12,11 @@ def contains_any(text: Column, words) -> Column:
     return reduce(lambda x, y: x | y, [text.contains(w) for w in words])
 
 
+def once(x: Column, use) -> Column:
+    """use(x) with x computed once a row, however often it is used."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def first_match(text: Column, ladder, default: str | None = None) -> Column:
     """The name of the first rung one of whose substrings occurs; the order of rungs decides."""
     out = F.lit(default).cast("string")

@@ -9,17 +9,24 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import lexicon as lex
 from quillspark.functions.paths import UPLOAD_CATEGORIES
-from quillspark.functions.text import contains_any, first_match, ladder_sql
-from quillspark.plans.classify import Q, answers, any_pattern, any_pattern_sql, any_word_sql, questions, quoted, turns, values
+from quillspark.functions.text import contains_any, first_match, ladder_sql, once
+from quillspark.plans.classify import Q, answers, any_pattern, any_pattern_sql, any_word_sql, questions, quoted, turns, turns_sql
+from quillspark.plans.scalars import DAY, DOC_NAME, MONTH, YEAR
 from quillspark.registry import query
 from quillspark.sources.tables import Tables
 
-PAGES = f"WITH p(name, text) AS (VALUES {', '.join(f'({quoted(n)}, {quoted(x)})' for n, x in lex.PAGES)})"
+# An uploaded page is a document's whole text under a heading made of its columns; Spark and DuckDB read the expression alike.
+TOWN = "CASE doc_id % 5 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(lex.NH_TOWNS[:4])) + " ELSE coalesce(source, '') END"
+PAGE = f"""CASE doc_id % 6 WHEN 0 THEN 'TOWN OF ' || upper({TOWN}) WHEN 1 THEN {TOWN} || ' Planning Board' || chr(10) || 'Meeting Minutes of March ' || {DAY} || ', ' || {YEAR}
+  WHEN 2 THEN 'State of New Hampshire' WHEN 3 THEN 'Budget Committee ' || {MONTH} || '/' || {DAY} || '/' || {YEAR} ELSE '' END || chr(10) || coalesce(text, '')"""
+PAGES = f"WITH p(name, text) AS (SELECT {DOC_NAME}, {PAGE} FROM documents WHERE doc_id IS NOT NULL UNION ALL VALUES {', '.join(f'({quoted(n)}, {quoted(x)})' for n, x in lex.PAGES)})"
 OBVIOUS = ("budget", "zoning", "town_report", "warrant_article", "ordinance", "cip", "elections")
 
 
 def pages(t: Tables) -> DataFrame:
-    return t.rows("name string, text string", *lex.PAGES)
+    """name and text of every document as an uploaded page, and of literal ones; no text is an empty one."""
+    uploaded = t.documents.filter("doc_id IS NOT NULL").select(F.expr(DOC_NAME).alias("name"), F.expr(PAGE).alias("text"))
+    return uploaded.union(t.rows("name string, text string", *lex.PAGES))
 
 
 def words_of(x: Column) -> Column:
@@ -37,14 +44,17 @@ def first_found(x: Column, patterns) -> Column:
 
 def town_of(text: Column) -> Column:
     """The town of the first forty lines: ``TOWN OF X``, then a listed town in a telling context, then the state's own papers."""
-    lines = F.slice(F.split(text, r"\r?\n"), 1, 40)
+    return once(F.slice(F.split(text, r"\r?\n"), 1, 40), town_of_lines)
+
+
+def town_of_lines(lines: Column) -> Column:
     bare = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"\bNEW\s*HAMPSHIRE\b|\bNH\b", ""), r"\s+", " "))
     after = F.transform(lines, lambda x: bare(F.regexp_extract(F.upper(x), r"TOWN\s+OF\s+([A-Z][A-Z\s]+)", 1)))
     named = F.get(F.filter(after, lambda x: F.length(x) > 2), F.lit(0))
-    low = F.lower(F.array_join(lines, " "))
     said = lambda t: [b + t.lower() for b in lex.TOWN_BEFORE] + [t.lower() + a for a in lex.TOWN_AFTER]
-    listed = first_match(low, [(t, said(t)) for t in lex.NH_TOWNS])
-    return F.coalesce(F.initcap(named), listed, F.when(any_pattern(low, lex.STATE_PAPERS), "statewide"))
+    known = lambda low: F.when(contains_any(low, [*lex.TOWN_BEFORE, *lex.TOWN_AFTER]), first_match(low, [(t, said(t)) for t in lex.NH_TOWNS]))
+    listed = lambda low: F.coalesce(known(low), F.when(any_pattern(low, lex.STATE_PAPERS), "statewide"))
+    return F.coalesce(F.initcap(named), once(F.lower(F.array_join(lines, " ")), listed))
 
 
 TOWN_SQL = f"""t AS (SELECT name, string_split_regex(text, '\\r?\\n')[1:40] AS lines FROM p),
@@ -59,6 +69,29 @@ def town_from_text(t: Tables) -> DataFrame:
     return pages(t).select("name", town_of(F.col("text")).alias("town"))
 
 
+# What a model and a form would say of a document, made of its columns.
+MODEL_TOWN = "CASE doc_id % 5 WHEN 0 THEN ' Statewide ' WHEN 1 THEN ' north  ' || source WHEN 2 THEN '  ' END"
+FORM_TOWN = "CASE doc_id % 4 WHEN 1 THEN 'Madison' WHEN 2 THEN 'statewide' WHEN 3 THEN '' END"
+
+
+def final_town(model: Column, rules: Column, form: Column) -> Column:
+    """The model's town in title case, then the rules', then the form's; a model's ``statewide`` yields to any town of the others."""
+    said = F.trim(F.regexp_replace(model, r"\s+", " "))
+    town = lambda x: F.when(x != "statewide", F.nullif(x, F.lit("")))
+    any_of = lambda x: F.nullif(x, F.lit(""))
+    return F.when(F.lower(said) == "statewide", F.coalesce(town(rules), town(form), F.lit("statewide"))).when(said != "", F.initcap(said)).otherwise(F.coalesce(any_of(rules), any_of(form)))
+
+
+@query(f"""{PAGES}, {TOWN_SQL}, m AS (SELECT doc_id, {DOC_NAME} AS name, trim(regexp_replace({MODEL_TOWN}, '\\s+', ' ', 'g')) AS said, nullif({FORM_TOWN}, '') AS form FROM documents)
+SELECT doc_id, CASE WHEN lower(said) = 'statewide' THEN coalesce(CASE WHEN town <> 'statewide' THEN town END, CASE WHEN form <> 'statewide' THEN form END, 'statewide')
+  WHEN said <> '' THEN array_to_string(list_transform(string_split(said, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') ELSE coalesce(town, form) END AS town FROM m JOIN v USING (name)""")
+def finalize_town(t: Tables) -> DataFrame:
+    """Of every document with a doc_id, by the rules over its page; null where nobody names a town."""
+    rows = t.documents.filter("doc_id IS NOT NULL").select("doc_id", F.expr(PAGE).alias("text"), F.expr(MODEL_TOWN).alias("model"), F.expr(FORM_TOWN).alias("form"))
+    towns = rows.select("doc_id", "model", "form", once(town_of(F.col("text")), lambda x: F.struct(x.alias("town"))).alias("rules"))
+    return towns.select("doc_id", final_town(F.col("model"), F.col("rules.town"), F.col("form")).alias("town"))
+
+
 def minutes_hints(name: Column, text: Column) -> Column:
     head = F.substring(text, 1, 3000)
     by_name, by_text = any_pattern(F.lower(name), lex.MINUTES_NAMES), any_pattern(head, lex.MINUTES_TEXT)
@@ -66,9 +99,9 @@ def minutes_hints(name: Column, text: Column) -> Column:
     return F.struct((by_name | by_text).alias("likely"), F.when(by_text, "high").when(by_name, "medium").otherwise("low").alias("confidence"), board.alias("board"), first_found(F.substring(text, 1, 1500), lex.DAYS).alias("day"))
 
 
-BOARD_SQL = "CASE " + " ".join(f"WHEN regexp_matches(text, {quoted('(?i)' + p)}) THEN {quoted(n)}" for n, p in lex.TEXT_BOARDS) + " END"
+BOARD_SQL = "CASE " + " ".join(f"WHEN regexp_matches(substr(text, 1, 3000), {quoted('(?i)' + p)}) THEN {quoted(n)}" for n, p in lex.TEXT_BOARDS) + " END"
 DAY_SQL = "coalesce(" + ", ".join(f"nullif(regexp_extract(substr(text, 1, 1500), {quoted(p)}, 0), '')" for p in lex.DAYS) + ")"
-HINTS = f"{PAGES}, h AS (SELECT name, {any_pattern_sql(lex.MINUTES_NAMES, 'lower(name)')} AS by_name, {any_pattern_sql(lex.MINUTES_TEXT, 'text')} AS by_text, {BOARD_SQL} AS board, {DAY_SQL} AS day FROM p)"
+HINTS = f"{PAGES}, h AS (SELECT name, {any_pattern_sql(lex.MINUTES_NAMES, 'lower(name)')} AS by_name, {any_pattern_sql(lex.MINUTES_TEXT, 'substr(text, 1, 3000)')} AS by_text, {BOARD_SQL} AS board, {DAY_SQL} AS day FROM p)"
 
 
 @query(f"{HINTS} SELECT name, by_name OR by_text AS likely, CASE WHEN by_text THEN 'high' WHEN by_name THEN 'medium' ELSE 'low' END AS confidence, board, day FROM h")
@@ -76,20 +109,31 @@ def minutes_heuristics(t: Tables) -> DataFrame:
     return pages(t).select("name", minutes_hints(F.col("name"), F.col("text")).alias("m")).select("name", "m.*")
 
 
+def hinted_pages(t: Tables) -> DataFrame:
+    """Pages with their hints of minutes, computed once a page."""
+    return pages(t).select("name", "text", F.explode(F.array(minutes_hints(F.col("name"), F.col("text")))).alias("m"))
+
+
 @query(f"{HINTS}, {TOWN_SQL} SELECT name, town IS NOT NULL AND ((by_text AND board IS NOT NULL AND day IS NOT NULL) OR {ladder_sql('lower(name)', UPLOAD_CATEGORIES, 'misc_other')} IN {OBVIOUS}) AS skip FROM h JOIN v USING (name)")
 def can_skip_llm(t: Tables) -> DataFrame:
     """The model is not asked where a town and either all of high-confidence minutes or an obvious category is known."""
-    m = minutes_hints(F.col("name"), F.col("text"))
-    sure = (m["confidence"] == "high") & m["board"].isNotNull() & m["day"].isNotNull()
+    sure = F.expr("m.confidence = 'high' AND m.board IS NOT NULL AND m.day IS NOT NULL")
     obvious = first_match(F.lower("name"), UPLOAD_CATEGORIES, "misc_other").isin(*OBVIOUS)
-    return pages(t).select("name", (town_of(F.col("text")).isNotNull() & (sure | obvious)).alias("skip"))
+    return hinted_pages(t).select("name", (town_of(F.col("text")).isNotNull() & (sure | obvious)).alias("skip"))
 
 
-@query()
+@query(f"""{HINTS}, {TOWN_SQL} SELECT name, CASE WHEN by_name OR by_text THEN 'meeting_minutes' ELSE {ladder_sql('lower(name)', UPLOAD_CATEGORIES, 'misc_other')} END AS category, coalesce(town, 'statewide') AS town, coalesce(board, '') AS board,
+  nullif(regexp_extract(coalesce(day, ''), '((?:19|20)\\d{{2}})', 1), '') AS year, by_name OR by_text AS is_minutes FROM h JOIN v USING (name)""")
 def build_heuristic_metadata(t: Tables) -> DataFrame:
-    m = minutes_hints(F.col("name"), F.col("text"))
-    category = F.when(m["likely"], "meeting_minutes").otherwise(first_match(F.lower("name"), UPLOAD_CATEGORIES, "misc_other"))
-    return pages(t).select("name", category.alias("category"), F.coalesce(town_of(F.col("text")), F.lit("statewide")).alias("town"), F.coalesce(m["board"], F.lit("")).alias("board"), found(F.coalesce(m["day"], F.lit("")), r"((?:19|20)\d{2})").alias("year"), m["likely"].alias("is_minutes"))
+    category = F.when(F.col("m.likely"), "meeting_minutes").otherwise(first_match(F.lower("name"), UPLOAD_CATEGORIES, "misc_other"))
+    return hinted_pages(t).select(
+        "name",
+        category.alias("category"),
+        F.coalesce(town_of(F.col("text")), F.lit("statewide")).alias("town"),
+        F.coalesce("m.board", F.lit("")).alias("board"),
+        found(F.coalesce("m.day", F.lit("")), r"((?:19|20)\d{2})").alias("year"),
+        F.col("m.likely").alias("is_minutes"),
+    )
 
 
 @query(f"{Q} SELECT id, {ladder_sql('lower(x)', lex.DOMAINS)} AS domain FROM q")
@@ -175,7 +219,7 @@ def issue_map(t: Tables) -> DataFrame:
 
 
 HINT = "Ossipee"
-FALLBACK = f"""{values('q', lex.PLANNED)}, f AS (SELECT id, x, string_split_regex(x, '[.!?]')[1] AS first, regexp_extract_all(x, {quoted(lex.PLACE)})[1:5] AS entities,
+FALLBACK = f"""{turns_sql('q', 'user', lex.PLANNED)}, f AS (SELECT id, x, string_split_regex(x, '[.!?]')[1] AS first, regexp_extract_all(x, {quoted(lex.PLACE)})[1:5] AS entities,
   list_filter([{', '.join(map(quoted, lex.PLANNER_TOPICS))}], lambda w: contains(lower(x), w))[1:6] AS topics, list_filter([{', '.join(map(quoted, lex.PLANNER_BOARDS))}], lambda w: contains(lower(x), w)) AS boards,
   (SELECT count(*) FROM (SELECT unnest([{', '.join(map(quoted, lex.PLANNER_LEGAL_WORDS))}]) AS w) WHERE contains(lower(x), w)) AS n FROM q),
 g AS (SELECT *, CASE WHEN n >= 4 THEN 0.9 WHEN n >= 2 THEN 0.7 WHEN n >= 1 THEN 0.5 ELSE 0.2 END::DOUBLE AS salience FROM f)"""
@@ -190,7 +234,7 @@ def planner_fallback(t: Tables) -> DataFrame:
     low = F.lower("x")
     named = lambda words: F.filter(F.array(*[F.lit(w) for w in words]), lambda w: low.contains(w))
     n = F.size(named(lex.PLANNER_LEGAL_WORDS))
-    facts = t.rows("id int, x string", *enumerate(lex.PLANNED)).select(
+    facts = turns(t, "user", lex.PLANNED).select(
         "id",
         "x",
         F.substring(F.coalesce(F.nullif(F.trim(F.get(F.split("x", "[.!?]"), F.lit(0))), F.lit("")), F.substring("x", 1, 60)), 1, 80).alias("title"),
@@ -393,12 +437,16 @@ def list_audit(t: Tables) -> DataFrame:
     return audited(lists(t)).select("id", "words", "headings", "ordered", "state_citations", "law_cited", "uncited", "tails", "user_misplaced", "violations", "passed")
 
 
-@query()
-def answer_score(t: Tables) -> DataFrame:
-    """An answer is complete with all headings and 180 words."""
+def scored(rows: DataFrame) -> DataFrame:
+    """Score of each answer, and whether it is complete: all headings and 180 words."""
     short = F.col("words") < 180
     score = F.col("headings") * 10 + F.when(F.col("law_cited"), 20).otherwise(0) - F.col("violations") * 2 - F.when(F.col("tails"), 10).otherwise(0) - F.when(short, 30).otherwise(0) + F.when(F.col("words").between(200, 500), 15).otherwise(0)
-    return audited(lists(t)).select("id", score.alias("score"), ((F.col("headings") == len(SECTIONS)) & ~short).alias("complete"))
+    return audited(rows).select("id", score.alias("score"), ((F.col("headings") == len(SECTIONS)) & ~short).alias("complete"))
+
+
+@query()
+def answer_score(t: Tables) -> DataFrame:
+    return scored(lists(t))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND n_chars <= 1000 AND doc_id % 3 = 0 THEN 'original' WHEN n_chars > 1000 AND doc_id % 2 <> 0 THEN 'repair' WHEN n_chars > 1000 THEN CASE WHEN doc_id % 3 > n_chars % 5 THEN 'repair' ELSE 'original' END WHEN doc_id % 2 = 0 THEN 'original' WHEN doc_id % 3 > n_chars % 5 THEN 'repair' ELSE 'original' END AS selected FROM documents")
@@ -409,7 +457,7 @@ def select_better(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.when(~whole & repaired, "repair").when(whole & ~repaired, "original").when(better, "repair").otherwise("original").alias("selected"))
 
 
-C = values("c", lex.CLAIMS)
+C = turns_sql("c", "assistant", lex.CLAIMS)
 STATE_TEXT = "The DOJ reviews complaints."
 """Stands for the state passages that an answer was given."""
 
@@ -423,7 +471,7 @@ def around(pattern: str, before: int, after: int) -> str:
 def absolute_claims(t: Tables) -> DataFrame:
     """The surroundings of each absolute claim's first match, in the patterns' order."""
     seen = F.array(*[F.trim(F.regexp_extract("x", around(p, 30, 30), 0)) for p in lex.ABSOLUTE])
-    return t.rows("id int, x string", *enumerate(lex.CLAIMS)).select("id", F.filter(seen, lambda e: e != "").alias("evidence"))
+    return turns(t, "assistant", lex.CLAIMS).select("id", F.filter(seen, lambda e: e != "").alias("evidence"))
 
 
 UNCITED_SQL = ", ".join(f"CASE WHEN NOT regexp_matches(regexp_extract(x, {quoted(around(p, 10, 30))}, 0), '\\[S\\d+\\]') AND NOT contains({quoted(STATE_TEXT.lower())}, lower(regexp_extract(regexp_extract(x, {quoted(around(p, 10, 30))}, 1), '^\\S+'))) THEN trim(regexp_extract(x, {quoted(around(p, 10, 30))}, 0)) ELSE '' END" for p in lex.PROCEDURES)
@@ -439,7 +487,7 @@ def uncited_procedure(t: Tables) -> DataFrame:
         return F.when(~near.rlike(r"\[S\d+\]") & ~F.contains(F.lit(STATE_TEXT.lower()), word), F.trim(near)).otherwise("")
 
     seen = F.array(*map(evidence, lex.PROCEDURES))
-    return t.rows("id int, x string", *enumerate(lex.CLAIMS)).select("id", F.filter(seen, lambda e: e != "").alias("evidence"))
+    return turns(t, "assistant", lex.CLAIMS).select("id", F.filter(seen, lambda e: e != "").alias("evidence"))
 
 
 def capped_words(x: Column, most: int) -> Column:
@@ -475,8 +523,7 @@ def normal_section(content: Column, limit: int) -> Column:
     return F.array_join(F.concat(F.when(plain != "", F.array(plain)).otherwise(F.array().cast("array<string>")), bullets), "\n")
 
 
-@query()
-def normalize_answer(t: Tables) -> DataFrame:
+def normalized(rows: DataFrame) -> DataFrame:
     """All five sections in order; one that is missing or empty says so."""
     parts = []
     for name, _, limit in lex.HEADINGS:
@@ -484,7 +531,32 @@ def normalize_answer(t: Tables) -> DataFrame:
         body = capped_words(content, 60) if limit == 0 else normal_section(content, limit)
         parts.append(F.concat(F.lit(f"**{name}**\n"), F.when(content == "", "- Information not available in sources.").otherwise(body)))
     text = without_tails(F.concat_ws("\n\n", *parts))
-    return with_sections(lists(t)).select("id", stripped(F.regexp_replace(text, r"\n{3,}", "\n\n")).alias("x"))
+    return with_sections(rows).select("id", stripped(F.regexp_replace(text, r"\n{3,}", "\n\n")).alias("x"))
+
+
+@query()
+def normalize_answer(t: Tables) -> DataFrame:
+    return normalized(lists(t))
+
+
+def better_of(original: DataFrame, repair: DataFrame) -> DataFrame:
+    """id, ``selected``, and both answers' score and completeness, for rows of (id, x) that share unique ids.
+
+    An answer that alone is complete is taken, else the higher score; a tie keeps the original.  Ids that only one
+    side has, and null ids, are left out.
+    """
+    side = lambda rows, name: scored(rows).select("id", F.struct("score", "complete").alias(name))
+    both = side(original, "original").join(side(repair, "repair"), "id")
+    gate = F.when(F.col("original.complete") != F.col("repair.complete"), F.col("repair.complete"))
+    repaired = F.coalesce(gate, F.col("repair.score") > F.col("original.score"))
+    flat = [F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("original", "repair") for c in ("score", "complete")]
+    return both.select("id", F.when(repaired, "repair").otherwise("original").alias("selected"), *flat)
+
+
+@query()
+def select_better_audited(t: Tables) -> DataFrame:
+    """Each answer of the conversations against its own text brought into the five sections, both through the audit."""
+    return better_of(lists(t), normalized(lists(t)))
 
 
 @query()

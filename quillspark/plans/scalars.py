@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import lexicon as lex
 from quillspark.functions import paths
-from quillspark.functions.text import contains_any, first_match, half_up, ladder_sql
+from quillspark.functions.text import contains_any, first_match, half_up, ladder_sql, once
 from quillspark.registry import query
 from quillspark.sources.tables import Tables
 
-# Literal keys stand in for a bucket listing: the driver's tables hold no municipal file names.
+# Keys that hit what the tables' own names rarely do.
 KEYS = (
     "ossipee/g/031225zoningordinance2025final_0.pdf",
     "ossipee/g/budget_committee_schedule_2026.pdf",
@@ -26,13 +26,27 @@ KEYS = (
     "madison/ballot",
 )
 VALUES = ", ".join(f"('{k}')" for k in KEYS)
+
+# Expressions that Spark and DuckDB read alike: the tables hold no municipal files, so a document is filed under a name made of its columns.
+MONTH, DAY, YEAR = "CAST(doc_id % 12 + 1 AS STRING)", "CAST(doc_id % 28 + 1 AS STRING)", "CAST(1990 + doc_id % 35 AS STRING)"
+STAMP = f"""CASE doc_id % 4 WHEN 0 THEN '-' || {MONTH} || '-' || {DAY} || '-' || lpad(CAST(doc_id % 100 AS STRING), 2, '0')
+  WHEN 1 THEN '_' || {YEAR} || '-' || lpad({MONTH}, 2, '0') || '-' || lpad({DAY}, 2, '0') WHEN 2 THEN ' ' || lpad({MONTH}, 2, '0') || '-' || lpad({DAY}, 2, '0') || '-' || {YEAR} ELSE '' END"""
+SUFFIX = "CASE lang WHEN 'en' THEN '.pdf' WHEN 'de' THEN '.docx' WHEN 'fr' THEN '.TXT' ELSE '' END"
+FOLDER = f"""CASE doc_id % 7 WHEN 0 THEN 'minutes/Planning_Board/' || {YEAR} || '/' WHEN 1 THEN 'agendas/Zoning/x/' WHEN 2 THEN 'misc/' ELSE '' END"""
+TITLE = "CASE doc_id % 7 WHEN 0 THEN 'minutes' WHEN 1 THEN 'agenda' WHEN 2 THEN 'warrant article' WHEN 3 THEN 'budget_committee' WHEN 4 THEN 'town report (planning board)' WHEN 5 THEN 'selectmen-meeting' ELSE 'library' END"
+DOC_KEY = f"source || '/' || {FOLDER} || {TITLE} || {STAMP} || {SUFFIX}"
+DOC_NAME = f"CAST(doc_id AS STRING) || '-' || {TITLE} || {STAMP} || {SUFFIX}"
+URL_KEY = "regexp_replace(regexp_replace(url, '^[A-Za-z]+://', ''), '/+$', '')"
 PARTS = "list_filter(string_split(key, '/'), lambda x: x <> '')"
-NAMED = f"WITH k(key) AS (VALUES {VALUES}), n AS (SELECT key, {PARTS} AS p, {PARTS}[-1] AS name FROM k)"
+NAMED = f"""WITH k(key) AS (SELECT key FROM (SELECT {DOC_KEY} AS key FROM documents UNION ALL SELECT {URL_KEY} FROM pages) WHERE key <> '' UNION ALL VALUES {VALUES}),
+n AS (SELECT key, {PARTS} AS p, {PARTS}[-1] AS name FROM k)"""
 BOARD_TEXT = "translate(lower(name), '_-', '  ')"
 
 
 def keys(t: Tables) -> DataFrame:
-    return t.rows("key string", *[(k,) for k in KEYS])
+    """What a bucket listing would give: a key for each document, each page's address, and literal ones; an empty or null key is none."""
+    filed, addresses = t.documents.select(F.expr(DOC_KEY).alias("key")), t.pages.select(F.expr(URL_KEY).alias("key"))
+    return filed.union(addresses).filter("key <> ''").union(t.rows("key string", *[(k,) for k in KEYS]))
 
 
 def names(t: Tables) -> DataFrame:
@@ -79,7 +93,7 @@ def title_case_word(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.initcap(F.concat_ws(" ", "p_type", "p_name")).alias("name"))
 
 
-@query()
+@query(f"{NAMED} SELECT key, array_to_string(list_transform(regexp_extract_all(lower(name || chr(39) || 's town'), '([a-z0-9_]+|[^a-z0-9_]+)', 1), lambda w: upper(w[1]) || w[2:]), '') AS title FROM n")
 def title_case_boundary(t: Tables) -> DataFrame:
     """Upper case after every word boundary, so that an apostrophe starts a new word."""
     pieces = F.regexp_extract_all(F.lower(F.concat(F.col("name"), F.lit("'s town"))), F.lit("([a-z0-9_]+|[^a-z0-9_]+)"), F.lit(1))
@@ -149,9 +163,17 @@ def text_date(raw: Column) -> Column:
     )
 
 
-@query("WITH d(raw, day) AS (VALUES ('January 5, 2024', '2024-01-05'), ('sept. 3rd 2021', '2021-09-03'), ('3/9/2020', '2020-03-09'), ('2022-7-4', '2022-07-04'), ('13/45/2024', '2024-13-45'), ('Mar 31 1999', '1999-03-31'), ('no date', NULL), ('', NULL)) SELECT * FROM d")
+@query("""WITH d(raw, day) AS (VALUES ('January 5, 2024', '2024-01-05'), ('sept. 3rd 2021', '2021-09-03'), ('3/9/2020', '2020-03-09'), ('2022-7-4', '2022-07-04'), ('13/45/2024', '2024-13-45'), ('Mar 31 1999', '1999-03-31'), ('no date', NULL), ('', NULL))
+SELECT raw, day FROM d UNION ALL SELECT CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%B %-d, %Y') WHEN 1 THEN strftime(o_orderdate, '%b. %-dth %Y') WHEN 2 THEN strftime(o_orderdate, '%-m/%-d/%Y') WHEN 3 THEN strftime(o_orderdate, '%Y-%-m-%-d') ELSE o_orderpriority END,
+  CASE WHEN o_orderkey % 5 < 4 THEN strftime(o_orderdate, '%Y-%m-%d') END FROM orders""")
 def parse_date_iso(t: Tables) -> DataFrame:
-    return t.rows("raw string", *[(d,) for d in DATES]).select("raw", text_date(F.col("raw")).alias("day"))
+    """Every order's day, written in one of four ways (or not at all), and literal texts."""
+    forms = ("MMMM d, yyyy", "MMM. d'th' yyyy", "M/d/yyyy", "yyyy-M-d")
+    raw = F.col("o_orderpriority")
+    for k, form in enumerate(forms):
+        raw = F.when(F.col("o_orderkey") % 5 == k, F.date_format("o_orderdate", form)).otherwise(raw)
+    texts = t.orders.select(raw.alias("raw")).union(t.rows("raw string", *[(d,) for d in DATES]))
+    return texts.select("raw", text_date(F.col("raw")).alias("day"))
 
 
 @query(f"""{NAMED}, i AS (SELECT key, name, {ladder_sql('lower(name)', paths.UPLOAD_CATEGORIES, 'misc_other')} AS category, coalesce({ladder_sql('lower(name)', paths.UPLOAD_BOARDS)}, '') AS board, regexp_extract(name, '(20\\d{{2}}|19\\d{{2}})', 1) AS year FROM n)
@@ -168,15 +190,6 @@ def infer_from_filename(t: Tables) -> DataFrame:
     return seen.select("key", "category", "board", "year", minutes.alias("is_minutes"), F.when(minutes & F.col("name").rlike(pattern), date).alias("meeting_date"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND doc_id % 4 <> 1 THEN lang WHEN doc_id % 3 = 1 AND source <> 'src0' THEN source WHEN doc_id % 4 = 1 THEN 'hint' ELSE 'statewide' END AS town FROM documents")
-def finalize_town(t: Tables) -> DataFrame:
-    """Model's town, then the rules', then the hint; a specific hint beats statewide."""
-    hint = F.when(F.col("doc_id") % 4 == 1, "hint")
-    model = F.when((F.col("doc_id") % 3 == 0) & hint.isNull(), F.col("lang"))
-    rules = F.when((F.col("doc_id") % 3 == 1) & (F.col("source") != "src0"), F.col("source"))
-    return t.documents.select("doc_id", F.coalesce(model, rules, hint, F.lit("statewide")).alias("town"))
-
-
 CATEGORIES = [name for name, _ in paths.UPLOAD_CATEGORIES] + ["misc_other"]
 REPLIES = (
     ("budget.pdf", '```json\n{"category": "budget", "year": "2024", "town": " ossipee ", "notes": "n"}\n```'),
@@ -191,16 +204,22 @@ REPLIES = (
 
 def json_body(reply: Column) -> Column:
     """The object of a reply: fences go, of a page the object before a tag or the end (else its text), else what is between the outer braces."""
-    bare = F.trim(F.regexp_replace(reply, r"```(?:json)?\n?", ""))
-    page = bare.startswith("<") | bare.contains("<ht")
-    inner = F.coalesce(F.nullif(F.regexp_extract(bare, r"\{[\s\S]*?\}(?=\s*$|\s*<)", 0), F.lit("")), F.trim(F.regexp_replace(bare, r"<[^>]*>", "")))
-    text = F.when(page, inner).otherwise(bare)
-    return F.when(text.startswith("{"), text).otherwise(F.coalesce(F.nullif(F.regexp_extract(text, r"\{[\s\S]*\}", 0), F.lit("")), text))
+
+    def unwrapped(bare: Column) -> Column:
+        page = bare.startswith("<") | bare.contains("<ht")
+        inner = F.coalesce(F.nullif(F.regexp_extract(bare, r"\{[\s\S]*?\}(?=\s*$|\s*<)", 0), F.lit("")), F.trim(F.regexp_replace(bare, r"<[^>]*>", "")))
+        return F.when(page, inner).otherwise(bare)
+
+    braced = lambda text: F.when(text.startswith("{"), text).otherwise(F.coalesce(F.nullif(F.regexp_extract(text, r"\{[\s\S]*\}", 0), F.lit("")), text))
+    return once(once(F.trim(F.regexp_replace(reply, r"```(?:json)?\n?", "")), unwrapped), braced)
 
 
 def record_of(reply: Column, name: Column) -> Column:
     """A model's reply as document metadata; one that is no object falls back on the file name."""
-    v = F.try_parse_json(json_body(reply))
+    return once(F.try_parse_json(json_body(reply)), lambda v: fields_of(v, name))
+
+
+def fields_of(v: Column, name: Column) -> Column:
     kind = lambda k: F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant"))
     said = lambda k: F.when(kind(k) == "STRING", F.try_variant_get(v, f"$.{k}", "string"))
     blank = lambda x: F.coalesce(x, F.lit(""))
@@ -227,9 +246,21 @@ def record_of(reply: Column, name: Column) -> Column:
     )
 
 
-@query()
+TOWN_SAID, KIND_SAID = "' ' || replace(source, '\"', '') || ' '", "CASE doc_id % 5 WHEN 0 THEN 'budget' WHEN 1 THEN 'zoning' WHEN 2 THEN 'taxes' WHEN 3 THEN 'cip' ELSE 'elections' END"
+DATE_SAID = f"{MONTH} || '/' || {DAY} || '/' || {YEAR}"
+OBJECT = f"""'{{"category": "' || {KIND_SAID} || '", "year": ' || CASE doc_id % 2 WHEN 0 THEN '"' || {YEAR} || '"' ELSE {YEAR} END || ', "town": "' || {TOWN_SAID} || '", "isMinutes": ' || CASE doc_id % 3 WHEN 0 THEN 'true' WHEN 1 THEN '0' ELSE '"yes"' END || ', "rawDateText": "' || {DATE_SAID} || '"}}'"""
+REPLY = f"CASE doc_id % 7 WHEN 0 THEN '```json' || chr(10) || {OBJECT} || chr(10) || '```' WHEN 1 THEN 'Sure: ' || {OBJECT} || ' done' WHEN 2 THEN '<html><body>' || {OBJECT} || '</body></html>' WHEN 6 THEN 'no json' ELSE {OBJECT} END"
+
+
+@query(f"""WITH r AS (SELECT {DOC_NAME} AS name, doc_id % 7 <> 6 AS parsed, doc_id % 3 <> 1 AS im, {KIND_SAID} AS said, trim({TOWN_SAID}) AS town, CASE doc_id % 2 WHEN 0 THEN {YEAR} ELSE '' END AS year, {DATE_SAID} AS raw,
+  {YEAR} || '-' || lpad({MONTH}, 2, '0') || '-' || lpad({DAY}, 2, '0') AS day FROM documents WHERE source IS NOT NULL AND doc_id IS NOT NULL),
+g AS (SELECT *, {ladder_sql('lower(name)', paths.UPLOAD_CATEGORIES, 'misc_other')} AS guess FROM r)
+SELECT name, CASE WHEN NOT parsed THEN guess WHEN im THEN 'meeting_minutes' WHEN said = 'taxes' THEN 'misc_other' ELSE said END AS category, CASE WHEN parsed THEN upper(town[1]) || lower(town[2:]) ELSE '' END AS town,
+  CASE WHEN parsed THEN '' ELSE coalesce({ladder_sql('lower(name)', paths.UPLOAD_BOARDS)}, '') END AS board, CASE WHEN parsed THEN year ELSE regexp_extract(name, '(20\\d{{2}}|19\\d{{2}})', 1) END AS year, '' AS notes,
+  CASE WHEN parsed THEN im ELSE guess = 'meeting_minutes' END AS is_minutes, CASE WHEN parsed THEN day END AS meeting_date, CAST(NULL AS VARCHAR) AS meeting_type, CASE WHEN parsed THEN raw END AS raw_date FROM g""")
 def parse_llm_json(t: Tables) -> DataFrame:
-    rows = t.rows("name string, reply string", *REPLIES)
+    """Replies about every document with a source, made of its columns: bare, fenced, within prose or a page, or no object at all."""
+    rows = t.documents.filter("source IS NOT NULL AND doc_id IS NOT NULL").select(F.expr(DOC_NAME).alias("name"), F.expr(REPLY).alias("reply"))
     return rows.select("name", record_of(F.col("reply"), F.col("name")).alias("m")).select("name", "m.*")
 
 
@@ -338,20 +369,26 @@ def redact_log(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", F.concat(F.lit("[redacted, length="), F.length("text").cast("string"), F.lit("]")).alias("line"))
 
 
-@query("SELECT n::BIGINT AS attempt, CAST(least(1000 * pow(2, n), 30000) AS BIGINT) AS delay_ms FROM range(0, 6) r(n)")
+@query("SELECT event_id, event_id % 8 AS attempt, CAST(least(1000 * pow(2, event_id % 8), 30000) AS BIGINT) AS delay_ms FROM events")
 def backoff_delay(t: Tables) -> DataFrame:
-    """Without jitter."""
-    return t.spark.range(6).select(F.col("id").alias("attempt"), F.least(F.pow(F.lit(2.0), "id") * 1000, F.lit(30_000.0)).cast("long").alias("delay_ms"))
+    """Without jitter; the attempt an event stands for is the remainder of its id."""
+    attempts = t.events.select("event_id", (F.col("event_id") % 8).alias("attempt"))
+    return attempts.select("event_id", "attempt", F.least(F.pow(F.lit(2.0), "attempt") * 1000, F.lit(30_000.0)).cast("long").alias("delay_ms"))
 
 
 ERRORS = ((503, "overloaded"), (429, "RESOURCE_EXHAUSTED: slow down"), (400, "Quota exceeded for today"), (400, "request Timeout"), (0, "read ECONNRESET"), (404, "not found"), (0, "quota of tokens"), (None, None))
-ERROR_SQL = ", ".join(f"({i}, {'NULL' if c is None else c}, {'NULL' if m is None else repr(m)})" for i, (c, m) in enumerate(ERRORS))
+ERROR_SQL = ", ".join(f"({str(i)!r}, {'NULL' if c is None else c}, {'NULL' if m is None else repr(m)})" for i, (c, m) in enumerate(ERRORS))
+CODE = "CASE turn % 5 WHEN 1 THEN 429 WHEN 2 THEN 503 WHEN 3 THEN 404 END"
 
 
-@query(f"""WITH e(id, code, message) AS (VALUES {ERROR_SQL}), f AS (SELECT id, coalesce(code, 0) AS code, coalesce(message, '') AS m FROM e)
+@query(f"""WITH e(id, code, message) AS (SELECT conv_id || '/' || turn, {CODE}, text FROM conversations UNION ALL VALUES {ERROR_SQL}), f AS (SELECT id, coalesce(code, 0) AS code, coalesce(message, '') AS m FROM e)
 SELECT id, code IN {lex.RETRY_CODES} OR {' OR '.join(f"contains(lower(m), '{w}')" for w in lex.RETRY_TEXTS)} AS retry, code = 429 OR {' OR '.join(f"contains(m, '{w}')" for w in lex.QUOTA_TEXTS)} AS quota FROM f""")
 def retryable_error(t: Tables) -> DataFrame:
-    """By status code or words of the message; quota errors by code 429 or their own words, case and all."""
-    errors = t.rows("id int, code int, message string", *[(i, c, m) for i, (c, m) in enumerate(ERRORS)])
+    """By status code or words of the message; quota errors by code 429 or their own words, case and all.
+
+    Turns stand for messages, and their place for the code, beside literal errors.
+    """
+    told = t.conversations.select(F.concat_ws("/", "conv_id", "turn").alias("id"), F.expr(CODE).alias("code"), F.col("text").alias("message"))
+    errors = told.union(t.rows("id string, code int, message string", *[(str(i), c, m) for i, (c, m) in enumerate(ERRORS)]))
     code, m = F.coalesce("code", F.lit(0)), F.coalesce("message", F.lit(""))
     return errors.select("id", (code.isin(*lex.RETRY_CODES) | contains_any(F.lower(m), lex.RETRY_TEXTS)).alias("retry"), ((code == 429) | contains_any(m, lex.QUOTA_TEXTS)).alias("quota"))

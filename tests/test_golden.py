@@ -170,3 +170,38 @@ def test_model_reply(spark):
         "warrant 2022.pdf": ("warrant_article", "", "", "2022", False, None, None),
         "d.txt": ("misc_other", "", "", "", False, None, None),
     }
+
+
+def test_better_answer(spark):
+    from quillspark.plans.audit import SECTIONS, better_of
+
+    body = " ".join(["word"] * 40)
+    whole = "\n\n".join(f"**{name}**\n{body}" for name in SECTIONS)
+    cited = whole + "\n- a [S1]\n- b [S2]"
+    pairs = {"alone": ("short", whole), "kept": (whole, "short"), "tie": (whole, whole), "both short": ("short", "**" + SECTIONS[0] + "**\nshort"), "worse": (cited, whole + "\n" + "Let me know if you need more. " * 90)}
+    side = lambda k: spark.createDataFrame([(i, p[k]) for i, p in pairs.items()], "id string, x string")
+    rows = {r["id"]: r for r in better_of(side(0), side(1)).collect()}
+    assert rows["alone"]["repair_complete"] and not rows["alone"]["original_complete"]
+    assert {i: r["selected"] for i, r in rows.items()} == {"alone": "repair", "kept": "original", "tie": "original", "both short": "repair", "worse": "original"}
+
+
+def test_better_answer_follows_both_audits(spark):
+    """Every answer of the conversations: the rule worked out again from the two scores."""
+    from quillspark.plans.audit import answer_score, select_better_audited
+
+    t = Tables(spark, str(DATA / "sf0.001"))
+    alone = {r["id"]: (r["score"], r["complete"]) for r in answer_score(t).collect()}
+    rows = select_better_audited(t).collect()
+    assert {r["id"]: (r["original_score"], r["original_complete"]) for r in rows} == alone
+    for r in rows:
+        want = ("repair" if r["repair_complete"] else "original") if r["repair_complete"] != r["original_complete"] else "repair" if r["repair_score"] > r["original_score"] else "original"
+        assert r["selected"] == want
+
+
+def test_final_town(spark):
+    from quillspark.plans.audit import final_town
+
+    cases = [(" Statewide ", "Conway", "Madison", "Conway"), ("STATEWIDE", "statewide", "Madison", "Madison"), ("statewide", None, "statewide", "statewide"), ("statewide", "", None, "statewide"), (" hart's  LOCATION ", "Conway", None, "Hart's Location"), ("  ", "statewide", "Madison", "statewide"), (None, "", "Madison", "Madison"), (None, None, "", None), (None, None, None, None)]
+    rows = spark.createDataFrame(cases, "model string, rules string, form string, want string")
+    for r in rows.withColumn("got", final_town(F.col("model"), F.col("rules"), F.col("form"))).collect():
+        assert r["got"] == r["want"], r
