@@ -71,10 +71,10 @@ def alike(counts: list[Column], pools: list[Column], limit: float) -> Column:
     return divergence(counts, pools) <= F.lit(limit) + reduce(add, counts) * (2 * TRIFLE)
 
 
-def branch_labels(tree: DataFrame, key: str, below: str | None, max_children: int, min_share: float, pooled: bool = True) -> DataFrame:
+def branch_labels(tree: DataFrame, key: str, below: str | None, min_share: float, pooled: bool = True) -> DataFrame:
     """host, template, ``key``, label and n (rows of tree) for each child of each node of a level.
 
-    Rare children of a node with over ``max_children`` of them are one branch, ``*``.  Branches are then
+    Children under ``min_share`` of their node are one branch, ``*``.  Branches are then
     compared with the pool of all of their node that have the same most frequent child: where neither
     the shares of children that end, vary or are named, nor those of bad and good labels, differ
     by more than chance (G-test) or a trifle, they are one branch, named after the least of them.  A branch without
@@ -85,8 +85,8 @@ def branch_labels(tree: DataFrame, key: str, below: str | None, max_children: in
     kinds = [F.when(child == "", F.col("n")), F.when(child == "*", F.col("n")), F.when(~child.isin("", "*"), F.col("n"))]
     fine = tree.groupBy(*node, key, child.alias("child")).agg(F.sum("n").alias("cn"), F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.sum(k), F.lit(0)).alias(c) for k, c in zip(kinds, counts)], F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     children = stored(fine.groupBy(*node, key).agg(*[F.sum(c).alias(c) for c in ("cn", "rows", *counts)], F.max(F.struct("cn", "child")).alias("main")), "url-children")
-    parents = children.groupBy(*node).agg(F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).alias("m"), F.sum("cn").alias("pn"))
-    rare = (F.col("m") > max_children) & (F.col("cn") < F.col("pn") * F.lit(min_share)) & (F.col(key) != "") & F.lit(pooled)
+    parents = children.groupBy(*node).agg(F.count(F.lit(1)).alias("n"), F.sum("cn").alias("pn"))
+    rare = (F.col("cn") < F.col("pn") * F.lit(min_share)) & (F.col(key) != "") & F.lit(pooled)
     segs = join_dealt(children, parents, node).withColumn("seg", F.when(rare, "*").otherwise(F.col(key)))
     branches = segs.groupBy(*node, "seg").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in counts], F.max("main").alias("main"))
     branches = branches.withColumn("mark", F.when(F.col("seg") == "", F.lit(None).cast("string")).otherwise(F.col("main.child")))
@@ -100,7 +100,7 @@ def branch_labels(tree: DataFrame, key: str, below: str | None, max_children: in
     return join_dealt(segs.select(*node, key, "seg", "rows"), labels, [*node, "seg"]).select(*node, key, "label", F.col("rows").alias("n"))
 
 
-def template_tree(urls: DataFrame, keys: list[str], depth: int, smoothing: float, max_children: int, min_share: float) -> DataFrame:
+def template_tree(urls: DataFrame, keys: list[str], depth: int, smoothing: float, min_share: float) -> DataFrame:
     """Each distinct (host, s1..) with its count n, its template and the template's smoothed purity.
 
     urls: host, the ``keys`` s1.., bad, good (0 or 1).  Branches are merged level by level below a host;
@@ -109,7 +109,7 @@ def template_tree(urls: DataFrame, keys: list[str], depth: int, smoothing: float
     tree = urls.groupBy("host", *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good")).withColumn("template", F.lit(""))
     for level, (key, below) in enumerate(zip(keys, [*keys[1:], None])):
         tree = stored(tree, "url-tree")
-        labels = stored(branch_labels(tree, key, below, max_children, min_share, level < depth), "url-labels")
+        labels = stored(branch_labels(tree, key, below, min_share, level < depth), "url-labels")
         named = join_dealt(tree, labels, ["host", "template", key])
         tree = named.withColumn("template", F.when(F.col(key) == "", F.col("template")).otherwise(F.concat_ws("/", "template", "label"))).drop("label")
     tree = stored(tree, "url-tree")
@@ -118,15 +118,15 @@ def template_tree(urls: DataFrame, keys: list[str], depth: int, smoothing: float
     return join_dealt(tree, judged, ["host", "template"]).select("host", *keys, "n", "template", "purity")
 
 
-def url_filter(pages: DataFrame, rules=RULES, depth: int = 6, smoothing: float = 1.0, max_children: int = 16, min_share: float = 0.01, reject_at: float = 0.8) -> DataFrame:
+def url_filter(pages: DataFrame, rules=RULES, depth: int = 6, smoothing: float = 1.0, min_share: float = 0.01, reject_at: float = 0.8) -> DataFrame:
     """page_id, host, path, rule, verdict, template and purity of every page's url.
 
     URLs that a rule decides are the labelled ones (block is bad, allow is good).  The verdict is the
     longest fitting rule's; else block where the template's smoothed share of bad labels is at least
     ``reject_at``, else allow.  The tree is as deep as the longest path, ``depth`` levels at most; the
     rest of a longer path is one more segment, which only equal rests share.  Children under
-    ``min_share`` of a node of over ``max_children`` children are its variable branch.  Null urls, or urls without ``://``, have an empty host and path and are
-    allowed; repeated rows and null page_ids keep their row; an empty table gives none; other columns
+    ``min_share`` of their node, however many it has, are its variable branch.  Null urls, or urls
+    without ``://``, have an empty host and path and are allowed; repeated rows and null page_ids keep their row; an empty table gives none; other columns
     are ignored; a very long path costs its own length.
     """
     host, path = host_and_path(F.col("url"))
@@ -139,12 +139,12 @@ def url_filter(pages: DataFrame, rules=RULES, depth: int = 6, smoothing: float =
     found = found.select("page_id", "host", "path", "rule", "said", *segments(F.col("parts"), depth, longer))
     flag = lambda what: F.coalesce((F.col("said") == what).cast("long"), F.lit(0))
     labelled = found.withColumns({"bad": flag("block"), "good": flag("allow")})
-    tree = template_tree(labelled, keys, depth, smoothing, max_children, min_share)
+    tree = template_tree(labelled, keys, depth, smoothing, min_share)
     method = F.when(F.col("purity") >= reject_at, "block").otherwise("allow")
     return join_dealt(found, stored(tree, "url-templates"), ["host", *keys]).select("page_id", "host", "path", "rule", F.coalesce("said", method).alias("verdict"), "template", F.round("purity", 6).alias("purity"))
 
 
-def oracle_sql(rules=RULES, depth: int = 6, smoothing: float = 1.0, max_children: int = 16, min_share: float = 0.01, reject_at: float = 0.8) -> str:
+def oracle_sql(rules=RULES, depth: int = 6, smoothing: float = 1.0, min_share: float = 0.01, reject_at: float = 0.8) -> str:
     """The same in DuckDB SQL over ``pages``."""
     ordered = sorted(rules, key=lambda r: (-len(r[1]), r[1]))
     keys = [f"s{k}" for k in range(1, depth + 2)]
@@ -180,8 +180,8 @@ t0 AS MATERIALIZED (SELECT host, {', '.join(keys)}, count(*) AS n, sum(bad) AS b
 d{i} AS MATERIALIZED (SELECT {node}, {key}, {child} AS child, sum(n) AS cn, sum(CASE WHEN {child} = '' THEN n ELSE 0 END) AS ends, sum(CASE WHEN {child} = '*' THEN n ELSE 0 END) AS varies,
   sum(CASE WHEN {child} NOT IN ('', '*') THEN n ELSE 0 END) AS named, sum(bad) AS bad, sum(good) AS good FROM t{i} GROUP BY host, template, {key}, {child}),
 c{i} AS MATERIALIZED (SELECT {node}, {key}, {sums}, max({{'n': cn, 'child': child}}) AS main, sum(cn) AS cn FROM d{i} GROUP BY {node}, {key}),
-p{i} AS MATERIALIZED (SELECT {node}, count(*) AS m, sum(cn) AS pn FROM c{i} GROUP BY {node}),
-n{i} AS MATERIALIZED (SELECT c{i}.*, CASE WHEN m > {max_children} AND cn < pn * {min_share} AND {key} <> '' AND {pooled} THEN '*' ELSE {key} END AS seg FROM c{i} JOIN p{i} USING ({node})),
+p{i} AS MATERIALIZED (SELECT {node}, sum(cn) AS pn FROM c{i} GROUP BY {node}),
+n{i} AS MATERIALIZED (SELECT c{i}.*, CASE WHEN cn < pn * {min_share} AND {key} <> '' AND {pooled} THEN '*' ELSE {key} END AS seg FROM c{i} JOIN p{i} USING ({node})),
 b{i} AS MATERIALIZED (SELECT {node}, seg, {sums}, CASE WHEN seg = '' THEN NULL ELSE max(main).child END AS mark FROM n{i} GROUP BY {node}, seg),
 o{i} AS MATERIALIZED (SELECT {node}, mark, {', '.join(f'sum({c}) AS all_{c}' for c in counts)} FROM b{i} WHERE mark IS NOT NULL GROUP BY {node}, mark),
 q{i} AS MATERIALIZED (SELECT b{i}.{node.replace(', ', f', b{i}.')}, seg, b{i}.mark, {pooled} AND coalesce({alike_sql(counts[:3], CHI_2)}, false) AND coalesce(CASE WHEN bad + good = 0 THEN true ELSE {alike_sql(counts[3:], CHI_1)} END, false) AS same

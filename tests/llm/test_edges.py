@@ -240,6 +240,16 @@ def test_url_labels_below_the_third_segment(spark, depth):
     assert got[urls[0]]["purity"] > 0.8 and got[urls[40]]["purity"] < 0.2 and got[urls[80]]["purity"] == 0.5
 
 
+@pytest.mark.parametrize("children", [2, 17])
+def test_url_rare_children_vary_in_nodes_of_any_width(spark, children):
+    """A child under a share of 1 % is variable whether its node has two children or many; at 1 % it is named."""
+    urls = [f"http://a.test/{chr(97 + k)}x/p" for k in range(children - 1) for _ in range(100 // (children - 1) + 1)]
+    many = urls * 4 + ["http://a.test/rare/z/q/r"]
+    for rows, want in ((urls[:99] + ["http://a.test/rare/z/q/r"], "/rare/z/q/r"), (many, "/*/z/q/r")):
+        pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+        assert url_filter(pages).filter("path = '/rare/z/q/r'").first()["template"] == want
+
+
 def test_url_many_children_and_long_paths(spark):
     urls = [f"http://a.test/{chr(97 + i % 26)}{chr(97 + i // 26)}x/p" for i in range(300)] + ["http://a.test/" + "long/" * 5000, "http://a.test/" + "q" * 100_000]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
