@@ -5,8 +5,10 @@ hold a digit, an ``@`` or ``://`` are variable fields, written ``*``.  What a li
 template.  Templates of a leaf form groups by token similarity: a group is named after its earliest
 template, and others join it that differ in at most a tenth of their tokens (one at least), which are
 then fields.  Candidates are found by pigeonhole: tokens after the leading ones are cut into one run
-more than may differ, so similar templates share a run.  A template met in several documents, or that
-joins a group of an earlier document, stays in the first document only.
+more than may differ, so similar templates share a run.  Most join the earliest template of a run; those
+that do not are held against all earlier templates of their runs, which lie in blocks of bounded size.
+A template met in several documents, or that joins a group of an earlier document, stays in the first
+document only.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from .shared import join_hot, stored, unused
 # What a variable field holds, and how large a share of the tokens may differ (1 / TENTH).
 FIELD = "[^ ]*(?:[0-9@]|://)[^ ]*"
 TENTH = 10
+TOKENS_A_BLOCK = 65536
 LAST = (1 << 63) - 1
 
 
@@ -67,12 +70,39 @@ def joined_groups(lines: DataFrame, lead: int) -> DataFrame:
     cut = lambda k: F.floor(k * tail / (spare + 1)).cast("int")
     run = lambda k: F.xxhash64(k, F.slice("tokens", lead + 1 + cut(k), cut(k + 1) - cut(k)))
     runs = templates.select("leaf", "id", "first", F.explode(F.transform(F.sequence(F.lit(0), spare), run)).alias("run"))
-    earliest = runs.groupBy("leaf", "run").agg(F.min(F.struct("first", "id")).alias("e"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    earliest = stored(runs.groupBy("leaf", "run").agg(F.min(F.struct("first", "id")).alias("e"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "leaf-runs")
     met = join_hot(runs, earliest, ["leaf", "run"], "inner").filter("e.first < first").select("leaf", "id", F.col("e.id").alias("group")).distinct()
     named = templates.select("leaf", F.col("id").alias("group"), F.col("tokens").alias("named"), F.col("first").alias("_first"))
-    agree = F.size(F.filter(F.arrays_zip("tokens", "named"), lambda p: p["tokens"] == p["named"]))
-    both = met.join(templates, ["leaf", "id"]).join(named, ["leaf", "group"])
-    return both.filter(agree >= F.col("n") - spare).groupBy("key", "check").agg(F.min("_first").alias("_first"), F.max("times").alias("n"))
+    both = met.join(templates, ["leaf", "id"]).join(named, ["leaf", "group"]).filter(alike(F.col("tokens"), F.col("named"), F.col("n")))
+    joined = stored(both.groupBy("leaf", "id").agg(F.min("_first").alias("_first")), "leaf-groups")
+    alone = join_hot(runs, earliest.filter("n > 2"), ["leaf", "run"], "inner").filter("e.first < first").join(joined, ["leaf", "id"], "left_anti")
+    late = late_joiners(stored(alone.select("leaf", "run", "id", "first"), "leaf-alone"), runs, templates)
+    return joined.unionByName(late).join(templates, ["leaf", "id"]).groupBy("key", "check").agg(F.min("_first").alias("_first"), F.max("times").alias("n"))
+
+
+def alike(tokens: Column, others: Column, n: Column) -> Column:
+    """Whether two arrays of n tokens differ in no more of them than may."""
+    return F.size(F.filter(F.arrays_zip(tokens.alias("a"), others.alias("b")), lambda p: p["a"] == p["b"])) >= n - may_differ(n)
+
+
+def late_joiners(alone: DataFrame, runs: DataFrame, templates: DataFrame) -> DataFrame:
+    """leaf, id and _first of templates of ``alone`` (leaf, run, id, first) that join one of their runs.
+
+    The earlier templates of a run with such a one are laid in blocks of about TOKENS_A_BLOCK tokens, and
+    each template of alone meets the blocks of its runs: a row a block, none for a pair.
+    """
+    asked = stored(alone.groupBy("leaf", "run").agg(F.max("first").alias("latest")), "leaf-asked")
+    there = runs.join(asked, ["leaf", "run"]).filter("first < latest")
+    counted = there.groupBy("leaf", "run").agg(F.count(F.lit(1)).alias("n"))
+    words = templates.select("leaf", "id", F.col("n").alias("size"), "tokens")
+    held = join_hot(there.select("leaf", "run", "id", "first"), counted.select("leaf", "run", "n", F.col("n").alias("members")), ["leaf", "run"], "inner").join(words, ["leaf", "id"])
+    blocks = F.ceil(F.col("members") * F.col("size") / F.lit(TOKENS_A_BLOCK)).cast("int")
+    laid = held.withColumn("block", F.pmod("id", blocks).cast("int")).groupBy("leaf", "run", "block").agg(F.collect_list(F.struct("first", "tokens")).alias("held"))
+    seek = alone.join(counted.select("leaf", "run", F.col("n").alias("members")), ["leaf", "run"]).join(words, ["leaf", "id"])
+    seek = seek.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    earlier = F.filter("held", lambda h: (h["first"] < F.col("first")) & alike(F.col("tokens"), h["tokens"], F.col("size")))
+    found = seek.join(laid, ["leaf", "run", "block"]).select("leaf", "id", F.array_min(F.transform(earlier, lambda h: h["first"])).alias("_first"))
+    return found.filter("_first IS NOT NULL").groupBy("leaf", "id").agg(F.min("_first").alias("_first"))
 
 
 def drop_recurring_lines(docs: DataFrame, lead: int = 3) -> DataFrame:
@@ -111,10 +141,9 @@ ORACLE = f"""WITH l AS (SELECT doc_id, text, coalesce(doc_id, {LAST}) AS d, unne
 e AS (SELECT *, trim(regexp_replace(line, '[ \\t-\\r]+', ' ', 'g'), ' ') AS even FROM l),
 m AS (SELECT d, text, pos, regexp_replace(even, '[^ ]*(?:[0-9@]|://)[^ ]*', '*', 'g') AS x FROM e),
 k AS (SELECT d, text, pos, x, string_split(x, ' ') AS w FROM m WHERE regexp_matches(x, '[^ *]|[*][*]')),
-t AS (SELECT x, w, len(w) AS n, array_to_string(w[1:3], ' ') AS head, greatest(1, len(w) // {TENTH}) AS f, min(d) AS first, max(d) AS last, substr(md5(x), 1, 15) AS id FROM k GROUP BY ALL),
+t AS (SELECT x, w, len(w) AS n, array_to_string(w[1:3], ' ') AS head, greatest(1, len(w) // {TENTH}) AS f, min(d) AS first, max(d) AS last FROM k GROUP BY ALL),
 r AS (SELECT *, w[4 + (i * greatest(n - 3, 0)) // (f + 1):3 + ((i + 1) * greatest(n - 3, 0)) // (f + 1)] AS run FROM (SELECT *, unnest(range(f + 1)) AS i FROM t)),
-g AS (SELECT *, first_value(first) OVER s AS g_first, first_value(w) OVER s AS g_w FROM r WINDOW s AS (PARTITION BY n, head, i, run ORDER BY first, id)),
-a AS (SELECT x, g_first AS first FROM g WHERE g_first < first AND len(list_filter(list_zip(w, g_w), lambda p: p[1] = p[2])) >= n - f
+a AS (SELECT r.x, g.first FROM r JOIN r g ON r.n = g.n AND r.head = g.head AND r.i = g.i AND r.run = g.run AND g.first < r.first WHERE len(list_filter(list_zip(r.w, g.w), lambda p: p[1] = p[2])) >= r.n - r.f
   UNION ALL SELECT x, first FROM t WHERE first < last),
 f AS (SELECT x, min(first) AS first FROM a GROUP BY x),
 z AS (SELECT DISTINCT d, text, pos FROM k JOIN f USING (x) WHERE d > first),

@@ -139,6 +139,16 @@ def test_lines_of_any_length_generalise(spark, n):
     assert got == {1: 0, 2: 1, 3: 0, 4: 0, 5: 0, 6: 0} | ({7: 0} if n > spare + 4 else {})
 
 
+def test_lines_join_later_members_of_a_run(spark, monkeypatch):
+    """A line that is unlike the earliest of its runs, and like a later one, recurs; in blocks of any size."""
+    monkeypatch.setattr("quillspark.llm.line_templates.TOKENS_A_BLOCK", 40)
+    words = [f"{chr(97 + i)}w" for i in range(20)]
+    line = lambda *ends: " ".join([*words[: 20 - len(ends)], *ends])
+    texts = [line(), line("x", "y", "z"), line("p", "q", "r", "s"), line("x", "y", "v"), line("k", "l", "m", "n", "o"), line("p", "q", "t", "s")]
+    rows = spark.createDataFrame([row(k + 1, text) for k, text in enumerate(texts)], SCHEMA)
+    assert {r["doc_id"]: r["n_dropped"] for r in drop_recurring_lines(rows).collect()} == {1: 0, 2: 0, 3: 0, 4: 1, 5: 0, 6: 1}
+
+
 @pytest.mark.parametrize("text", ["Menu", "one two"])
 def test_short_lines_recur_like_others(spark, text):
     got = {r["doc_id"]: r["n_dropped"] for r in drop_recurring_lines(spark.createDataFrame([row(1, text), row(2, text)], SCHEMA)).collect()}
