@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import lexicon as lex
+from quillspark.functions.text import contains_any
 from quillspark.operators.relational import best_at_first_place, n_rows, ranked, top_per_group
-from quillspark.plans.classify import any_pattern, any_pattern_sql, quoted
+from quillspark.plans.classify import any_pattern, any_pattern_sql, any_word_sql, quoted, turns, turns_sql
 from quillspark.registry import query
 from quillspark.sources.tables import Tables
 
@@ -138,12 +139,84 @@ def expanded_query(t: Tables) -> DataFrame:
     return t.conversations.filter("role = 'user'").select("conv_id", "turn", F.concat_ws(" ", "text", F.when(F.col("turn") % 2 == 0, "Thnder"), F.when(F.col("turn") % 3 == 0, "RSA municipal law")).alias("q"))
 
 
-@query("SELECT conv_id, unnest(list_filter([CASE WHEN conv_id % 2 = 0 THEN 'statewide' END, CASE WHEN conv_id % 3 = 0 THEN 'local' END, CASE WHEN conv_id % 2 <> 0 AND conv_id % 3 <> 0 THEN 'general' END], lambda x: x IS NOT NULL)[1:2]) AS pass FROM (SELECT DISTINCT conv_id FROM conversations)")
+# The texts of retrieval prompts.
+PASS_PROMPT = """Context: %s municipal governance documents (categories: %s)
+
+Question: %s%s
+
+Provide detailed relevant excerpts from the documents."""
+MINUTES_PROMPT = "Find examples in meeting minutes related to: %s. Look for similar cases, precedents, or past decisions."
+MERGED_PROMPT = """Question: %s
+
+Context: New Hampshire municipal governance documents
+Document categories: %s
+%s%s%s%s
+
+Search for comprehensive information including:
+- Applicable state law and RSA requirements
+- Local ordinances and regulations
+- Best practices and NHMA guidance
+- Relevant examples or precedents if available
+
+Provide detailed, relevant excerpts with specific section references."""
+PREFER_RECENT = '\nIMPORTANT: Prioritize the MOST RECENT documents, especially recent meeting minutes (from the last 6-12 months) and current-year budget documents. Focus on what is happening "currently" or "now", not historical information.'
+STATEWIDE_LABEL, MINUTES_LABEL, GENERAL_LABEL, MERGED_LABEL = "Statewide Handbooks & Guides", "Meeting Minutes & Examples", "General Documents", "Comprehensive Document Search"
+NO_TOWN = "Include statewide guidance and local examples."
+MINUTES_NEEDS = ("example", "precedent", "case")
+
+PASSES = 2
+PROMPTED = ("What does recent case law under RSA 674 and RSA 91 hold about variance examples, and minutes?", "Show the current precedent for setback rules in the minutes", "Why?", "")
+WHOLE, SINGLE, LISTED = quoted(MERGED_PROMPT), quoted(PASS_PROMPT), "array_to_string(categories, ', ')"
+SPECIFIC = "CASE WHEN len(needs) > 0 THEN chr(10) || chr(10) || 'Specifically looking for: ' || array_to_string(needs, '; ') ELSE '' END"
+
+
+@query(f"""{turns_sql('q', 'user', PROMPTED)}, w AS (SELECT id, x, regexp_extract_all(lower(x), '{ASKED}') AS w FROM q),
+p AS (SELECT id, x, w[4:6] AS needs, list_transform(w[7:8], lambda c: CASE WHEN c = 'minutes' THEN 'meeting_minutes' ELSE c END) AS categories, CASE WHEN length(x) % 3 = 0 THEN w[1] END AS town, length(x) % 2 = 0 AS statewide, regexp_extract_all(x, 'RSA ([0-9]+)', 1) AS chapters, {any_word_sql(lex.RECENT)} AS recent FROM w),
+l AS (SELECT id, 1 AS passes, 1 AS pos, {quoted(MERGED_LABEL)} AS label, printf({WHOLE}, x, CASE WHEN len(categories) > 0 THEN {LISTED} ELSE 'all relevant' END, coalesce('Focus on ' || town || ' documents when available.', {quoted(NO_TOWN)}),
+    CASE WHEN len(chapters) > 0 THEN chr(10) || 'Relevant RSA chapters: ' || array_to_string(chapters, ', ') ELSE '' END, CASE WHEN recent THEN {quoted(PREFER_RECENT)} ELSE '' END,
+    CASE WHEN len(needs) > 0 THEN chr(10) || 'Key information needed:' || chr(10) || array_to_string(list_transform(needs, lambda n, i: i || '. ' || n), chr(10)) ELSE '' END) AS prompt FROM p),
+e AS (SELECT *, printf({SINGLE}, coalesce(c.town, ''), CASE WHEN len(categories) > 0 THEN {LISTED} ELSE 'all' END, x, {SPECIFIC}) AS about FROM (SELECT p.id, p.x, needs, categories, k, CASE k WHEN 1 THEN 'statewide' ELSE p.town END AS town, statewide, p.town AS there FROM p, range(1, 5) r(k)) c),
+f AS (SELECT id, k, CASE k WHEN 1 THEN {quoted(STATEWIDE_LABEL)} WHEN 2 THEN there || ' Local Documents' WHEN 3 THEN {quoted(MINUTES_LABEL)} ELSE {quoted(GENERAL_LABEL)} END AS label, CASE k WHEN 3 THEN printf({quoted(MINUTES_PROMPT)}, x) WHEN 4 THEN x ELSE about END AS prompt,
+  CASE k WHEN 1 THEN statewide WHEN 2 THEN there IS NOT NULL WHEN 3 THEN len(list_filter(needs, lambda n: {' OR '.join(f"contains(n, '{n}')" for n in MINUTES_NEEDS)})) > 0 OR list_contains(categories, 'meeting_minutes') ELSE true END AS runs FROM e),
+g AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k) AS pos FROM f WHERE runs)
+SELECT * FROM l UNION ALL SELECT id, {PASSES}, pos, label, prompt FROM g WHERE pos <= {PASSES} AND (k < 4 OR pos = 1)""")
 def retrieval_prompts(t: Tables) -> DataFrame:
-    """The plan's passes in order, the first two of them; a general one where it names none."""
-    c = F.col("conv_id")
-    passes = F.array(F.when(c % 2 == 0, "statewide"), F.when(c % 3 == 0, "local"), F.when((c % 2 != 0) & (c % 3 != 0), "general"))
-    return t.conversations.select("conv_id").distinct().select("conv_id", F.explode(F.slice(F.filter(passes, lambda x: x.isNotNull()), 1, 2)).alias("pass"))
+    """What is asked of the search for each question: one merged prompt, and the first PASSES passes of the plan.
+
+    A plan's passes are statewide, local and minutes, in this order; a general one where it names none.
+    A model's plan is not in the tables, so the question stands for it: what is needed and the categories
+    are words of it, and its length decides whether the plan is statewide and has a town.
+    """
+    x, w, n = F.col("x"), F.regexp_extract_all(F.lower("x"), F.lit(ASKED), F.lit(0)), F.length("x")
+    category = lambda c: F.when(c == "minutes", "meeting_minutes").otherwise(c)
+    plan = turns(t, "user", PROMPTED).select(
+        *("id", "x", F.slice(w, 4, 3).alias("needs"), F.transform(F.slice(w, 7, 2), category).alias("categories")),
+        *(F.when(n % 3 == 0, F.get(w, F.lit(0))).alias("town"), (n % 2 == 0).alias("statewide")),
+        F.regexp_extract_all("x", F.lit("RSA ([0-9]+)"), F.lit(1)).alias("chapters"),
+        contains_any(F.lower("x"), lex.RECENT).alias("recent"),
+    )
+    some = lambda c, text: F.when(F.size(c) > 0, text).otherwise("")
+    listed = lambda none: F.when(F.size("categories") > 0, F.array_join("categories", ", ")).otherwise(none)
+    prompt = lambda label, text: F.struct(F.lit(label).alias("label") if isinstance(label, str) else label.alias("label"), text.alias("prompt"))
+    numbered = F.array_join(F.transform("needs", lambda need, i: F.concat((i + 1).cast("string"), F.lit(". "), need)), "\n")
+    merged = F.format_string(
+        MERGED_PROMPT,
+        *(x, listed("all relevant"), F.coalesce(F.concat(F.lit("Focus on "), "town", F.lit(" documents when available.")), F.lit(NO_TOWN))),
+        *(some("chapters", F.concat(F.lit("\nRelevant RSA chapters: "), F.array_join("chapters", ", "))), F.when(F.col("recent"), PREFER_RECENT).otherwise("")),
+        some("needs", F.concat(F.lit("\nKey information needed:\n"), numbered)),
+    )
+    about = lambda town: F.format_string(PASS_PROMPT, town, listed("all"), x, some("needs", F.concat(F.lit("\n\nSpecifically looking for: "), F.array_join("needs", "; "))))
+    minutes = F.exists("needs", lambda need: contains_any(need, MINUTES_NEEDS)) | F.array_contains("categories", "meeting_minutes")
+    found = F.array_compact(
+        F.array(
+            F.when(F.col("statewide"), prompt(STATEWIDE_LABEL, about(F.lit("statewide")))),
+            F.when(F.col("town").isNotNull(), prompt(F.concat("town", F.lit(" Local Documents")), about(F.col("town")))),
+            F.when(minutes, prompt(MINUTES_LABEL, F.format_string(MINUTES_PROMPT, x))),
+        )
+    )
+    several = F.when(F.size(found) > 0, F.slice(found, 1, PASSES)).otherwise(F.array(prompt(GENERAL_LABEL, x)))
+    lists = plan.select("id", F.explode(F.create_map(F.lit(1), F.array(prompt(MERGED_LABEL, merged)), F.lit(PASSES), several)).alias("passes", "prompts"))
+    return lists.select("id", "passes", F.posexplode("prompts").alias("pos", "p")).select("id", "passes", (F.col("pos") + 1).alias("pos"), "p.label", "p.prompt")
 
 
 LANE_TITLES = {"local": "=== LOCAL DOCUMENTS (cite as [L1], [L2], etc.) ===", "state": "=== STATE DOCUMENTS (cite as [S1], [S2], etc. for legal framework) ==="}
