@@ -26,12 +26,16 @@ def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, files_a_batch: int | None = None) -> DataFrame:
-    """A file stream over a Parquet table, which may be one file or a folder of them."""
+    """A file stream over a Parquet table, which may be one file or a folder of them.
+
+    A stream takes a single file only by a pattern; ``[t]`` makes the name one that fits itself alone,
+    and where it is a folder all files below are read.
+    """
     reader = spark.readStream.schema(schema)
     if files_a_batch:
         reader = reader.option("maxFilesPerTrigger", files_a_batch)
-    folder, _, name = path.rpartition("/")
-    return reader.option("pathGlobFilter", f"{name}*").parquet(folder) if name.endswith(".parquet") else reader.parquet(path)
+    path = path.rstrip("/")
+    return reader.parquet(f"{path[:-1]}[t]" if path.endswith(".parquet") else path)
 
 
 def admit_new(spark: SparkSession, path: str, schema: StructType, state: str) -> DataFrame:

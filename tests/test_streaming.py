@@ -78,6 +78,16 @@ def test_discovery_admits_new_files_only(spark):
     assert new() == [5, 6] and new() == []
 
 
+def test_a_table_that_is_a_folder_is_streamed(spark, tmp_path):
+    folder = tmp_path / "pages.parquet"
+    spark.range(6).repartition(3).write.parquet(f"file://{folder}")
+    part = next(folder.glob("part-*.parquet"))
+    (tmp_path / "one.parquet").write_bytes(part.read_bytes())
+    new = lambda path: sorted(r[0] for r in jobs.admit_new(spark, f"file://{path}", spark.range(1).schema, fresh_folder(spark, "seen")).collect())
+    assert new(folder) == list(range(6))
+    assert new(tmp_path / "one.parquet") == sorted(r[0] for r in spark.read.parquet(f"file://{part}").collect())
+
+
 def test_a_broken_write_leaves_the_old_version(spark, monkeypatch):
     store = Snapshots(spark, fresh_folder(spark, "snapshots"), "x int")
     rows = lambda *xs: spark.createDataFrame([(x,) for x in xs], "x int")
