@@ -1,4 +1,4 @@
-"""Corpus pipeline: quality rules, language ID, line dedup, near-dedup by shingle similarity, packing."""
+"""Corpus pipeline: quality rules, language ID, line dedup, near-dedup by SimHash trees and shingle similarity, packing."""
 
 from __future__ import annotations
 
@@ -48,6 +48,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document stays of each group joined by a similarity of 0.8 or more, in runs of five words.
 
+    SimHash fingerprints in sharded BK-trees find the pairs, exact Jaccard decides.
     Equal rows are one group, and so are all texts without words; the smallest doc_id stays, null ids last.
     """
     return documents(keep_one_similar(docs, least=0.8, shingle=5))

@@ -1,10 +1,11 @@
-"""Near-copies by similarity of word shingles: bands of min-hashes propose, exact Jaccard decides.
-
-Texts of equal shingle sets are one node.  Nodes that share a band of min-hashes meet in that band's
-shard; shards of the same members are one.  In a shard every pair is compared exactly, but for pairs
-that links found before join already.  With 40 bands of five, a pair at similarity 0.8 shares none
-with a chance of 1.3e-7.  64-bit SimHash cannot stand in: at 0.8 fingerprints differ in some ten bits
-and up to twenty, more than blocks can be cut for.
+"""Near-copies by SimHash, beyond the radius of op2: BK-trees find them in shards, exact Jaccard decides.
+
+Texts of equal shingle sets are one node.  At a similarity of 0.8 fingerprints differ in some ten bits
+of 64 and up to twenty, more than equal blocks of bits can be cut for, so shards are dealt by bands of
+min-hashes: with 40 bands of five, a pair at 0.8 shares none with a chance of 1.3e-7.  Shards of the
+same members are one.  The fingerprints of a shard hang in a BK-tree and a search follows the edges
+within ``RADIUS``; what it finds is linked where the Jaccard similarity of the sets says so.  Pairs of
+a shard beyond the radius that are in no common group by then are compared too, so none is lost.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import stored
-from .simhash import LAST, chosen_rows, components, shingle_hashes
+from .simhash import LAST, Forest, chosen_rows, components, majority_bits, shingle_hashes
 
 # Bands, min-hashes a band, and the multipliers and offsets that make them.
 BANDS, ROWS, BLOCK = 40, 5, 1024
+# Bits that fingerprints of similar texts differ in, pairs held at once, and shingles of the shards searched at once.
+RADIUS, PAIRS, BUFFER = 20, 1 << 18, 1 << 18
 FACTORS, OFFSETS = np.random.Generator(np.random.PCG64(42)).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64)
 FACTORS |= np.uint64(1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -51,21 +54,71 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return both >= least * (len(a) + len(b) - both) - 1e-9
 
 
-def spanning_pairs(sets: list[np.ndarray], trees: list[int], queries: list[int], least: float, whole: bool):
-    """Pairs (query, tree) of similar sets that join all that similar pairs join: each query is compared
-    with the members of each group of trees until one is similar.  ``whole``: queries become trees."""
-    groups = [[t] for t in trees]
-    for q in queries:
-        apart, joined = [], [q] if whole else []
-        for group in groups:
-            k = next((k for k, t in enumerate(group) if similar(sets[q], sets[t], least)), None)
-            if k is None:
-                apart.append(group)
-            else:
-                yield q, group[k]
-                group.insert(0, group.pop(k))
-                joined = group + joined
-        groups = [joined, *apart] if joined else apart
+def set_bits(found: np.ndarray) -> int:
+    """The SimHash fingerprint of a shingle set."""
+    return majority_bits(found[at : at + (1 << 16)] for at in range(0, len(found), 1 << 16))
+
+
+def spread(of: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each of ``of`` beside every number from its start to before its stop."""
+    n = stop - start
+    return np.repeat(of, n), np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def spanning_pairs(group: np.ndarray, fp: np.ndarray, is_tree: np.ndarray, sets: list[np.ndarray], least: float, radius: int = RADIUS):
+    """Pairs (query, tree) of similar rows that join all that similar pairs inside each group join.
+
+    Rows come group by group.  Each query is compared with what its group's BK-tree holds within
+    ``radius`` of it, the nearest first, until it is joined; then with the rest of the group that it is
+    not joined with.  Where all rows are trees, each is a query to the rows before it.
+    """
+    parent = list(range(len(fp)))
+
+    def top(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    def joined(q: np.ndarray, t: np.ndarray):
+        """The pairs that join: of each query and each group of trees joined before, up to the first similar one."""
+        rows, at = np.unique(t, return_inverse=True)
+        label = np.array([top(i) for i in rows.tolist()], np.int64)[at]
+        order = np.lexsort((np.bitwise_count(fp[q] ^ fp[t]), label, q))
+        q, t, label = q[order], t[order], label[order]
+        starts = np.flatnonzero(np.concatenate(([True], (q[1:] != q[:-1]) | (label[1:] != label[:-1])))[: len(q)])
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(q)]):
+            x, y = top(int(q[a])), top(int(label[a]))
+            if x != y:
+                k = next((k for k in range(a, b) if similar(sets[q[k]], sets[t[k]], least)), None)
+                if k is not None:
+                    parent[max(x, y)] = min(x, y)
+                    yield int(q[k]), int(t[k])
+
+    def possible(q: np.ndarray, t: np.ndarray):
+        """Pairs in order, whose sizes allow for the similarity."""
+        keep = np.minimum(size[q], size[t]) >= least * np.maximum(size[q], size[t]) - 1e-9
+        keep &= (t < q) | (not whole)
+        return q[keep], t[keep]
+
+    tree, size = np.flatnonzero(is_tree), np.fromiter(map(len, sets), np.int64, len(sets))
+    whole = len(tree) == len(fp)
+    queries = tree if whole else np.flatnonzero(~is_tree)
+    if not len(tree) or not len(queries):
+        return
+    leaves, leaf = np.unique(np.stack([group[tree].astype(np.uint64), fp[tree]]), axis=1, return_inverse=True)
+    forest, held = Forest(*leaves), np.argsort(leaf.ravel(), kind="stable")
+    first = np.searchsorted(leaf.ravel()[held], np.arange(leaves.shape[1] + 1))
+    low, high = (np.searchsorted(group[tree], group[queries], side) for side in ("left", "right"))
+    block = max(1, PAIRS // max(1, int((high - low).max())))
+    for at in range(0, len(queries), block):
+        part = queries[at : at + block]
+        q, node = forest.within(group[part].astype(np.uint64), fp[part], radius)
+        q, t = spread(part[q], first[node], first[node + 1])
+        yield from joined(*possible(q, tree[held[t]]))
+        q, t = spread(part, low[at : at + block], high[at : at + block])
+        q, t = possible(q, tree[t])
+        rest = np.bitwise_count(fp[q] ^ fp[t]) > radius
+        yield from joined(q[rest], t[rest])
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
@@ -84,14 +137,15 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """node and found (the shingle set as bytes) of every row of (node, text)."""
+    """node, found (the shingle set as bytes) and fp (its fingerprint's bits as a long) of every row of (node, text)."""
 
     def hashed(batches):
         for batch in batches:
-            sets = [shingle_set(x or "", shingle).tobytes() for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "found"])
+            sets = [shingle_set(x or "", shingle) for x in batch.column("text").to_pylist()]
+            fps = np.array(list(map(set_bits, sets)), np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(fps)], ["node", "found", "fp"])
 
-    return docs.select("node", "text").mapInArrow(hashed, "node long, found binary")
+    return docs.select("node", "text").mapInArrow(hashed, "node long, found binary, fp long")
 
 
 def similar_links(nodes: DataFrame, keyed_docs: DataFrame, least: float, shingle: int, shard_size: int) -> DataFrame:
@@ -112,28 +166,32 @@ def similar_links(nodes: DataFrame, keyed_docs: DataFrame, least: float, shingle
     dealt = met.select("key", "node", "part", F.explode(pairs).alias("p")).select("key", "node", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "part")
 
     def search(batches):
-        now, rows = None, []
+        rows, now, number, volume = [], None, -1, 0
 
         def out():
-            sets, (_, i, j) = [np.frombuffer(x, np.uint64) for _, _, x in rows], now
-            tree, query = ([k for k, r in enumerate(rows) if r[1] == side] for side in (i, j))
-            found = list(spanning_pairs(sets, [] if i == j else tree, query, least, i == j))
-            ends = [pa.array([rows[pair[k]][0] for pair in found], pa.int64()) for k in (0, 1)]
-            return pa.RecordBatch.from_arrays(ends, ["a", "b"])
+            group, same, is_tree, node, fp, found = map(list, zip(*rows))
+            group, same, is_tree, fp = np.array(group), np.array(same), np.array(is_tree), np.array(fp, np.int64).view(np.uint64)
+            ends = []
+            for of in (np.flatnonzero(same), np.flatnonzero(~same)):
+                sets = [np.frombuffer(found[k], np.uint64) for k in of]
+                ends += [(node[of[q]], node[of[t]]) for q, t in spanning_pairs(group[of], fp[of], is_tree[of], sets, least)]
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            for *group, part, node, found in zip(*[batch.column(c).to_pylist() for c in ("key", "i", "j", "part", "node", "found")]):
-                if group != now:
-                    if rows:
+            for key, i, j, part, node, fp, found in zip(*[batch.column(c).to_pylist() for c in ("key", "i", "j", "part", "node", "fp", "found")]):
+                if (key, i, j) != now:
+                    if volume >= BUFFER:
                         yield out()
-                    now, rows = group, []
-                rows.append((node, part, found))
+                        rows, volume = [], 0
+                    now, number = (key, i, j), number + 1
+                rows.append((number, i == j, part == i, node, fp, found))
+                volume += len(found) // 8 + 1
         if rows:
             yield out()
 
     where = ["key", "i", "j"]
     brought = dealt.join(sets, "node").repartition(*where).sortWithinPartitions(*where)
-    return brought.select("key", "i", "j", "part", "node", "found").mapInArrow(search, "a long, b long").distinct()
+    return brought.select("key", "i", "j", "part", "node", "fp", "found").mapInArrow(search, "a long, b long").distinct()
 
 
 def keep_one_similar(docs: DataFrame, least: float = 0.8, shingle: int = 5, shard_size: int = 2_000_000) -> DataFrame:

@@ -42,15 +42,20 @@ def shingle_hashes(text: str, shingle: int):
         yield np.array([digest(joined[a:b], SEED) for a, b in spans], "<u8")
 
 
-def fingerprint(text: str, shingle: int = 3) -> int:
-    """Majority bits of the hashes of a text's word shingles, as an unsigned number; 0 without words."""
+def majority_bits(parts) -> int:
+    """The bits set in over half of all hashes of ``parts``, arrays of them, as an unsigned number."""
     counts, n = np.zeros(64, np.int64), 0
-    for hashes in shingle_hashes(text, shingle):
+    for hashes in parts:
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         n += len(hashes)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str, shingle: int = 3) -> int:
+    """Majority bits of the hashes of a text's word shingles, as an unsigned number; 0 without words."""
+    return majority_bits(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, text_key (a hash that tells rows of one doc_id apart) and fp (a long whose bits are the
     fingerprint) of every row; a null text has no words."""
