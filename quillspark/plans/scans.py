@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.operators.numbering import numbered
 from quillspark.operators.relational import insert_missing, upsert
 from quillspark.registry import query
-from quillspark.sources.files import file_texts, write_files
+from quillspark.sources.files import all_file_texts, write_files
 from quillspark.sources.sinks import fresh_folder, written
 from quillspark.sources.snapshots import Snapshots, progress
 from quillspark.sources.tables import Tables
@@ -46,9 +46,10 @@ def previews(t: Tables, types: tuple[str, ...]) -> DataFrame:
     folder = fresh_folder(t.spark, "files")
     readable = ~F.coalesce("text", F.lit("")).rlike(CONTROL)
     ending = F.when((F.col("doc_id") % 3 == 0) & readable, "docx").when(F.col("doc_id") % 3 == 1, "dat").otherwise("txt")
-    write_files(t.documents.select(F.concat_ws(".", "doc_id", ending).alias("name"), "text"), folder)
-    read = file_texts(t.spark, folder, types).select(F.split("name", r"\.")[0].cast("long").alias("doc_id"), "preview")
-    return t.documents.select("doc_id").join(read, "doc_id", "left").na.fill("", ["preview"])
+    # A row's number tells rows of one doc_id apart.
+    name = F.concat_ws(".", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.monotonically_increasing_id(), ending)
+    write_files(t.documents.select(name.alias("name"), "text"), folder)
+    return all_file_texts(t.spark, folder, types).select(F.split("name", r"\.")[0].try_cast("long").alias("doc_id"), "preview")
 
 
 @query(f"WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {ENDING_SQL} AS ending FROM documents) SELECT doc_id, CASE ending WHEN 'dat' THEN '' WHEN 'docx' THEN {WORD_SQL} ELSE substr(text, 1, 15000) END AS preview FROM d")

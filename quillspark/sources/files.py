@@ -1,4 +1,4 @@
-"""Files as rows: whole objects read by Spark's binary source, their text taken out by type."""
+"""Files as rows: whole objects listed and read by the tasks, their text taken out by type."""
 
 from __future__ import annotations
 
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 # The namespace of a word-processor document, and the part that holds its text.
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 DOCUMENT = "word/document.xml"
+# Files in a folder that ``write_files`` deals, folders in a task, and bytes read before rows go out.
+FILES, FOLDERS, READ_BYTES = 1000, 4, 8 << 20
 
 
 class PageText(HTMLParser):
@@ -66,20 +68,56 @@ def text_of(name: str, data: bytes, types=tuple(READERS), most: int = 15_000) ->
         return ""
 
 
-def file_texts(spark: SparkSession, folder: str, types=tuple(READERS), most: int = 15_000) -> DataFrame:
-    """name and preview of every file below a folder that holds a byte; Spark's source lists no empty ones.
+def below(where: fs.FileSystem, path: str):
+    """(path, size) of the files at or below a path, but for names that begin with ``_`` or ``.``, as in Spark's sources."""
+    found = where.get_file_info(path)
+    for info in where.get_file_info(fs.FileSelector(path)) if found.type == fs.FileType.Directory else [found]:
+        if info.base_name[:1] not in ("_", "."):
+            if info.type == fs.FileType.Directory:
+                yield from below(where, info.path)
+            elif info.type == fs.FileType.File:
+                yield info.path, info.size
+
 
-    A file is a row, its bytes in one task's memory.
+def all_file_texts(spark: SparkSession, folder: str, types=tuple(READERS), most: int = 15_000) -> DataFrame:
+    """name, size and preview of every file below a folder, empty ones too.
+
+    The driver lists the folder itself; what is in the folders below it is listed by the tasks, about a
+    thousand files a task where ``write_files`` made them.  A file's bytes are in one task's memory.
     """
+    where, root = fs.FileSystem.from_uri(folder)
+    found = [f for f in where.get_file_info(fs.FileSelector(root)) if f.base_name[:1] not in ("_", ".")]
+    folders = sum(f.type == fs.FileType.Directory for f in found)
+    parts = max(spark.sparkContext.defaultParallelism, -(-folders // FOLDERS), -(-len(found) // (FOLDERS * FILES)))
 
     def read(batches):
+        where, _ = fs.FileSystem.from_uri(folder)
+
+        def out(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.string()))], ["name", "size", "preview"])
+
+        rows, held = [], 0
         for batch in batches:
-            names = [posixpath.basename(p) for p in batch.column("path").to_pylist()]
-            previews = [text_of(n, c.as_py() or b"", types, most) for n, c in zip(names, batch.column("content"))]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(previews, pa.string())], ["name", "preview"])
+            for path in batch.column("path").to_pylist():
+                for at, size in below(where, path):
+                    name = posixpath.basename(at)
+                    with where.open_input_stream(at) as opened:
+                        data = opened.read()
+                    rows.append((name, size, text_of(name, data, types, most)))
+                    held += len(data)
+                    if held >= READ_BYTES or len(rows) >= FILES:
+                        yield out(rows)
+                        rows, held = [], 0
+        if rows:
+            yield out(rows)
+
+    paths = spark.createDataFrame([(f.path,) for f in found], "path string").repartition(parts)
+    return paths.mapInArrow(read, "name string, size long, preview string")
+
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.select("path", "content").mapInArrow(read, "name string, preview string")
+def file_texts(spark: SparkSession, folder: str, types=tuple(READERS), most: int = 15_000) -> DataFrame:
+    """name and preview of every file below a folder that holds a byte, as Spark's own source lists them."""
+    return all_file_texts(spark, folder, types, most).filter("size > 0").select("name", "preview")
 
 
 def word_file(text: str) -> bytes:
@@ -94,17 +132,26 @@ def word_file(text: str) -> bytes:
 def write_files(rows: DataFrame, folder: str) -> int:
     """Write each row (name, text) as a file, a word-processor one where the name ends so; returns how many.
 
+    The files of a task go to folders of its own, ``FILES`` in each, so no folder grows with the table.
     A task that is run again writes the same names with the same bytes.
     """
 
     def write(batches):
+        from pyspark import TaskContext
+
         where, root = fs.FileSystem.from_uri(folder)
-        where.create_dir(root, recursive=True)
+        part, done = TaskContext.get().partitionId(), 0
         for batch in batches:
             for name, text in zip(batch.column("name").to_pylist(), batch.column("text").to_pylist()):
+                at = f"{root}/{part}-{done // FILES}"
+                if done % FILES == 0:
+                    where.create_dir(at, recursive=True)
+                done += 1
                 data = word_file(text or "") if name.endswith(".docx") else (text or "").encode("utf-8", "surrogatepass")
-                with where.open_output_stream(f"{root}/{name}") as out:
+                with where.open_output_stream(f"{at}/{name}") as out:
                     out.write(data)
             yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
 
+    where, root = fs.FileSystem.from_uri(folder)
+    where.create_dir(root, recursive=True)
     return rows.select("name", "text").mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators.containment import contained
-from quillspark.sources.files import file_texts, text_of, word_file, write_files
+from quillspark.plans.scans import legacy_text_extract, text_extract_source
+from quillspark.sources.files import all_file_texts, file_texts, text_of, word_file, write_files
 from quillspark.sources.sinks import fresh_folder
+from quillspark.sources.tables import Tables
 
 
 @pytest.mark.parametrize(
@@ -38,6 +40,25 @@ def test_files_round_trip(spark):
     assert {r["preview"] for r in file_texts(spark, folder, (".txt",)).filter("name LIKE '%.docx'").collect()} == {""}
 
 
+def test_many_files_are_read_by_few_tasks(spark):
+    folder = fresh_folder(spark, "files")
+    rows = spark.range(2600).selectExpr("concat(id, '.txt') AS name", "if(id % 5 = 0, NULL, concat('t', id)) AS text").coalesce(1)
+    assert write_files(rows, folder) == 2600
+    read = all_file_texts(spark, folder)
+    assert {r["name"]: r["preview"] for r in read.collect()} == {f"{k}.txt": f"t{k}" if k % 5 else "" for k in range(2600)}
+    assert file_texts(spark, folder).count() == 2080 and read.rdd.getNumPartitions() <= 8
+
+
+def test_extracts_keep_rows_of_equal_and_null_ids(spark, tmp_path):
+    rows = [(3, "a\nb"), (3, "c"), (None, "d"), (None, None), (4, "e"), (5, "f"), (5, ""), (-3, "g"), (6, "x" * 20_000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    t = Tables(spark, f"file://{tmp_path}")
+    got = lambda df: sorted((str(r["doc_id"]), r["preview"]) for r in df.collect())
+    plain = [("5", "f"), ("5", ""), ("None", "d"), ("None", ""), ("4", "")]
+    assert got(text_extract_source(t)) == sorted([("3", "a\n\nb\n\n"), ("3", "c\n\n"), ("-3", "g\n\n"), ("6", "x" * 15_000), *plain])
+    assert got(legacy_text_extract(t)) == sorted([("3", ""), ("3", ""), ("-3", ""), ("6", ""), *plain])
+
+
 @pytest.mark.parametrize("block_chars", [10**6, 40])
 def test_contained_equals_brute_force(spark, block_chars):
     rng = random.Random(4)
