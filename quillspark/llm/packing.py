@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import stored
-from .word_memo import LETTERS, memo_for, text_ids, texts_of
+from .word_memo import LETTERS, encoded, memo_for, texts_of
 
 K1, B = 1.2, 0.75
 # The letters of blanks in byte-level vocabularies, and the multipliers of the sketch's hash.
@@ -102,18 +102,22 @@ def word_starts(memo) -> np.ndarray:
     return starts
 
 
-def sketch_of(ids: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """The ``size`` smallest hashes of the distinct words of a text's ids, zeros where there are fewer."""
-    first = starts[ids]
-    first[:1] = True
-    at = np.flatnonzero(first)
-    if not len(at):
-        return np.zeros(size, np.int64)
-    place = np.arange(len(ids)) - at[np.cumsum(first) - 1]
-    h = (ids + FIRST * (place + 1).astype(np.uint64)) * SECOND
-    h = np.add.reduceat((h ^ h >> np.uint64(32)) * FIRST, at)
-    least = np.unique((h ^ h >> np.uint64(32)) * SECOND)[:size]
-    return np.concatenate([least, np.zeros(size - len(least), np.uint64)]).view(np.int64)
+def sketches_of(ids: np.ndarray, offsets: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """A row a text: the ``size`` smallest hashes of the distinct words of its ids, zeros where there are fewer."""
+    least = np.zeros((len(offsets) - 1, size), np.uint64)
+    if len(ids):
+        first = starts[ids]
+        first[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+        at = np.flatnonzero(first)
+        place = np.arange(1, len(ids) + 1, dtype=np.uint64) - np.repeat(at, np.diff(at, append=len(ids))).astype(np.uint64)
+        h = (ids + FIRST * place) * SECOND
+        h = np.add.reduceat((h ^ h >> np.uint64(32)) * FIRST, at)
+        h = (h ^ h >> np.uint64(32)) * SECOND
+        words = np.searchsorted(at, offsets).tolist()
+        for k, (a, b) in enumerate(zip(words[:-1], words[1:])):
+            found = np.unique(h[a:b])[:size]
+            least[k, : len(found)] = found
+    return least.view(np.int64)
 
 
 def encoded_documents(docs: DataFrame, tokenizer_path: str, end_id: int, sketch: int) -> DataFrame:
@@ -123,12 +127,14 @@ def encoded_documents(docs: DataFrame, tokenizer_path: str, end_id: int, sketch:
     def encode(batches):
         memo = memo_for(tokenizer_path, spaced=True)
         kind, starts = id_type(memo, end_id), word_starts(memo)
+        end = np.array(end_id, kind)
         for batch in batches:
-            packed, sketches = [], []
-            for ids in text_ids(texts_of(batch, "text"), memo):
-                packed.append(np.append(ids, np.uint32(end_id)).astype(kind).tobytes())
-                sketches.append(sketch_of(ids, starts, sketch))
-            columns = [pa.array(c) for c in np.stack(sketches, axis=1)] if sketches else [pa.array([], pa.int64())] * sketch
+            packed, sketches = [], [np.zeros((0, sketch), np.int64)]
+            for ids, offsets in encoded(texts_of(batch, "text"), memo):
+                data, width, at = ids.astype(kind).tobytes(), end.itemsize, offsets.tolist()
+                packed += [data[a * width : b * width] + end.tobytes() for a, b in zip(at[:-1], at[1:])]
+                sketches.append(sketches_of(ids, offsets, starts, sketch))
+            columns = [pa.array(c) for c in np.concatenate(sketches).T]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary()), *columns], ["doc_id", "ids", *names])
 
     schema = "doc_id long, ids binary, " + ", ".join(f"{n} long" for n in names)

@@ -107,20 +107,22 @@ class UnitIds(BoundedMemo):
         self.tokenizer, self.spaced = Tokenizer.from_file(path), spaced
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
 
     def library(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def merged(self, piece: str) -> bytes:
         """Ids of a piece between whose parts merges apply."""
-        return array("I", [t.id for t in self.model.tokenize(as_letters(piece))]).tobytes()
+        return array("I", [t.id for t in self.tokenize(as_letters(piece))]).tobytes()
 
     def pieces(self, unit: str) -> list[str]:
         """The unit's parts between which no merge applies."""
         return SPACED_PIECES.findall(unit) if self.spaced else word_units(unit)
 
     def computed(self, unit: str) -> bytes:
+        if self.spaced and unit[0] == " " and unit.isascii() and unit[1:].isalpha():
+            return array("I", [t.id for t in self.tokenize(LETTERS[32] + unit[1:])]).tobytes()
         if "<|" in unit or not (unit.isascii() or PLAIN.match(unit)):
             return self.library(unit)  # special tokens and rarer scripts: the library sees the unit itself
         if self.spaced:

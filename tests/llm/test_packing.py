@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 
-from quillspark.llm.packing import ShardIndex, pack_documents
+from quillspark.llm.packing import ShardIndex, pack_documents, sketches_of
 
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -27,3 +27,17 @@ def test_neighbours_count_every_term():
     shared = np.arange(20, dtype=np.uint32)
     docs = [np.concatenate([own, shared]), np.arange(200, 250, dtype=np.uint32), shared, np.arange(300, 350, dtype=np.uint32)]
     assert ShardIndex(docs).neighbours(0)[:2].tolist() == [0, 2]
+
+
+def test_sketches_of_a_slice_are_those_of_its_texts():
+    draw = np.random.default_rng(1)
+    starts = np.arange(50) % 3 == 0
+    texts = [draw.integers(0, 50, n).astype("<u4") for n in (0, 1, 2, 40, 0, 300, 7, 0)]
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    got = sketches_of(np.concatenate(texts), offsets, starts, 4)
+    assert got.shape == (8, 4) and not got[[0, 4, 7]].any()
+    for row, ids in zip(got, texts):
+        assert (row == sketches_of(ids, np.array([0, len(ids)]), starts, 4)[0]).all()
+        cuts = [k for k in range(len(ids)) if k == 0 or starts[ids[k]]]
+        words = {tuple(ids[a:b]) for a, b in zip(cuts, [*cuts[1:], len(ids)])}
+        assert (row != 0).sum() == min(4, len(words))
