@@ -69,3 +69,10 @@ def test_contained_equals_brute_force(spark, block_chars):
     assert got == {k: None if t is None else sorted(p for p in phrases if p and p.lower() in t.lower()) for k, t in texts}
     none = contained(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([], "phrase string"))
     assert none.filter(F.size("hits") > 0).count() == 0 and none.count() == len(texts)
+
+
+def test_legacy_extract_is_read_by_few_tasks(spark, tmp_path):
+    spark.range(600).selectExpr("id AS doc_id", "concat('t', id) AS text").coalesce(1).write.parquet(f"file://{tmp_path}/documents.parquet")
+    df = legacy_text_extract(Tables(spark, f"file://{tmp_path}"))
+    assert "BinaryFile" not in df._jdf.queryExecution().toString() and df.rdd.getNumPartitions() <= 8
+    assert {r["doc_id"]: r["preview"] for r in df.collect()} == {k: f"t{k}" if k % 3 == 2 else "" for k in range(600)}
