@@ -54,6 +54,13 @@ class ShardIndex:
         scores = np.bincount(np.concatenate([self.owner[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
         return np.argsort(-scores, kind="stable")
 
+    def keep(self, wanted: np.ndarray) -> None:
+        """Drop the postings of all other documents, which then score nothing; the other scores stay the same."""
+        kept = wanted[self.owner]
+        before = np.concatenate(([0], np.cumsum(kept)))
+        self.first, self.last = before[self.first], before[self.last]
+        self.owner, self.weight = self.owner[kept], self.weight[kept]
+
 
 def fill_windows(docs: list[np.ndarray], window: int):
     """Windows of a shard, each a list of (document, start, length); every id lies in exactly one."""
@@ -65,9 +72,12 @@ def fill_windows(docs: list[np.ndarray], window: int):
     unused = np.array([len(ids) > left[d] for d, ids in enumerate(docs)])
     if not unused.any():
         return
-    index, rest = ShardIndex(docs), []
+    index, indexed, rest = ShardIndex(docs), len(docs), []
     for seed in range(len(docs)):
         while unused[seed]:
+            if unused.sum() < 0.8 * indexed:
+                index.keep(unused)
+                indexed = unused.sum()
             pieces, room = [], window
             ranked = index.neighbours(seed)
             for d in (seed, *ranked[unused[ranked]].tolist()):
@@ -113,10 +123,13 @@ def sketches_of(ids: np.ndarray, offsets: np.ndarray, starts: np.ndarray, size:
         h = (ids + FIRST * place) * SECOND
         h = np.add.reduceat((h ^ h >> np.uint64(32)) * FIRST, at)
         h = (h ^ h >> np.uint64(32)) * SECOND
-        words = np.searchsorted(at, offsets).tolist()
-        for k, (a, b) in enumerate(zip(words[:-1], words[1:])):
-            found = np.unique(h[a:b])[:size]
-            least[k, : len(found)] = found
+        words = np.searchsorted(at, offsets)
+        held = np.flatnonzero(np.diff(words))
+        counts, none = np.diff(words)[held], np.uint64(2**64 - 1)
+        for k in range(size):  # the least hash of every text at once, which then no longer counts
+            found = np.minimum.reduceat(h, words[held])
+            least[held, k] = np.where(found == none, 0, found)
+            h[h == np.repeat(found, counts)] = none
     return least.view(np.int64)
 
 

@@ -1,8 +1,8 @@
 """Token ids of whole texts, one vocabulary lookup for each distinct word of a batch.
 
-Both public vocabularies split a text at blanks before any merge applies, so the ids of
-a text are those of its blank-separated units in a row.  Arrow splits and dictionary-encodes
-the units of a batch; only units not seen before reach the tokenizer's merge model.
+Both public vocabularies split a text into pieces before any merge applies, so the ids of
+a text are those of its units in a row, where a unit is one piece or several.  The units of a batch are
+cut and dictionary-encoded as arrays; only units not seen before reach the tokenizer's merge model.
 """
 
 from __future__ import annotations
@@ -25,7 +25,13 @@ BLANK = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205
 UNEVEN = rf"^ | $|{BLANK} | {BLANK}"
 SINGLE = re.compile(r"(?<=\S) (?=\S)")
 PLAIN = re.compile(r"[ -~\nÀ-ɏ]*\Z")
-SLICE_BYTES, MEMO_BYTES, ENTRY_BYTES = 4 << 20, 96 << 20, 200
+# Kinds of bytes for ``piece_units``; the quote is a mark after which letters may be a contraction.
+OTHER, LETTER, DIGIT, MARK, QUOTE, BLANK_BYTE, LINE_END = range(7)
+SOLID = (LETTER, DIGIT, MARK, QUOTE)
+KINDS = np.array([LETTER if chr(b).isascii() and chr(b).isalpha() or 0xC3 <= b <= 0xC8 else DIGIT if 48 <= b < 58 else QUOTE if b == 39 else BLANK_BYTE if b == 32 else LINE_END if b == 10 else MARK if 32 < b < 127 else OTHER for b in range(256)], np.uint8)
+IS_SOLID = np.isin(np.arange(7), SOLID)
+CUT, IF_SOLID_NEXT, IF_SOLID_BEFORE = 1, 2, 3
+SLICE_BYTES, MEMO_BYTES, SPACED_BYTES, ENTRY_BYTES = 4 << 20, 96 << 20, 144 << 20, 200
 
 
 def byte_letters() -> list[str]:
@@ -40,6 +46,20 @@ def byte_letters() -> list[str]:
     return table
 
 
+def cut_rules() -> np.ndarray:
+    """What holds between two bytes, by 8 times the kind of the first and the kind of the second."""
+    rules = np.zeros(64, np.uint8)
+    for a in SOLID:
+        for b in SOLID:
+            marks = a in (MARK, QUOTE) and b in (MARK, QUOTE)
+            rules[8 * a + b] = 0 if a == b or marks or (a, b) == (QUOTE, LETTER) else CUT
+        rules[[8 * a + BLANK_BYTE, 8 * a + LINE_END]] = CUT
+        rules[8 * LINE_END + a] = IF_SOLID_BEFORE
+    rules[[8 * BLANK_BYTE + BLANK_BYTE, 8 * LINE_END + BLANK_BYTE]] = IF_SOLID_NEXT
+    return rules
+
+
+RULES = cut_rules()
 LETTERS = dict(enumerate(byte_letters()))
 STOPS = frozenset(".,;:?")
 
@@ -121,8 +141,11 @@ class UnitIds(BoundedMemo):
         return SPACED_PIECES.findall(unit) if self.spaced else word_units(unit)
 
     def computed(self, unit: str) -> bytes:
-        if self.spaced and unit[0] == " " and unit.isascii() and unit[1:].isalpha():
-            return array("I", [t.id for t in self.tokenize(LETTERS[32] + unit[1:])]).tobytes()
+        if self.spaced and unit.isascii():
+            if unit[0] == " " and unit[1:].isalpha():
+                return array("I", [t.id for t in self.tokenize(LETTERS[32] + unit[1:])]).tobytes()
+            if unit.isalpha():
+                return array("I", [t.id for t in self.tokenize(unit)]).tobytes()
         if "<|" in unit or not (unit.isascii() or PLAIN.match(unit)):
             return self.library(unit)  # special tokens and rarer scripts: the library sees the unit itself
         if self.spaced:
@@ -174,16 +197,48 @@ def spaced_units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pa.array(units, pa.large_string()), np.array(offsets)
 
 
+def piece_units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Units cut where the bytes on both sides show that a piece of ``SPACED_PIECES`` ends, whatever else the text holds.
+
+    Most units are one piece.  Next to characters of no known kind, after a quote and inside longer runs
+    of white space nothing is cut, so such units hold several pieces.  Texts must not spell a special token.
+    """
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if at[0] == at[-1]:
+        return pa.array([], pa.large_string()), np.zeros(len(texts) + 1, np.int64)
+    data, at = np.frombuffer(texts.buffers()[2], np.uint8)[at[0] : at[-1]], at - at[0]
+    kinds = KINDS[data]
+    inner = np.flatnonzero(data & 0xC0 == 0x80)
+    lead, last = data[inner - 1], data[inner]
+    kinds[inner] = KINDS[lead]
+    signs = inner[(lead == 0xC3) & ((last == 0x97) | (last == 0xB7))]  # × and ÷
+    kinds[signs] = kinds[signs - 1] = OTHER
+    begins = np.zeros(len(data) + 1, bool)
+    begins[at] = True
+    rules = RULES[kinds[:-1] * np.uint8(8) + kinds[1:]]
+    cut = begins[:-1].copy()
+    cut[1:] |= rules == CUT
+    blank = np.flatnonzero(rules == IF_SOLID_NEXT) + 1
+    blank = blank[~begins[blank + 1]]
+    cut[blank[IS_SOLID[kinds[blank + 1]]]] = True
+    after = np.flatnonzero(rules == IF_SOLID_BEFORE) + 1
+    after = after[after > 1]
+    cut[after[IS_SOLID[kinds[after - 2]]]] = True
+    first = np.flatnonzero(cut)
+    ends = np.append(first, len(data))
+    return pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(ends), pa.py_buffer(data)), np.searchsorted(first, at)
+
+
 def encoded(texts: pa.Array, memo: UnitIds):
     """(ids of all texts in a row, each text's offsets) for each slice of the texts."""
     for part in slices(texts):
+        special = pc.any(pc.match_substring(part, "<|")).as_py()  # the spelling of special tokens is left alone
         if memo.spaced:
-            units, offsets = spaced_units(part)
-        else:  # this vocabulary has no capitals; the spelling of special tokens is left alone
-            special = pc.any(pc.match_substring(part, "<|")).as_py()
+            units, offsets = spaced_units(part) if special else piece_units(part)
+        else:  # this vocabulary has no capitals
             units, offsets = drop_blank_units(part if special else pc.ascii_lower(part))
         coded = units.dictionary_encode()
-        words = [memo[u] if u else b"" for u in coded.dictionary.to_pylist()]
+        words = [memo[u] if u else b"" for u in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
         lengths = np.fromiter(map(len, words), np.int64, len(words)) // 4
         flat, at = np.frombuffer(b"".join(words), "<u4"), np.asarray(coded.indices)
         counts = lengths[at]
@@ -209,5 +264,5 @@ MEMOS: dict[tuple[str, bool], UnitIds] = {}
 def memo_for(path: str, spaced: bool) -> UnitIds:
     """One memo for each vocabulary and Python worker, kept between tasks."""
     if (path, spaced) not in MEMOS:
-        MEMOS[path, spaced] = UnitIds(path, spaced)
+        MEMOS[path, spaced] = UnitIds(path, spaced, SPACED_BYTES if spaced else MEMO_BYTES)
     return MEMOS[path, spaced]
