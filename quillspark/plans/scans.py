@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.operators.numbering import numbered
 from quillspark.operators.relational import insert_missing, upsert
 from quillspark.registry import query
-from quillspark.sources.files import all_file_texts, write_files
+from quillspark.sources.files import all_file_texts, dealt, write_files
 from quillspark.sources.sinks import fresh_folder, written
 from quillspark.sources.snapshots import Snapshots, progress
 from quillspark.sources.tables import Tables
@@ -47,8 +47,9 @@ def previews(t: Tables, types: tuple[str, ...]) -> DataFrame:
     readable = ~F.coalesce("text", F.lit("")).rlike(CONTROL)
     ending = F.when((F.col("doc_id") % 3 == 0) & readable, "docx").when(F.col("doc_id") % 3 == 1, "dat").otherwise("txt")
     # A row's number tells rows of one doc_id apart.
-    name = F.concat_ws(".", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.monotonically_increasing_id(), ending)
-    write_files(t.documents.select(name.alias("name"), "text"), folder)
+    rows = dealt(t.documents.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), "row")
+    name = F.concat_ws(".", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "row", ending)
+    write_files(rows.select(name.alias("name"), "text"), folder)
     return all_file_texts(t.spark, folder, types).select(F.split("name", r"\.")[0].try_cast("long").alias("doc_id"), "preview")
 
 

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 # The namespace of a word-processor document, and the part that holds its text.
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 DOCUMENT = "word/document.xml"
-# Files in a folder that ``write_files`` deals, folders in a task, and bytes read before rows go out.
-FILES, FOLDERS, READ_BYTES = 1000, 4, 8 << 20
+# Files in a folder that ``write_files`` deals, folders in a task, tasks a core that ``dealt`` makes at least, and bytes read before rows go out.
+FILES, FOLDERS, WRITERS, READ_BYTES = 1000, 4, 4, 8 << 20
 
 
 class PageText(HTMLParser):
@@ -83,7 +83,8 @@ def all_file_texts(spark: SparkSession, folder: str, types=tuple(READERS), most:
     """name, size and preview of every file below a folder, empty ones too.
 
     The driver lists the folder itself; what is in the folders below it is listed by the tasks, about a
-    thousand files a task where ``write_files`` made them.  A file's bytes are in one task's memory.
+    thousand files a task where ``write_files`` made them.  A file's bytes are in one task's memory;
+    those of other ``types`` are not read.
     """
     where, root = fs.FileSystem.from_uri(folder)
     found = [f for f in where.get_file_info(fs.FileSelector(root)) if f.base_name[:1] not in ("_", ".")]
@@ -101,8 +102,10 @@ def all_file_texts(spark: SparkSession, folder: str, types=tuple(READERS), most:
             for path in batch.column("path").to_pylist():
                 for at, size in below(where, path):
                     name = posixpath.basename(at)
-                    with where.open_input_stream(at) as opened:
-                        data = opened.read()
+                    data = b""
+                    if posixpath.splitext(name.lower())[1] in types:
+                        with where.open_input_stream(at) as opened:
+                            data = opened.read()
                     rows.append((name, size, text_of(name, data, types, most)))
                     held += len(data)
                     if held >= READ_BYTES or len(rows) >= FILES:
@@ -129,6 +132,19 @@ def word_file(text: str) -> bytes:
     return out.getvalue()
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt over all cores by a key, for costly work on each, where one task holds over twice its share.
+
+    A table of one row group is read by one task alone, whatever its size.  The rows of each task are counted
+    without their columns; evenly held rows stay where they are.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    most, total = rows.groupBy(F.spark_partition_id().alias("part")).count().agg(F.max("count"), F.sum("count")).first()
+    if (most or 0) * cores <= 2 * (total or 0):
+        return rows
+    return rows.repartition(max(rows.rdd.getNumPartitions(), WRITERS * cores), key)
+
+
 def write_files(rows: DataFrame, folder: str) -> int:
     """Write each row (name, text) as a file, a word-processor one where the name ends so; returns how many.
 

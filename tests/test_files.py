@@ -1,11 +1,14 @@
 """Files read by type, and phrases found in texts, against plain Python."""
 
+import os
 import random
 
 import pytest
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from quillspark.operators.containment import contained
+from quillspark.plans import scans
 from quillspark.plans.scans import legacy_text_extract, text_extract_source
 from quillspark.sources.files import all_file_texts, file_texts, text_of, word_file, write_files
 from quillspark.sources.sinks import fresh_folder
@@ -76,3 +79,18 @@ def test_legacy_extract_is_read_by_few_tasks(spark, tmp_path):
     df = legacy_text_extract(Tables(spark, f"file://{tmp_path}"))
     assert "BinaryFile" not in df._jdf.queryExecution().toString() and df.rdd.getNumPartitions() <= 8
     assert {r["doc_id"]: r["preview"] for r in df.collect()} == {k: f"t{k}" if k % 3 == 2 else "" for k in range(600)}
+
+
+def test_rows_of_one_task_are_written_by_all(spark, tmp_path, monkeypatch):
+    spark.range(900).selectExpr("id AS doc_id", "concat('t', id) AS text").coalesce(1).write.parquet(f"file://{tmp_path}/documents.parquet")
+    monkeypatch.setattr(scans, "fresh_folder", lambda *_: f"file://{tmp_path}/files")
+    assert legacy_text_extract(Tables(spark, f"file://{tmp_path}")).count() == 900
+    held = [len(os.listdir(f)) for f in (tmp_path / "files").iterdir()]
+    assert sum(held) == 900 and len(held) >= spark.sparkContext.defaultParallelism > 1 and max(held) < 450, held
+
+
+def test_files_of_other_types_are_listed_and_not_opened(spark, tmp_path):
+    os.symlink("/proc/self/mem", tmp_path / "a.docx")  # fails when it is read
+    (tmp_path / "b.txt").write_text("b")
+    got = {r["name"]: r["preview"] for r in all_file_texts(spark, f"file://{tmp_path}", (".txt",)).collect()}
+    assert got == {"a.docx": "", "b.txt": "b"}
